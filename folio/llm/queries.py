@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, fingerprint, packing, warc
+from folio.llm import bpe, chat, fingerprint, packing, suffixes, warc
 from folio.llm.common import table
 
 
@@ -76,6 +76,12 @@ FROM f
 """
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that strings of 100 bytes repeat."""
+    out = suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
     return {
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat": op6_chat,
         "op7_fingerprints": op7_fingerprints,
         "op8_warc": op8_warc,
+        "op9_suffixes": op9_suffixes,
     }
 
 
