@@ -8,6 +8,9 @@ are bounded, so memory does not grow with a partition; partitions are packed ind
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 
 #: Limits of a sequence; examples that wait at once, and their tokens.
 MAX_TOKENS, MAX_SEGMENTS, WINDOW, WINDOW_TOKENS = 4096, 1024, 1024, 2_000_000
-#: Remembered words of a worker.
-MEMO_ENTRIES = 400_000
+#: Remembered words and runs of letters of a worker (checked before each chunk of texts), runs encoded in one string.
+WORD_ENTRIES, RUN_ENTRIES, RUNS_AT_ONCE = 400_000, 1_000_000, 2000
+#: Characters of the texts that are encoded together.
+CHUNK_CHARS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -119,33 +124,79 @@ class VectorPacker:
 
 
 class WordTokenizer:
-    """Ids of whole texts by a `tokenizers` file whose tokens never cross white space: words are encoded once and remembered."""
+    """Ids of whole texts by a `tokenizers` file whose tokens never cross white space: words are encoded once and remembered.
+
+    A new word of letters, perhaps with punctuation behind, is split there (the file's own pattern does so, too). New runs
+    of letters are encoded many at a time in one string and told apart by the end-of-word tokens: one for each run, unless
+    normalising breaks a run up; then, and for all other words, each is encoded by itself.
+    """
+
+    _LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 
     def __init__(self, data: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(data)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {"": b""}
+        suffix = json.loads(data)["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.model.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
         self.end = end_id.to_bytes(4, "little")
 
-    def __call__(self, text: str) -> bytes:
-        """Packed little-endian unsigned 32-bit ids, with the end id."""
-        words = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        new = [w for w in set(words) if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                memo[""] = b""
-                new = list(set(words))
-            for word, encoded in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[word] = np.asarray(encoded.ids, "<u4").tobytes()
-        ids = b"".join(map(memo.__getitem__, words)) + self.end
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-            memo[""] = b""
-        return ids
+    def _alone(self, words: list[str]) -> Iterator[bytes]:
+        for encoded in self.model.encode_batch_fast(words, add_special_tokens=False):
+            yield np.asarray(encoded.ids, "<u4").tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), RUNS_AT_ONCE):
+            part = runs[i : i + RUNS_AT_ONCE]
+            ids = np.asarray(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) == len(part):
+                packed, begin = ids.tobytes(), 0
+                for run, end in zip(part, ends.tolist(), strict=True):
+                    self.runs[run] = packed[begin:end]
+                    begin = end
+            else:
+                self.runs.update(zip(part, self._alone(part), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        split, rest, runs = [], [], set()
+        for word in words:
+            if word.isalpha():
+                run, marks = word, ""
+            elif found := self._LETTERS_THEN_MARKS.fullmatch(word):
+                run, marks = found.groups()
+            else:
+                rest.append(word)
+                continue
+            run = run.lower() if run.isascii() else run
+            split.append((word, run, marks))
+            if run not in self.runs:
+                runs.add(run)
+            if marks and marks not in self.words:
+                rest.append(marks)
+        self._learn_runs(list(runs))
+        self.words.update(zip(rest, self._alone(rest), strict=True))
+        known = self.words
+        for word, run, marks in split:
+            known[word] = self.runs[run] + known[marks]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Packed little-endian unsigned 32-bit ids of each text, with the end id."""
+        if len(self.words) > WORD_ENTRIES:
+            self.words = {"": b""}
+        if len(self.runs) > RUN_ENTRIES:
+            self.runs = {}
+        words = [text.replace("\n", " ").split(" ") for text in texts]
+        self._learn([w for w in set().union(*words) if w not in self.words])
+        known = self.words.__getitem__
+        return [b"".join(map(known, w)) + self.end for w in words]
 
 
 _tokenizers: dict[tuple, WordTokenizer] = {}
@@ -174,13 +225,13 @@ def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, limits:
         data = df.sparkSession.sparkContext.broadcast(f.read())
     prompt = F.col(prompt_tokens_col).cast("long") if prompt_tokens_col else F.lit(0).cast("long")
     plain = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.coalesce(prompt, F.lit(0)).alias("prompt"))
-    return plain.mapInArrow(_packing_task(lambda: _tokenizer(data.value, end_id), limits), _SCHEMA).withColumnRenamed("doc", id_col)
+    return plain.mapInArrow(_packing_task(lambda: _tokenizer(data.value, end_id).encode_many, limits), _SCHEMA).withColumnRenamed("doc", id_col)
 
 
 _SCHEMA = "doc long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
-def _packing_task(make: Callable[[], Callable[[str], bytes]], limits: Limits) -> Callable:
+def _packing_task(make: Callable[[], Callable[[list[str]], list[bytes]]], limits: Limits) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
         packer = VectorPacker(limits, TaskContext.get().partitionId() << 33)
@@ -201,11 +252,18 @@ def _packing_task(make: Callable[[], Callable[[str], bytes]], limits: Limits) ->
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.strip().split(" ")[0] for x in _SCHEMA.split(",")])
 
         for batch in batches:
-            for doc, text, prompt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = encode(text or "")
-                held[row] = [doc, ids, prompt, len(ids) // 4]
-                placed = packer.push(row, len(ids) // 4, prompt)
-                row += 1
+            docs, texts, prompts = (c.to_pylist() for c in batch.columns)
+            begin, size = 0, 0
+            for i, text in enumerate(texts):
+                size += len(text or "")
+                if size < CHUNK_CHARS and i < len(texts) - 1:
+                    continue
+                placed = []
+                for n, ids in enumerate(encode([t or "" for t in texts[begin : i + 1]]), begin):
+                    held[row] = [docs[n], ids, prompts[n], len(ids) // 4]
+                    placed += packer.push(row, len(ids) // 4, prompts[n])
+                    row += 1
+                begin, size = i + 1, 0
                 if placed:
                     yield rows(placed)
         yield rows(packer.finish())

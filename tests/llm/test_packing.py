@@ -9,10 +9,12 @@ from folio.llm import packing
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
+TOKENIZER = Tokenizer.from_file(FILE)
+TOKENIZER.encode_special_tokens = True
+
+
 def whole_text_ids(text):
-    t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [2]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def check(rows, texts, limits=packing.Limits()):
@@ -44,7 +46,7 @@ def test_documents_of_the_test_data(spark):
 
 
 def test_nulls_long_texts_and_clashing_columns(spark):
-    rows = [(1, None, 7), (2, "", 7), (3, "word née \x1c x y z <|endoftext|> Don't" * 3000, 7), (4, "a\tb\r\nc" * 10, 7)]
+    rows = [(1, None, 7), (2, "", 7), (3, "word née \x1c x y z <|endoftext|> Don't" * 3000, 7), (4, "a\tb\r\nc" * 10, 7), (5, "ΟΔΟΣ! İstanbul, क़ x́y don't DON'T... naïve?! n1 1n _a a_ (b) c's c'sd ﬁ ǅ 你好。", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int")
     check(packing.pack_documents(df, FILE).collect(), {r[0]: r[1] for r in rows})
     repeated = packing.pack_documents(df.union(df), FILE).collect()
