@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, fingerprint, packing, suffixes, warc
+from folio.llm import bpe, chat, factors, fingerprint, packing, suffixes, warc
 from folio.llm.common import table
 
 
@@ -82,6 +82,32 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that windows of 35 words repeat."""
+    out = factors.repeated_words(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), n AS (
+  SELECT doc_id, words, CAST(len(words) AS BIGINT) AS n_words FROM w
+), x AS (
+  SELECT doc_id, i, sha256(array_to_string(words[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, n_words - 33)) AS i FROM n WHERE n_words >= 35)
+), r AS (
+  SELECT doc_id, list(i) AS hits FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM x) WHERE c > 1 GROUP BY doc_id
+), k AS (
+  SELECT n.doc_id, n_words, words, list_distinct(flatten(list_transform(coalesce(hits, []), lambda i: range(i, i + 35)))) AS gone
+  FROM n LEFT JOIN r USING (doc_id)
+), m AS (
+  SELECT doc_id, n_words, CAST(len(gone) AS BIGINT) AS n_removed, words, list_sort(list_filter(range(1, n_words + 1), lambda j: NOT list_contains(gone, j))) AS kept FROM k
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(list_transform(kept, lambda j: words[j]), ' ')) AS kept_sha256 FROM m
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
     return {
@@ -91,9 +117,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fingerprints": op7_fingerprints,
         "op8_warc": op8_warc,
         "op9_suffixes": op9_suffixes,
+        "op10_factors": op10_factors,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the numbered queries that SQL expresses."""
-    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL}
+    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op10_factors": OP10_SQL}
