@@ -8,10 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, factors, fingerprint, packing, suffixes, toxicity, warc
+from folio.llm import bpe, chat, chosen_path, collision, factors, fingerprint, packing, suffixes, toxicity, warc
 from folio.llm.common import table
 
 
+def op1_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return collision.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies and its number of links."""
+    return chosen_path.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -117,7 +128,9 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(list_transform(kept, l
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
     return {
+        "op1_collision": op1_collision,
         "op2_packing": op2_packing,
+        "op3_chosen_path": op3_chosen_path,
         "op4_bpe": op4_bpe,
         "op5_toxicity": op5_toxicity,
         "op6_chat": op6_chat,
