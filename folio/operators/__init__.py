@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Relational operators: catalog, quality, cost model, state."""
