@@ -150,10 +150,8 @@ def _out_table(doc: np.ndarray, run: np.ndarray, merges: list[tuple]) -> pa.Tabl
 def _shard_task(length: int):
     def run(rows: pa.Table) -> pa.Table:
         shard, salts = rows.column("shard")[0].as_py(), rows.column("salts")[0].as_py()
-        passed = rows.filter(pc.is_null(rows.column("segment")))
-        rows = rows.filter(pc.is_valid(rows.column("segment")))
         take = lambda t, name: np.asarray(t.column(name).to_numpy(), np.int64)
-        out_doc, out_run = [take(passed, "doc")], [spans.pack_run(take(passed, "start"), take(passed, "starts"))]
+        out_doc, out_run = [], []
         merges = []
         if rows.num_rows:
             coded = pc.dictionary_encode(rows.column("segment").combine_chunks())
@@ -222,14 +220,13 @@ def repeated_words(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     """
     docs = spans.keyed(df, id_col, text_col)
     found = spans.repeated_anchors(docs.select("doc", "text"), word_symbols, length, gram)
-    parts, split = spans.split_shards(materialize(spans.segments(docs.select("doc", "text"), found, _cutter(length, gram)), "segments"))
-    judged = parts.groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT)
+    found = materialize(spans.segments(docs.select("doc", "text"), found, _cutter(length, gram)), "segments")
+    parts, split = spans.split_shards(found)
+    # Written before the texts are shuffled again, so the segments' shuffle files are gone by then.
+    judged = materialize(parts.groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged")
+    runs = judged.where("runs is not null").select("doc", "runs").unionByName(found.where("runs is not null").select("doc", "runs"))
     if split:
-        judged = materialize(judged, "judged")
-        merged = judged.where("digests is not null").groupBy("shard", "part").applyInArrow(_exchange, "doc long, runs binary")
-        runs = judged.where("runs is not null").select("doc", "runs").unionByName(merged)
-    else:
-        runs = judged.select("doc", "runs")
+        runs = runs.unionByName(judged.where("digests is not null").groupBy("shard", "part").applyInArrow(_exchange, "doc long, runs binary"))
     joined = docs.join(spans.gather_runs(runs), "doc", "left").select("id", "text", "runs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

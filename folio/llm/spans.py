@@ -30,8 +30,10 @@ CHUNK = 1 << 17
 #: Entries of anchors or segments that a task holds before it hands them on.
 FLUSH_ENTRIES = 1_000_000
 FLUSH_SEGMENTS = 200_000
+#: Shards for each shuffle partition: small ones keep the arrays of a Python task within some 200 MB.
+SHARDS_PER_PARTITION = 12
 #: Segment bytes that one group of a shard gets at most, on average; larger shards are split.
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 2_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 
@@ -102,8 +104,8 @@ def anchor_runs(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int) ->
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-#: A run's first start (48 bits) and number of starts (15 bits) in one long.
 def pack_run(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A run's first start (48 bits) and number of starts (15 bits) in one long."""
     return (start.astype(np.int64) << 15) | count
 
 
@@ -127,12 +129,13 @@ def repeated_anchors(docs: DataFrame, symbols_of: Callable, window: int, k: int)
     def flush(held: list[tuple]) -> pa.RecordBatch:
         h, doc, run = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(h, kind="stable")
-        h, doc, run = h[order], doc[order], run[order]
-        new = np.append(True, h[1:] != h[:-1])
+        ordered = h[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
         size = np.diff(np.append(np.flatnonzero(new), len(h)))
-        many = np.repeat(size, size) > 1
         # What repeats within the task is known to repeat: it needs no answer, others only learn that the hash is taken.
-        heads = np.flatnonzero(new & many)
+        many = np.empty(len(h), bool)
+        many[order] = np.repeat(size, size) > 1
+        heads = order[new & many[order]]
         once = ~many
         h_all = np.concatenate([h[once], h[heads], h[many]])
         doc_all = np.concatenate([doc[once], doc[heads], doc[many]])
@@ -145,7 +148,7 @@ def repeated_anchors(docs: DataFrame, symbols_of: Callable, window: int, k: int)
         columns = [[], [], [], [], []]
         for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
             own = order[a:b]
-            for column, value in zip(columns, (int(bucket[own[0]]), h_all[own].tobytes(), doc_all[own].tobytes(), run_all[own].tobytes(), kind[own].tobytes()), strict=True):
+            for column, value in zip(columns, (int(bucket[own[0]]), h_all[own].tobytes(), np.diff(doc_all[own], prepend=0).tobytes(), run_all[own].tobytes(), kind[own].tobytes()), strict=True):
                 column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "hash", "doc", "run", "kind"])
 
@@ -165,7 +168,8 @@ def repeated_anchors(docs: DataFrame, symbols_of: Callable, window: int, k: int)
 
     def again(blobs: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(blobs.column(name).to_pylist()), kind)
-        h, doc, run, kind = join("hash", np.uint64), join("doc", np.int64), join("run", np.int64), join("kind", np.uint8)
+        h, run, kind = join("hash", np.uint64), join("run", np.int64), join("kind", np.uint8)
+        doc = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in blobs.column("doc").to_pylist()])
         known, asked = kind == _KNOWN, kind != _KNOWN
         order = np.argsort(h[asked], kind="stable")
         ah, ad, ar, ak = (x[asked][order] for x in (h, doc, run, kind))
@@ -188,7 +192,7 @@ def by_doc(doc: np.ndarray, run: np.ndarray, name: str) -> pa.Table:
     return pa.table({"doc": pa.array(doc[first], pa.int64()), name: pa.array([data[8 * a : 8 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Document keys and UTF-8 texts of the batches' first two columns, in chunks of about `most` bytes."""
     for batch in batches:
         ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
@@ -203,18 +207,19 @@ def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Itera
 
 # --- step 2: segments -----------------------------------------------------------------------------------------------
 
-SEGMENTS = "shard int, doc long, start long, starts int, many boolean, segment binary"
+SEGMENTS = "shard int, doc long, start long, starts int, many boolean, segment binary, runs binary"
 _NAMES = [x.strip().split(" ")[0] for x in SEGMENTS.split(",")]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
 
 
 def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
-    """The segments of all repeated anchors: SEGMENTS. A row without segment is a run whose equal run another row represents.
+    """The segments of all repeated anchors: SEGMENTS. A row with `runs` (and no shard) has a document's runs that equal runs,
+    starting earlier, represent.
 
     cut(text bytes, starts, counts, shards) -> (segments, their shards). Equal segments of a task are combined: the one that starts
     first keeps its bytes and is marked `many`.
     """
-    shards = 4 * shuffle_width(docs.sparkSession)
+    shards = SHARDS_PER_PARTITION * shuffle_width(docs.sparkSession)
 
     def rows(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
@@ -226,10 +231,12 @@ def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             found = list(held.items())
             if found:
-                yield rows([[v[3] for _, v in found], [v[0] for _, v in found], [v[1] for _, v in found], [v[2] for _, v in found], [v[4] for _, v in found], [s for s, _ in found]])
+                yield rows([[v[3] for _, v in found], [v[0] for _, v in found], [v[1] for _, v in found], [v[2] for _, v in found], [v[4] for _, v in found], [s for s, _ in found], [None] * len(found)])
             if passed[0]:
-                spread = (np.asarray(passed[0], np.int64).view(np.uint64) * _MUL) >> np.uint64(40)
-                yield rows([(spread % np.uint64(shards)).astype(np.int32), *passed, [True] * len(passed[0]), [None] * len(passed[0])])
+                doc, start, count = (np.asarray(c, np.int64) for c in passed)
+                known = by_doc(doc, pack_run(start, count), "runs")
+                n = known.num_rows
+                yield rows([[None] * n, known.column("doc").to_pylist(), *([None] * n for _ in range(4)), known.column("runs").to_pylist()])
             held.clear()
             for c in passed:
                 c.clear()
@@ -262,9 +269,10 @@ def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
 def split_shards(parts: DataFrame) -> tuple[DataFrame, bool]:
     """`parts` with a column `salt`: shards of more than SHARD_BYTES are dealt out to groups of about that size.
 
-    parts: a written table of SEGMENTS. The sizes are one row per shard, of which there are four per shuffle partition.
+    parts: a written table of SEGMENTS. The sizes are one row per shard, of which there are SHARDS_PER_PARTITION per shuffle partition.
     """
-    sizes = parts.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("segment"), F.lit(0)) + 16).alias("bytes"))
+    parts = parts.where("shard is not null")
+    sizes = parts.groupBy("shard").agg(F.sum(F.octet_length("segment") + 16).alias("bytes"))
     sizes = sizes.select("shard", F.ceil(F.col("bytes") / F.lit(SHARD_BYTES)).cast("int").alias("salts"))
     large = [(r["shard"], r["salts"]) for r in sizes.where("salts > 1").collect()]
     if not large:

@@ -9,20 +9,20 @@ segments come to shards and results to texts.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import spans
 from folio.llm.common import materialize
 
 #: Bytes of a repeated string, and of the grams that anchor it.
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 
 
 def _byte_symbols() -> np.ndarray:
@@ -48,10 +48,10 @@ class SuffixArray:
         self.length = length
         self.offset = np.concatenate([[0], np.cumsum(length + 1)])
         n = int(self.offset[-1])
-        self.ends = np.repeat(self.offset[1:] - 1, length + 1)
+        self.ends = np.repeat((self.offset[1:] - 1).astype(np.int32), length + 1)
+        self.left = self.ends - np.arange(n, dtype=np.int32)
         symbols = np.zeros(n, np.uint64)
-        symbols[np.arange(n) != self.ends] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
-        self.left = self.ends - np.arange(n)
+        symbols[self.left > 0] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
         self.key = self._first_seven(symbols)
         self.order = self._sort()
         self.lcp = self._common_prefixes()
@@ -74,15 +74,15 @@ class SuffixArray:
         sorted_key = self.key[order]
         head = np.append(True, sorted_key[1:] != sorted_key[:-1])
         head[: len(self.length)] = True  # terminators differ from each other
-        slots = np.arange(n, dtype=np.int64)
-        rank = np.empty(n, np.int64)
+        slots = np.arange(n, dtype=np.int32)
+        rank = np.empty(n, np.int32)
         rank[order] = np.maximum.accumulate(np.where(head, slots, 0))
         single = head & np.append(head[1:], True)
-        slots = np.flatnonzero(~single)
+        slots = np.flatnonzero(~single).astype(np.int32)
         depth = 7
         while len(slots):
             at = order[slots].astype(np.int64)
-            key = rank[at] << 32 | rank[np.minimum(at + depth, self.ends[at])]
+            key = rank[at].astype(np.int64) << 32 | rank[np.minimum(at + depth, self.ends[at])]
             by = np.argsort(key, kind="stable")
             at, key = at[by], key[by]
             order[slots] = at
@@ -96,7 +96,7 @@ class SuffixArray:
     def _common_prefixes(self) -> np.ndarray:
         """Kasai: walking each string from left to right, a prefix shared with the neighbour shrinks by one at most."""
         n = len(self.order)
-        before = np.full(n, -1, np.int64)
+        before = np.full(n, -1, np.int32)
         before[self.order[1:]] = self.order[:-1]
         by_text = np.zeros(n, np.int32)
         lanes = np.argsort(-self.length, kind="stable")
@@ -167,10 +167,8 @@ def _runs_of(mask_segment: np.ndarray, place: np.ndarray, docs: np.ndarray, star
 def _shard_task(length: int):
     def run(rows: pa.Table) -> pa.Table:
         shard, salts = rows.column("shard")[0].as_py(), rows.column("salts")[0].as_py()
-        passed = rows.filter(pc.is_null(rows.column("segment")))
-        rows = rows.filter(pc.is_valid(rows.column("segment")))
         take = lambda t, name: np.asarray(t.column(name).to_numpy(), np.int64)
-        out_doc, out_run = [take(passed, "doc")], [spans.pack_run(take(passed, "start"), take(passed, "starts"))]
+        out_doc, out_run = [], []
         merges = []
         if rows.num_rows:
             coded = pc.dictionary_encode(rows.column("segment").combine_chunks())
@@ -267,14 +265,13 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     """
     docs = spans.keyed(df, id_col, text_col)
     found = spans.repeated_anchors(docs.select("doc", "text"), _symbols_of, length, gram)
-    parts, split = spans.split_shards(materialize(spans.segments(docs.select("doc", "text"), found, _cutter(length, gram)), "segments"))
-    judged = parts.groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT)
+    found = materialize(spans.segments(docs.select("doc", "text"), found, _cutter(length, gram)), "segments")
+    parts, split = spans.split_shards(found)
+    # Written before the texts are shuffled again, so the segments' shuffle files are gone by then.
+    judged = materialize(parts.groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged")
+    runs = judged.where("runs is not null").select("doc", "runs").unionByName(found.where("runs is not null").select("doc", "runs"))
     if split:
-        judged = materialize(judged, "judged")
-        merged = judged.where("windows is not null").groupBy("shard", "part").applyInArrow(_merge_task(length), "doc long, runs binary")
-        runs = judged.where("runs is not null").select("doc", "runs").unionByName(merged)
-    else:
-        runs = judged.select("doc", "runs")
+        runs = runs.unionByName(judged.where("windows is not null").groupBy("shard", "part").applyInArrow(_merge_task(length), "doc long, runs binary"))
     joined = docs.join(spans.gather_runs(runs), "doc", "left").select("id", "text", "runs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +293,25 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     return out.withColumnRenamed("id", id_col)
 
 
-def digest(data: bytes) -> str:
-    """Lowercase hex SHA-256, as the queries'."""
-    return hashlib.sha256(data).hexdigest()
+def without_spans(text: Column, spans_col: Column) -> Column:
+    """The text without its removed spans, in whole characters: one that a span covers only in part stays."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
+        def one(text: str | None, parts) -> str | None:
+            if text is None or parts is None or not len(parts):
+                return text
+            data, out, at = text.encode(), [], 0
+            for part in parts:
+                begin, end = part["start"], part["end"]
+                while begin < end and data[begin] & 0xC0 == 0x80:
+                    begin += 1
+                while begin < end < len(data) and data[end] & 0xC0 == 0x80:
+                    end -= 1
+                out.append(data[at:begin])
+                at = max(end, begin)
+            return b"".join([*out, data[at:]]).decode()
+
+        return pd.Series([one(t, p) for t, p in zip(texts, removed, strict=True)], dtype=object)
+
+    return cut(text, spans_col)
