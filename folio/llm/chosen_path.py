@@ -33,8 +33,9 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 DEPTH, BRANCHING, POOL = 3, 1.4, 24
 #: 0.48 ** 14 < 1e-4: the target recall of a single link is 0.9999.
 RUNS = 14
-#: Members of a block of the brute-force comparison; a shingle of more members than DENSE is counted by matrix product.
-BLOCK, DENSE = 1500, 48
+#: Members of a block of the brute-force comparison, and shingles they may have in all (but one text is never split); a
+#: shingle of more members than DENSE is counted by matrix product.
+BLOCK, BLOCK_SHINGLES, DENSE = 1500, 1_000_000, 48
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -212,6 +213,19 @@ def common_counts(hashes: np.ndarray, bounds: np.ndarray, left: int) -> np.ndarr
     return counts
 
 
+def _sets_in_chunks(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() of many texts, with bounded arrays on the way."""
+    parts, edges, begin, held = [], [np.zeros(1, np.int64)], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= most or i == len(texts) - 1:
+            hashes, bounds = shingle_sets(texts[begin : i + 1])
+            parts.append(hashes)
+            edges.append(bounds[1:] + edges[-1][-1])
+            begin, held = i + 1, 0
+    return np.concatenate(parts), np.concatenate(edges)
+
+
 def _compare(rows: pa.Table) -> pa.Table:
     """Links of the documents of one task: doc, links (copies counted), root (least document that its links reach here)."""
     docs, copies, side = (np.asarray(rows.column(c).to_numpy(), np.int64) for c in ("doc", "copies", "side"))
@@ -221,20 +235,22 @@ def _compare(rows: pa.Table) -> pa.Table:
     ends: list[tuple] = []
     # A task holds whole small groups, in the order of groups cut into blocks, or two blocks (sides) of one large group.
     order = np.lexsort((docs, group, side))
-    if side.any() or len(docs) <= BLOCK:
+    size = np.asarray(rows.column("size").to_numpy(), np.int64)
+    if side.any() or len(docs) <= BLOCK and size.sum() <= BLOCK_SHINGLES:
         blocks = [order[side[order] == s] for s in np.unique(side)]
     else:
         edges = [0]
         starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+        before = np.append(0, np.cumsum(size[order]))
         for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
-            if b - edges[-1] > BLOCK and a > edges[-1]:
+            if (b - edges[-1] > BLOCK or before[b] - before[edges[-1]] > BLOCK_SHINGLES) and a > edges[-1]:
                 edges.append(a)
         blocks = [order[a:b] for a, b in zip(edges, [*edges[1:], len(order)], strict=True)]
     two_sided = bool(side.any())
     work = [tuple(blocks)] if two_sided and len(blocks) == 2 else [(b,) for b in blocks]
     for part in work:
         at = np.concatenate(part)
-        hashes, bounds = shingle_sets([texts[int(i)].as_py() for i in at])
+        hashes, bounds = _sets_in_chunks([texts[int(i)].as_py() for i in at])
         size = np.diff(bounds)
         left = len(part[0])
         common = common_counts(hashes, bounds, left)
@@ -268,21 +284,22 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = spans.keyed(df, id_col, text_col)
     walks = materialize(_walks(docs.select("doc", "text")), "walks")
-    sets = materialize(walks.groupBy("sketch").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "sets")
+    sets = materialize(walks.groupBy("sketch").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size")), "sets")
     leads = walks.join(sets.select(F.col("rep").alias("doc")), "doc", "left_semi")
     groups = connected_components(_candidate_edges(leads))
     members = groups.select(F.col("node").alias("rep"), "root").unionByName(groups.select(F.col("root").alias("rep"), "root").distinct())
-    members = materialize(members.join(sets, "rep").select(F.col("rep").alias("doc"), "root", "copies"), "members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    n_members = members.count()
-    tasks = max(shuffle_width(df.sparkSession), -(-n_members // (BLOCK // 3)))
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    members = materialize(members.join(sets, "rep").select(F.col("rep").alias("doc"), "root", "copies", "size"), "members")
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    shingles = members.agg(F.sum("size")).first()[0] or 0
+    tasks = max(shuffle_width(df.sparkSession), -(-shingles // (BLOCK_SHINGLES // 3)))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     # (task, grp, side): a small group is wholly in one task; block i of a large one meets each other block j in a task of its own.
     small = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("long").alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
     large = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((-1 - F.col("root")).alias("task"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own > j, 1).otherwise(0).alias("side")))
-    placed = members.join(sizes, "root").withColumn("blocks", blocks).select("doc", "root", "copies", "blocks", F.explode(F.when(F.col("blocks") > 1, large).otherwise(small)).alias("p"))
-    texts = docs.select("doc", "text").join(placed, "doc").select("doc", F.col("root").alias("grp"), "copies", "text", "p.task", "p.i", "p.j", "p.side")
+    placed = members.join(sizes, "root").withColumn("blocks", blocks).select("doc", "root", "copies", "size", "blocks", F.explode(F.when(F.col("blocks") > 1, large).otherwise(small)).alias("p"))
+    # By a shuffle at every size: the members grow with the corpus.
+    texts = docs.select("doc", "text").join(placed.hint("merge"), "doc").select("doc", F.col("root").alias("grp"), "copies", "size", "text", "p.task", "p.i", "p.j", "p.side")
     links = materialize(texts.groupBy("task", "i", "j").applyInArrow(_compare, "doc long, links long, root long"), "links")
     counted = links.groupBy("doc").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.count("*").alias("tasks"))
     counted = materialize(counted, "counted")
@@ -293,7 +310,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A small group's roots are final: the least document of the component.
     per_set = sets.join(counted.select(F.col("doc").alias("rep"), "links", "root"), "rep", "left")
     per_set = per_set.select("sketch", "copies", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = docs.select("doc", "id").join(walks.select("doc", "sketch"), "doc").join(per_set, "sketch")
+    out = docs.select("doc", "id").join(walks.select("doc", "sketch").hint("merge"), "doc").join(per_set, "sketch")
     return out.select(
         F.col("id").alias(id_col), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), (F.col("doc") == F.col("class_id")).alias("is_representative")
     )

@@ -23,6 +23,30 @@ def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_documents(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y, common = p.size AND common = q.size AS equal FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 5 * common >= 4 * (p.size + q.size - common)
+  UNION ALL SELECT a.doc_id, b.doc_id, TRUE FROM w a JOIN w b ON len(a.ws) = 0 AND len(b.ws) = 0 AND a.doc_id <> b.doc_id
+), r(x, y) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+), k AS (
+  SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x
+), m AS (
+  SELECT x AS doc_id, count(*) AS n_links, count(*) FILTER (equal) AS n_equal FROM l GROUP BY x
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_equal, 0) + 1 AS n_copies, doc_id = class_id AS is_representative FROM k LEFT JOIN m USING (doc_id)
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -99,6 +123,30 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), n AS (
+  SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n_bytes FROM h
+), w AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY substr(x, 2 * i + 1, 200) ORDER BY doc_id, i) AS k
+  FROM (SELECT doc_id, x, unnest(range(0, n_bytes - 99)) AS i FROM n WHERE n_bytes >= 100)
+), r AS (
+  SELECT doc_id, i, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w WHERE k > 1
+), g AS (
+  SELECT doc_id, i, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
+), p AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run
+), q AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p
+), kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS x, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans
+  FROM q JOIN n USING (doc_id) GROUP BY doc_id
+)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, n.x))) AS kept_sha256 FROM n LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words that windows of 35 words repeat."""
     out = factors.repeated_words(table(spark, sf_dir, "documents"))
@@ -143,4 +191,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the numbered queries that SQL expresses."""
-    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op10_factors": OP10_SQL}
+    return {"op3_chosen_path": OP3_SQL, "op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op9_suffixes": OP9_SQL, "op10_factors": OP10_SQL}
