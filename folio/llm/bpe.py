@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import small_batches
+
 #: Pre-tokens up to this many bytes are remembered; longer ones are encoded each time.
 MEMO_BYTES = 48
 #: Remembered pre-tokens (or neighbour pairs) of a worker; a full memo starts anew.
@@ -183,6 +185,7 @@ def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str =
     longest text. Null text counts as empty: no tokens, empty ids. Null ids and repeated rows pass through row by row; an
     empty table gives an empty result; columns other than the two named are not read.
     """
+    small_batches(df.sparkSession)
     with open(rank_file, "rb") as f:
         rank_data = df.sparkSession.sparkContext.broadcast(f.read())
     fields = df.select(F.col(id_col)).schema.fields

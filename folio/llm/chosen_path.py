@@ -35,7 +35,7 @@ DEPTH, BRANCHING, POOL = 3, 1.4, 24
 RUNS = 14
 #: Members of a block of the brute-force comparison, and shingles they may have in all (but one text is never split); a
 #: shingle of more members than DENSE is counted by matrix product.
-BLOCK, BLOCK_SHINGLES, DENSE = 1500, 1_000_000, 48
+BLOCK, BLOCK_SHINGLES, DENSE = 1000, 400_000, 48
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -300,7 +300,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(sizes, "root").withColumn("blocks", blocks).select("doc", "root", "copies", "size", "blocks", F.explode(F.when(F.col("blocks") > 1, large).otherwise(small)).alias("p"))
     # By a shuffle at every size: the members grow with the corpus.
     texts = docs.select("doc", "text").join(placed.hint("merge"), "doc").select("doc", F.col("root").alias("grp"), "copies", "size", "text", "p.task", "p.i", "p.j", "p.side")
-    links = materialize(texts.groupBy("task", "i", "j").applyInArrow(_compare, "doc long, links long, root long"), "links")
+    links = materialize(texts.groupBy("task", "i", "j").applyInArrow(_compare, "doc long, links long, root long"), "links", shuffled=True)
     counted = links.groupBy("doc").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.count("*").alias("tasks"))
     counted = materialize(counted, "counted")
     split = links.join(counted.where("tasks > 1").select("doc"), "doc", "left_semi").where("doc <> root")

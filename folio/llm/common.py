@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -35,12 +37,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+def materialize(df: DataFrame, label: str, shuffled: bool = False) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    shuffled: the step shuffled texts; its shuffle files are freed before the next step writes its own.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    if shuffled:
+        free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps, which it does once nothing in the driver holds their plans.
+
+    Python's garbage holds JVM objects; Py4J hands them back from a thread that looks once a second.
+    """
+    gc.collect()
+    time.sleep(1.5)
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -64,6 +82,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand long texts to Python in batches of at most so many rows: a batch is held on both sides at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -220,10 +220,10 @@ def repeated_words(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     """
     docs = spans.keyed(df, id_col, text_col)
     found = spans.repeated_anchors(docs.select("doc", "text"), word_symbols, length, gram)
-    found = materialize(spans.segments(docs.select("doc", "text"), found, _cutter(length, gram)), "segments")
+    found = materialize(spans.segments(docs.select("doc", "text"), found, _cutter(length, gram)), "segments", shuffled=True)
     parts, split = spans.split_shards(found)
     # Written before the texts are shuffled again, so the segments' shuffle files are gone by then.
-    judged = materialize(parts.groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged")
+    judged = materialize(parts.groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged", shuffled=True)
     runs = judged.where("runs is not null").select("doc", "runs").unionByName(found.where("runs is not null").select("doc", "runs"))
     if split:
         runs = runs.unionByName(judged.where("digests is not null").groupBy("shard", "part").applyInArrow(_exchange, "doc long, runs binary"))

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import small_batches
+
 #: Limits of a sequence; examples that wait at once, and their tokens.
 MAX_TOKENS, MAX_SEGMENTS, WINDOW, WINDOW_TOKENS = 4096, 1024, 1024, 2_000_000
 #: Remembered words and runs of letters of a worker (checked before each chunk of texts), runs encoded in one string.
@@ -221,6 +223,7 @@ def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, limits:
     count. The tokenizer file (under 2 MB, fixed) is read on the driver and broadcast.
     """
     limits = limits or Limits()
+    small_batches(df.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
     prompt = F.col(prompt_tokens_col).cast("long") if prompt_tokens_col else F.lit(0).cast("long")

@@ -128,13 +128,19 @@ WITH h AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
 ), n AS (
   SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n_bytes FROM h
+), c AS (  -- pieces of 512 starts keep substr() cheap
+  SELECT doc_id, 512 * j AS base, least(512, n_bytes - 99 - 512 * j) AS starts, substr(x, 1024 * j + 1, 2 * (512 + 99)) AS piece
+  FROM (SELECT doc_id, x, n_bytes, unnest(range(0, (n_bytes - 99 + 511) // 512)) AS j FROM n WHERE n_bytes >= 100)
 ), w AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY substr(x, 2 * i + 1, 200) ORDER BY doc_id, i) AS k
-  FROM (SELECT doc_id, x, unnest(range(0, n_bytes - 99)) AS i FROM n WHERE n_bytes >= 100)
+  SELECT doc_id, base + i AS i, md5_number(substr(piece, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, base, piece, unnest(range(0, starts)) AS i FROM c)
+), f AS (
+  SELECT k, min((doc_id, i)) AS first FROM w GROUP BY k HAVING count(*) > 1
+), d AS (
+  SELECT w.doc_id, w.i FROM w JOIN f USING (k) WHERE (w.doc_id, w.i) > f.first
 ), r AS (
-  SELECT doc_id, i, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w WHERE k > 1
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM d
 ), g AS (
-  SELECT doc_id, i, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
+  SELECT doc_id, i, sum(CASE WHEN last IS NULL OR i > last + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
 ), p AS (
   SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run
 ), q AS (

@@ -23,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, shuffle_width
+from folio.llm.common import materialize, shuffle_width, small_batches
 
 #: Symbols hashed at once; positions within a chunk break ties, so it must stay below 2**20.
 CHUNK = 1 << 17
 #: Entries of anchors or segments that a task holds before it hands them on.
 FLUSH_ENTRIES = 1_000_000
 FLUSH_SEGMENTS = 200_000
-#: Shards for each shuffle partition: small ones keep the arrays of a Python task within some 200 MB.
-SHARDS_PER_PARTITION = 12
+#: Shards for each shuffle partition: small ones keep the arrays of a Python task within some 100 MB.
+SHARDS_PER_PARTITION = 24
 #: Segment bytes that one group of a shard gets at most, on average; larger shards are split.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 
@@ -307,6 +307,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Where ids are unique and not null they are the keys. Else the rows are written once in the order of (id, nulls last;
     text) with running keys, so rows that share an id are documents of their own in that order.
     """
+    small_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if not base.groupBy("id").count().where("count > 1 or id is null").limit(1).count():
         return base.select(F.col("id").alias("doc"), "id", "text")

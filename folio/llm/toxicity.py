@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize
+from folio.llm.common import free_shuffles, materialize, small_batches
 
 #: Seed terms, words of address, reporting words, negations.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard", "scumbag", "vermin")
@@ -40,7 +40,7 @@ FEATURES = ("any", "plain", "quoted", "fuzzy_plain", "fuzzy_quoted", "addressed"
 DEFAULT_WEIGHTS = (-3.5, 2.0, 3.0, -1.0, 0.8, -0.8, 1.0, -0.5, 0.5)
 _TOKEN = re.compile(r"[^\W_](?:[\w*@$!]*[^\W_])?")
 #: Tokens whose match a worker remembers.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 200_000
 
 
 def edits_allowed(term: str) -> int:
@@ -166,6 +166,7 @@ _HIT_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("t
 
 def find_hits(df: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
     """id_col, hits, n_tokens, features of every whole text; no shuffle. Offsets are in code points of the lower-case text."""
+    small_batches(df.sparkSession)
     lexicon = sorted(set(terms))
     made: dict[str, LexiconAutomaton] = {}
 
@@ -252,6 +253,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     train = training_labels(labels, id_col, label_col)
     terms = [*SEED_TERMS, *learn_terms(docs, train, id_col, text_col)]
+    free_shuffles(docs.sparkSession)
     found = materialize(find_hits(docs, terms, id_col, text_col), "hits")
     known = found.select(F.col(id_col).alias("id"), "features").join(train, "id")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("features", "toxic").toPandas()
