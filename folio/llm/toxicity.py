@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,11 @@ CONTEXT = 5
 #: Labelled rows of each class that terms are learned from, and labelled rows that the classifier is fitted on.
 LEXICON_ROWS, FIT_ROWS = 5_000, 60_000
 #: A learned term or stem stands in so great a share of the toxic rows (and so many rows), its odds are so many times those
-#: in other rows; a stem has so many letters and so many different words; so many are learned at most.
-LEXICON_SHARE, LEXICON_LEAST, LEXICON_ODDS, STEM_LETTERS, STEM_WORDS, LEXICON_TERMS = 0.015, 4, 30.0, (3, 8), 4, 400
+#: in other rows and it stands in at most so great a share of those; a stem has so many letters and so many different words;
+#: so many are learned at most.
+LEXICON_SHARE, LEXICON_LEAST, LEXICON_ODDS, LEXICON_OTHER, STEM_LETTERS, STEM_WORDS, LEXICON_TERMS = 0.015, 4, 30.0, 0.0006, (3, 8), 4, 400
+#: A word in so great a share of the other rows is no misspelling.
+OWN_WORD_SHARE = 0.0004
 FEATURES = ("any", "plain", "quoted", "fuzzy_plain", "fuzzy_quoted", "addressed", "negated", "density")
 #: Used where labels are too few to fit: intercept, then one weight for each feature.
 DEFAULT_WEIGHTS = (-3.5, 2.0, 3.0, -1.0, 0.8, -0.8, 1.0, -0.5, 0.5)
@@ -49,12 +53,16 @@ def edits_allowed(term: str) -> int:
 
 
 class LexiconAutomaton:
-    """match(token) -> (term, edits) of the closest term within its edits_allowed(), or None; ties go to the first term."""
+    """match(token) -> (term, edits) of the closest term within its edits_allowed(), or None; ties go to the first term.
+
+    own_words are tokens that only look like misspellings: they match nothing but a term that they are.
+    """
 
     _DEAD: frozenset = frozenset()
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], own_words: list[str] = ()):
         self.terms = sorted(set(terms))
+        self.own_words = frozenset(own_words)
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         self.budget: list[int] = [0]
@@ -114,6 +122,8 @@ class LexiconAutomaton:
         found = stems + [(e, self.ends[n]) for n, e in state if self.ends[n] >= 0 and e <= edits_allowed(self.terms[self.ends[n]])]
         if len(self.memo) >= MEMO_ENTRIES:
             self.memo.clear()
+        if token in self.own_words:
+            found = [f for f in found if not f[0]]
         self.memo[token] = (self.terms[min(found)[1]], min(found)[0]) if found else None
         return self.memo[token]
 
@@ -153,10 +163,10 @@ def hits_of(text: str, automaton: LexiconAutomaton) -> tuple[list[dict], int]:
 
 def features_of(hits: list[dict], n_tokens: int) -> list[float]:
     """The FEATURES of a text."""
-    count = lambda fuzzy, quoted: math.log1p(sum(bool(h["edits"]) == fuzzy and h["quoted"] == quoted for h in hits))
+    count = lambda quoted, edited: math.log1p(sum(h["quoted"] == quoted and (not edited or h["edits"] > 0) for h in hits))
     return [
-        float(any(not h["edits"] for h in hits)), count(False, False), count(False, True), count(True, False), count(True, True),
-        math.log1p(sum(h["addressed"] for h in hits)), math.log1p(sum(h["negated"] for h in hits)), math.log1p(100.0 * sum(not h["edits"] for h in hits) / max(1, n_tokens)),
+        float(bool(hits)), count(False, False), count(True, False), count(False, True), count(True, True), math.log1p(sum(h["addressed"] for h in hits)),
+        math.log1p(sum(h["negated"] for h in hits)), math.log1p(100.0 * len(hits) / max(1, n_tokens)),
     ]
 
 
@@ -164,14 +174,14 @@ _HIT = "struct<start: int, end: int, term: string, edits: int, quoted: boolean,
 _HIT_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("addressed", pa.bool_()), ("negated", pa.bool_())]))
 
 
-def find_hits(df: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
+def find_hits(df: DataFrame, terms: list[str], own_words: list[str], id_col: str, text_col: str) -> DataFrame:
     """id_col, hits, n_tokens, features of every whole text; no shuffle. Offsets are in code points of the lower-case text."""
     small_batches(df.sparkSession)
     lexicon = sorted(set(terms))
     made: dict[str, LexiconAutomaton] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = made.setdefault("own", LexiconAutomaton(lexicon))
+        automaton = made.setdefault("own", LexiconAutomaton(lexicon, own_words))
         for batch in batches:
             columns: list[list] = [[], [], []]
             for text in batch.column(1).to_pylist():
@@ -195,20 +205,23 @@ def training_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame
     return usable.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
 
 
-def learn_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> list[str]:
-    """Terms that stand in many toxic and few other rows, from LEXICON_ROWS rows of each class (the least by hash of the id)."""
+def learn_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[str]]:
+    """(terms, own words) from LEXICON_ROWS rows of each class (the least by hash of the id).
+
+    Terms stand in many toxic and few other rows. Own words look like misspelled terms but stand in several other rows.
+    """
     rows = lambda which: train.where(F.col("toxic") == which).orderBy(F.xxhash64("id"), "id").limit(LEXICON_ROWS)
     sample = rows(1.0).unionByName(rows(0.0))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text")).join(F.broadcast(sample), "id")
-    words = texts.select("toxic", F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0).alias("words"))
+    words = texts.select("id", "toxic", F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0).alias("words"))
     # Copies of one text would teach all its words: of texts with the same least hash of three words one is kept.
     triples = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
-    own = words.groupBy("toxic", F.array_min(triples).alias("sketch")).agg(F.first("words").alias("words"))
+    own = words.groupBy("toxic", F.array_min(triples).alias("sketch")).agg(F.min_by("words", "id").alias("words"))
     own = materialize(own.select("toxic", F.filter(F.array_distinct("words"), lambda w: F.char_length(w) > STEM_LETTERS[0]).alias("words")), "terms")
     sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = sizes.get(1.0, 0), sizes.get(0.0, 0)
     if n_toxic < 20 or n_other < 20:
-        return []
+        return [], []
     stems = lambda w: F.transform(F.sequence(F.lit(STEM_LETTERS[0]), F.least(F.char_length(w), F.lit(STEM_LETTERS[1]))), lambda n: F.struct(F.concat(F.substring(w, F.lit(1), n), F.lit("*")).alias("term"), w.alias("word")))
     both = F.transform("words", lambda w: F.concat(F.array(F.struct(w.alias("term"), w.alias("word"))), stems(w)))
     found = own.select("toxic", F.monotonically_increasing_id().alias("row"), F.explode(F.flatten(both)).alias("t"))
@@ -221,12 +234,22 @@ def learn_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -
     other = per_row.where("toxic = 0").groupBy("term").agg(F.count("*").alias("other"))
     counts = candidates.join(other, "term", "left").fillna(0, ["other"])
     odds = ((F.col("toxic") + 0.5) / (n_toxic - F.col("toxic") + 0.5)) / ((F.col("other") + 0.5) / (n_other - F.col("other") + 0.5))
-    best = counts.where(odds >= LEXICON_ODDS).orderBy(F.col("toxic").desc(), "term").limit(LEXICON_TERMS)
+    best = counts.where((odds >= LEXICON_ODDS) & (F.col("other") <= LEXICON_OTHER * n_other)).orderBy(F.col("toxic").desc(), "term").limit(LEXICON_TERMS)
     rows_of = {r["term"]: r["toxic"] for r in best.collect()}
     # Where a longer stem or one word accounts for nearly all of a stem's rows, it is the better term.
     terms = [t for t, n in rows_of.items() if not (t.endswith("*") and any(s not in (t, t[:-1]) and s.startswith(t[:-1]) and m >= 0.9 * n for s, m in rows_of.items()))]
     # A stem takes in its longer stems and its words.
-    return [t for t in terms if not any(t != s and s.endswith("*") and t.startswith(s[:-1]) for s in terms)]
+    terms = [t for t in terms if not any(t != s and s.endswith("*") and t.startswith(s[:-1]) for s in terms)]
+    lexicon = [*SEED_TERMS, *terms]
+
+    @F.pandas_udf("boolean")
+    def resembles(words: pd.Series) -> pd.Series:
+        automaton = LexiconAutomaton(lexicon)
+        return words.map(lambda w: (automaton.match(w) or ("", 0))[1] > 0)
+
+    common = other.where(~F.col("term").endswith("*") & (F.col("other") >= max(1.0, OWN_WORD_SHARE * n_other)))
+    own_words = common.where(resembles("term")).orderBy(F.col("other").desc(), "term").limit(LEXICON_TERMS).collect()
+    return terms, [r["term"] for r in own_words]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -252,9 +275,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Empty labels, or fewer than 20 of a class, leave the seed terms and DEFAULT_WEIGHTS. Columns not named are not read.
     """
     train = training_labels(labels, id_col, label_col)
-    terms = [*SEED_TERMS, *learn_terms(docs, train, id_col, text_col)]
+    learned, own_words = learn_terms(docs, train, id_col, text_col)
     free_shuffles(docs.sparkSession)
-    found = materialize(find_hits(docs, terms, id_col, text_col), "hits")
+    found = materialize(find_hits(docs, [*SEED_TERMS, *learned], own_words, id_col, text_col), "hits")
     known = found.select(F.col(id_col).alias("id"), "features").join(train, "id")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("features", "toxic").toPandas()
     y = sample["toxic"].to_numpy(float)

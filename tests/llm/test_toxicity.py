@@ -56,6 +56,25 @@ def test_held_out_accuracy(spark):
     assert hit > 0.97 and auc > 0.9
 
 
+def test_misspellings_and_own_words(spark):
+    rng, rows, labels = random.Random(8), [], []
+    words = ["river", "stone", "cloud", "verein", "walks", "under", "light", "green"]
+    for i in range(400):
+        toxic = i % 4 == 0
+        text = [rng.choice(words) for _ in range(30)] + [f"w{i}"]
+        if toxic:
+            text.insert(rng.randrange(30), rng.choice(["idiot", "vermin", "frobbel"]))
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    rows += [(1000, "green light idoit walks"), (1001, "green verein walks"), (1002, "the frobbel again")]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    terms, own = toxicity.learn_terms(docs, toxicity.training_labels(known, "doc_id", "toxic"), "doc_id", "text")
+    assert "verein" in own and any("frobbel".startswith(t.rstrip("*")) for t in terms)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, known).collect()}
+    assert (got[1000], got[1001], got[1002]) == (1, 0, 1)
+    assert all(got[i] == y for i, y in labels)
+
+
 def test_small_tables(spark):
     docs = spark.createDataFrame([(1, "you idiot"), (2, None), (3, ""), (3, ""), (None, "fine words " * 50_000), (4, "a calm day")], "doc_id long, text string").withColumn("score", F.lit(9))
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
