@@ -66,7 +66,7 @@ def test_misspellings_and_own_words(spark):
             text.insert(rng.randrange(30), rng.choice(["idiot", "vermin", "frobbel"]))
         rows.append((i, " ".join(text)))
         labels.append((i, int(toxic)))
-    rows += [(1000, "green light idoit walks"), (1001, "green verein walks"), (1002, "the frobbel again")]
+    rows += [(1000, "green light idjot walks"), (1001, "green verein walks"), (1002, "the frobbel again")]
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     terms, own = toxicity.learn_terms(docs, toxicity.training_labels(known, "doc_id", "toxic"), "doc_id", "text")
     assert "verein" in own and any("frobbel".startswith(t.rstrip("*")) for t in terms)
