@@ -66,6 +66,13 @@ def dot(coefficients: Column, features: Sequence[Column], intercept: Column) ->
     return F.greatest(F.aggregate(F.zip_with(coefficients, values, lambda c, x: c * x), F.lit(0.0), lambda a, x: a + x) + intercept, F.lit(0.0))
 
 
+def token_costs(input_tokens: Column, output_tokens: Column, llm: Column, chars: Column, voice: Column) -> tuple[Column, Column]:
+    """(model cost, speech cost) in dollars; llm and voice are provider:model, and what has no price costs nothing."""
+    rate = lambda key, rows, i: F.coalesce(*[F.when(key == f"{r[0]}:{r[1]}", F.lit(r[i])) for r in rows], F.lit(0.0))
+    spoken = chars * rate(voice, TTS_PRICES, 2)
+    return (input_tokens * rate(llm, LLM_PRICES, 2) + output_tokens * rate(llm, LLM_PRICES, 3)) / 1000000, spoken / 1000000
+
+
 def passes_gate(n: Column, input_rmse: Column, output_rmse: Column, proxy_input: Column, proxy_output: Column) -> Column:
     """A model is used if it has rows enough and beats the rules of thumb in both errors."""
     return (n >= LEAST_ROWS) & (input_rmse < proxy_input) & (output_rmse < proxy_output)

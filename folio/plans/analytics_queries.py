@@ -322,13 +322,13 @@ def m19(t: Tables):
 
 @query(
     "M20_priority_rating",
-    """SELECT a.ask_id, coalesce(x.stars, y.stars) AS stars FROM (SELECT id AS ask_id, paper_id, visitor_token AS token, visitor_ip AS ip FROM page_visits WHERE id % 5 = 0) a
+    """SELECT a.ask_id, coalesce(x.stars, y.stars) AS stars FROM (SELECT id AS ask_id, paper_id, visitor_token AS token, visitor_ip AS ip FROM page_visits) a
        LEFT JOIN (SELECT paper_id, rater_token, max_by(stars, id) AS stars FROM ratings GROUP BY ALL) x ON x.paper_id = a.paper_id AND x.rater_token = a.token
        LEFT JOIN (SELECT paper_id, rater_ip, max_by(stars, id) AS stars FROM ratings GROUP BY ALL) y ON y.paper_id = a.paper_id AND y.rater_ip = a.ip""",
     "ratings", "page_visits",
 )
 def m20(t: Tables):
-    asks = t["page_visits"].where("id % 5 = 0").select(F.col("id").alias("ask_id"), "paper_id", F.col("visitor_token").alias("token"), F.col("visitor_ip").alias("ip"))
+    asks = t["page_visits"].select(F.col("id").alias("ask_id"), "paper_id", F.col("visitor_token").alias("token"), F.col("visitor_ip").alias("ip"))
     return S.priority_rating(t["ratings"], asks)
 
 
@@ -417,14 +417,14 @@ def x7(t: Tables):
 
 @query(
     "X36_chunks",
-    """WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents WHERE doc_id % 7 = 0),
+    """WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
        r(doc_id, i, chunk, held) AS (SELECT doc_id, 0, 0, 0 FROM p
          UNION ALL SELECT r.doc_id, i + 1, CASE WHEN i > 0 AND held + length(ps[i + 1]) > 400 THEN chunk + 1 ELSE chunk END,
            CASE WHEN i > 0 AND held + length(ps[i + 1]) > 400 THEN length(ps[i + 1]) ELSE held + length(ps[i + 1]) + 2 END FROM r JOIN p USING (doc_id) WHERE i < len(ps))
        SELECT doc_id, CAST(max(CASE WHEN i > 0 THEN chunk + 1 ELSE 0 END) AS INTEGER) AS n FROM r GROUP BY doc_id""",
 )
 def x36(t: Tables):
-    return t["documents"].where("doc_id % 7 = 0").select("doc_id", F.size(T.chunks(F.replace("text", F.lit(". "), F.lit(".\n\n")), 400)).alias("n"))
+    return t["documents"].select("doc_id", F.size(T.chunks(F.replace("text", F.lit(". "), F.lit(".\n\n")), 400)).alias("n"))
 
 
 @query("X39_max_tokens", "SELECT id, greatest(4096, least(CAST(floor(floor(script_char_count * 0.5) / 4) AS BIGINT), 16384)) AS n FROM papers", "papers")
@@ -461,11 +461,15 @@ def x29(t: Tables):
     return t["documents"].select("doc_id", F.char_length(pdf.head_before_references(marked)).cast("long").alias("n"))
 
 
-@query("X30_numeric_rows", "SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0 AND NOT regexp_matches(text, '(?m)^\\s*[0-9]') AND text NOT LIKE '%http%'")
+@query(
+    "X30_numeric_rows",
+    r"""WITH l AS (SELECT doc_id, list_transform(string_split('1.5 2.5 x 3%' || chr(10) || text || chr(10) || '12', chr(10)), lambda s: {'line': s, 'parts': list_filter(string_split_regex(trim(s, ' '), '[ \t\n\x0B\f\r]+'), lambda p: p <> '')}) AS lines FROM documents)
+       SELECT doc_id, array_to_string(list_transform(list_filter(lines, lambda x: NOT (regexp_matches(trim(x.line, ' '), '^(https?://[^ \t\n\x0B\f\r]+|[0-9]{1,2})$')
+         OR len(x.parts) >= 3 AND len(list_filter(x.parts, lambda p: regexp_matches(p, '^[0-9.,±]+%?$'))) > len(x.parts) * 0.5)), lambda x: x.line), chr(10)) AS text FROM l""",
+)
 def x30(t: Tables):
-    rows = t["documents"].where(r"doc_id % 10 = 0 and not (text rlike '(?m)^\\s*[0-9]') and not contains(text, 'http')")
     marked = F.concat(F.lit("1.5 2.5 x 3%\n"), "text", F.lit("\n12"))
-    return rows.select("doc_id", pdf.numeric_rows_dropped(marked).alias("text"))
+    return t["documents"].select("doc_id", pdf.numeric_rows_dropped(marked).alias("text"))
 
 
 @query("X35_model_artifacts", None)

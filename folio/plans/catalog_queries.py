@@ -384,9 +384,9 @@ def a17(t: Tables):
     return t["narration_versions"].where("audio_key is not null").groupBy("paper_id", "narration_tier").agg(F.max_by("id", F.struct("quality_rank", (-F.col("id")).alias("low"))).alias("id"))
 
 
-@query("O3_nulls_last", "SELECT p.id, r.a AS bayesian_avg FROM papers p LEFT JOIN (SELECT paper_id, (6.0 + sum(stars)) / (2.0 + count(*)) AS a FROM ratings GROUP BY paper_id) r ON r.paper_id = p.id ORDER BY r.a ASC NULLS LAST, p.created_at DESC, p.id DESC LIMIT 100", "papers", "ratings")
+@query("O3_nulls_last", "SELECT p.id, r.a AS bayesian_avg FROM papers p LEFT JOIN (SELECT paper_id, (6.0 + sum(stars)) / (2.0 + count(*)) AS a FROM ratings GROUP BY paper_id) r ON r.paper_id = p.id ORDER BY r.a ASC NULLS LAST, p.created_at DESC, p.id DESC", "papers", "ratings")
 def o3(t: Tables):
-    return C.with_ratings(t["papers"], t["ratings"]).limit(100).select("id", "bayesian_avg")
+    return C.with_ratings(t["papers"], t["ratings"]).select("id", "bayesian_avg")
 
 
 @query("O5_worst_ratings", "SELECT id, stars FROM ratings WHERE paper_id = '5' ORDER BY stars, created_at DESC, id", "ratings")
@@ -408,9 +408,9 @@ def o10(t: Tables):
     return C.clamped_page(t["papers"], C.admin_order(t["papers"]), 2, 40).select("id", "status")
 
 
-@query("O12_shortest_first", "SELECT id, script_char_count FROM papers ORDER BY script_char_count, seq LIMIT 60", "papers")
+@query("O12_shortest_first", "SELECT id, script_char_count FROM papers ORDER BY script_char_count, seq", "papers")
 def o12(t: Tables):
-    return t["papers"].orderBy("script_char_count", "seq").limit(60).select("id", "script_char_count")
+    return t["papers"].orderBy("script_char_count", "seq").select("id", "script_char_count")
 
 
 @query("U2_ordered_distinct", "SELECT list_id, string_agg(paper_id, ',' ORDER BY p) AS papers FROM (SELECT list_id, paper_id, min(position) AS p FROM list_items GROUP BY list_id, paper_id) x GROUP BY list_id", "list_items")

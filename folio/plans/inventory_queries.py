@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.adapters import AS_OF
-from folio.functions import speech
+from folio.functions import latex, rules, speech
 from folio.functions import text as T
 from folio.operators import catalog as C
 from folio.operators import cost as K
@@ -20,9 +20,9 @@ from folio.sources import feeds
 _T = f"TIMESTAMP '{AS_OF}'"
 
 
-@query("S14_atom_feed", "SELECT id, concat('2401.', CAST(10000 + seq AS STRING)) AS paper, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, strftime(created_at, '%Y-%m-%d') AS published, 2 AS n_authors, CAST(1 AS BIGINT) AS total FROM papers WHERE title NOT LIKE '%&%' AND title NOT LIKE '%<%'", "papers")
+@query("S14_atom_feed", "SELECT id, concat('2401.', CAST(10000 + seq AS STRING)) AS paper, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, strftime(created_at, '%Y-%m-%d') AS published, 2 AS n_authors, CAST(1 AS BIGINT) AS total FROM papers", "papers")
 def s14(t: Tables):
-    p = t["papers"].where("title not like '%&%' and title not like '%<%'")
+    p = t["papers"].withColumn("title", F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
     xml = F.concat(
         F.lit("<feed><opensearch:totalResults x='y'>1</opensearch:totalResults><entry><id>http://arxiv.org/abs/2401."), (F.col("seq") + 10000).cast("string"), F.lit("v1</id><title>"), "title",
         F.lit("</title><published>"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</published><author><name>A</name></author><author><name>B &amp; C</name></author><summary>s</summary></entry></feed>"),
@@ -91,11 +91,11 @@ def j21(t: Tables):
     return found.withColumn("rn", F.row_number().over(W.partitionBy("list_id").orderBy("position", "paper_id"))).where("rn <= 5").select("list_id", "paper_id", "position")
 
 
-@query("J22_reinsert", "SELECT id, replace(concat('a ', title, ' b ', ''), '  ', ' ') AS text FROM papers WHERE title NOT LIKE '%  %'", "papers")
+@query("J22_reinsert", "SELECT id, replace('a ' || title || ' b ', '  ', ' ') AS text FROM papers", "papers")
 def j22(t: Tables):
     told = F.array(F.struct(F.lit("[1]").alias("mark"), F.col("title").alias("text")), F.struct(F.lit("[2]").alias("mark"), F.lit("").alias("text")))
     body = F.aggregate(told, F.lit("a [1] b [2]"), lambda acc, d: F.replace(acc, d["mark"], d["text"]))
-    return t["papers"].where("title not like '%  %'").select("id", F.replace(body, F.lit("  "), F.lit(" ")).alias("text"))
+    return t["papers"].select("id", F.replace(body, F.lit("  "), F.lit(" ")).alias("text"))
 
 
 @query("A2_visits_per_paper", f"SELECT paper_id, count(*) AS n FROM page_visits WHERE visited_at > {_T} - INTERVAL '7' DAY GROUP BY paper_id", "page_visits")
@@ -162,20 +162,20 @@ def o2(t: Tables):
     return C.popular(t["papers"], t["page_visits"], AS_OF, 4000, 30).select("id", F.col("visit_count").alias("n"))
 
 
-@query("O4_name_without_case", "SELECT id, name FROM lists ORDER BY lower(name), id LIMIT 50", "lists")
+@query("O4_name_without_case", "SELECT id, name FROM lists ORDER BY lower(name), id", "lists")
 def o4(t: Tables):
-    return t["lists"].orderBy(F.lower("name"), "id").limit(50).select("id", "name")
+    return t["lists"].orderBy(F.lower("name"), "id").select("id", "name")
 
 
 @query("O8_options_by_rank", None)
 def o8(t: Tables):
-    return K.option_matrix(t["papers"].where("seq < 20")).orderBy(F.col("quality_rank").desc(), "total_cost", "id", "llm_model").select("id", "llm_model", "tts_model", "quality_rank", "total_cost")
+    return K.option_matrix(t["papers"]).orderBy(F.col("quality_rank").desc(), "total_cost", "id", "llm_model").select("id", "llm_model", "tts_model", "quality_rank", "total_cost")
 
 
-@query("O9_tier_order", "SELECT id, CASE narration_tier WHEN 'plus3' THEN 3 WHEN 'plus2' THEN 2 WHEN 'plus1' THEN 1 ELSE 0 END AS tier_rank FROM narration_versions ORDER BY 2 DESC, id LIMIT 100", "narration_versions")
+@query("O9_tier_order", "SELECT id, CASE narration_tier WHEN 'plus3' THEN 3 WHEN 'plus2' THEN 2 WHEN 'plus1' THEN 1 ELSE 0 END AS tier_rank FROM narration_versions ORDER BY 2 DESC, id", "narration_versions")
 def o9(t: Tables):
     rank = T.by_rank(F.col("narration_tier"), [(n, r) for n, _, r, _ in K.VOICE_TIERS])
-    return t["narration_versions"].select("id", rank.alias("tier_rank")).orderBy(F.col("tier_rank").desc(), "id").limit(100)
+    return t["narration_versions"].select("id", rank.alias("tier_rank")).orderBy(F.col("tier_rank").desc(), "id")
 
 
 @query("O13_top_ten", "SELECT paper_id, count(*) AS n FROM page_visits GROUP BY paper_id ORDER BY n DESC, paper_id LIMIT 10", "page_visits")
@@ -337,3 +337,28 @@ def e3(t: Tables):
 def e6(t: Tables):
     as_map = t["listens"].groupBy("user_token").agg(F.map_from_entries(F.collect_list(F.struct("paper_id", F.lit(True)))).alias("m"))
     return as_map.select("user_token", F.size("m").cast("long").alias("n"))
+
+
+@query("N2_token_costs", """SELECT id, (latex_char_count * CASE seq % 3 WHEN 0 THEN 2.5e0 WHEN 1 THEN 0.15e0 ELSE 0e0 END + figure_count * CASE seq % 3 WHEN 0 THEN 10e0 WHEN 1 THEN 0.6e0 ELSE 0e0 END) / 1000000 AS llm_cost,
+    script_char_count * CASE WHEN seq % 2 = 0 THEN 30e0 ELSE 0e0 END / 1000000 AS tts_cost FROM papers""", "papers")
+def n2(t: Tables):
+    k = F.col("seq") % 3
+    llm = F.when(k == 0, "openai:gpt-4o").when(k == 1, "openai:gpt-4o-mini").otherwise("openai:unknown")
+    model, speech_cost = K.token_costs(F.col("latex_char_count"), F.col("figure_count"), llm, F.col("script_char_count"), F.when(F.col("seq") % 2 == 0, "openai:tts-1-hd"))
+    return t["papers"].select("id", model.alias("llm_cost"), speech_cost.alias("tts_cost"))
+
+
+@query("O11_clamped_page", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS place, count(*) OVER () AS n FROM papers) x WHERE place // 30 = least(100000, (n - 1) // 30)", "papers")
+def o11(t: Tables):
+    return C.clamped_page(t["papers"], [F.col("created_at").desc(), F.col("id").desc()], 100000, 30).select("id")
+
+
+@query("X3_from_abstract", r"SELECT doc_id, CASE WHEN doc_id % 100 > 50 THEN '\begin{abstract}' || text ELSE repeat('x', CAST(doc_id % 100 AS INTEGER)) || '\begin{abstract}' || text END AS text FROM documents")
+def x3(t: Tables):
+    source = F.concat(F.repeat(F.lit("x"), (F.col("doc_id") % 100).cast("int")), F.lit("\\begin{abstract}"), "text")
+    return t["documents"].select("doc_id", latex.from_abstract_column(source).alias("text"))
+
+
+@query("X51_bracket_specs", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('[ht] ' || text || ' [1, 2; 3] [lc|r] [see note]', '\[[htbpH!]+\]', '', 'g'), '\[\d+([,; \t\n\x0B\f\r]*\d+)*\]', '', 'g'), '\[[lcr|p]+\]', '', 'g') AS text FROM documents")
+def x51(t: Tables):
+    return t["documents"].select("doc_id", rules.column(F.concat(F.lit("[ht] "), "text", F.lit(" [1, 2; 3] [lc|r] [see note]")), latex.BRACKETS).alias("text"))
