@@ -132,6 +132,12 @@ def a21(t: Tables):
     return agg.where("n = 1").drop("n")
 
 
+# A21_cost_accumulator is held to papers of one version by its SQL; this is the accumulator over all of them.
+@query("A21_cost_totals", "SELECT paper_id, CAST(sum(CAST(llm_cost AS DECIMAL(28, 12))) AS DOUBLE) AS cost, CAST(sum(script_latency_ms) AS BIGINT) AS tokens, last(scripter_mode ORDER BY id) FILTER (scripter_mode IS NOT NULL) AS model FROM narration_versions GROUP BY paper_id", "narration_versions")
+def a21_totals(t: Tables):
+    return K.accumulated(t["narration_versions"])
+
+
 @query("A22_numeric_share", "SELECT doc_id, CAST(len(list_filter(w, lambda t: regexp_matches(t, '^[0-9.,±]+%?$'))) AS INTEGER) AS numbers FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) x")
 def a22(t: Tables):
     return t["documents"].select("doc_id", F.size(F.filter(F.split("text", " "), lambda w: w.rlike("^[0-9.,±]+%?$"))).alias("numbers"))
