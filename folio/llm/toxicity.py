@@ -1,7 +1,7 @@
 """Toxicity scores from misspelling-tolerant lexicon hits in context (operator 5).
 
 The lexicon (seed terms, and terms and stems learned from labelled rows) is a trie; a stem, written `stem*`, stands for all
-words that begin with it. The Levenshtein automata of all its terms are run
+words that begin with it, and the words it was learned from stand beside it, so that their misspellings count too. The Levenshtein automata of all its terms are run
 at once over the trie: a state is the set of (trie node, edits so far) that a token's letters can have reached, and the
 deterministic transitions between states are built when first needed and kept, so a token costs a few look-ups and most die
 after three letters. A hit is scored in its window of tokens: quotation marks around it or a reporting word before it speak
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -238,8 +239,12 @@ def learn_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -
     rows_of = {r["term"]: r["toxic"] for r in best.collect()}
     # Where a longer stem or one word accounts for nearly all of a stem's rows, it is the better term.
     terms = [t for t, n in rows_of.items() if not (t.endswith("*") and any(s not in (t, t[:-1]) and s.startswith(t[:-1]) and m >= 0.9 * n for s, m in rows_of.items()))]
-    # A stem takes in its longer stems and its words.
-    terms = [t for t in terms if not any(t != s and s.endswith("*") and t.startswith(s[:-1]) for s in terms)]
+    # A stem takes in its longer stems. Its words, whichever toxic rows have them, stay terms, as a stem allows no edits.
+    kept = [s for s in terms if s.endswith("*")]
+    terms = [t for t in terms if not (t in kept and any(t != s and t.startswith(s[:-1]) for s in kept))]
+    begins = reduce(lambda a, b: a | b, [F.startswith("word", F.lit(s[:-1])) for s in kept], F.lit(False))
+    forms = own.where("toxic = 1").select(F.explode("words").alias("word")).where(begins).distinct().collect() if kept else []
+    terms = [*terms, *sorted({r["word"] for r in forms if edits_allowed(r["word"])} - set(terms))]
     lexicon = [*SEED_TERMS, *terms]
 
     @F.pandas_udf("boolean")

@@ -83,3 +83,21 @@ def test_small_tables(spark):
     by = {r["doc_id"]: r for r in out}
     assert by[1]["predicted"] == 1 and by[2]["score"] == by[3]["score"] == by[4]["score"] and by[4]["predicted"] == 0 and by[None]["held_out"]
     assert toxicity.score_documents(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_misspelling_of_a_learned_family(spark):
+    rng, rows, labels = random.Random(3), [], []
+    words = ["river", "stone", "cloud", "walks", "under", "light", "green"]
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(20)] + [f"w{i}"]
+        if i % 4 == 0:
+            text.insert(rng.randrange(20), "frobbel" + ["n", "st", "ung", "heit", "chen", "isch"][i // 4 % 6])
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    terms, own = toxicity.learn_terms(docs, toxicity.training_labels(known, "doc_id", "toxic"), "doc_id", "text")
+    assert any(t.endswith("*") and "frobbel".startswith(t[:-1]) for t in terms)
+    automaton = toxicity.LexiconAutomaton([*toxicity.SEED_TERMS, *terms], own)
+    assert automaton.match("frobbelnd")[1] == 0
+    assert automaton.match("fropbelung") == ("frobbelung", 1) and automaton.match("vrobbeln") == ("frobbeln", 1)
+    assert automaton.match("river") is None
