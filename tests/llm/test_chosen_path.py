@@ -69,6 +69,11 @@ def test_large_group_in_blocks(spark, monkeypatch):
     check(spark, near_copies(2, bases=3, each=40))
 
 
+def test_groups_split_by_shingles_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", 400)
+    check(spark, near_copies(6, bases=12, each=2, words=300) | {3000 + d: t for d, t in near_copies(7, bases=3, each=4, words=300).items()})
+
+
 def test_nulls_and_shared_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, "other text of five words"), (3, None)], "doc_id long, text string")
