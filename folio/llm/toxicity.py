@@ -29,7 +29,8 @@ SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pa
 ADDRESS = frozenset({"you", "your", "youre", "u", "ur", "yourself", "yall"})
 REPORTING = frozenset({"said", "says", "say", "called", "calls", "quote", "quoted", "quotes", "wrote", "writes", "word", "term", "reported", "reads", "titled"})
 NEGATION = frozenset({"not", "never", "no", "isnt", "arent", "wasnt", "nobody"})
-_OPENING, _CLOSING, _PLAIN = "«“„", "»”", '"'
+_CLOSING, _PLAIN = "»”", '"'
+_MARK = re.compile('[\n"«“„»”]')
 #: Tokens to each side of a hit that form its context.
 CONTEXT = 5
 #: Labelled rows of each class that terms are learned from, and labelled rows that the classifier is fitted on.
@@ -129,14 +130,36 @@ class LexiconAutomaton:
         return self.memo[token]
 
 
-def _quoted(text: str, begin: int, end: int) -> bool:
-    """Whether quotation marks are open at the place: counted from the start of its line, at most 400 characters back."""
-    line = max(text.rfind("\n", 0, begin) + 1, begin - 400)
-    before, after = text[line:begin], text[end : end + 400].split("\n", 1)[0]
-    if before.count(_PLAIN) % 2 and _PLAIN in after:
-        return True
-    opened = sum(before.count(c) for c in _OPENING) - sum(before.count(c) for c in _CLOSING)
-    return opened > 0 and any(c in after for c in _CLOSING)
+def quoted_at(text: str, places: list[int]) -> list[bool]:
+    """Whether each of the ascending places stands in quotation marks that close on its line, in one pass over the text."""
+    quoted, at = [False] * len(places), 0
+    plain, opened, plain_waits, opened_waits = False, [], [], []
+    for m in _MARK.finditer(text):
+        while at < len(places) and places[at] < m.start():
+            if plain:
+                plain_waits.append(at)
+            if opened:
+                opened_waits.append(at)
+            at += 1
+        mark = m.group()
+        if mark == "\n":
+            if at == len(places):
+                break
+            plain, opened, plain_waits, opened_waits = False, [], [], []
+        elif mark == _PLAIN:
+            plain = not plain
+            for i in plain_waits:
+                quoted[i] = True
+            plain_waits = []
+        # The upper mark opens a quotation in English and closes a German one.
+        elif mark in _CLOSING or mark == "“" and opened and opened[-1] == "„":
+            del opened[-1:]
+            for i in opened_waits:
+                quoted[i] = True
+            opened_waits = []
+        else:
+            opened.append(mark)
+    return quoted
 
 
 def hits_of(text: str, automaton: LexiconAutomaton) -> tuple[list[dict], int]:
@@ -147,15 +170,15 @@ def hits_of(text: str, automaton: LexiconAutomaton) -> tuple[list[dict], int]:
         return [], len(tokens)
     hits = []
     places = [m.span() for m in _TOKEN.finditer(text)]
-    for i, token in enumerate(tokens):
-        if token not in found:
-            continue
+    at = [i for i, token in enumerate(tokens) if token in found]
+    for i, quoted in zip(at, quoted_at(text, [places[i][0] for i in at]), strict=True):
+        token = tokens[i]
         before, after = tokens[max(0, i - CONTEXT) : i], tokens[i + 1 : i + 1 + CONTEXT]
         begin, end = places[i]
         term, edits = automaton.match(token)
         hits.append({
             "start": begin, "end": end, "term": term, "edits": edits,
-            "quoted": _quoted(text, begin, end) or not REPORTING.isdisjoint(before),
+            "quoted": quoted or not REPORTING.isdisjoint(before),
             "addressed": not (ADDRESS.isdisjoint(before) and ADDRESS.isdisjoint(after)),
             "negated": not NEGATION.isdisjoint(before[-2:]),
         })

@@ -44,6 +44,15 @@ def test_context():
     assert toxicity.hits_of("", automaton) == ([], 0)
 
 
+def test_quotation_marks_of_long_lines():
+    automaton, filler = toxicity.LexiconAutomaton(list(toxicity.SEED_TERMS)), "calm words go on " * 40
+    quoted = lambda text: [h["quoted"] for h in toxicity.hits_of(text, automaton)[0]]
+    for a, b in ('""', "“”", "«»", "„“"):
+        assert quoted(f"{a}{filler} idiot {filler}{b} {filler} moron {filler} {a}fine{b}") == [True, False]
+        assert quoted(f"{a}{filler}{b} loser {a}scum{b}\n{a} clown\n{b}") == [False, True, False]
+    assert quoted(f"{filler}\" idiot {filler}") == [False]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score_documents(docs, labels).join(labels, "doc_id").where("held_out").select("doc_id", "score", "predicted", "toxic").collect()
