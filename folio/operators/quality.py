@@ -47,13 +47,19 @@ def _means() -> list[Column]:
     return [F.avg(f"score_{c}").alias(f"avg_{c}") for c in _SCORES]
 
 
+def unscored(base: DataFrame, parsers: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+    """Parsers registered in the last days, with their mode, that have no score of these days in their period and mode."""
+    scored = base.where(since_midnight(F.col("scored_at"), as_of, days)).select(F.col("period").alias("commit_hash"), "mode").distinct()
+    registered = parsers.where(since_midnight(F.col("registered_at"), as_of, days)).withColumn("mode", F.when(F.col("tier") == "base", "regex").otherwise("llm"))
+    return registered.join(scored, ["commit_hash", "mode"], "left_anti")
+
+
 def daily(base: DataFrame, parsers: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """Means per period and mode, and registered parsers that have no score yet, in order of their start."""
     recent = base.where(since_midnight(F.col("scored_at"), as_of, days))
     scored = recent.groupBy("period", "mode").agg(F.min("scored_at").alias("period_start"), *_means(), F.count("*").alias("n"))
-    registered = parsers.where(since_midnight(F.col("registered_at"), as_of, days)).select(F.col("commit_hash").alias("period"), F.when(F.col("tier") == "base", "regex").otherwise("llm").alias("mode"), F.col("registered_at").alias("period_start"))
-    missing = registered.join(recent.select("period", "mode").distinct(), ["period", "mode"], "left_anti")
-    empty = missing.select("period", "mode", "period_start", *[F.lit(None).cast("double").alias(f"avg_{c}") for c in _SCORES], F.lit(0).cast("long").alias("n"))
+    missing = unscored(base, parsers, as_of, days)
+    empty = missing.select(F.col("commit_hash").alias("period"), "mode", F.col("registered_at").alias("period_start"), *[F.lit(None).cast("double").alias(f"avg_{c}") for c in _SCORES], F.lit(0).cast("long").alias("n"))
     return scored.unionByName(empty).orderBy("period_start", "period", "mode")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.adapters import AS_OF
+from folio.adapters import AS_OF, SCORES_AS_OF
 from folio.functions import latex, rules, speech
 from folio.functions import text as T
 from folio.operators import catalog as C
@@ -73,7 +73,7 @@ def j7(t: Tables):
 
 @query("J8_unscored_parsers", f"SELECT commit_hash, tier FROM parser_versions p WHERE registered_at >= {_D} - INTERVAL '90' DAY AND NOT EXISTS (SELECT 1 FROM narration_scores s WHERE s.parser_commit = p.commit_hash)", "parser_versions", "narration_scores")
 def j8(t: Tables):
-    return t["parser_versions"].where(C.since_midnight(F.col("registered_at"), "2001-11-05 00:00:00", 90)).join(t["narration_scores"].select(F.col("parser_commit").alias("commit_hash")), "commit_hash", "left_anti").select("commit_hash", "tier")
+    return Q.unscored(base(t), t["parser_versions"], SCORES_AS_OF).select("commit_hash", "tier")
 
 
 @query("J10_positions_kept", "SELECT o.paper_id FROM (SELECT * FROM listens WHERE user_token = 'u1') o LEFT JOIN (SELECT * FROM listens WHERE user_token = 'u2') n ON n.paper_id = o.paper_id AND n.updated_at >= o.updated_at WHERE n.paper_id IS NULL", "listens")
