@@ -39,7 +39,7 @@ LEXICON_ROWS, FIT_ROWS = 5_000, 60_000
 #: in other rows and it stands in at most so great a share of those; a stem has so many letters and so many different words;
 #: so many are learned at most.
 LEXICON_SHARE, LEXICON_LEAST, LEXICON_ODDS, LEXICON_OTHER, STEM_LETTERS, STEM_WORDS, LEXICON_TERMS = 0.015, 4, 30.0, 0.0006, (3, 8), 4, 400
-#: A word in so great a share of the other rows is no misspelling.
+#: A word in so great a share of the other rows (of LEXICON_ROWS at most) is no misspelling.
 OWN_WORD_SHARE = 0.0004
 FEATURES = ("any", "plain", "quoted", "fuzzy_plain", "fuzzy_quoted", "addressed", "negated", "density")
 #: Used where labels are too few to fit: intercept, then one weight for each feature.
@@ -276,7 +276,7 @@ def learn_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -
         return words.map(lambda w: (automaton.match(w) or ("", 0))[1] > 0)
 
     common = other.where(~F.col("term").endswith("*") & (F.col("other") >= max(1.0, OWN_WORD_SHARE * n_other)))
-    own_words = common.where(resembles("term")).orderBy(F.col("other").desc(), "term").limit(LEXICON_TERMS).collect()
+    own_words = common.where(resembles("term")).orderBy(F.col("other").desc(), "term").collect()
     return terms, [r["term"] for r in own_words]
 
 

@@ -110,3 +110,15 @@ def test_misspelling_of_a_learned_family(spark):
     assert automaton.match("frobbelnd")[1] == 0
     assert automaton.match("fropbelung") == ("frobbelung", 1) and automaton.match("vrobbeln") == ("frobbeln", 1)
     assert automaton.match("river") is None
+
+
+def test_every_common_look_alike_is_kept(spark):
+    rng, rows = random.Random(12), []
+    alike = [f"{a}{b}orthless" for a in "abcdefghij" for b in "aeioubcdfghklmnpqrstvxyz"] + [f"worthles{a}{b}" for a in "abcdefghij" for b in "aeioubcdfghklmnpqrtvxyz"]
+    for i in range(120):
+        rows.append((i, "worthless " + " ".join("".join(rng.sample("abcdefghijklmnop", 5)) for _ in range(9)), 1))
+    for i in range(240):
+        rows.append((1000 + i, " ".join(rng.sample(alike, 120)), 0))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    _, own = toxicity.learn_terms(data, toxicity.training_labels(data, "doc_id", "toxic"), "doc_id", "text")
+    assert len(alike) > 400 and set(alike) <= set(own)
