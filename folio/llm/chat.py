@@ -93,12 +93,12 @@ def _walk(turns: Column, template: ChatTemplate) -> Column:
 
 
 def format_conversations(df: DataFrame, template: ChatTemplate | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: conv_col, formatted string, segments array<struct<text, loss>>, valid boolean, error_at int.
+    """One row per conversation: conv_col, formatted string, segments array<struct<text, loss>>, valid boolean, error_at int, state string.
 
     Turns are ordered by (turn, role, text), nulls first, so ties and repeated rows have one order and all are kept. Null
     text is empty, null role is the empty role; both are legal output though the machine rejects the role. A conversation
     whose roles the machine rejects is formatted all the same and has valid = false and error_at = the first offending
-    turn (or the number of turns, if it only ends too early). Rows with a null conv_col form one conversation. The segments'
+    turn (or the number of turns, if it only ends too early); state is the machine's last state, `broken` after an offence. Rows with a null conv_col form one conversation. The segments'
     texts, concatenated, are `formatted`; loss is true for the escaped texts of the template's loss roles and for nothing
     else. Only the four named columns are read; an empty table gives an empty result. One shuffle, by conversation.
     """
@@ -120,6 +120,7 @@ def format_conversations(df: DataFrame, template: ChatTemplate | None = None, co
         "segments",
         (F.col("end.error_at").isNull() & ended).alias("valid"),
         F.when(F.col("end.error_at").isNull() & ~ended, F.col("n")).otherwise(F.col("end.error_at")).alias("error_at"),
+        F.col("end.state").alias("state"),
     )
 
 
@@ -156,12 +157,12 @@ def digest_turns(turns: Column) -> Column:
 
 
 def summarize(formatted: DataFrame, conv_col: str = "conv_id", template: ChatTemplate | None = None) -> DataFrame:
-    """What can be read back from the output of format_conversations()."""
+    """What can be read back from the output of format_conversations(), with what its state machine found."""
     # The turns and the loss text are each computed once per row.
     turns = parse_formatted(F.col("formatted"), template)
     facts = let(turns, lambda t: F.struct(F.size(t).cast("long").alias("n"), digest_turns(t).alias("sha")))
     loss = let(loss_text(F.col("segments"), template), lambda t: F.struct(F.char_length(t).cast("long").alias("n"), F.sha2(t, 256).alias("sha")))
-    out = formatted.select(conv_col, facts.alias("facts"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"), "valid", "error_at")
+    out = formatted.select(conv_col, facts.alias("facts"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"), "valid", "error_at", "state")
     return out.select(
         conv_col,
         F.col("facts.n").alias("n_turns"),
@@ -169,4 +170,7 @@ def summarize(formatted: DataFrame, conv_col: str = "conv_id", template: ChatTem
         F.col("loss.n").alias("loss_chars"),
         F.col("loss.sha").alias("loss_sha256"),
         "formatted_chars",
+        "valid",
+        "error_at",
+        "state",
     )

@@ -74,7 +74,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
@@ -82,13 +82,26 @@ WITH t AS (
   SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' ELSE 'Assistant' END AS label,
          replace(replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c') AS escaped
   FROM t
+), d AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+         sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+         CAST(sum(length('### ' || label || ': ' || escaped || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+  FROM e GROUP BY conv_id
+), o AS (
+  SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS n FROM t
+), m(state, role, target) AS (
+  VALUES ('start', 'system', 'primed'), ('start', 'user', 'asked'), ('primed', 'user', 'asked'), ('asked', 'assistant', 'answered'), ('answered', 'user', 'asked')
+), w(conv_id, n, state, error_at) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 'start', CAST(NULL AS BIGINT) FROM t
+  UNION ALL
+  SELECT w.conv_id, w.n + 1, coalesce(m.target, 'broken'), CASE WHEN w.error_at IS NULL AND m.target IS NULL THEN w.n ELSE w.error_at END
+  FROM w JOIN o ON o.conv_id = w.conv_id AND o.n = w.n LEFT JOIN m ON m.state = w.state AND m.role = o.role
 )
-SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-       CAST(sum(length('### ' || label || ': ' || escaped || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+SELECT d.*, w.error_at IS NULL AND w.state = 'answered' AS valid,
+       CAST(CASE WHEN w.error_at IS NULL AND w.state <> 'answered' THEN n_turns ELSE w.error_at END AS INTEGER) AS error_at, w.state
+FROM d JOIN w ON w.conv_id = d.conv_id AND w.n = d.n_turns
 """
 
 

@@ -25,6 +25,7 @@ def test_round_trip_and_machine(spark):
     digests = {r["conv_id"]: r for r in chat.summarize(chat.format_conversations(df)).collect()}
     assert digests[3]["loss_chars"] == 6 and digests[3]["loss_sha256"] == hashlib.sha256(b" x  x ").hexdigest()
     assert digests[None]["loss_chars"] == 2
+    assert [(digests[c]["valid"], digests[c]["error_at"], digests[c]["state"]) for c in (1, 2, 3, 5)] == [(True, None, "answered"), (False, 0, "broken"), (False, 2, "broken"), (False, 1, "asked")]
     assert digests[5]["turns_sha256"] == hashlib.sha256(b"user\nonly\n").hexdigest()
 
 
@@ -37,3 +38,17 @@ def test_other_template(spark):
 
 def test_empty(spark):
     assert chat.summarize(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_the_query_runs_the_machine(spark):
+    from folio.llm import queries
+
+    plan = queries.op6_chat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "primed" in plan and "broken" in plan
+
+
+def test_very_long_texts(spark):
+    text = "### User: </turn>\n\\" * 60_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat.summarize(chat.format_conversations(df)).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
