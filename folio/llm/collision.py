@@ -3,14 +3,15 @@
 Vectors are lifted by one component so that the largest inner product is the smallest distance. A hash function is a single
 random projection: the vectors of a block sorted by it. Around a query's own projection a window grows step by step
 (virtual rehashing: wider windows are unions of narrower ones, nothing is hashed anew), in all projections alike. A vector
-collides with the query in a projection if it lies in the window; once it has collided in enough of them, its inner product
-is computed exactly. A query is done when a vector at the distance of its k-th best would have been found with probability
-FOUND: no cap on candidates or partners.
+collides with the query in a projection if it lies in the window, which in a sorted array is an interval of places; once it
+has collided in enough of them, its inner product is computed exactly. A query is done when a vector at the distance of its
+k-th best would have been found with probability FOUND: no cap on candidates or partners.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Neighbours; projections; collisions that make a candidate; window growth of a step; chance of finding a k-th neighbour.
-NEIGHBOURS, PROJECTIONS, COLLISIONS, GROWTH, FOUND = 20, 32, 20, 1.15, 0.95
-#: Vectors of a block and queries of a task.
-BLOCK, QUERIES = 8192, 1024
+from folio.llm.common import shuffle_width
+
+#: Neighbours; projections; collisions that make a candidate; window growth while too few are found; chance of finding a k-th neighbour.
+NEIGHBOURS, PROJECTIONS, COLLISIONS, GROWTH, FOUND = 20, 96, 59, 1.5, 0.92
+#: Vectors of a block, on average; queries that a task looks up at once.
+BLOCK, QUERIES = 4096, 1024
 
 
 def _reach() -> float:
@@ -38,104 +41,137 @@ def _reach() -> float:
     return high
 
 
+def _plain_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last, so that equal vectors score alike wherever they stand."""
+    out = np.zeros(len(vectors))
+    for j, value in enumerate(query.tolist()):
+        out += vectors[:, j] * value
+    return out
+
+
 class CollisionIndex:
     """Sorted projections of a block of vectors (rows of `vectors`, of norm at most `bound`)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, bound: float, seed: int = 7):
         self.ids, self.vectors, self.bound = ids, vectors, bound
-        lift = np.sqrt(np.maximum(bound * bound - np.einsum("ij,ij->i", vectors, vectors), 0))
+        self.square = np.einsum("ij,ij->i", vectors, vectors)
+        lift = np.sqrt(np.maximum(bound * bound - self.square, 0))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        shadow = vectors @ self.axes[:-1] + lift[:, None] * self.axes[-1]
-        self.order = np.argsort(shadow, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.sort(shadow, axis=0).T
+        shadow = (vectors @ self.axes[:-1] + lift[:, None] * self.axes[-1]).T
+        order = np.argsort(shadow, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(shadow, order, 1)
+        #: Place of each vector in each sorted projection.
+        self.place = np.empty(order.shape, np.uint16 if len(ids) < 1 << 15 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], 1)
+        self.verified = self.asked = 0
+
+    def _candidates(self, shadow: np.ndarray, half: float) -> np.ndarray:
+        """The vectors that lie within `half` of the query's projections in COLLISIONS of them."""
+        low = np.array([np.searchsorted(s, x - half, side="left") for s, x in zip(self.sorted, shadow, strict=True)], self.place.dtype)
+        high = np.array([np.searchsorted(s, x + half, side="right") for s, x in zip(self.sorted, shadow, strict=True)], self.place.dtype)
+        # Unsigned differences: places before `low` wrap round to large ones.
+        inside = (self.place - low[:, None]) < (high - low)[:, None]
+        return np.flatnonzero(inside.sum(axis=0, dtype=np.uint8 if PROJECTIONS < 256 else np.uint16) >= COLLISIONS)
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (ids of its nearest, their inner products), the query's own id left out."""
-        n, reach = len(self.ids), _reach()
-        shadow = queries @ self.axes[:-1]
-        norm = np.einsum("ij,ij->i", queries, queries)
-        counts = np.zeros((len(ids), n), np.uint8)
-        low = np.stack([np.searchsorted(self.sorted[j], shadow[:, j]) for j in range(PROJECTIONS)], axis=1)
-        high = low.copy()
-        best_ids = [np.zeros(0, np.int64) for _ in ids]
-        best = [np.zeros(0) for _ in ids]
-        # The first window would do for a distance that is small against those found at random.
-        sample = self.vectors[:: max(1, n // 256)]
-        typical = np.median(np.sqrt(np.maximum(norm[:, None] + self.bound**2 - 2 * queries @ sample.T, 0))) if n and len(ids) else 0.0
-        half, active = max(typical, 1e-9) * 0.5 * reach, np.arange(len(ids))
-        while len(active) and n:
-            new_low = np.stack([np.searchsorted(self.sorted[j], shadow[active, j] - half, side="left") for j in range(PROJECTIONS)], axis=1)
-            new_high = np.stack([np.searchsorted(self.sorted[j], shadow[active, j] + half, side="right") for j in range(PROJECTIONS)], axis=1)
-            on = []
-            for row, q in enumerate(active):
-                fresh = [self.order[j, a:b] for j, a, b in zip(range(PROJECTIONS), new_low[row].tolist(), low[q].tolist(), strict=True)]
-                fresh += [self.order[j, a:b] for j, a, b in zip(range(PROJECTIONS), high[q].tolist(), new_high[row].tolist(), strict=True)]
-                before = counts[q]
-                after = before + np.bincount(np.concatenate(fresh), minlength=n).astype(np.uint8)
-                reached = np.flatnonzero((after >= COLLISIONS) & (before < COLLISIONS))
-                counts[q] = after
-                reached = reached[self.ids[reached] != ids[q]]
-                if len(reached):
-                    all_ids = np.concatenate([best_ids[q], self.ids[reached]])
-                    score = np.concatenate([best[q], self.vectors[reached] @ queries[q]])
-                    keep = np.lexsort((all_ids, -score))[:k]
-                    best_ids[q], best[q] = all_ids[keep], score[keep]
-                wide = bool((new_low[row] == 0).all() and (new_high[row] == n).all())
-                distance = math.sqrt(max(norm[q] + self.bound**2 - 2 * best[q][-1], 0)) if len(best[q]) == k else math.inf
-                if not wide and half < reach * distance:
-                    on.append(q)
-            low[active], high[active] = new_low, new_high
-            active = np.array(on, np.int64)
-            half *= GROWTH
-        return list(zip(best_ids, best, strict=True))
-
-
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+        n, reach, out = len(self.ids), _reach(), []
+        shadows = queries @ self.axes[:-1]
+        norms = np.einsum("ij,ij->i", queries, queries)
+        # Among every k-th vector the nearest is about as far as the k-th of all: where the windows begin.
+        sample = self.vectors[:: max(1, k)]
+        for own, query, shadow, norm in zip(ids.tolist(), queries, shadows, norms.tolist(), strict=True):
+            apart = lambda score: math.sqrt(max(norm + self.bound**2 - 2 * score, 0.0))  # noqa: E731, B023
+            half = reach * max(apart(float((sample @ query).max())) if n else 0.0, 1e-9 * self.bound)
+            widest = float(max(np.abs(self.sorted[:, 0] - shadow).max(), np.abs(self.sorted[:, -1] - shadow).max())) if n else 0.0
+            known = np.zeros(0, np.int64)
+            while n:
+                reached = self._candidates(shadow, half)
+                reached = reached[self.ids[reached] != own]
+                score = self.vectors[reached] @ query
+                known, kth = reached, -math.inf
+                if len(reached) >= k:
+                    kth = float(np.partition(score, len(score) - k)[len(score) - k])
+                    # What rounding could put among the k best is scored in one fixed order below.
+                    known = reached[score >= kth - 1e-9 * (abs(kth) + self.bound * math.sqrt(norm))]
+                need = reach * apart(kth) if len(reached) >= k else math.inf
+                if half >= need or half >= widest:
+                    break
+                half = need if need < math.inf else half * GROWTH
+            self.verified, self.asked = self.verified + (len(reached) if n else 0), self.asked + n
+            exact = _plain_products(self.vectors[known], query)
+            best = np.lexsort((self.ids[known], -exact))[:k]
+            out.append((self.ids[known][best], exact[best]))
+        return out
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _lookup_task(width: int, bound: float, k: int):
+    """Rows (block, kind, id, v), sorted: a block's vectors (kind 0), then the queries (kind 1) -> the k best of each query in it."""
+
+    def results(index: CollisionIndex, ids: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(ids), QUERIES):
+            own = ids[i : i + QUERIES]
+            found = index.search(own, matrix[i : i + QUERIES], k)
+            query = np.repeat(own, [len(f[0]) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(np.concatenate([f[0] for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.float64())], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, index = None, [], None
+        for batch in batches:
+            numbers, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            change = np.flatnonzero(np.append(True, (numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])))
+            for a, b in zip(change.tolist(), [*change[1:].tolist(), batch.num_rows], strict=True):
+                if numbers[a] != block:
+                    block, parts, index = numbers[a], [], None
+                ids, matrix = np.asarray(batch.column(2).slice(a, b - a), np.int64), _matrix(batch.column(3).slice(a, b - a), width)
+                if kinds[a] == 0:
+                    parts.append((ids, matrix))
+                    continue
+                if index is None and parts:
+                    index, parts = CollisionIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), bound), []
+                if index is not None:
+                    yield from results(index, ids, matrix)
+
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k vectors of largest inner product found for each query row.
+    """query_id, rank (from 1), vec_id, score: the k vectors of largest inner product found for each query id.
 
-    vectors and queries: id_col, vector_col (array of numbers); a row is never its own neighbour. Ties go to the smaller id.
+    vectors and queries: id_col, vector_col (array of numbers); an id is never its own neighbour. Ties go to the smaller id.
     Null, empty or zero vectors and those with null or non-finite components, and null ids, take no part; all others must be
-    of one length (vectors of another length than the most common take no part either). Repeated rows count as they stand.
-    Empty tables give an empty result. Every row is indexed; blocks and queries are paired task by task, and only the k best
-    of each pair are shuffled on.
+    of one length (vectors of another length than the most common take no part either). Of rows that share an id the one
+    with the least vector (in the order of arrays) counts, on either side, so the neighbours of a query are different ids.
+    Empty tables give an empty result.
+
+    Every row is indexed, once: blocks of BLOCK vectors, dealt by id, each in one task, which builds its index and then reads
+    the queries as a stream. Queries are copied to every block; only the k best of a query and a block are shuffled on.
     """
     value = F.col("v")
 
     def usable(df: DataFrame) -> DataFrame:
         plain = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
         sound = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(value, lambda x: x != 0)
-        return plain.where(F.coalesce(sound, F.lit(False))).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+        return plain.where(F.coalesce(sound, F.lit(False)))
 
     base = usable(vectors)
-    shape = base.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max("norm").alias("bound")).orderBy(F.col("n").desc(), "width").first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    shape = base.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(norm).alias("bound")).orderBy(F.col("n").desc(), "width").first()
     if shape is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    width, bound, n = shape["width"], shape["bound"] * (1 + 1e-12), shape["n"]
-    base, asked = base.where(F.size("v") == width), usable(queries).where(F.size("v") == width)
-    n_blocks = max(1, -(-n // BLOCK))
-    n_parts = max(1, -(-asked.count() // QUERIES))
-    deal = lambda to, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(to)).cast("int")
-    every = lambda to: F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
-    left = base.select(deal(n_blocks, 1).alias("block"), every(n_parts).alias("part"), F.lit(0).alias("kind"), "id", "v")
-    right = asked.select(every(n_blocks).alias("block"), deal(n_parts, 2).alias("part"), F.lit(1).alias("kind"), "id", "v")
-
-    def task(rows: pa.Table) -> pa.Table:
-        kind, ids = np.asarray(rows.column("kind")), np.asarray(rows.column("id"), np.int64)
-        matrix = _matrix(rows.column("v"), width)
-        order = np.flatnonzero(kind == 0)
-        order = order[np.argsort(ids[order], kind="stable")]
-        index, own = CollisionIndex(ids[order], matrix[order], bound), np.flatnonzero(kind == 1)
-        found = index.search(ids[own], matrix[own], k)
-        query = np.repeat(ids[own], [len(f[0]) for f in found])
-        join = lambda i, t: np.concatenate([f[i] for f in found]) if found else np.zeros(0, t)
-        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(join(0, np.int64), pa.int64()), "score": pa.array(join(1, float), pa.float64())})
-
-    best = left.unionByName(right).groupBy("block", "part").applyInArrow(task, "query_id long, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, bound, n_blocks = shape["width"], shape["bound"] * (1 + 1e-12), max(1, -(-shape["n"] // BLOCK))
+    one_each = lambda df: df.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"))
+    left = one_each(base).select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
+    right = one_each(usable(queries)).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
+    tasks = max(n_blocks, shuffle_width(vectors.sparkSession))
+    dealt = left.unionByName(right).repartition(tasks, "block").sortWithinPartitions("block", "kind", "id")
+    best = dealt.mapInArrow(_lookup_task(width, bound, k), _FOUND)
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

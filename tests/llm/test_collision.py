@@ -46,3 +46,38 @@ def test_bad_vectors_ties_and_few_rows(spark):
     assert run(spark, df) == brute(good + bad)
     assert run(spark, df.limit(0)) == {}
     assert run(spark, df.where("vec_id = 60")) == {}
+
+
+def test_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    other = (7, (100 * np.ones(8)).tolist())
+    df = spark.createDataFrame([*rows, rows[20], rows[20], rows[31], other], "vec_id long, embedding array<double>")
+    least = {i: min(v for j, v in [*rows, other] if j == i) for i, _ in rows}
+    want = brute(list(least.items()))
+    got = run(spark, df)
+    assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+    assert all(len({i for _, i in x}) == 20 for x in got.values())
+
+
+def test_equal_vectors_stand_in_the_order_of_ids(spark):
+    rng = np.random.default_rng(4)
+    for trial in range(4):
+        rows = [(i, rng.standard_normal(64).tolist()) for i in range(300)]
+        same = rng.permutation(300)[:24].tolist()
+        rows = [(i, [2 * x for x in rows[0][1]] if i in same else v) for i, v in rows]
+        for found in run(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).values():
+            assert found == sorted(found)
+            equal = [(s, i) for s, i in found if i in same]
+            assert len({s for s, _ in equal}) <= 1 and [i for _, i in equal] == sorted(i for _, i in equal)
+
+
+def test_few_vectors_are_verified():
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((64, 64))
+    vectors = np.repeat(centres, 64, axis=0) + 0.5 * rng.standard_normal((4096, 64))
+    index = collision.CollisionIndex(np.arange(4096), vectors, float(np.linalg.norm(vectors, axis=1).max()))
+    found = index.search(np.arange(0, 4096, 64), vectors[::64], 20)
+    assert index.verified < 0.2 * index.asked
+    exact = [set(np.argsort(-np.where(np.arange(4096) == q, -1e9, vectors @ vectors[q]))[:20].tolist()) for q in range(0, 4096, 64)]
+    assert sum(len(e & set(f[0].tolist())) for e, f in zip(exact, found, strict=True)) >= 0.95 * 20 * 64
