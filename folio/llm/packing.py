@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -128,9 +129,10 @@ class VectorPacker:
 class WordTokenizer:
     """Ids of whole texts by a `tokenizers` file whose tokens never cross white space: words are encoded once and remembered.
 
-    A new word of letters, perhaps with punctuation behind, is split there (the file's own pattern does so, too). New runs
-    of letters are encoded many at a time in one string and told apart by the end-of-word tokens: one for each run, unless
-    normalising breaks a run up; then, and for all other words, each is encoded by itself.
+    The file's special tokens (none has white space in it) count as such where their strings stand in a text, as the library
+    does by default. A new word of letters, perhaps with punctuation behind, is split there (the file's own pattern does so,
+    too). New runs of letters are encoded many at a time in one string; the tokens' offsets tell which run each belongs to.
+    All other words are encoded by themselves.
     """
 
     _LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
@@ -140,12 +142,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(data)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        suffix = json.loads(data)["model"].get("end_of_word_suffix") or ""
-        vocabulary = self.model.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        if suffix:
-            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(data).get("normalizer"))
         self.words: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {}
         self.end = end_id.to_bytes(4, "little")
@@ -157,27 +154,25 @@ class WordTokenizer:
     def _learn_runs(self, runs: list[str]) -> None:
         for i in range(0, len(runs), RUNS_AT_ONCE):
             part = runs[i : i + RUNS_AT_ONCE]
-            ids = np.asarray(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-            if len(ends) == len(part):
-                packed, begin = ids.tobytes(), 0
-                for run, end in zip(part, ends.tolist(), strict=True):
-                    self.runs[run] = packed[begin:end]
-                    begin = end
-            else:
-                self.runs.update(zip(part, self._alone(part), strict=True))
+            encoded = self.model.encode(" ".join(part), add_special_tokens=False)
+            packed = np.asarray(encoded.ids, "<u4").tobytes()
+            places = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            starts = np.cumsum([0, *(len(run) + 1 for run in part)])
+            edges = 4 * np.searchsorted(places, starts)
+            for run, a, b in zip(part, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                self.runs[run] = packed[a:b]
 
     def _learn(self, words: list[str]) -> None:
         split, rest, runs = [], [], set()
         for word in words:
             if word.isalpha():
                 run, marks = word, ""
-            elif found := self._LETTERS_THEN_MARKS.fullmatch(word):
-                run, marks = found.groups()
+            elif (found := self._LETTERS_THEN_MARKS.fullmatch(word)) and unicodedata.category(found[2][0])[0] != "M":
+                run, marks = found.groups()  # a combining mark could join the letter before
             else:
                 rest.append(word)
                 continue
-            run = run.lower() if run.isascii() else run
+            run = run.lower() if self.lowers and run.isascii() else run
             split.append((word, run, marks))
             if run not in self.runs:
                 runs.add(run)

@@ -10,13 +10,22 @@ FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
 TOKENIZER = Tokenizer.from_file(FILE)
-TOKENIZER.encode_special_tokens = True
 
 
 def whole_text_ids(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [2]
 
 
+def test_special_tokens_and_runs_as_the_library_has_them():
+    with open(FILE, encoding="utf-8") as f:
+        own = packing.WordTokenizer(f.read(), 2)
+    texts = ["x <|endoftext|> y", "a<|endoftext|>b", "<|startoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext| >", "Ǆ ŉ ﬃ İ ß ͅα e\u0301 \u0345 क्षि", "don't can't've x's"]
+    texts += [" ".join(chr(c) + "q" for c in range(0xA0, 0x3000) if not chr(c).isspace())]
+    for text, ids in zip(texts, own.encode_many(texts), strict=True):
+        assert ids == b"".join(i.to_bytes(4, "little") for i in whole_text_ids(text)), text[:20]
+    assert whole_text_ids("x <|endoftext|> y") == [*TOKENIZER.encode("x", add_special_tokens=False).ids, TOKENIZER.token_to_id("<|endoftext|>"), *TOKENIZER.encode("y", add_special_tokens=False).ids, 2]
+
+
 def check(rows, texts, limits=packing.Limits()):
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
