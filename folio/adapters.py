@@ -19,7 +19,7 @@ _DAY = "TIMESTAMP '2024-01-01 00:00:00'"
 
 TABLES: dict[str, str] = {
     "papers": f"""
-        SELECT CAST(doc_id AS STRING) AS id, doc_id AS seq, substr(text, 1, 80) AS title, substr(text, 1, 400) AS abstract,
+        SELECT CAST(doc_id AS STRING) AS id, doc_id AS seq, substr(text, 1, 80) AS title, text AS abstract,
                CASE doc_id % 4 WHEN 0 THEN 'narrated' WHEN 1 THEN 'narrating' WHEN 2 THEN 'unnarrated' ELSE 'failed' END AS status,
                CASE WHEN doc_id % 4 = 3 THEN concat('error ', CAST(doc_id % 5 AS STRING)) END AS error_message,
                doc_id % 5 AS retry_count,

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Spoken operators, in the order in which they are replaced.
 OPERATORS = [
     ("+", " plus "), ("-", " minus "), ("\\times", " times "), ("\\cdot", " times "), ("\\cdots", "..."), ("\\ldots", "..."), ("\\div", " divided by "),
@@ -25,7 +28,7 @@ FUNCTIONS = [
     ("\\min", "min"), ("\\sup", "supremum"), ("\\inf", "infimum"), ("\\lim", "limit"), ("\\arg", "arg"), ("\\det", "determinant"), ("\\dim", "dimension"),
     ("\\mod", "mod"), ("\\gcd", "greatest common divisor"), ("\\Pr", "probability"),
 ]
-TOTALS = [(r"\\sum\b", " the sum of "), (r"\\prod\b", " the product of "), (r"\\int\b", " the integral of ")]
+TOTALS = {"sum": " the sum of ", "prod": " the product of ", "int": " the integral of "}
 POWERS = {
     "2": " squared", "3": " cubed", "T": " transpose", "t": " at time t", "*": " star", "'": " prime", "\\prime": " prime", "-1": " inverse",
     "n": " to the n", "k": " to the k", "i": " to the i", "\\circ": " degrees", "\\dagger": " dagger", "\\dag": " dagger",
@@ -43,17 +46,30 @@ ACCENTS = {
 LETTERS = {"aa": "å", "AA": "Å", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "ss": "ß", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "i": "ı", "j": "ȷ"}
 #: Inline formulas above this complexity are left out; display formulas above the other go to a describer.
 MOST_COMPLEX, MOST_SPOKEN = 8, 6
+#: Characters of a braced index that is spoken as one.
+LONGEST_INDEX = 10
 
 
-def _command(name: str) -> str:
-    """A pattern for a command that no letter follows."""
-    return re.escape(name) + r"(?![a-zA-Z])"
+GREEK_NAMES = {g: g for g in GREEK} | GREEK_VARIANTS
+_GREEK_COMMAND = r"\\(" + "|".join(sorted(GREEK_NAMES, key=len, reverse=True)) + r")(?![a-zA-Z])"
 
 
 def greek(text: str) -> str:
     """Greek commands as English names, set off by blanks."""
-    names = {g: g for g in GREEK} | GREEK_VARIANTS
-    return re.sub(r"\\(" + "|".join(sorted(names, key=len, reverse=True)) + r")(?![a-zA-Z])", lambda m: f" {names[m[1]]} ", text)
+    return re.sub(_GREEK_COMMAND, lambda m: f" {GREEK_NAMES[m[1]]} ", text)
+
+
+def greek_column(text: Column) -> Column:
+    """greek() in whole-stage code: variants take their letter's name first, then all names are set off."""
+    for variant, name in GREEK_VARIANTS.items():
+        text = F.regexp_replace(text, rf"\\{variant}(?![a-zA-Z])", rf"\\{name}")
+    return F.regexp_replace(text, _GREEK_COMMAND, " $1 ")
+
+
+def accented(accent: str, letter: str) -> str:
+    """A letter with an accent; one that does not take it stays bare."""
+    mark, letters = ACCENTS[accent]
+    return unicodedata.normalize("NFC", letter + mark) if letter in letters else letter
 
 
 def accents(text: str) -> str:
@@ -61,12 +77,8 @@ def accents(text: str) -> str:
     for name in sorted(LETTERS, key=len, reverse=True):
         text = re.sub(rf"\\{name}(?:\{{\}}|(?=[^a-zA-Z]|$))", LETTERS[name], text)
 
-    def compose(match: re.Match) -> str:
-        mark, letters = ACCENTS[match[1]]
-        return unicodedata.normalize("NFC", match[2] + mark) if match[2] in letters else match[2]
-
     for pattern in (r"\\(['\"`^~.=])\{(\w)\}", r"\\([cHdruvk])\{(\w)\}", r"\\(['\"`^~.=])(\w)", r"\\([cHdruvk])([a-zA-Z])(?!\w)"):
-        text = re.sub(pattern, compose, text)
+        text = re.sub(pattern, lambda m: accented(m[1], m[2]), text)
     return text
 
 
@@ -76,48 +88,108 @@ def complexity(formula: str) -> int:
     return sum(w * len(re.findall(p, formula)) for p, w in weights) + max(0, len(formula) - 50) // 20
 
 
-def _rewrite(formula: str, pattern: str, spoken, rounds: int | None) -> str:
-    """Replace the leftmost match, again and again, at most `rounds` times."""
-    while rounds is None or rounds > 0:
-        found = re.search(pattern, formula)
-        if not found:
-            break
-        formula = formula[: found.start()] + spoken(found) + formula[found.end() :]
-        rounds = rounds if rounds is None else rounds - 1
-    return formula
-
-
-def _power(match: re.Match) -> str:
-    inner = match[1].strip()
-    plain = re.sub(r"\\(?:text|mathrm|mathit|mathbf|mathsf|mathtt)\{([^{}]*)\}", r"\1", inner).strip()
-    if plain in ORDINAL_ENDINGS:
-        return plain
-    return POWERS.get(inner) or POWERS.get(plain) or f" to the power of {inner}"
-
-
-def _root(match: re.Match) -> str:
-    degree, inner = match[1], match[2].strip()
-    return f"the {degree.strip()}th root of {inner}" if degree else f"the square root of {inner}"
+_STYLES = frozenset("displaystyle textstyle scriptstyle scriptscriptstyle".split())
+_SIZES = frozenset("left right big Big bigg Bigg".split())
+_WORDS = {name.removeprefix("\\"): said for name, said in OPERATORS} | {name.removeprefix("\\"): f" {said} of " for name, said in FUNCTIONS} | TOTALS | {n: f" {g} " for n, g in GREEK_NAMES.items()}
+_FORMULA_TOKEN = re.compile(r"\\[a-zA-Z]+|\\[\s\S]|\s+|[\s\S]")
+#: Nested groups that are parsed; deeper ones are read as they stand.
+DEEPEST = 60
+
+
+class _Formula:
+    """A formula as a sequence of tokens, read once from left to right; groups are read by recursion."""
+
+    def __init__(self, text: str):
+        self.tokens, self.at = _FORMULA_TOKEN.findall(text), 0
+
+    def peek(self) -> str:
+        return self.tokens[self.at] if self.at < len(self.tokens) else ""
+
+    def take(self) -> str:
+        self.at += 1
+        return self.tokens[self.at - 1]
+
+    def blanks(self) -> None:
+        while self.peek().isspace():
+            self.at += 1
+
+    def raw(self, pair: str) -> str | None:
+        """The source of a group, if one opens here."""
+        self.blanks()
+        if self.peek() != pair[0]:
+            return None
+        begin, depth = self.at + 1, 0
+        while self.at < len(self.tokens):
+            depth += {pair[0]: 1, pair[1]: -1}.get(self.take(), 0)
+            if not depth:
+                return "".join(self.tokens[begin : self.at - 1])
+        return "".join(self.tokens[begin:])
+
+    def argument(self, depth: int) -> str | None:
+        """What a braced group says, or None."""
+        inner = self.raw("{}")
+        return None if inner is None else _words(inner, depth + 1).strip()
+
+
+def _power(formula: _Formula, depth: int) -> str:
+    inner = formula.raw("{}")
+    if inner is None:
+        sign = formula.take() if formula.peek() else ""
+        bare = POWERS.get(sign) or (_words(sign, depth + 1) if sign[:1] == "\\" else sign)
+        return bare if sign in POWERS else f" to the {bare.strip()}" if sign[:1].isalnum() or sign[:1] == "\\" else "^" + sign
+    inner = inner.strip()
+    if unwrapped := re.fullmatch(r"\\(?:text|math)[a-z]*\s*\{([^{}]*)\}", inner):
+        inner = unwrapped[1].strip()
+    return inner if inner in ORDINAL_ENDINGS else POWERS.get(inner) or f" to the power of {_words(inner, depth + 1).strip()}"
+
+
+def _index(formula: _Formula, depth: int) -> str:
+    inner = formula.raw("{}")
+    if inner is None:
+        sign = formula.take() if formula.peek() else ""
+        return f" sub {_words(sign, depth + 1).strip()}" if sign[:1].isalnum() or sign[:1] == "\\" else "_" + sign
+    if re.fullmatch(r"\s*\d{1,2}\s*", inner) or not inner:
+        return ""
+    said = _words(inner, depth + 1).strip()
+    return f" sub {said}" if len(inner) <= LONGEST_INDEX else f"_{said}"
+
+
+def _words(text: str, depth: int = 0) -> str:
+    """A formula, or a part of one, in words with loose blanks."""
+    if depth > DEEPEST:
+        return re.sub(r"\\[a-zA-Z]+|[{}\\]", " ", text)
+    formula, out = _Formula(text), []
+    while token := formula.peek():
+        formula.at += 1
+        name = token[1:] if token[0] == "\\" else token
+        if token == "^":
+            out.append(_power(formula, depth))
+        elif token == "_":
+            out.append(_index(formula, depth))
+        elif token == "{":
+            formula.at -= 1
+            out.append(formula.argument(depth))
+        elif token == "\\frac":
+            above, below = formula.argument(depth), formula.argument(depth)
+            out.append(f"{above} over {below}" if above is not None and below is not None else above or "")
+        elif token == "\\sqrt":
+            degree, inner = formula.raw("[]"), formula.argument(depth)
+            out.append(f"the {_words(degree, depth + 1).strip()}th root of {inner or ''}" if degree else f"the square root of {inner or ''}")
+        elif token[0] == "\\" and name in _STYLES:
+            continue
+        elif token[0] == "\\" and name in _SIZES:
+            if formula.peek() in (*".()[]|", "\\|", "\\{", "\\}"):
+                formula.at += 1
+        elif name in _WORDS and (token[0] == "\\" or not name.isalpha()):
+            out.append(_WORDS[name])
+        else:
+            out.append(" " if token[0] == "\\" and name.isalpha() else "" if token == "}" else name)
+    return "".join(out)
 
 
 def speak(formula: str) -> str:
     """A formula in words."""
-    out = formula.strip()
-    out = re.sub(r"\\(?:displaystyle|textstyle|scriptstyle|scriptscriptstyle)\b", "", out)
-    out = re.sub(r"\\(?:left|right|Bigg|bigg|Big|big)[.()\\\[\]|]?", "", out)
-    out = _rewrite(out, r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", lambda m: f"{m[1].strip()} over {m[2].strip()}", 5)
-    out = _rewrite(out, r"\\sqrt(?:\[([^\]]+)\])?\{([^{}]*)\}", _root, 5)
-    out = _rewrite(out, r"\^\{([^{}]*)\}", _power, 5)
-    out = _rewrite(out, r"\^([a-zA-Z0-9*'])", lambda m: POWERS.get(m[1], f" to the {m[1]}"), None)
-    out = _rewrite(out, r"_\{([^{}]{1,10})\}", lambda m: "" if re.fullmatch(r"\d{1,2}", m[1].strip()) else f" sub {m[1].strip()}", 20)
-    out = _rewrite(out, r"_([a-zA-Z0-9])", lambda m: f" sub {m[1]}", None)
-    for pattern, spoken in TOTALS:
-        out = re.sub(pattern, spoken, out)
-    for symbol, spoken in OPERATORS:
-        out = re.sub(_command(symbol), spoken, out) if symbol[0] == "\\" else out.replace(symbol, spoken)
-    for name, spoken in FUNCTIONS:
-        out = re.sub(_command(name), f" {spoken} of ", out)
-    return re.sub(r"\s+", " ", re.sub(r"[{}]", "", re.sub(r"\\[a-zA-Z]+", " ", out))).strip()
+    return " ".join(_words(formula).split())
 
 
 def speak_inline(formula: str) -> str:

@@ -92,6 +92,12 @@ def script(body: Column, title: Column, authors: Column, date: Column, narrator:
     return F.concat(header, F.lit("\n"), F.trim(body), F.lit("\n\n"), footer)
 
 
+def legacy_header(title: Column, authors: Column) -> Column:
+    """The older header: title and authors, each on a line, what is missing left out."""
+    lines = F.array_compact(F.array(with_period(F.when(F.coalesce(title, F.lit("")) == "", "Untitled").otherwise(title)), spoken_authors(authors)))
+    return F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+
+
 def short_authors(authors: Column) -> Column:
     """`A, B, C + N more`."""
     shown = F.array_join(F.slice(authors, 1, 3), ", ")

@@ -154,13 +154,18 @@ def rmse(predicted: Column, actual: Column) -> Column:
     return F.coalesce(F.sqrt(F.avg(F.pow(predicted - actual, 2))), F.lit(float("inf")))
 
 
+def is_test_row(row_id: Column) -> Column:
+    """A fifth of the rows, by a hash of the id that other engines have, too."""
+    return F.conv(F.substring(F.md5(row_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0
+
+
 def train(rows: DataFrame, held_out: Column | None = None) -> DataFrame:
     """Coefficients of both targets and errors of fit and rules of thumb on the same held-out rows, per model.
 
     rows: provider_model, FEATURES, actual_input_tokens, actual_output_tokens, id. By default a fifth of the rows, by hash of
     the id, is held out where a model has at least ten.
     """
-    out = held_out if held_out is not None else F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+    out = held_out if held_out is not None else is_test_row(F.col("id"))
     sized = rows.where("actual_input_tokens is not null and actual_output_tokens is not null")
     counts = sized.groupBy("provider_model").agg(F.count("*").alias("sample_count")).where(F.col("sample_count") >= LEAST_ROWS)
     sized = sized.join(counts, "provider_model").withColumn("test", out & (F.col("sample_count") >= 10))

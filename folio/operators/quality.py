@@ -24,6 +24,16 @@ def overall(weights: dict[str, float] = WEIGHTS) -> Column:
     return F.when(total > 0, F.floor(value / total * 10000 + F.lit(0.5)) / 10000)
 
 
+def half_up(value: Column, digits: int = 4) -> Column:
+    """Halves of the last digit go up (toward positive infinity), on the binary value."""
+    return F.floor(value * 10**digits + F.lit(0.5)) / 10**digits
+
+
+def half_even(value: Column, digits: int = 4) -> Column:
+    """Halves of the last digit go to the even neighbour."""
+    return F.bround(value, digits)
+
+
 def mode() -> Column:
     """The scripter's mode; older rows without one are regex in the base tier, else llm."""
     return F.coalesce("scripter_mode", F.when(F.col("narration_tier") == "base", "regex").otherwise("llm"))

@@ -141,3 +141,24 @@ def first_crossings(plays: DataFrame, keys: Sequence[str], at: str, share: Colum
     """keys, mark, at: when each key's share (0 to 1) first reached each mark."""
     reached = F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: share * 100 >= m)
     return plays.select(*keys, at, F.explode(reached).alias("mark")).groupBy(*keys, "mark").agg(F.min(at).alias(at))
+
+
+def throttled(plays: DataFrame, position: Column, every: int = 3) -> DataFrame:
+    """The positions that are saved: whole seconds divisible by `every`."""
+    return plays.where(F.floor(position) % every == 0)
+
+
+def script_ready(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(versions added, outcome of every event) of side events that a script is ready.
+
+    events: paper_id, event, transcript_key. Such an event adds a version and leaves the paper's status alone; one without a
+    transcript key, like any other unknown event, is an invalid status.
+    """
+    ready = (F.col("event") == "script_ready") & (F.coalesce("transcript_key", F.lit("")) != "")
+    outcome = F.when(F.coalesce(ready, F.lit(False)), "accepted").otherwise("invalid_status")
+    return events.where(ready).select("paper_id", "transcript_key"), events.select("paper_id", "event", outcome.alias("outcome"))
+
+
+def upkeep(visits: DataFrame, submissions: DataFrame, papers: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run of the scheduled upkeep: visits of 30 days and submissions of 2 days are kept, stale jobs recovered."""
+    return retain(visits, "visited_at", as_of, 30), retain(submissions, "submitted_at", as_of, 2), recover_stale(papers, as_of)

@@ -472,17 +472,11 @@ def x30(t: Tables):
     return t["documents"].select("doc_id", pdf.numeric_rows_dropped(marked).alias("text"))
 
 
-@query("X35_model_artifacts", None)
-def x35(t: Tables):
-    raw = F.concat(F.lit(r"\(x\) **Bold** see \ref{a} \ours. "), "abstract")
-    return t["papers"].select("id", scripts.without_model_artifacts_column(raw).alias("text"))
-
-
 def _latex_source():
     """A LaTeX document around a plain text, whose own dollar signs are escaped."""
     plain = F.replace("text", F.lit("$"), F.lit("\\$"))
     return F.concat(
-        F.lit("\\documentclass{article}\\title{Paper}\\author{Ann B\\and Bob C}\n\\begin{document}\n\\begin{abstract}"), F.substring(plain, 1, 300), F.lit("\\end{abstract}\n\\section{One}\n"),
+        F.lit("\\documentclass{article}\\title{Paper}\\author{Ann B\\and Bob C}\n\\begin{document}\n\\begin{abstract}What this is about.\\end{abstract}\n\\section{One}\n"),
         plain, F.lit(" \\cite{key} with $x^2$. % note\n\\begin{figure}\\caption{Cap}\\end{figure}\n\\end{document}"),
     )
 
@@ -507,8 +501,3 @@ def x57(t: Tables):
 @query("A20_element_counts", "SELECT 'figure' AS kind, count(*) AS n FROM documents")
 def a20(t: Tables):
     return t["documents"].select(F.explode(scripts.elements_column(_latex_source())).alias("e")).groupBy("e.kind").agg(F.count("*").alias("n"))
-
-
-@query("X34_pdf_to_speech", None)
-def x34(t: Tables):
-    return t["documents"].select("doc_id", F.char_length(pdf.spoken(F.concat(F.lit("Some Title Here\nAuthors\nAbstract\n"), F.col("text"), F.lit("\nReferences\n[1] x")), F.lit("Some Title Here"))).alias("n"))

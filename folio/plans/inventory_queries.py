@@ -6,14 +6,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.adapters import AS_OF, SCORES_AS_OF
-from folio.functions import latex, rules, speech
+from folio.functions import latex, rules
 from folio.functions import text as T
 from folio.operators import catalog as C
 from folio.operators import cost as K
 from folio.operators import quality as Q
 from folio.operators import state as S
 from folio.plans import search
-from folio.plans.analytics_queries import _BASE, _D, _SCORED, base
+from folio.plans.analytics_queries import _BASE, _D, _OPTIONS, _SCORED, base
 from folio.plans.registry import Tables, query
 from folio.sources import feeds
 
@@ -91,9 +91,9 @@ def j21(t: Tables):
     return found.withColumn("rn", F.row_number().over(W.partitionBy("list_id").orderBy("position", "paper_id"))).where("rn <= 5").select("list_id", "paper_id", "position")
 
 
-@query("J22_reinsert", "SELECT id, replace('a ' || title || ' b ', '  ', ' ') AS text FROM papers", "papers")
+@query("J22_reinsert", "SELECT id, replace('a ' || abstract || ' b ', '  ', ' ') AS text FROM papers", "papers")
 def j22(t: Tables):
-    told = F.array(F.struct(F.lit("[1]").alias("mark"), F.col("title").alias("text")), F.struct(F.lit("[2]").alias("mark"), F.lit("").alias("text")))
+    told = F.array(F.struct(F.lit("[1]").alias("mark"), F.col("abstract").alias("text")), F.struct(F.lit("[2]").alias("mark"), F.lit("").alias("text")))
     body = F.aggregate(told, F.lit("a [1] b [2]"), lambda acc, d: F.replace(acc, d["mark"], d["text"]))
     return t["papers"].select("id", F.replace(body, F.lit("  "), F.lit(" ")).alias("text"))
 
@@ -173,7 +173,7 @@ def o4(t: Tables):
     return t["lists"].orderBy(F.lower("name"), "id").select("id", "name")
 
 
-@query("O8_options_by_rank", None)
+@query("O8_options_by_rank", f"SELECT id, llm_model, tts_model, quality_rank, total_cost FROM ({_OPTIONS}) o", "papers")
 def o8(t: Tables):
     return K.option_matrix(t["papers"]).orderBy(F.col("quality_rank").desc(), "total_cost", "id", "llm_model").select("id", "llm_model", "tts_model", "quality_rank", "total_cost")
 
@@ -244,16 +244,6 @@ def m24(t: Tables):
     return S.append_items(items, t["lists"].where("id in (3, 5)").select(F.col("id").alias("list_id"), F.lit(0).alias("seq"), F.lit("extra").alias("paper_id")))
 
 
-@query("X9_greek_free_text", None)
-def x9(t: Tables):
-    f = F.pandas_udf("string")(_greek)
-    return t["papers"].select("id", f(F.concat(F.lit("\\alpha-\\Omega "), "title")).alias("text"))
-
-
-def _greek(s):
-    return s.map(speech.greek)
-
-
 @query("X19_complexity", "SELECT id, CAST(2 * (seq % 3) + seq % 4 + greatest(0, seq % 3 * 5 + seq % 4 * 2 - 50) // 20 AS BIGINT) AS score FROM papers", "papers")
 def x19(t: Tables):
     formula = F.concat(F.repeat(F.lit("\\frac"), (F.col("seq") % 3).cast("int")), F.repeat(F.lit("x^"), (F.col("seq") % 4).cast("int")))
@@ -296,11 +286,6 @@ def n6(t: Tables):
     return t["papers"].select("id", F.concat(F.lit("~"), minutes.cast("string"), F.lit(" min")).alias("shown"))
 
 
-@query("N8_split", None)
-def n8(t: Tables):
-    return t["training_rows"].select("id", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("test"))
-
-
 @query("N9_gate", "SELECT id, figure_count >= 5 AND script_char_count < 3000 AND latex_char_count < 6000 AS used FROM papers", "papers")
 def n9(t: Tables):
     return t["papers"].select("id", K.passes_gate(F.col("figure_count"), F.col("script_char_count"), F.col("latex_char_count"), F.lit(3000), F.lit(6000)).alias("used"))
@@ -312,12 +297,6 @@ def n12(t: Tables):
     return t["papers"].select("id", encoded.alias("encoded"), F.get(F.from_json(encoded, "array<string>"), F.lit(0)).alias("first"))
 
 
-@query("N16_encrypted_keys", None)
-def n16(t: Tables):
-    key = F.unhex(F.sha2(F.lit("key material"), 256))
-    return t["papers"].select("id", (F.aes_decrypt(F.aes_encrypt("title", key, F.lit("GCM")), key, F.lit("GCM")).cast("string") == F.col("title")).alias("round_trip"))
-
-
 @query("Z3_unique_visits", "SELECT count(*) AS n FROM (SELECT DISTINCT paper_id, visitor_ip FROM page_visits) x", "page_visits")
 def z3(t: Tables):
     return t["page_visits"].dropDuplicates(["paper_id", "visitor_ip"]).agg(F.count("*").alias("n"))

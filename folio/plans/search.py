@@ -31,6 +31,8 @@ class Term:
     alternative: bool = False
 
 
+#: An id of a paper in a query, new style or old style, without its version.
+_PAPER_ID = re.compile(r"(\d{4}\.\d{4,5})|([a-zA-Z-]+/\d{7})")
 _SCAN = re.compile(r'(?P<or>(?<!\S)OR(?!\S))|(?P<neg>-?)(?:"(?P<phrase>[^"]*)"?|(?P<word>[^\s"]+))')
 
 
@@ -165,6 +167,13 @@ def search(documents: DataFrame, query: str, id_col: str, fields: list[str], lim
     return ordered if limit is None else ordered.limit(limit)
 
 
+def find(documents: DataFrame, query: str, id_col: str, fields: list[str], limit: int | None = None) -> DataFrame:
+    """The documents that a query asks for, with rank: one that names a paper id is a look-up of that id, others are searched."""
+    if named := _PAPER_ID.search(query):
+        return documents.where(F.col(id_col) == F.lit(named[1] or named[2])).withColumn("rank", F.lit(0.0))
+    return documents.join(search(documents, query, id_col, fields, limit), id_col)
+
+
 def postings(documents: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """The inverted index: id_col, field, pos, term."""
     out = None

@@ -37,14 +37,9 @@ def f5(t: Tables):
     return search.search(t["papers"], '"of the"', "id", ["title", "abstract"]).select("id")
 
 
-@query("F6_index_upkeep", f"SELECT id, len({_TOK.format('CASE WHEN seq % 10 = 1 THEN concat(title, {0}) ELSE title END').replace('{0}', chr(39) + ' new words' + chr(39))}) AS n FROM papers WHERE seq % 10 <> 2 AND len({_TOK.format('title')}) > 0", "papers")
+@query("F6_index_upkeep", f"SELECT id, len({_TOK.format('CASE WHEN seq % 10 = 1 THEN concat(abstract, {0}) ELSE abstract END').replace('{0}', chr(39) + ' new words' + chr(39))}) AS n FROM papers WHERE seq % 10 <> 2 AND len({_TOK.format('abstract')}) > 0", "papers")
 def f6(t: Tables):
-    p = t["papers"].select("id", "seq", "title")
-    changed = p.where("seq % 10 = 1").select("id", F.concat("title", F.lit(" new words")).alias("title"))
-    index = search.updated_postings(search.postings(p, "id", ["title"]), changed, p.where("seq % 10 = 2").select("id"), "id", ["title"])
+    p = t["papers"].select("id", "seq", "abstract")
+    changed = p.where("seq % 10 = 1").select("id", F.concat("abstract", F.lit(" new words")).alias("abstract"))
+    index = search.updated_postings(search.postings(p, "id", ["abstract"]), changed, p.where("seq % 10 = 2").select("id"), "id", ["abstract"])
     return index.groupBy("id").agg(F.count("*").alias("n"))
-
-
-@query("F8_id_short_circuit", "SELECT id, title FROM papers WHERE id = '42'", "papers")
-def f8(t: Tables):
-    return t["papers"].where(F.col("id") == "42").select("id", "title")

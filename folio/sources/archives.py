@@ -123,8 +123,10 @@ def expand(root: str, files: dict[str, str], once: bool = False, missing: Callab
     return out if budget is None else out[:budget]
 
 
-def latex_texts(archive_members: DataFrame, once: bool = False, budget: int | None = None) -> DataFrame:
-    """path, text: each archive's root file (the longest with a document body, else the least deep) with its includes."""
+def latex_texts(archive_members: DataFrame, once: bool = False, budget: int | None = None, missing: str = "") -> DataFrame:
+    """path, text: each archive's root file (the longest with a document body, else the least deep) with its includes.
+
+    missing: what stands for an include that is not there, with its name for {}."""
 
     def choose(files: dict[str, str]) -> str | None:
         tex = [n for n in files if n.lower().endswith(".tex")]
@@ -139,7 +141,7 @@ def latex_texts(archive_members: DataFrame, once: bool = False, budget: int | No
             for found in pdf["files"]:
                 files = {f["name"].removeprefix("./"): bytes(f["content"]).decode("utf-8", "replace") for f in found} if found is not None else {}
                 root = choose(files)
-                texts.append(expand(root, files, once, budget=budget) if root else None)
+                texts.append(expand(root, files, once, lambda name: missing.replace("{}", name), budget) if root else None)
             yield pd.DataFrame({"path": pdf["path"], "text": texts})
 
     return archive_members.select("path", "files").mapInPandas(run, "path string, text string")

@@ -29,11 +29,11 @@ def test_accents_and_greek():
 
 
 def test_arguments_nest_and_run_to_the_end():
-    a = latex.Arguments(r"x\title[s]{A {B} C}y\author{open {")
-    assert a.first("title") == "A {B} C"
-    assert a.without("title") == r"xy\author{open {"
-    assert a.without("author") == r"x\title[s]{A {B} C}y"
-    assert latex.Arguments(r"\authors{a}").first("author") is None
+    source = r"x\title[s]{A {B} C}y\author{open {"
+    assert latex.Scanner(source).first("title") == "A {B} C"
+    assert latex.Scanner(source, {"title": latex.NON_PROSE["title"]}).run() == r"xy\author{open {"
+    assert latex.Scanner(source, {"author": latex.NON_PROSE["author"]}).run() == r"x\title[s]{A {B} C}y"
+    assert latex.Scanner(r"\authors{a}").first("author") is None
 
 
 def test_macros():
@@ -74,7 +74,7 @@ def test_elements_survive_all_passes():
     body, elements = scripts.extract_elements(latex.body_of(SOURCE))
     assert [e.element_id for e in elements] == ["FIGURE_001", "DISPLAY_MATH_001", "DISPLAY_MATH_002", "DISPLAY_MATH_003"]
     assert elements[0].caption == "Cap x" and elements[0].figures == ("f.png",)
-    for step in latex.CLEANING:
+    for step in (latex.without_non_prose, latex.spoken_structure, latex.paragraphs, latex.without_citations, speech.greek, latex.spoken_math, latex.without_formatting, latex.normalized, latex.finalized):
         body = step(body)
     assert all(scripts.PLACEHOLDER + e.element_id in body for e in elements)
     assert [scripts.formula_of(e.source) for e in elements[1:]] == ["a=b", "c", "d"]
@@ -98,13 +98,26 @@ def test_model_artifacts():
 PDF = "A Very Good Title\nAuthor One\n\nAbstract\nWe pre-\nsent a result that\nis joined [1,2] e.g. here.\narXiv:2103.1 x\n12\n1.5 2 3\nFigure 1: gone\n\nMore prose. " + "Word and word. " * 20 + "\nReferences\n[1] gone"
 
 
-def test_pdf():
-    out = pdf.clean(PDF, "A Very Good Title")
+def test_pdf(spark):
+    df = spark.createDataFrame([(1, PDF, "A Very Good Title"), (2, "short", "A"), (3, None, None), (4, PDF, None)], "id long, t string, title string")
+    got = {r["id"]: r["s"] for r in df.select("id", pdf.spoken(F.col("t"), F.col("title")).alias("s")).collect()}
+    assert got[2] is None and got[3] is None and "Author One" in got[4]
+    out = got[1]
     assert out.startswith("Abstract") and "present a result that is joined for example, here." in out
     for gone in ("arXiv", "Figure 1", "gone", "1.5", "Author One"):
         assert gone not in out
-    with pytest.raises(ValueError):
-        pdf.clean("short")
+
+
+def test_line_classes(spark):
+    lines = {
+        "arXiv:2103.1 [cs]": "stamp", "Smith et al.": "running head", "∗ equal": "footnote", "- 12 -": "page number", "3.2.1": "section number", "Table 2: x": "caption",
+        "Authors' addresses: A": "address", "https://x.y": "data", "1.5 2% x 3": "data", "": "blank", "A line of prose 12.": "prose", "Figure skating": "prose",
+    }
+    df = spark.createDataFrame([(k,) for k in lines], "t string")
+    assert {r[0]: r[1] for r in df.select("t", pdf.line_class(F.col("t"))).collect()} == lines
+    text = "x" * 500 + " The Old Good Title a the old good title b\nAuthors' addresses: one\ntwo, three\nNext."
+    r = spark.createDataFrame([(text,)], "t string").select(pdf.without_running_title(F.col("t"), F.lit("The Old Good Title")).alias("r"), pdf.without_artifacts(F.col("t")).alias("a")).first()
+    assert "Old Good" not in r["r"].replace("The Old", "") and r["a"].endswith("b\nNext.")
 
 
 @pytest.mark.parametrize(
