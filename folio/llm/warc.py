@@ -1,8 +1,10 @@
 """Legacy ARC archives to WARC records, and WARC archives as files (operator 8).
 
 An ARC archive starts with a version block that names its version (1 or 2) and the fields of the header lines; each record
-is one header line and as many bytes as the line declares. The converter parses both versions and synthesises what WARC
-asks for besides: record ids (from the record's key, so a rerun writes the same), ISO timestamps, types and digests.
+is one header line and as many bytes as the line declares; of an http page these bytes are the whole HTTP response, header
+and body. The converter parses both versions and synthesises what WARC asks for besides: record ids (from the record's key,
+so a rerun writes the same), ISO timestamps, types, and digests of the payload (the body) and of the block. The version block
+becomes a warcinfo record, once for each file.
 Archives are written by Spark's text writer, whose line separator is the two line ends that close every WARC record, and
 read back from whole files by declared lengths, never by searching for separators.
 """
@@ -17,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, new_path
+from folio.llm.common import materialize, new_path, release
 
 #: Payloads shorter than this are never replaced by a reference.
 MIN_REVISIT_BYTES = 100
-#: Records of one archive file.
-RECORDS_PER_FILE = 20_000
+#: Bytes of one archive file, which is read back as a whole, and bytes that a record has at most beside its payload and URL.
+FILE_BYTES, HEADER_BYTES = 64 << 20, 4096
 _END = b"\r\n\r\n"
 #: The field lists of the two ARC versions.
 ARC_FIELDS = {
@@ -36,20 +38,29 @@ ARC_NAMES = {
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def _is_http(url: Column) -> Column:
+    return F.coalesce(F.lower(F.substring_index(url, ":", 1)).isin("http", "https"), F.lit(False))
+
+
 def arc_archive(url: Column, payload: Column, version: Column, date: str = "20240101000000") -> Column:
-    """A one-record ARC archive as binary: version block, header line, payload. Blanks in the URL are percent-encoded."""
+    """A one-record ARC archive as binary: version block, header line, record. Blanks in the URL are percent-encoded.
+
+    Of an http URL the record is an HTTP response with the payload as its body, of any other the payload itself.
+    """
     safe = F.regexp_replace(F.coalesce(url, F.lit("about:blank")), r"[\s\x00-\x1f]", "%20")
-    size = F.octet_length(payload).cast("string")
+    answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n")).cast("binary")
+    body = F.when(_is_http(safe), F.concat(answer, payload)).otherwise(payload)
+    size = F.octet_length(body).cast("string")
     one = F.concat(safe, F.lit(f" 0.0.0.0 {date} text/html "), size, F.lit("\n"))
     two = F.concat(safe, F.lit(f" 0.0.0.0 {date} text/html 200 - - 0 pages.arc "), size, F.lit("\n"))
 
     def block(n: int) -> str:
-        body = f"{n} 0 folio\n{ARC_NAMES[n]}\n\n"
+        text = f"{n} 0 folio\n{ARC_NAMES[n]}\n\n"
         tail = {1: "", 2: "200 - - 0 pages.arc "}[n]
-        return f"filedesc://pages.arc 0.0.0.0 {date} text/plain {tail}{len(body)}\n{body}"
+        return f"filedesc://pages.arc 0.0.0.0 {date} text/plain {tail}{len(text)}\n{text}"
 
     head = F.when(version == 2, F.concat(F.lit(block(2)), two)).otherwise(F.concat(F.lit(block(1)), one))
-    return F.concat(head.cast("binary"), payload, F.lit("\n").cast("binary"))
+    return F.concat(head.cast("binary"), body, F.lit("\n").cast("binary"))
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
@@ -94,66 +105,99 @@ def _iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def split_http(block: bytes) -> tuple[bytes, bytes]:
+    """(header with its empty line, body) of an HTTP response; no header where the bytes do not begin as one does."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block
+    ends = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := block.find(mark)) >= 0]
+    at, size = min(ends, default=(len(block), 0))
+    return block[: at + size], block[at + size :]
+
+
+def _digest(data: bytes) -> str:
+    return f"sha256:{hashlib.sha256(data).hexdigest()}"
+
+
+def warcinfo(record: dict, key: str) -> bytes:
+    """A version block as a warcinfo record without its closing line ends."""
+    fields = f"software: folio\r\nformat: WARC File Format 1.1\r\nsource-format: ARC version {record['version']}\r\nsource-name: {record['url'].removeprefix('filedesc://')}\r\n".encode()
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {_iso(record['date'])}", f"WARC-Block-Digest: {_digest(fields)}", f"X-Source-Key: {key}", "Content-Type: application/warc-fields", f"Content-Length: {len(fields)}"]
+    return "\r\n".join(lines).encode() + _END + fields
+
+
 def to_warc(record: dict, key: str, refers_to: str | None) -> bytes:
-    """One ARC record as a WARC record without its closing line ends. With `refers_to` a revisit without payload."""
-    payload, kind = record["payload"], "resource"
-    http = b""
-    if record["url"].startswith("filedesc://"):
-        kind = "warcinfo"
-    elif record["url"].split(":", 1)[0].lower() in ("http", "https"):
-        kind = "response"
-    if kind == "response" or refers_to is not None:
-        http = f"HTTP/1.1 {record.get('status', '200')} OK\r\nContent-Type: {record['mime']}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    """One ARC record as a WARC record without its closing line ends. With `refers_to` a revisit without payload.
+
+    An http record whose bytes are an HTTP response is a `response` and keeps its header; all others are a `resource`. The
+    payload digest is that of the body alone.
+    """
+    header, payload = split_http(record["payload"]) if record["url"].split(":", 1)[0].lower() in ("http", "https") else (b"", record["payload"])
+    block = header if refers_to is not None else header + payload
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if refers_to is not None else kind}",
+        f"WARC-Type: {'revisit' if refers_to is not None else 'response' if header else 'resource'}",
         f"WARC-Record-ID: {record_id(key)}",
         f"WARC-Date: {_iso(record['date'])}",
         f"WARC-Target-URI: {record['url']}",
         f"WARC-IP-Address: {record['ip']}",
-        f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}",
+        f"WARC-Payload-Digest: {_digest(payload)}",
+        f"WARC-Block-Digest: {_digest(block)}",
         f"X-Source-Key: {key}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
         lines += [f"WARC-Profile: {_REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Key: {refers_to}"]
-    block = http if refers_to is not None else http + payload
-    lines += [f"Content-Type: {'application/http; msgtype=response' if http else record['mime']}", f"Content-Length: {len(block)}"]
+    lines += [f"Content-Type: {'application/http; msgtype=response' if header else record['mime']}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + _END + block
 
 
 def convert(archives: DataFrame, key_col: str, content_col: str, refers_col: str) -> DataFrame:
     """WARC records of one-key ARC archives: key string, record binary (without closing line ends).
 
-    An archive's first content record has the archive's key, further ones key#n; its version block gives no record of its
-    own. Null archives give nothing. refers_col names the key that a revisit points to, null for all others.
+    An archive's first content record has the archive's key, further ones key#n. A version block is a warcinfo record, the
+    first of its kind in a task; equal ones that follow add nothing to a file and are left out. Null archives give nothing.
+    refers_col names the key that a revisit points to, null for all others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        described: set[tuple] = set()
         for batch in batches:
             keys, records = [], []
             for key, content, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                content_records = (r for r in parse_arc(content or b"") if not r["url"].startswith("filedesc://"))
-                for n, record in enumerate(content_records):
-                    own = key if n == 0 else f"{key}#{n}"
-                    keys.append(own)
-                    records.append(to_warc(record, own, refers))
+                n = 0
+                for record in parse_arc(content or b""):
+                    if record["url"].startswith("filedesc://"):
+                        kind = (record["version"], record["url"], record["date"])
+                        if kind not in described:
+                            described.add(kind)
+                            keys.append(f"{record['url']}#{record['version']}")
+                            records.append(warcinfo(record, keys[-1]))
+                        continue
+                    keys.append(key if n == 0 else f"{key}#{n}")
+                    records.append(to_warc(record, keys[-1], refers))
+                    n += 1
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(records, pa.large_binary())], names=["key", "record"])
 
     plain = archives.select(F.coalesce(F.col(key_col).cast("string"), F.lit("")).alias("key"), F.col(content_col).cast("binary").alias("content"), F.col(refers_col).cast("string").alias("refers"))
     return plain.mapInArrow(run, "key string, record binary")
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Write records (column `record`) as WARC files below `path` on any Hadoop file system; idempotent under task retries."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(records: DataFrame, path: str, largest: int) -> None:
+    """Write records (column `record`) as WARC files below `path` on any Hadoop file system; idempotent under task retries.
+
+    largest: bytes of the largest record. A file takes as many records as FILE_BYTES holds of that size, one at least, so no
+    file exceeds FILE_BYTES or its one record.
+    """
+    each = max(1, FILE_BYTES // max(1, largest))
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", each).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all WARC files below `path`: key, record_id, record_type, target_uri, date, payload_bytes, payload_digest, refers_to (key).
 
-    Lengths and digests of records with a payload are computed from the bytes read; a revisit carries those that its
-    headers keep. A record whose bytes do not match its declared digest raises ValueError.
+    Header names count in any case. Lengths and digests of records with a payload are computed from the bytes read; a revisit
+    carries those that its headers keep (null where they keep none). Archives of other writers have no keys of ours: the key
+    is then the record id. A record whose payload does not match its declared SHA-256 raises ValueError.
     """
 
     def parse(data: bytes) -> Iterator[tuple]:
@@ -161,18 +205,21 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         while at < size:
             end = data.find(_END, at)
             lines = data[at:end].decode().split("\r\n")
-            head = dict(x.split(": ", 1) for x in lines[1:])
+            head = {n.lower(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:])}
             start = end + len(_END)
-            block = memoryview(data)[start : start + int(head["Content-Length"])]
+            block = data[start : start + int(head["content-length"])]
             at = start + len(block) + len(_END)
-            declared = head["WARC-Payload-Digest"].removeprefix("sha256:")
-            n_bytes, digest = int(head["X-Payload-Length"]), declared
-            if head["WARC-Type"] != "revisit":
-                payload = block[len(block) - n_bytes :]
-                n_bytes, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                if digest != declared:
-                    raise ValueError(f"{head['WARC-Record-ID']}: the payload does not have the declared digest")
-            yield head["X-Source-Key"], head["WARC-Record-ID"], head["WARC-Type"], head["WARC-Target-URI"], head["WARC-Date"], n_bytes, digest, head.get("X-Refers-To-Key")
+            kind, declared = head["warc-type"], head.get("warc-payload-digest", "")
+            n_bytes = int(head["x-payload-length"]) if "x-payload-length" in head else None
+            digest = declared.removeprefix("sha256:") if declared.startswith("sha256:") else None
+            if kind not in ("revisit", "warcinfo"):
+                payload = split_http(block)[1] if head.get("content-type", "").startswith("application/http") else block
+                n_bytes, found = len(payload), hashlib.sha256(payload).hexdigest()
+                if digest not in (None, found):
+                    raise ValueError(f"{head['warc-record-id']}: the payload does not have the declared digest")
+                digest = found
+            own = head["warc-record-id"]
+            yield head.get("x-source-key", own), own, kind, head.get("warc-target-uri"), head["warc-date"], n_bytes, digest, head.get("x-refers-to-key", head.get("warc-refers-to"))
 
     names = ["key", "record_id", "record_type", "target_uri", "date", "payload_bytes", "payload_digest", "refers_to"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
@@ -203,16 +250,20 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null html is an empty payload, null url about:blank (null ids: the empty key, always a response). Empty tables write
     and read an empty archive. Payload texts are never shuffled unless the table of revisits is too large to broadcast by
-    Spark's own threshold. Memory per task is bounded by one archive file of RECORDS_PER_FILE records.
+    Spark's own threshold. Memory per task is bounded by one archive file: FILE_BYTES, or one record.
     """
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    known = materialize(revisits(base.select("page", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("bytes")), min_bytes), "revisits")
+    url_bytes = F.coalesce(F.octet_length("url"), F.lit(0)) * 3
+    digests = materialize(base.select("page", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("bytes"), url_bytes.alias("url_bytes")), "digests")
+    known = materialize(revisits(digests, min_bytes), "revisits")
+    largest = digests.agg(F.max(F.col("bytes") + F.col("url_bytes"))).first()[0] or 0
+    release(digests)
     marked = base.join(known, "page", "left")
     archives = marked.select(F.col("page").alias("key"), arc_archive(F.col("url"), F.col("payload"), F.pmod(F.coalesce("page", F.lit(0)), F.lit(2)) + 1).alias("content"), "refers_to")
     path = new_path(spark, "warc")
-    write_archives(convert(archives, "key", "content", "refers_to"), path)
-    back = read_archives(spark, path)
+    write_archives(convert(archives, "key", "content", "refers_to"), path, largest + HEADER_BYTES)
+    back = read_archives(spark, path).where("record_type <> 'warcinfo'")
     # A page whose URL is not http(s) is archived as a resource; for the pages table that is its own payload, a response.
     kind = F.when(F.col("record_type") == "revisit", "revisit").otherwise("response")
     return back.select(F.when(F.col("key") != "", F.col("key")).cast("long").alias(id_col), "payload_bytes", "payload_digest", kind.alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
