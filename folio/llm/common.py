@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
+_local_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,43 +23,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local mode gets a new folder of
+    its own (tests); a cluster gets a ValueError, as its executors would write to their own disks."""
     found = spark.conf.get(CHECKPOINT_KEY, None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="folio-shared-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+    return _local_dirs.setdefault(spark.conf.get("spark.app.id", ""), tempfile.mkdtemp(prefix="folio-shared-"))
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; what is written there is removed when the driver ends."""
+    """A fresh path below the shared folder; what is still there when the driver ends is removed then."""
     path = f"{shared_dir(spark)}/folio/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 
 
-def materialize(df: DataFrame, label: str, shuffled: bool = False) -> DataFrame:
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    shuffled: the step shuffled texts; its shuffle files are freed before the next step writes its own.
+    Spark removes the step's shuffle files when it has been written. release() removes the table.
     """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, label)
-    df.write.parquet(path)
-    del df
-    if shuffled:
-        free_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps, which it does once nothing in the driver holds their plans.
-
-    Python's garbage holds JVM objects; Py4J hands them back from a thread that looks once a second.
-    """
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
+    with _setting(spark, _SHUFFLE_CLEANUP, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove materialized tables that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            drop_path(df.sparkSession, path)
+            _written[:] = [w for w in _written if w[1] != path]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """A block whose materialized tables are removed at its end, but for those put into the list it is given."""
+    before, kept = {w[1] for w in _written}, []
+    yield kept
+    keep = before | {getattr(df, "_written_at", None) for df in kept}
+    for path in [w[1] for w in _written if w[1] not in keep]:
+        drop_path(spark, path)
+    _written[:] = [w for w in _written if w[1] in keep]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

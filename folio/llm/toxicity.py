@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import free_shuffles, materialize, small_batches
+from folio.llm.common import materialize, release, small_batches
 
 #: Seed terms, words of address, reporting words, negations.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard", "scumbag", "vermin")
@@ -36,9 +36,8 @@ CONTEXT = 5
 #: Labelled rows of each class that terms are learned from, and labelled rows that the classifier is fitted on.
 LEXICON_ROWS, FIT_ROWS = 5_000, 60_000
 #: A learned term or stem stands in so great a share of the toxic rows (and so many rows), its odds are so many times those
-#: in other rows and it stands in at most so great a share of those; a stem has so many letters and so many different words;
-#: so many are learned at most.
-LEXICON_SHARE, LEXICON_LEAST, LEXICON_ODDS, LEXICON_OTHER, STEM_LETTERS, STEM_WORDS, LEXICON_TERMS = 0.015, 4, 30.0, 0.0006, (3, 8), 4, 400
+#: in other rows and it stands in at most so great a share of those; a stem has so many letters and so many different words.
+LEXICON_SHARE, LEXICON_LEAST, LEXICON_ODDS, LEXICON_OTHER, STEM_LETTERS, STEM_WORDS = 0.015, 4, 30.0, 0.0006, (3, 8), 4
 #: A word in so great a share of the other rows (of LEXICON_ROWS at most) is no misspelling.
 OWN_WORD_SHARE = 0.0004
 FEATURES = ("any", "plain", "quoted", "fuzzy_plain", "fuzzy_quoted", "addressed", "negated", "density")
@@ -223,10 +222,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def training_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+def training_labels(labels: DataFrame, id_col: str, label_col: str, label_id_col: str | None = None) -> DataFrame:
     """id, toxic (0.0 or 1.0) of the rows that may be learned from, one per id (the greatest of conflicting labels)."""
-    usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("toxic")).where("id is not null and toxic is not null")
-    return usable.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    own = F.col(label_id_col or id_col).cast("long")
+    usable = labels.select(F.col(id_col).cast("long").alias("id"), own.alias("own"), F.col(label_col).cast("double").alias("toxic")).where("id is not null and toxic is not null")
+    return usable.where(~held_out(F.col("own"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
 
 
 def learn_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[str]]:
@@ -258,7 +258,7 @@ def learn_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -
     other = per_row.where("toxic = 0").groupBy("term").agg(F.count("*").alias("other"))
     counts = candidates.join(other, "term", "left").fillna(0, ["other"])
     odds = ((F.col("toxic") + 0.5) / (n_toxic - F.col("toxic") + 0.5)) / ((F.col("other") + 0.5) / (n_other - F.col("other") + 0.5))
-    best = counts.where((odds >= LEXICON_ODDS) & (F.col("other") <= LEXICON_OTHER * n_other)).orderBy(F.col("toxic").desc(), "term").limit(LEXICON_TERMS)
+    best = counts.where((odds >= LEXICON_ODDS) & (F.col("other") <= LEXICON_OTHER * n_other)).orderBy(F.col("toxic").desc(), "term")
     rows_of = {r["term"]: r["toxic"] for r in best.collect()}
     # Where a longer stem or one word accounts for nearly all of a stem's rows, it is the better term.
     terms = [t for t, n in rows_of.items() if not (t.endswith("*") and any(s not in (t, t[:-1]) and s.startswith(t[:-1]) and m >= 0.9 * n for s, m in rows_of.items()))]
@@ -295,16 +295,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str | None = None) -> DataFrame:
     """id_col, held_out, score, predicted, hits of every row of docs.
 
-    Only the text enters a score. Labels are learned from rows that are not held_out() alone. Null and empty texts have no
+    Only the text enters a score. Labels are learned from rows that are not held_out() alone: by id_col, or by label_id_col
+    of labels, where that names the documents' own ids beside running keys. Null and empty texts have no
     hits and get the score of a text without hits. Repeated rows are scored alike; an empty table gives an empty result.
     Empty labels, or fewer than 20 of a class, leave the seed terms and DEFAULT_WEIGHTS. Columns not named are not read.
     """
-    train = training_labels(labels, id_col, label_col)
+    train = training_labels(labels, id_col, label_col, label_id_col)
     learned, own_words = learn_terms(docs, train, id_col, text_col)
-    free_shuffles(docs.sparkSession)
     found = materialize(find_hits(docs, [*SEED_TERMS, *learned], own_words, id_col, text_col), "hits")
     known = found.select(F.col(id_col).alias("id"), "features").join(train, "id")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("features", "toxic").toPandas()

@@ -55,3 +55,14 @@ def test_shared_and_null_ids(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    odd = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("row_key", "row_key__gone", "spans", "id", "doc", "predicted", "class_id", "kept"))])
+    for _, f in corpus_pipeline.STAGES[:3]:
+        odd = f(spark, odd, SF)
+        assert odd.columns[len(docs.columns) :] == ["row_key", "row_key__gone", "spans", "id", "doc", "predicted", "class_id", "kept"]
+    assert odd.count() > 10
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.limit(0), SF).count() == 0
