@@ -5,10 +5,11 @@ a few of its shingles by a hash of node and shingle, and follows each to the chi
 they share a path; similar sets share one in most runs, dissimilar ones hardly ever below the first level. A walk needs
 nothing but the set itself, so the recursion costs no shuffle until the leaves.
 
-Documents of equal sets are one (copies are counted, not joined). All that meet in a leaf bucket, in any run, form a group
-of candidates, and each group is compared by brute force once, however many buckets its members share: every text travels
-once, small groups share a task, and groups above BLOCK members are compared block by block in tasks of their own. A true
-link is lost only if its ends meet in no run and no chain of other documents ties them together.
+Documents of equal sets are one (copies are counted, not joined). All that meet in a leaf form a bucket, and buckets are
+compared by brute force, large ones block by block in tasks of their own. Two sets that meet in several buckets are compared
+for good in the first of these alone, told from the documents' own lists of buckets: so no pair is counted twice and no list
+of pairs is ever shuffled. A first step over these lists finds who has any pair to compare in a bucket, and only their texts
+travel there. Verified links, and nothing else, are joined to classes. A true link is lost only if its ends meet in no run.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import spans
-from folio.llm.common import materialize, shuffle_width
+from folio.llm.common import materialize, release, shuffle_width
 from folio.llm.components import connected_components
 from folio.llm.factors import word_symbols
 
@@ -35,7 +36,10 @@ DEPTH, BRANCHING, POOL = 3, 1.4, 24
 RUNS = 14
 #: Members of a block of the brute-force comparison, and shingles they may have in all (but one text is never split); a
 #: shingle of more members than DENSE is counted by matrix product.
-BLOCK, BLOCK_SHINGLES, DENSE = 1000, 400_000, 48
+BLOCK, BLOCK_SHINGLES, DENSE = 250, 400_000, 48
+#: Members of buckets that one task looks through for pairs; members of a bucket whose pairs are listed one by one there;
+#: look-ups done at once.
+MEMBERS, FEW, PROBES = 20_000, 32, 2_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,10 +61,12 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
     if len(short):
         whole = [np.uint64(xxhash.xxh3_64_intdigest(symbols[bounds[d] : bounds[d + 1]].tobytes())) for d in short]
         doc, hashes = np.append(doc, short.astype(np.uint64)), np.append(hashes, np.array(whole, np.uint64))
-    key = np.sort(doc << np.uint64(48) | hashes >> np.uint64(16))
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    ends = np.searchsorted(key, np.arange(1, len(texts) + 1, dtype=np.uint64) << np.uint64(48)) if len(texts) < 1 << 16 else None
-    return key & np.uint64((1 << 48) - 1), np.concatenate([[0], ends])
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    if len(doc):
+        new = np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]))
+        doc, hashes = doc[new], hashes[new]
+    return hashes, np.searchsorted(doc, np.arange(len(texts) + 1, dtype=np.uint64))
 
 
 def leaf_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,21 +100,19 @@ def leaf_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _walks(docs: DataFrame) -> DataFrame:
-    """doc, sketch (digest of the set), size, keys (packed leaf keys) of every document."""
+    """doc, sketch (digest of the set), size, keys (of the leaves) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in spans.text_chunks(batches):
             hashes, bounds = shingle_sets(texts)
             doc, key = leaf_keys(hashes, bounds)
-            order = np.lexsort((key, doc))
-            doc, key = doc[order], key[order]
-            edges = np.searchsorted(doc, np.arange(len(texts) + 1))
-            packed = key.tobytes()
-            keys = [packed[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            order = np.argsort(doc, kind="stable")
+            edges = np.searchsorted(doc[order], np.arange(len(texts) + 1)).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(edges), pa.array(key[order].view(np.int64)))
             sketch = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sketch, pa.binary()), pa.array(np.diff(bounds), pa.int64()), pa.array(keys, pa.binary())], names=["doc", "sketch", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sketch, pa.binary()), pa.array(np.diff(bounds), pa.int64()), keys], names=["doc", "sketch", "size", "keys"])
 
-    return docs.mapInArrow(run, "doc long, sketch binary, size long, keys binary")
+    return docs.mapInArrow(run, "doc long, sketch binary, size long, keys array<long>")
 
 
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,49 +135,82 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _meet(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (doc, least doc of its key), and one (key, least doc) for each key."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-    low = doc[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(key) else doc
-    tied = doc != low
-    a, b = _roots(doc[tied], low[tied]) if tied.any() else (doc[:0], doc[:0])
-    return a, b, key[first], doc[first]
-
-
-def _candidate_edges(walks: DataFrame) -> DataFrame:
-    """a, b: edges that tie together all documents that meet in a leaf."""
-    buckets = 2 * shuffle_width(walks.sparkSession)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs = [], []
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            packed = batch.column(1).to_pylist()
-            docs.append(np.repeat(own, [len(p) // 8 for p in packed]))
-            keys.append(np.frombuffer(b"".join(packed), np.uint64))
-        if not keys:
-            return
-        a, b, key, doc = _meet(np.concatenate(keys), np.concatenate(docs))
-        # Documents that meet within the task are tied here; of each key only one goes on.
-        for kind, left, right, spread in ((0, a, b, _mix(a.view(np.uint64))), (1, key.view(np.int64), doc, _mix(key))):
-            bucket = (spread >> np.uint64(33)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(n, left[order[i:j]].tobytes(), right[order[i:j]].tobytes()) for n, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if j > i]
-            if rows:
-                n, x, y = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array([kind] * len(n), pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["bucket", "kind", "x", "y"])
-
-    def meet(rows: pa.Table) -> pa.Table:
-        kind = rows.column("kind").to_pylist()
-        join = lambda name, k: np.frombuffer(b"".join(v for v, t in zip(rows.column(name).to_pylist(), kind, strict=True) if t == k), np.int64)
-        a, b, _, _ = _meet(join("x", 1).view(np.uint64), join("y", 1))
-        a, b = _roots(np.concatenate([a, join("x", 0)]), np.concatenate([b, join("y", 0)]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return walks.select("doc", "keys").mapInArrow(local, "bucket int, kind int, x binary, y binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+class _Meetings:
+    """Rows (a document in a bucket) with the keys of the document's buckets before that one."""
+
+    def __init__(self, lower: pa.Array):
+        edges = np.asarray(lower.offsets, np.int64) - lower.offsets[0].as_py()
+        self.keys, self.code = np.unique(np.asarray(lower.flatten(), np.int64), return_inverse=True)
+        self.edges, self.size = edges, np.diff(edges)
+        self.held = np.repeat(np.arange(len(self.size)), self.size) * max(1, len(self.keys)) + self.code  # ascending: lists are sorted
+
+    def first(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the rows a and b of each pair, of one bucket, meet in no bucket before it."""
+        out = np.ones(len(a), bool)
+        if not len(a) or not len(self.held):
+            return out
+        total = np.cumsum(self.size[a])
+        begin = 0
+        while begin < len(a):
+            done = total[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, done + PROBES, side="right")))
+            x, y = a[begin:end], b[begin:end]
+            count = self.size[x]
+            pair = np.repeat(np.arange(len(x)), count)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.edges[x], count)
+            probe = y[pair] * len(self.keys) + self.code[at]
+            place = np.minimum(np.searchsorted(self.held, probe), len(self.held) - 1)
+            out[begin + pair[self.held[place] == probe]] = False
+            begin = end
+        return out
+
+    def first_between(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """first() of all rows of `left` with all of `right`, as a matrix."""
+        rows = np.concatenate([left, right])
+        count = self.size[rows]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.edges[rows], count)
+        row, (names, column) = np.repeat(np.arange(len(rows)), count), np.unique(self.code[at], return_inverse=True)
+        shared = np.zeros((len(left), len(right)), bool)
+        for i in range(0, len(names), 2048):
+            own = (column >= i) & (column < i + 2048)
+            m = np.zeros((len(rows), min(2048, len(names) - i)), np.float32)
+            m[row[own], column[own] - i] = 1
+            shared |= (m[: len(left)] @ m[len(left) :].T) > 0
+        return ~shared
+
+
+_MEMBER = "doc long, key long, copies long, size long, lower array<long>, large boolean, task long, i int, j int, side int"
+_PASSED = ["doc", "key", "copies", "size", "lower", "large", "task", "i", "j", "side"]
+
+
+def _with_pairs(rows: pa.Table) -> pa.Table:
+    """The rows of a task that have any pair to compare here: one that meets in no bucket before."""
+    key, side = (np.asarray(rows.column(c).to_numpy(), np.int64) for c in ("key", "side"))
+    order = np.lexsort((side, key))
+    rows, key, side = rows.take(pa.array(order)), key[order], side[order]
+    meetings = _Meetings(rows.column("lower").combine_chunks())
+    kept = np.zeros(len(key), bool)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(starts, len(key)))
+    split = bool(len(key)) and rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    few = np.repeat((size <= FEW) & ~split, size)
+    for gap in range(1, FEW):
+        a = np.flatnonzero((key[gap:] == key[:-gap]) & few[gap:])
+        if not len(a):
+            break
+        a = a[meetings.first(a, a + gap)]
+        kept[a] = kept[a + gap] = True
+    for begin, n in zip(starts[(size > FEW) | split].tolist(), size[(size > FEW) | split].tolist(), strict=True):
+        own = np.arange(begin, begin + n)
+        if split:  # two blocks of a large bucket; against an empty one there is nothing to compare
+            left, right = own[side[own] == 0], own[side[own] == 1]
+            pairs = meetings.first_between(left, right)
+        else:
+            left = right = own
+            pairs = np.triu(meetings.first_between(own, own), 1)
+        kept[left] |= pairs.any(axis=1)
+        kept[right] |= pairs.any(axis=0)
+    return rows.select(_PASSED).filter(pa.array(kept))
 
 
 def common_counts(hashes: np.ndarray, bounds: np.ndarray, left: int) -> np.ndarray:
@@ -228,41 +265,42 @@ def _sets_in_chunks(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray
 
 def _compare(rows: pa.Table) -> pa.Table:
     """Links of the documents of one task: doc, links (copies counted), root (least document that its links reach here)."""
-    docs, copies, side = (np.asarray(rows.column(c).to_numpy(), np.int64) for c in ("doc", "copies", "side"))
-    group = np.asarray(rows.column("grp").to_numpy(), np.int64)
+    docs, copies, side, key, size = (np.asarray(rows.column(c).to_numpy(), np.int64) for c in ("doc", "copies", "side", "key", "size"))
     texts = rows.column("text").cast(pa.binary())
+    meetings = _Meetings(rows.column("lower").combine_chunks())
     n_links = np.zeros(len(docs), np.int64)
     ends: list[tuple] = []
-    # A task holds whole small groups, in the order of groups cut into blocks, or two blocks (sides) of one large group.
-    order = np.lexsort((docs, group, side))
-    size = np.asarray(rows.column("size").to_numpy(), np.int64)
-    if side.any() or len(docs) <= BLOCK and size.sum() <= BLOCK_SHINGLES:
-        blocks = [order[side[order] == s] for s in np.unique(side)]
+    # A task holds whole small buckets, in the order of keys cut into blocks, or one or two blocks (sides) of a large one.
+    order = np.lexsort((docs, key, side))
+    split = bool(len(docs)) and rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    if split:
+        work = [(order[side[order] == 0], order[side[order] == 1])]
+        work = [w for w in work if len(w[0]) and len(w[1])]
     else:
         edges = [0]
-        starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+        starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(order) else np.zeros(0, np.int64)
         before = np.append(0, np.cumsum(size[order]))
-        for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=bool(len(starts))):
             if (b - edges[-1] > BLOCK or before[b] - before[edges[-1]] > BLOCK_SHINGLES) and a > edges[-1]:
                 edges.append(a)
-        blocks = [order[a:b] for a, b in zip(edges, [*edges[1:], len(order)], strict=True)]
-    two_sided = bool(side.any())
-    work = [tuple(blocks)] if two_sided and len(blocks) == 2 else [(b,) for b in blocks]
-    # Against an empty block there is nothing to compare; a block meets itself in its own task.
-    if len(docs) and rows.column("i")[0] != rows.column("j")[0] and len(blocks) < 2:
-        work = []
+        work = [(order[a:b],) for a, b in zip(edges, [*edges[1:], len(order)], strict=True)]
     for part in work:
         at = np.concatenate(part)
         hashes, bounds = _sets_in_chunks([texts[int(i)].as_py() for i in at])
-        size = np.diff(bounds)
+        sizes = np.diff(bounds)
         left = len(part[0])
         common = common_counts(hashes, bounds, left)
         shift = 0 if left == len(at) else left
-        total = size[:left, None] + size[None, shift:] - common
+        total = sizes[:left, None] + sizes[None, shift:] - common
         near = DENOMINATOR * common >= NUMERATOR * total
         near &= common > 0
         x, y = np.nonzero(near)
         x, y = at[x], at[y + shift]
+        # Small buckets that stand side by side were compared with each other, too; and each pair counts in its first bucket.
+        same = key[x] == key[y]
+        x, y = x[same], y[same]
+        first = meetings.first(x, y)
+        x, y = x[first], y[first]
         n_links += np.bincount(x, copies[y], len(docs)).astype(np.int64) + np.bincount(y, copies[x], len(docs)).astype(np.int64)
         ends.append((docs[x], docs[y]))
     a, b = _roots(*(np.concatenate(c) for c in zip(*ends, strict=True))) if ends else (docs[:0], docs[:0])
@@ -286,32 +324,39 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a running key in the order of id, text). An empty table gives an empty result; other columns are not read.
     """
     docs = spans.keyed(df, id_col, text_col)
+    width = shuffle_width(df.sparkSession)
     walks = materialize(_walks(docs.select("doc", "text")), "walks")
     sets = materialize(walks.groupBy("sketch").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size")), "sets")
-    leads = walks.join(sets.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    groups = connected_components(_candidate_edges(leads))
-    members = groups.select(F.col("node").alias("rep"), "root").unionByName(groups.select(F.col("root").alias("rep"), "root").distinct())
-    members = materialize(members.join(sets, "rep").select(F.col("rep").alias("doc"), "root", "copies", "size"), "members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    shingles = members.agg(F.sum("size")).first()[0] or 0
-    tasks = max(shuffle_width(df.sparkSession), -(-shingles // (BLOCK_SHINGLES // 3)))
-    blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    leads = materialize(walks.select("doc", "keys").join(sets.select(F.col("rep").alias("doc"), "copies", "size"), "doc"), "leads")
+    # Buckets of one set lead to no pair. The counts are combined map-side; the join splits a key that many sets have.
+    entries = leads.select("doc", "copies", "size", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    met = materialize(entries.join(shared, "key"), "met")
+    release(leads)
+    held = F.sort_array(F.collect_list(F.struct("key", "n", "shingles")))
+    lists = met.groupBy("doc", "copies", "size").agg(held.alias("held")).select("doc", "copies", "size", F.transform("held", lambda h: h["key"]).alias("keys"), F.explode("held").alias("h"))
+    key, blocks = F.col("h.key"), F.ceil(F.greatest(F.col("h.n") / F.lit(BLOCK), F.col("h.shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    members = lists.select("doc", key.alias("key"), "copies", "size", F.filter("keys", lambda k: k < key).alias("lower"), blocks.alias("blocks"))
+    # A small bucket is wholly in one task; block i of a large one meets each other block j in a task of its own.
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    # (task, grp, side): a small group is wholly in one task; block i of a large one meets each other block j in a task of its own.
-    small = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("long").alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
-    large = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((-1 - F.col("root")).alias("task"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own > j, 1).otherwise(0).alias("side")))
-    placed = members.join(sizes, "root").withColumn("blocks", blocks).select("doc", "root", "copies", "size", "blocks", F.explode(F.when(F.col("blocks") > 1, large).otherwise(small)).alias("p"))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
+    cut = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own > j, 1).otherwise(0).alias("side")))
+    dealt = lambda n: F.when(F.col("large"), F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(n)))
+    large = F.col("blocks") > 1
+    placed = members.select("doc", "key", "copies", "size", "lower", large.alias("large"), F.explode(F.when(large, cut).otherwise(whole)).alias("p"))
+    placed = placed.select("doc", "key", "copies", "size", "lower", "large", dealt(max(width, -(-met.count() // MEMBERS))).alias("task"), "p.i", "p.j", "p.side")
+    busy = materialize(placed.groupBy("large", "task", "i", "j").applyInArrow(_with_pairs, _MEMBER), "busy")
+    release(met)
+    shingles = busy.where("not large").agg(F.sum("size")).first()[0] or 0
+    busy_here = busy.withColumn("task", dealt(max(width, -(-shingles // (BLOCK_SHINGLES // 3)))))
     # By a shuffle at every size: the members grow with the corpus.
-    texts = docs.select("doc", "text").join(placed.hint("merge"), "doc").select("doc", F.col("root").alias("grp"), "copies", "size", "text", "p.task", "p.i", "p.j", "p.side")
-    links = materialize(texts.groupBy("task", "i", "j").applyInArrow(_compare, "doc long, links long, root long"), "links")
-    counted = links.groupBy("doc").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.count("*").alias("tasks"))
-    counted = materialize(counted, "counted")
-    split = links.join(counted.where("tasks > 1").select("doc"), "doc", "left_semi").where("doc <> root")
-    if split.limit(1).count():  # a class that several tasks found pieces of
-        joined = connected_components(split.select(F.col("doc").alias("a"), F.col("root").alias("b")))
-        counted = counted.join(joined.select(F.col("node").alias("doc"), F.col("root").alias("whole")), "doc", "left").withColumn("root", F.coalesce("whole", F.when(F.col("tasks") > 1, F.col("doc")).otherwise(F.col("root"))))
-    # A small group's roots are final: the least document of the component.
-    per_set = sets.join(counted.select(F.col("doc").alias("rep"), "links", "root"), "rep", "left")
+    texts = docs.select("doc", "text").join(busy_here.hint("merge"), "doc")
+    links = materialize(texts.groupBy("large", "task", "i", "j").applyInArrow(_compare, "doc long, links long, root long"), "links")
+    release(busy)
+    counted = materialize(links.groupBy("doc").agg(F.sum("links").alias("links")), "counted")
+    classes = connected_components(links.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")))
+    release(links)
+    per_set = sets.join(counted.select(F.col("doc").alias("rep"), "links"), "rep", "left").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left")
     per_set = per_set.select("sketch", "copies", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     out = docs.select("doc", "id").join(walks.select("doc", "sketch").hint("merge"), "doc").join(per_set, "sketch")
     return out.select(
