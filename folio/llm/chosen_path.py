@@ -36,7 +36,7 @@ DEPTH, BRANCHING, POOL = 3, 1.4, 24
 RUNS = 14
 #: Members of a block of the brute-force comparison, and shingles they may have in all (but one text is never split); a
 #: shingle of more members than DENSE is counted by matrix product.
-BLOCK, BLOCK_SHINGLES, DENSE = 250, 400_000, 48
+BLOCK, BLOCK_SHINGLES, DENSE = 500, 400_000, 48
 #: Members of buckets that one task looks through for pairs; members of a bucket whose pairs are listed one by one there;
 #: look-ups done at once.
 MEMBERS, FEW, PROBES = 20_000, 32, 2_000_000
@@ -264,7 +264,7 @@ def _sets_in_chunks(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray
 
 
 def _compare(rows: pa.Table) -> pa.Table:
-    """Links of the documents of one task: doc, links (copies counted), root (least document that its links reach here)."""
+    """Links of the documents of one task that have any: doc, links (copies counted), root (least document that its links reach here)."""
     docs, copies, side, key, size = (np.asarray(rows.column(c).to_numpy(), np.int64) for c in ("doc", "copies", "side", "key", "size"))
     texts = rows.column("text").cast(pa.binary())
     meetings = _Meetings(rows.column("lower").combine_chunks())
@@ -309,7 +309,8 @@ def _compare(rows: pa.Table) -> pa.Table:
     if len(a):
         hit = a[np.minimum(place, len(a) - 1)] == docs
         root[hit] = b[place[hit]]
-    return pa.table({"doc": pa.array(docs), "links": pa.array(n_links), "root": pa.array(root)})
+    linked = np.flatnonzero(n_links)
+    return pa.table({"doc": pa.array(docs[linked]), "links": pa.array(n_links[linked]), "root": pa.array(root[linked])})
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
