@@ -4,12 +4,12 @@ The segments that meet in a shard (see folio.llm.spans) form an indexed referenc
 found by its hash and checked word by word. Each segment is then factored greedily against the block: at the cursor the
 match with another occurrence is extended as far as it goes; the factor's windows are duplicates, and the cursor moves to
 the first window that straddles the factor's end, so nothing at a boundary is missed. All segments of a shard are parsed
-in lockstep, in numpy. Blocks of a split shard exchange digests of their windows.
+in lockstep, in numpy. A segment that stands in the block more than once is a factor as a whole. A large shard is split by
+what its windows hold, so that equal windows still meet in one block, and its parts are parsed like any other.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,24 +135,10 @@ class ReferenceBlock:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-_OUT = "doc long, runs binary, shard int, part int, digests binary, docs binary, starts binary"
-
-
-def _out_table(doc: np.ndarray, run: np.ndarray, merges: list[tuple]) -> pa.Table:
-    plain = spans.by_doc(doc, run, "runs")
-    rows = [(d, r, None, None, None, None, None) for d, r in zip(plain.column("doc").to_pylist(), plain.column("runs").to_pylist(), strict=True)] + [(None, None, *m) for m in merges]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names = [x.strip().split(" ")[0] for x in _OUT.split(",")]
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds, strict=True)})
-
-
 def _shard_task(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        shard, salts = rows.column("shard")[0].as_py(), rows.column("salts")[0].as_py()
         take = lambda t, name: np.asarray(t.column(name).to_numpy(), np.int64)
-        out_doc, out_run = [], []
-        merges = []
+        out_doc, out_run = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if rows.num_rows:
             coded = pc.dictionary_encode(rows.column("segment").combine_chunks())
             code, texts = np.asarray(coded.indices), coded.dictionary.to_pylist()
@@ -169,35 +155,13 @@ def _shard_task(length: int):
             at = row_of[sequence]
             out_doc.append(doc[at])
             out_run.append(spans.pack_run(start[at] + first, size - length + 1))
-            if salts > 1:
-                merges = _window_digests(texts, doc[row_of], start[row_of], length, shard, 4 * salts)
-        return _out_table(np.concatenate(out_doc), np.concatenate(out_run), merges)
+        return spans.by_doc(np.concatenate(out_doc), np.concatenate(out_run), "runs")
 
     return run
 
 
-def _window_digests(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int, shard: int, parts: int) -> list[tuple]:
-    """One entry for each distinct window of a block of a split shard: 128-bit digest and an occurrence, dealt to parts by digest."""
-    first: dict[bytes, tuple[int, int]] = {}
-    for text, doc, start in zip(texts, docs.tolist(), starts.tolist(), strict=True):
-        words = text.split(b" ")
-        for i in range(len(words) - length + 1):
-            first.setdefault(hashlib.blake2b(b" ".join(words[i : i + length]), digest_size=16).digest(), (doc, start + i))
-    dealt: dict[int, list] = {}
-    for digest, place in first.items():
-        dealt.setdefault(int.from_bytes(digest[:4], "little") % parts, []).append((digest, *place))
-    return [(shard, part, b"".join(e[0] for e in found), np.array([e[1] for e in found], np.int64).tobytes(), np.array([e[2] for e in found], np.int64).tobytes()) for part, found in dealt.items()]
-
-
-def _exchange(rows: pa.Table) -> pa.Table:
-    """Windows that more than one block of a split shard holds: their occurrences are duplicates."""
-    join = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
-    digest, doc, start = join("digests", "V16"), join("docs", np.int64), join("starts", np.int64)
-    order = np.argsort(digest)
-    digest, doc, start = digest[order], doc[order], start[order]
-    tied = digest[1:] == digest[:-1]
-    hit = np.append(tied, False) | np.append(False, tied)
-    return spans.by_doc(doc[hit], spans.pack_run(start[hit], np.ones(int(hit.sum()), np.int64)), "runs")
+def _slice_words(segment: bytes, first: int, end: int) -> bytes:
+    return b" ".join(segment.split(b" ")[first:end])
 
 
 def _cutter(length: int, gram: int):
@@ -219,14 +183,15 @@ def repeated_words(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     have none, are documents of their own (repeated rows remove each other). Other columns are not read.
     """
     docs = spans.keyed(df, id_col, text_col)
-    found = spans.repeated_anchors(docs.select("doc", "text"), word_symbols, length, gram)
-    found = materialize(spans.segments(docs.select("doc", "text"), found, _cutter(length, gram)), "segments")
-    parts, split = spans.split_shards(found)
+    texts = docs.select("doc", "text")
+    size = spans.text_bytes(texts)
+    found = spans.repeated_anchors(texts, size, word_symbols, length, gram)
+    found = materialize(spans.segments(texts, size, found, _cutter(length, gram)), "segments")
+    parts = materialize(spans.resplit(found, word_symbols, _slice_words, length, gram), "parts")
     # Written before the texts are shuffled again, so the segments' shuffle files are gone by then.
-    judged = materialize(parts.groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged")
-    runs = judged.where("runs is not null").select("doc", "runs").unionByName(found.where("runs is not null").select("doc", "runs"))
-    if split:
-        runs = runs.unionByName(judged.where("digests is not null").groupBy("shard", "part").applyInArrow(_exchange, "doc long, runs binary"))
+    judged = materialize(parts.where("shard is not null").groupBy("shard", "salt").applyInArrow(_shard_task(length), "doc long, runs binary"), "judged")
+    known = lambda df: df.where("runs is not null").select("doc", "runs")
+    runs = judged.unionByName(known(found)).unionByName(known(parts))
     joined = docs.join(spans.gather_runs(runs), "doc", "left").select("id", "text", "runs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,10 @@ the k-gram in it with the least hash (a minimizer). Equal windows have equal anc
 3. A shard judges its windows (by suffix array or by parsing, see the operators) and returns runs of window starts.
 4. Runs are gathered by document and joined to the texts.
 
-Hot anchors do no harm: in steps 1 and 2 a task hands on one entry for all its equal ones, and shards above SHARD_BYTES
-are split (see split_shards) and merged again by the operators.
+Buckets and shards are counted by the bytes of the texts, so that what one task holds does not grow with the corpus. Hot
+anchors do no harm: in steps 1 and 2 a task hands on one entry for all its equal ones, so a hash has no more entries than
+there are batches; and shards much larger than the others are split, either at random, to be merged by the operator
+(split_shards), or by what their windows hold besides the anchor, so that equal windows still meet (resplit).
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ CHUNK = 1 << 17
 #: Entries of anchors or segments that a task holds before it hands them on.
 FLUSH_ENTRIES = 1_000_000
 FLUSH_SEGMENTS = 200_000
-#: Shards for each shuffle partition: small ones keep the arrays of a Python task within some 100 MB.
-SHARDS_PER_PARTITION = 24
-#: Segment bytes that one group of a shard gets at most, on average; larger shards are split.
-SHARD_BYTES = 1_000_000
+#: Shards and buckets for each shuffle partition at least, and bytes of text for each of them at most, on average: small ones
+#: keep the arrays of a Python task within some 100 MB.
+SHARDS_PER_PARTITION, BUCKETS_PER_PARTITION, SHARD_TEXT, BUCKET_TEXT = 24, 4, 1_000_000, 16_000_000
+#: Segment bytes of a shard above which it is split: so many times the mean of all shards, within these bounds.
+TIMES_MEAN, LEAST_SHARD, SHARD_BYTES = 4, 1 << 16, 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 
@@ -119,12 +122,17 @@ _BLOB = "bucket int, hash binary, doc binary, run binary, kind binary"
 _KNOWN, _ONCE, _SUMMARY = 0, 1, 2
 
 
-def repeated_anchors(docs: DataFrame, symbols_of: Callable, window: int, k: int) -> DataFrame:
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def repeated_anchors(docs: DataFrame, size: int, symbols_of: Callable, window: int, k: int) -> DataFrame:
     """doc, runs array<binary>: the packed runs of each document's anchors that occur again in the corpus.
 
-    docs: doc long, text string. symbols_of(list of texts) -> (symbols, bounds).
+    docs: doc long, text string; size: their text_bytes(). symbols_of(list of texts) -> (symbols, bounds).
     """
-    buckets = 4 * shuffle_width(docs.sparkSession)
+    buckets = max(BUCKETS_PER_PARTITION * shuffle_width(docs.sparkSession), -(-size // BUCKET_TEXT))
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         h, doc, run = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -212,74 +220,137 @@ _NAMES = [x.strip().split(" ")[0] for x in SEGMENTS.split(",")]
 _KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
 
 
-def segments(docs: DataFrame, repeated: DataFrame, cut: Callable) -> DataFrame:
-    """The segments of all repeated anchors: SEGMENTS. A row with `runs` (and no shard) has a document's runs that equal runs,
-    starting earlier, represent.
+class _Pieces:
+    """Segments of a task, equal ones combined: the one that starts first keeps its bytes and is marked `many`."""
 
-    cut(text bytes, starts, counts, shards) -> (segments, their shards). Equal segments of a task are combined: the one that starts
-    first keeps its bytes and is marked `many`.
-    """
-    shards = SHARDS_PER_PARTITION * shuffle_width(docs.sparkSession)
+    def __init__(self):
+        self.held: dict[bytes, list] = {}
+        self.passed: list[list] = [[], [], []]
+
+    def add(self, piece: bytes, doc: int, start: int, count: int, shard: int, many: bool = False) -> None:
+        old = self.held.get(piece)
+        if old is None:
+            self.held[piece] = [doc, start, count, shard, many]
+            return
+        old[4] = True
+        late = (doc, start) if (doc, start) > (old[0], old[1]) else (old[0], old[1])
+        if late != (doc, start):
+            old[0], old[1] = doc, start
+        for column, value in zip(self.passed, (late[0], late[1], count), strict=True):
+            column.append(value)
 
-    def rows(columns: list[list]) -> pa.RecordBatch:
+    def __len__(self) -> int:
+        return len(self.held) + len(self.passed[0]) // 4
+
+    @staticmethod
+    def _rows(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
-        passed: list[list] = [[], [], []]
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        found = list(self.held.items())
+        if found:
+            yield self._rows([[v[3] for _, v in found], [v[0] for _, v in found], [v[1] for _, v in found], [v[2] for _, v in found], [v[4] for _, v in found], [s for s, _ in found], [None] * len(found)])
+        if self.passed[0]:
+            doc, start, count = (np.asarray(c, np.int64) for c in self.passed)
+            known = by_doc(doc, pack_run(start, count), "runs")
+            n = known.num_rows
+            yield self._rows([[None] * n, known.column("doc").to_pylist(), *([None] * n for _ in range(4)), known.column("runs").to_pylist()])
+        self.held.clear()
+        for c in self.passed:
+            c.clear()
+
+
+def segments(docs: DataFrame, size: int, repeated: DataFrame, cut: Callable) -> DataFrame:
+    """The segments of all repeated anchors: SEGMENTS. A row with `runs` (and no shard) has a document's runs that equal runs,
+    starting earlier, represent.
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = list(held.items())
-            if found:
-                yield rows([[v[3] for _, v in found], [v[0] for _, v in found], [v[1] for _, v in found], [v[2] for _, v in found], [v[4] for _, v in found], [s for s, _ in found], [None] * len(found)])
-            if passed[0]:
-                doc, start, count = (np.asarray(c, np.int64) for c in passed)
-                known = by_doc(doc, pack_run(start, count), "runs")
-                n = known.num_rows
-                yield rows([[None] * n, known.column("doc").to_pylist(), *([None] * n for _ in range(4)), known.column("runs").to_pylist()])
-            held.clear()
-            for c in passed:
-                c.clear()
+    size: text_bytes() of docs. cut(text bytes, starts, counts, shards) -> (segments, their shards). Equal segments of a task
+    are combined.
+    """
+    shards = max(SHARDS_PER_PARTITION * shuffle_width(docs.sparkSession), -(-size // SHARD_TEXT))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _Pieces()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for i in range(batch.num_rows):
                 doc = batch.column(0)[i].as_py()
                 packed = np.frombuffer(b"".join(batch.column(2)[i].as_py()), np.int64)
                 start, count = unpack_run(np.sort(packed))
-                pieces, shard = cut(texts[i].as_py(), start, count, shards)
-                for piece, s, c, where in zip(pieces, start.tolist(), count.tolist(), shard, strict=True):
-                    old = held.get(piece)
-                    if old is None:
-                        held[piece] = [doc, s, c, where, False]
-                        continue
-                    old[4] = True
-                    late = (doc, s) if (doc, s) > (old[0], old[1]) else (old[0], old[1])
-                    if late != (doc, s):
-                        old[0], old[1] = doc, s
-                    for column, value in zip(passed, (late[0], late[1], c), strict=True):
-                        column.append(value)
-            if len(held) + len(passed[0]) // 4 >= FLUSH_SEGMENTS:
-                yield from flush()
-        yield from flush()
+                found, shard = cut(texts[i].as_py(), start, count, shards)
+                for piece, s, c, where in zip(found, start.tolist(), count.tolist(), shard.tolist(), strict=True):
+                    pieces.add(piece, doc, s, c, where)
+            if len(pieces) >= FLUSH_SEGMENTS:
+                yield from pieces.flush()
+        yield from pieces.flush()
 
     return docs.join(repeated, "doc").select("doc", "text", "runs").mapInArrow(run, SEGMENTS)
 
 
-def split_shards(parts: DataFrame) -> tuple[DataFrame, bool]:
-    """`parts` with a column `salt`: shards of more than SHARD_BYTES are dealt out to groups of about that size.
+def with_salts(parts: DataFrame, growth: int = 1) -> DataFrame:
+    """The segments of `parts` (a written table of SEGMENTS) with a column `salts`: into how many groups their shard is split.
 
-    parts: a written table of SEGMENTS. The sizes are one row per shard, of which there are SHARDS_PER_PARTITION per shuffle partition.
+    A shard is split if it is much larger than the mean (TIMES_MEAN) or than SHARD_BYTES; growth: how many times its bytes the
+    pieces have. The shards' sizes are joined, not collected: those that are split are few, and Spark broadcasts them if its
+    own threshold allows it.
     """
     parts = parts.where("shard is not null")
-    sizes = parts.groupBy("shard").agg(F.sum(F.octet_length("segment") + 16).alias("bytes"))
-    sizes = sizes.select("shard", F.ceil(F.col("bytes") / F.lit(SHARD_BYTES)).cast("int").alias("salts"))
-    large = [(r["shard"], r["salts"]) for r in sizes.where("salts > 1").collect()]
-    if not large:
-        return parts.withColumns({"salt": F.lit(0), "salts": F.lit(1)}), False
-    few = F.create_map(*[F.lit(x) for pair in large for x in pair])
-    salts = F.coalesce(F.element_at(few, F.col("shard")), F.lit(1))
-    return parts.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.col("salts")).cast("int")), True
+    sizes = materialize(parts.groupBy("shard").agg(F.sum(F.octet_length("segment") + 16).alias("bytes")), "sizes")
+    mean = sizes.agg(F.avg("bytes")).first()[0] or 0.0
+    most = max(1, min(SHARD_BYTES, max(LEAST_SHARD, TIMES_MEAN * mean)))
+    split = sizes.where(F.col("bytes") > most).select("shard", F.ceil(F.col("bytes") * growth / most).cast("int").alias("salts"))
+    return parts.join(split, "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+
+def split_shards(parts: DataFrame) -> DataFrame:
+    """with_salts() and a column `salt`: large shards are dealt out by hash, so that equal windows may fall into several groups."""
+    return with_salts(parts).withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc", "start"), F.col("salts"))).otherwise(0).cast("int"))
+
+
+#: Times the bytes of a segment that its pieces have, about: a piece has fewer windows for its last one's length.
+PIECES_GROWTH = 4
+
+
+def resplit(parts: DataFrame, symbols_of: Callable, slice_of: Callable, window: int, k: int) -> DataFrame:
+    """SEGMENTS with a column `salt`: large shards are split by content, so that equal windows still meet.
+
+    All windows of a segment share the least gram, its anchor. Here they are told apart by the least gram that is another: a
+    segment is cut where it changes, and its hash tells the group. Equal pieces of a task are combined as in segments().
+    slice_of(segment, first, end) -> the bytes of these symbols.
+    """
+    salted = with_salts(parts, PIECES_GROWTH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[tuple[int, int], _Pieces] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (_, salt), own in pieces.items():
+                for out in own.flush():
+                    yield out.append_column("salt", pa.array([salt] * out.num_rows, pa.int32()))
+            pieces.clear()
+
+        held = 0
+        for batch in batches:
+            for shard, doc, start, many, segment, salts in zip(*(batch.column(n).to_pylist() for n in ("shard", "doc", "start", "many", "segment", "salts")), strict=True):
+                grams = _gram_hashes(symbols_of([segment])[0], k) >> np.uint64(20)
+                w = window - k + 1
+                rest = np.where(grams == grams[:w].min(), np.uint64((1 << 44) - 1), grams)
+                least = _sliding_min(rest, w)
+                first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+                salt = ((least[first] * _MUL >> np.uint64(33)) % np.uint64(salts)).tolist()
+                for a, b, s in zip(first.tolist(), [*first[1:].tolist(), len(least)], salt, strict=True):
+                    own = pieces.setdefault((shard, s), _Pieces())
+                    own.add(slice_of(segment, a, b + window - 1), doc, start + a, b - a, shard, many)
+                    held += 1
+            if held >= FLUSH_SEGMENTS:
+                yield from flush()
+                held = 0
+        yield from flush()
+
+    columns = [n for n in _NAMES if n != "runs"]
+    small = salted.where("salts = 1").select(*columns, F.lit(None).cast("binary").alias("runs"), F.lit(0).alias("salt"))
+    large = salted.where("salts > 1").select(*columns, "salts").mapInArrow(run, SEGMENTS + ", salt int")
+    return small.unionByName(large)
 
 
 # --- step 4: runs back to texts -------------------------------------------------------------------------------------

@@ -3,8 +3,9 @@
 A shard's segments get one suffix array (Larsson-Sadakane: groups that are still tied are refined by the ranks at double
 the depth, all in numpy) and its common prefixes (Kasai's walk in text order, in lockstep over the segments). Suffixes
 that share `length` bytes stand together; of each such group the start that comes first in the corpus stays, all others
-are repeats. Shards that were split are merged by binary search in their sorted windows. See folio.llm.spans for how
-segments come to shards and results to texts.
+are repeats. Equal segments are combined before that, in the task that cuts them and in the shard: the first one goes into
+the suffix array, the others repeat as a whole. Shards that were split are merged by binary search in their sorted windows,
+dealt to tasks by content. See folio.llm.spans for how segments come to shards and results to texts.
 """
 
 from __future__ import annotations
@@ -196,13 +197,13 @@ def _sorted_windows(texts: list[bytes], segment: np.ndarray, place: np.ndarray,
     """The windows of one group of a split shard that come first in it, dealt to parts by content, each part sorted."""
     offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    view = np.lib.stride_tricks.sliding_window_view(data, length)[offset[segment] + place]
-    mix = (np.arange(1, length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    part = ((view.astype(np.uint64) * mix).sum(axis=1) >> np.uint64(40)) % np.uint64(parts)
+    at = offset[segment] + place
+    view = np.lib.stride_tricks.sliding_window_view(data, length)
+    part = (spans._gram_hashes(_SYMBOLS[data], length)[at] >> np.uint64(40)) % np.uint64(parts)
     out = []
     for p in np.unique(part):
         own = np.flatnonzero(part == p)
-        windows = np.ascontiguousarray(view[own]).view(f"V{length}").ravel()
+        windows = np.ascontiguousarray(view[at[own]]).view(f"V{length}").ravel()
         order = np.argsort(windows)
         own = own[order]
         out.append((shard, int(p), windows[order].tobytes(), docs[segment[own]].tobytes(), (starts[segment] + place)[own].tobytes()))
@@ -264,14 +265,14 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     an id, or have none, are documents of their own, ordered by id (nulls last), then text. Other columns are not read.
     """
     docs = spans.keyed(df, id_col, text_col)
-    found = spans.repeated_anchors(docs.select("doc", "text"), _symbols_of, length, gram)
-    found = materialize(spans.segments(docs.select("doc", "text"), found, _cutter(length, gram)), "segments")
-    parts, split = spans.split_shards(found)
+    texts = docs.select("doc", "text")
+    size = spans.text_bytes(texts)
+    found = spans.repeated_anchors(texts, size, _symbols_of, length, gram)
+    found = materialize(spans.segments(texts, size, found, _cutter(length, gram)), "segments")
     # Written before the texts are shuffled again, so the segments' shuffle files are gone by then.
-    judged = materialize(parts.groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged")
-    runs = judged.where("runs is not null").select("doc", "runs").unionByName(found.where("runs is not null").select("doc", "runs"))
-    if split:
-        runs = runs.unionByName(judged.where("windows is not null").groupBy("shard", "part").applyInArrow(_merge_task(length), "doc long, runs binary"))
+    judged = materialize(spans.split_shards(found).groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged")
+    merged = judged.where("windows is not null").groupBy("shard", "part").applyInArrow(_merge_task(length), "doc long, runs binary")
+    runs = judged.where("runs is not null").select("doc", "runs").unionByName(found.where("runs is not null").select("doc", "runs")).unionByName(merged)
     joined = docs.join(spans.gather_runs(runs), "doc", "left").select("id", "text", "runs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

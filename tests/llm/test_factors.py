@@ -59,6 +59,8 @@ def test_edges_of_copies(spark):
 @pytest.mark.parametrize("size", [2500])
 def test_split_shards(spark, monkeypatch, size):
     monkeypatch.setattr(spans, "SHARD_BYTES", size)
+    monkeypatch.setattr(spans, "LEAST_SHARD", 0)
+    monkeypatch.setattr(spans, "TIMES_MEAN", 1)
     rows = noisy(150, 200, 8, 5)
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 12, 4)
 

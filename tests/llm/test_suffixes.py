@@ -62,6 +62,8 @@ def test_small_alphabet_and_long_runs(spark):
 @pytest.mark.parametrize("size", [3000])
 def test_split_shards_merge(spark, monkeypatch, size):
     monkeypatch.setattr(spans, "SHARD_BYTES", size)
+    monkeypatch.setattr(spans, "LEAST_SHARD", 0)
+    monkeypatch.setattr(spans, "TIMES_MEAN", 1)
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ") for _ in range(600))
     rows = {}
