@@ -126,12 +126,16 @@ class VectorPacker:
         return out
 
 
+def _slices(runs: list[str]) -> Iterator[list[str]]:
+    return (runs[i : i + RUNS_AT_ONCE] for i in range(0, len(runs), RUNS_AT_ONCE))
+
+
 class WordTokenizer:
     """Ids of whole texts by a `tokenizers` file whose tokens never cross white space: words are encoded once and remembered.
 
     The file's special tokens (none has white space in it) count as such where their strings stand in a text, as the library
     does by default. A new word of letters, perhaps with punctuation behind, is split there (the file's own pattern does so,
-    too). New runs of letters are encoded many at a time in one string; the tokens' offsets tell which run each belongs to.
+    too). New runs of letters are encoded many at a time in one string, in which each token's run is known.
     All other words are encoded by themselves.
     """
 
@@ -142,6 +146,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(data)
+        # With a suffix, every pre-token ends in one token that has it.
+        vocabulary, suffix = self.model.get_vocab(), json.loads(data)["model"].get("end_of_word_suffix") or ""
+        self.suffixed = bool(suffix)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.lowers = '"Lowercase"' in json.dumps(json.loads(data).get("normalizer"))
         self.words: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {}
@@ -152,37 +161,40 @@ class WordTokenizer:
             yield np.asarray(encoded.ids, "<u4").tobytes()
 
     def _learn_runs(self, runs: list[str]) -> None:
-        for i in range(0, len(runs), RUNS_AT_ONCE):
-            part = runs[i : i + RUNS_AT_ONCE]
+        # Letters of ASCII are one pre-token each, whatever the normalizer does to them; others are told apart by offsets.
+        plain = [run for run in runs if run.isascii()] if self.suffixed else []
+        for part in _slices(plain):
+            ids = np.asarray(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            self._keep(part, ids, np.append(0, np.flatnonzero(self.ends_word[ids]) + 1))
+        for part in _slices([run for run in runs if not run.isascii()] if self.suffixed else runs):
             encoded = self.model.encode(" ".join(part), add_special_tokens=False)
-            packed = np.asarray(encoded.ids, "<u4").tobytes()
             places = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
-            starts = np.cumsum([0, *(len(run) + 1 for run in part)])
-            edges = 4 * np.searchsorted(places, starts)
-            for run, a, b in zip(part, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                self.runs[run] = packed[a:b]
+            self._keep(part, np.asarray(encoded.ids, "<u4"), np.searchsorted(places, np.cumsum([0, *(len(run) + 1 for run in part)])))
+
+    def _keep(self, runs: list[str], ids: np.ndarray, edges: np.ndarray) -> None:
+        packed, at = ids.tobytes(), (4 * edges).tolist()
+        self.runs.update((run, packed[a:b]) for run, a, b in zip(runs, at[:-1], at[1:], strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        split, rest, runs = [], [], set()
+        alone, marked, rest = [], [], []  # letters alone, letters with marks behind, all others
         for word in words:
             if word.isalpha():
-                run, marks = word, ""
-            elif (found := self._LETTERS_THEN_MARKS.fullmatch(word)) and unicodedata.category(found[2][0])[0] != "M":
-                run, marks = found.groups()  # a combining mark could join the letter before
+                alone.append(word)
+                continue
+            found = self._LETTERS_THEN_MARKS.fullmatch(word)
+            # A combining mark could join the letter before.
+            if found and (word.isascii() or unicodedata.category(found[2][0])[0] != "M"):
+                marked.append((word, *found.groups()))
             else:
                 rest.append(word)
-                continue
-            run = run.lower() if self.lowers and run.isascii() else run
-            split.append((word, run, marks))
-            if run not in self.runs:
-                runs.add(run)
-            if marks and marks not in self.words:
-                rest.append(marks)
-        self._learn_runs(list(runs))
-        self.words.update(zip(rest, self._alone(rest), strict=True))
-        known = self.words
-        for word, run, marks in split:
-            known[word] = self.runs[run] + known[marks]
+        lower = (lambda run: run.lower() if run.isascii() else run) if self.lowers else str
+        runs = list(map(lower, alone)) + [lower(run) for _, run, _ in marked]
+        self._learn_runs([run for run in set(runs) if run not in self.runs])
+        known, get = self.words, self.runs.__getitem__
+        rest += {marks for _, _, marks in marked if marks not in known}
+        known.update(zip(rest, self._alone(rest), strict=True))
+        known.update(zip(alone, map(get, runs), strict=False))
+        known.update((word, get(run) + known[marks]) for (word, _, marks), run in zip(marked, runs[len(alone) :], strict=True))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text, with the end id."""
