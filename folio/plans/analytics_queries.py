@@ -485,19 +485,19 @@ def _latex_source():
 def x55(t: Tables):
     from folio.functions import latex
 
-    return latex.spoken(t["documents"].select("doc_id", _latex_source().alias("source")), "source").select("doc_id", F.sha2("spoken.body", 256).alias("body_sha"), F.col("spoken.title").alias("title"), F.size("spoken.authors").alias("n_authors"))
+    return latex.spoken(t.spread("documents").select("doc_id", _latex_source().alias("source")), "source").select("doc_id", F.sha2("spoken.body", 256).alias("body_sha"), F.col("spoken.title").alias("title"), F.size("spoken.authors").alias("n_authors"))
 
 
 @query("X56_hybrid_scripts", None)
 def x56(t: Tables):
-    return t["documents"].select("doc_id", F.char_length(scripts.hybrid_column(_latex_source())).alias("n"))
+    return t.spread("documents").select("doc_id", F.char_length(scripts.hybrid_column(_latex_source())).alias("n"))
 
 
 @query("X57_model_scripts", None)
 def x57(t: Tables):
-    return scripts.full_script(t["documents"].select("doc_id", _latex_source().alias("source")), "doc_id", "source").select("doc_id", F.char_length("script").alias("n"), "chunks", "input_chars")
+    return scripts.full_script(t.spread("documents").select("doc_id", _latex_source().alias("source")), "doc_id", "source").select("doc_id", F.char_length("script").alias("n"), "chunks", "input_chars")
 
 
 @query("A20_element_counts", "SELECT 'figure' AS kind, count(*) AS n FROM documents")
 def a20(t: Tables):
-    return t["documents"].select(F.explode(scripts.elements_column(_latex_source())).alias("e")).groupBy("e.kind").agg(F.count("*").alias("n"))
+    return t.spread("documents").select(F.explode(scripts.elements_column(_latex_source())).alias("e")).groupBy("e.kind").agg(F.count("*").alias("n"))

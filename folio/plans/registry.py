@@ -21,6 +21,11 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return adapters.logical(self.spark, self.sf_dir, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """The table over all cores: one that lies in fewer partitions (a small file) is dealt out, for queries that work hard on each row."""
+        df, cores = self[name], self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
 def query(name: str, sql: str | None = None, *tables: str):
     """Register the decorated function of Tables; sql is its oracle over the logical tables named."""

@@ -1,7 +1,7 @@
 """Boolean full-text search: query language, match predicate, BM25 rank, index upkeep.
 
-A query is parsed once on the driver into groups of terms; documents are tokenised once into postings. Matching is a
-predicate on token arrays; ranking joins a few term counts to the hits. Precedence: a negated part binds to the last
+A query is parsed once on the driver into groups of terms. Matching and ranking count each term in the folded text, natively
+and without arrays of tokens; a table of postings is kept up by deltas. Precedence: a negated part binds to the last
 alternative only; words side by side bind tighter than OR.
 """
 
@@ -100,30 +100,28 @@ _MARKED = "".join(c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.nor
 _BASE = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
 
 
-def tokens(*fields: Column) -> Column:
-    """Tokens of all fields, lower case and without diacritics, with a gap between fields."""
-    word = lambda f: F.filter(F.split(F.lower(F.translate(F.coalesce(f, F.lit("")), _MARKED, _BASE)), r"(?U)[\W_]+"), lambda t: t != "")
-    return F.flatten(F.array(*[F.concat(word(f), F.array(F.lit(GAP))) for f in fields]))
+def folded(*fields: Column) -> Column:
+    """The text of all fields, lower case and without diacritics, with a gap between fields."""
+    return F.concat_ws(GAP, *[F.lower(F.translate(F.coalesce(f, F.lit("")), _MARKED, _BASE)) for f in fields])
 
 
-def occurrences(tokens_col: Column, term: Term) -> Column:
-    """How often a term occurs: prefix matches of a word, runs of a phrase (a word of several tokens is a phrase whose last token is a prefix)."""
+#: A token of a folded text; where one begins, where one ends, and what stands between two of a field (not the gap).
+_TOKEN, _BEGIN, _END, _BETWEEN = r"(?U)[^\W_]+", r"(?<![^\W_])", r"(?![^\W_])", r"[\W_&&[^\x1f]]+"
+
+
+def tokens(field: Column) -> Column:
+    """The tokens of one field."""
+    return F.regexp_extract_all(folded(field), F.lit(_TOKEN), 0)
+
+
+def occurrences(text: Column, term: Term) -> Column:
+    """How often a term occurs in a folded text: prefix matches of a word, runs of a phrase (a word of several tokens is a
+    phrase whose last token is a prefix). Runs may overlap."""
     words = fold(term.value)
     if not words:
         return F.lit(0)
-    last_is_prefix = not term.phrase
-    if len(words) == 1:
-        hit = (lambda t: t.startswith(words[0])) if last_is_prefix else (lambda t: t == words[0])
-        return F.size(F.filter(tokens_col, hit))
-
-    def starts(t: Column, i: Column) -> Column:
-        parts = [t == words[0]]
-        for k, w in enumerate(words[1:], 1):
-            at = F.get(tokens_col, i + k)
-            parts.append(at.startswith(w) if last_is_prefix and k == len(words) - 1 else at == w)
-        return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
-
-    return F.size(F.filter(tokens_col, starts))
+    run = _BETWEEN.join(words) + (_END if term.phrase else "")
+    return F.regexp_count(text, F.lit(f"(?U){_BEGIN}(?={run})"))
 
 
 def _groups(terms: list[Term]) -> list[list[int]]:
@@ -143,9 +141,9 @@ def search(documents: DataFrame, query: str, id_col: str, fields: list[str], lim
     groups = _groups(terms)
     if not groups:
         return documents.select(id_col, F.lit(0.0).alias("rank")).limit(0)
-    counted = documents.select(id_col, tokens(*[F.col(f) for f in fields]).alias("toks"))
-    columns = {f"c{i}": occurrences(F.col("toks"), t) for i, t in enumerate(terms) if not t.alternative}
-    counted = counted.select(id_col, (F.size("toks") - len(fields)).alias("len"), *[c.alias(n) for n, c in columns.items()])
+    counted = documents.select(id_col, folded(*[F.col(f) for f in fields]).alias("folded"))
+    columns = {f"c{i}": occurrences(F.col("folded"), t) for i, t in enumerate(terms) if not t.alternative}
+    counted = counted.select(id_col, F.regexp_count("folded", F.lit(_TOKEN)).alias("len"), *[c.alias(n) for n, c in columns.items()])
     # Corpus figures: one row, so it is broadcast; the documents are read once more, but nothing of them is shuffled.
     positive = sorted({i for g in groups for i in g})
     facts = counted.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"n{i}") for i in positive])
@@ -178,7 +176,7 @@ def postings(documents: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """The inverted index: id_col, field, pos, term."""
     out = None
     for f in fields:
-        one = documents.select(id_col, F.lit(f).alias("field"), F.posexplode(F.filter(tokens(F.col(f)), lambda t: t != GAP)).alias("pos", "term"))
+        one = documents.select(id_col, F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("pos", "term"))
         out = one if out is None else out.unionByName(one)
     return out
 

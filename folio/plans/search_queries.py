@@ -24,17 +24,17 @@ def _bm25(terms: list[str]) -> str:
 
 @query("F3_boolean_match", f"SELECT id FROM ({_DOCS}) d WHERE len(list_filter(list_concat(a, b), lambda t: starts_with(t, 'ent'))) > 0 OR len(list_filter(list_concat(a, b), lambda t: starts_with(t, 'ment'))) > 0 AND len(list_filter(list_concat(a, b), lambda t: starts_with(t, 'ou'))) = 0", "papers")
 def f3(t: Tables):
-    return search.search(t["papers"], "ent OR ment -ou", "id", ["title", "abstract"]).select("id")
+    return search.search(t.spread("papers"), "ent OR ment -ou", "id", ["title", "abstract"]).select("id")
 
 
 @query("F4_bm25", _bm25(["the", "er"]), "papers")
 def f4(t: Tables):
-    return search.search(t["papers"], "the er", "id", ["title", "abstract"]).select("id", F.round("rank", 6).alias("rank"))
+    return search.search(t.spread("papers"), "the er", "id", ["title", "abstract"]).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query("F5_phrase_in_field", f"SELECT id FROM ({_DOCS}) d WHERE contains(' ' || array_to_string(a, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string(b, ' ') || ' ', ' of the ')", "papers")
 def f5(t: Tables):
-    return search.search(t["papers"], '"of the"', "id", ["title", "abstract"]).select("id")
+    return search.search(t.spread("papers"), '"of the"', "id", ["title", "abstract"]).select("id")
 
 
 @query("F6_index_upkeep", f"SELECT id, len({_TOK.format('CASE WHEN seq % 10 = 1 THEN concat(abstract, {0}) ELSE abstract END').replace('{0}', chr(39) + ' new words' + chr(39))}) AS n FROM papers WHERE seq % 10 <> 2 AND len({_TOK.format('abstract')}) > 0", "papers")

@@ -56,7 +56,7 @@ def _on_documents(name: str, step, body: str, before: str, after: str, want_befo
     @query(name, sql)
     def run(t: Tables):
         source = _around(before, _prose() if body == "prose" else _plain(), after)
-        return t["documents"].select("doc_id", (step(source) if native else latex.passed(source, step)).alias("text"))
+        return t.spread("documents").select("doc_id", (step(source) if native else latex.passed(source, step)).alias("text"))
 
 
 _on_documents("X1_expand_macros", latex.expand_macros, "plain", "\\newcommand{\\ours}{\\textbf{Name}\\xspace}\\newcommand{\\long}{\\frac{1}{2}}", " \\ours{} \\oursx \\long", "\\newcommand{Name}{\\textbf{Name}\\xspace}\\newcommand{\\long}{\\frac{1}{2}}", " Name{} \\oursx \\long")
@@ -93,39 +93,39 @@ _on_documents("X53_legacy_braces", lambda s: latex.Scanner(s).first("author"), "
 @query("X35_model_artifacts", f"SELECT doc_id, trim('x Bold see  ours. ' || {_PROSE_SQL}) || chr(10) || chr(10) || 'end' AS text FROM documents")
 def x35(t: Tables):
     raw = _around("\\(x\\) **Bold** see \\ref{a} \\ours. ", _prose(), "\nI'm sorry, I cannot.\nThis concludes it.\nend")
-    return t["documents"].select("doc_id", F.regexp_replace(scripts.without_model_artifacts_column(raw), " +\n", "\n").alias("text"))
+    return t.spread("documents").select("doc_id", F.regexp_replace(scripts.without_model_artifacts_column(raw), " +\n", "\n").alias("text"))
 
 
 @query("X34_pdf_to_speech", f"SELECT doc_id, CASE WHEN length({_PROSE_SQL}) + 66 >= 200 THEN 'Abstract Words ' || {_PROSE_SQL} || CASE WHEN {_PROSE_SQL} = '' THEN 'end.' ELSE ' end.' END END AS text FROM documents")
 def x34(t: Tables):
     source = _around("Some Good Title Here\nAuthors\nAbstract\nWords ", _prose(), " end.\nReferences\n[1] x\n2\n")
-    return t["documents"].select("doc_id", pdf.spoken(source, F.lit("Some Good Title Here")).alias("text"))
+    return t.spread("documents").select("doc_id", pdf.spoken(source, F.lit("Some Good Title Here")).alias("text"))
 
 
 @query("A22_line_classes", "SELECT doc_id, 'data,prose,data,page number' AS kinds FROM documents")
 def a22(t: Tables):
     lines = F.split(_around("1.5 2% x 3\nProse ", _prose(), "\nhttps://x.y\n- 7 -"), "\n")
-    return t["documents"].select("doc_id", F.array_join(F.transform(lines, pdf.line_class), ",").alias("kinds"))
+    return t.spread("documents").select("doc_id", F.array_join(F.transform(lines, pdf.line_class), ",").alias("kinds"))
 
 
 @query("A23_running_title_removed", f"SELECT doc_id, repeat('x', 500) || ' A ' || {_PROSE_SQL} || '  b  c' AS text FROM documents")
 def a23(t: Tables):
     source = _around("x" * 500 + " A ", _prose(), " The Odd Zq Name b the odd zq name c")
-    return t["documents"].select("doc_id", pdf.without_running_title(source, F.lit("The Odd Zq Name Of It")).alias("text"))
+    return t.spread("documents").select("doc_id", pdf.without_running_title(source, F.lit("The Odd Zq Name Of It")).alias("text"))
 
 
 @query("X13_metadata", "SELECT doc_id, 'Paper ' || CAST(doc_id AS STRING) || ': Sub' AS title, CASE WHEN doc_id % 2 = 0 THEN 'May 2020' ELSE 'March 2024' END AS date, 'Ann, Bob' AS authors FROM documents")
 def x13(t: Tables):
     date = F.when(F.col("doc_id") % 2 == 0, "May 2020").otherwise("\\today")
     source = F.concat(F.lit("\\title{Paper \\emph{"), F.col("doc_id").cast("string"), F.lit("}}\\subtitle{Sub}\\author{Ann\\thanks{x}\\and Bob\\and a@b.c\\and Ann}\\date{"), date, F.lit("}\\begin{document}"), _plain())
-    s = latex.spoken(t["documents"].select("doc_id", source.alias("source"), F.lit("2403.12345v1").alias("stem")), "source", "stem")
+    s = latex.spoken(t.spread("documents").select("doc_id", source.alias("source"), F.lit("2403.12345v1").alias("stem")), "source", "stem")
     return s.select("doc_id", "spoken.title", "spoken.date", F.array_join("spoken.authors", ", ").alias("authors"))
 
 
 @query("X52_legacy_metadata", "SELECT doc_id, 'Untitled' AS title, 'Unknown Author' AS author FROM documents")
 def x52(t: Tables):
     both = latex.passed(_plain(), lambda s: json.dumps([(m := latex.metadata(s, no_author="Unknown Author"))["title"], m["authors"][0]]))
-    return t["documents"].select("doc_id", F.get_json_object(both, "$[0]").alias("title"), F.get_json_object(both, "$[1]").alias("author"))
+    return t.spread("documents").select("doc_id", F.get_json_object(both, "$[0]").alias("title"), F.get_json_object(both, "$[1]").alias("author"))
 
 
 def _formula(name: str, formula: str, want: str, step=speech.speak) -> None:
@@ -157,7 +157,7 @@ def x9(t: Tables):
 @query("X45_captions_and_figures", "SELECT doc_id, 'figure' AS kind, 'Cap ' || CAST(doc_id AS STRING) AS caption, 'f.png' AS figures, 'FIGURE_001' AS element_id FROM documents UNION ALL SELECT doc_id, 'table', 'T', '', 'TABLE_001' FROM documents")
 def x45(t: Tables):
     source = F.concat(_plain(), F.lit("\\begin{table}\\caption{T}\\label{x}\\end{table}\\begin{figure}\\includegraphics[w]{f.png}\\caption[s]{Cap \\textbf{"), F.col("doc_id").cast("string"), F.lit("}}\\end{figure}"))
-    e = t["documents"].select("doc_id", F.explode(scripts.elements_column(source)).alias("e"))
+    e = t.spread("documents").select("doc_id", F.explode(scripts.elements_column(source)).alias("e"))
     return e.select("doc_id", "e.kind", "e.caption", F.array_join("e.figures", ",").alias("figures"), "e.element_id")
 
 
@@ -165,25 +165,25 @@ def x45(t: Tables):
 def x58(t: Tables):
     source = _around("", _plain(), "\\begin{figure}\\caption{Cap}\\end{figure}\\begin{table}x\\end{table}$$a=b$$")
     tell = lambda s: "|".join(f"{k}={v}" for k, v in sorted(scripts.describe(scripts.extract_elements(s)[1]).items(), key=lambda x: ("FTD".index(x[0][0]), x[0])))
-    return t["documents"].select("doc_id", latex.passed(source, tell).alias("told"))
+    return t.spread("documents").select("doc_id", latex.passed(source, tell).alias("told"))
 
 
 @query("D4_elements_of_a_document", "SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest([1, 2, 3]) FROM documents) x")
 def d4(t: Tables):
     source = _around("$$a$$", _plain(), "\\begin{figure}x\\end{figure}\\[b\\]")
-    return t["documents"].select("doc_id", F.explode(scripts.elements_column(source))).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return t.spread("documents").select("doc_id", F.explode(scripts.elements_column(source))).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query("D7_hybrid_guard", "SELECT doc_id, 'Too little.' AS text FROM documents")
 def d7(t: Tables):
     # Nothing but an element and two words is left of the source, so the plain cleaning is given.
     source = F.concat(F.lit("\\begin{document}Too little.\\begin{figure}\\caption{"), _prose(), F.lit("}\\end{figure}\\end{document}"))
-    return t["documents"].select("doc_id", scripts.hybrid_column(source).alias("text"))
+    return t.spread("documents").select("doc_id", scripts.hybrid_column(source).alias("text"))
 
 
 @query("D1_model_callable", f"SELECT doc_id, upper({_PROSE_SQL}) AS script, CAST(CASE WHEN {_PROSE_SQL} = '' THEN NULL ELSE 1 END AS BIGINT) AS chunks FROM documents WHERE {_PROSE_SQL} <> ''")
 def d1(t: Tables):
-    return scripts.full_script(t["documents"].select("doc_id", _prose().alias("source")), "doc_id", "source", lambda prompt, granted: prompt.upper()).select("doc_id", "script", "chunks")
+    return scripts.full_script(t.spread("documents").select("doc_id", _prose().alias("source")), "doc_id", "source", lambda prompt, granted: prompt.upper()).select("doc_id", "script", "chunks")
 
 
 @query("D2_voices", "SELECT id, provider, CAST(ceil(script_char_count / chunk) AS BIGINT) AS chunks, round(script_char_count * rate, 6) AS cost FROM papers CROSS JOIN (VALUES " + ", ".join(f"('{p}', {c}.0, {r})" for p, c, r, _ in K.SPEECH) + ") v(provider, chunk, rate)", "papers")
@@ -204,7 +204,7 @@ def x23(t: Tables):
 @query("X54_legacy_speech", f"SELECT doc_id, 'Given.' || chr(10) || chr(10) || 'One.' || chr(10) || chr(10) || 'Prose ' || {_PROSE_SQL} || CASE WHEN {_PROSE_SQL} = '' THEN 'end.' ELSE ' end.' END AS text FROM documents")
 def x54(t: Tables):
     source = _around("\\begin{document}\\section{One}Prose ", _prose(), " end.\\end{document}")
-    s = latex.spoken(t["documents"].select("doc_id", source.alias("source")), "source")
+    s = latex.spoken(t.spread("documents").select("doc_id", source.alias("source")), "source")
     title = F.when(F.col("spoken.title") != "Untitled", F.col("spoken.title")).otherwise(F.lit("Given"))
     return s.select("doc_id", F.concat(T.with_period(title), F.lit("\n\n"), F.col("spoken.body")).alias("text"))
 
@@ -238,7 +238,7 @@ def _archive(rows: pd.Series, numbers: pd.Series) -> pd.Series:
 
 def _archives(t: Tables):
     made = F.pandas_udf("binary")(_archive)
-    return t["documents"].select(F.col("doc_id").cast("string").alias("path"), made(_plain(), F.col("doc_id")).alias("content"))
+    return t.spread("documents").select(F.col("doc_id").cast("string").alias("path"), made(_plain(), F.col("doc_id")).alias("content"))
 
 
 _EXPANDED = f"'\\documentclass{{a}}\\begin{{document}}' || {_PLAIN_SQL} || '\\end{{document}}'"
@@ -264,13 +264,13 @@ def s6(t: Tables):
 def s16(t: Tables):
     a = _archives(t).withColumn("content", F.when(F.col("path").cast("long") % 2 == 0, F.col("content")))
     tex = archives.latex_texts(archives.members(a)).withColumnRenamed("text", "tex")
-    other = t["documents"].select(F.col("doc_id").cast("string").alias("path"), _plain().alias("other"))
+    other = t.spread("documents").select(F.col("doc_id").cast("string").alias("path"), _plain().alias("other"))
     return tex.join(other, "path").select("path", archives.first_parsed(F.col("tex"), F.col("other")).alias("text"))
 
 
 @query("S11_page_texts", f"SELECT doc_id, 'one' || chr(10) || chr(10) || {_PLAIN_SQL} AS text FROM documents")
 def s11(t: Tables):
-    return t["documents"].select("doc_id", archives.join_pages(F.array(F.lit("one"), _plain())).alias("text"))
+    return t.spread("documents").select("doc_id", archives.join_pages(F.array(F.lit("one"), _plain())).alias("text"))
 
 
 @query("S17_appended_rows", "SELECT count(*) + (SELECT count(*) FROM ratings) AS n, count(DISTINCT id) AS ids FROM ratings", "ratings")
@@ -291,17 +291,17 @@ def _asked() -> Column:
 @query("F1_parsed_queries", "SELECT doc_id, '\"' || lang || ' x\"|-' || source || '|w' || CAST(doc_id AS STRING) || '|OR|-\"b c\"|y' AS terms FROM documents")
 def f1(t: Tables):
     shown = lambda q: "|".join("OR" if x.alternative else "-" * x.negated + (f'"{x.value}"' if x.phrase else x.value) for x in search.parse(q))
-    return t["documents"].select("doc_id", latex.passed(_asked(), shown).alias("terms"))
+    return t.spread("documents").select("doc_id", latex.passed(_asked(), shown).alias("terms"))
 
 
 @query("F2_match_expressions", "SELECT doc_id, '\"' || lang || ' x\" \"w' || CAST(doc_id AS STRING) || '\"* OR \"y\"* NOT (\"' || source || '\"* OR \"b c\")' AS expression FROM documents")
 def f2(t: Tables):
-    return t["documents"].select("doc_id", latex.passed(_asked(), lambda q: search.match_expression(search.parse(q))).alias("expression"))
+    return t.spread("documents").select("doc_id", latex.passed(_asked(), lambda q: search.match_expression(search.parse(q))).alias("expression"))
 
 
 @query("F7_feed_expressions", "SELECT doc_id, 'all:\"' || lang || ' x\" ANDNOT all:' || source || ' AND all:w' || CAST(doc_id AS STRING) || ' ANDNOT all:\"b c\" AND all:y' AS expression FROM documents")
 def f7(t: Tables):
-    return t["documents"].select("doc_id", latex.passed(_asked(), lambda q: search.feed_expression(search.parse(q))).alias("expression"))
+    return t.spread("documents").select("doc_id", latex.passed(_asked(), lambda q: search.feed_expression(search.parse(q))).alias("expression"))
 
 
 @query("F8_query_route", "SELECT id, title FROM papers WHERE seq = 42", "papers")
