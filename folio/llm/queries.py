@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import bpe, chat, chosen_path, collision, factors, fingerprint, packing, suffixes, toxicity, warc
-from folio.llm.common import table
+from folio.llm.common import spread, table
 
 
 def op1_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op1_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies and its number of links."""
-    return chosen_path.similar_documents(table(spark, sf_dir, "documents"))
+    return chosen_path.similar_documents(spread(table(spark, sf_dir, "documents")))
 
 
 OP3_SQL = r"""
@@ -49,19 +49,19 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_equal, 0) +
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
-    coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode_and_decode(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the labels of rows that are not held out."""
-    out = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = toxicity.score_documents(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
@@ -132,7 +132,7 @@ FROM f
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes that strings of 100 bytes repeat."""
-    out = suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
+    out = suffixes.repeated_bytes(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -168,7 +168,7 @@ SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans,
 
 def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words that windows of 35 words repeat."""
-    out = factors.repeated_words(table(spark, sf_dir, "documents"))
+    out = factors.repeated_words(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
