@@ -28,14 +28,14 @@ SPEECH = [("elevenlabs", 5000, 0.0003, 15), ("openai", 2000, 0.000015, 20), ("go
 VOICE_TIERS = [("plus3", "Premium", 3, 3.0), ("plus2", "Studio", 2, 10.0), ("plus1", "Enhanced", 1, 1.25), ("base", "Standard", 0, 1.25)]
 
 
-def accumulated(versions: DataFrame) -> DataFrame:
+def accumulated(versions: DataFrame, keys: Sequence[str] = ("paper_id",)) -> DataFrame:
     """Per paper, over all its versions: cost and latency in all, and the model of the last version that has one.
 
     Costs are added as decimals of 12 places, so that the sum does not depend on the order of the rows.
     """
     named = F.when(F.col("scripter_mode").isNotNull(), F.col("id"))
     cost = F.sum(F.col("llm_cost").cast("decimal(28,12)")).cast("double")
-    return versions.groupBy("paper_id").agg(cost.alias("cost"), F.sum("script_latency_ms").alias("tokens"), F.max_by("scripter_mode", named).alias("model"))
+    return versions.groupBy(*keys).agg(cost.alias("cost"), F.sum("script_latency_ms").alias("tokens"), F.max_by("scripter_mode", named).alias("model"))
 
 
 def price_table(spark: SparkSession) -> DataFrame:

@@ -126,13 +126,11 @@ def a19(t: Tables):
     return grouped.select("paper_id", F.aggregate(F.slice("s", 2, 1 << 30), F.get("s", F.lit(0)), lambda a, x: (a + x) / 2).alias("folded"))
 
 
-@query("A21_cost_accumulator", "SELECT paper_id, sum(llm_cost) AS cost, CAST(sum(script_latency_ms) AS BIGINT) AS tokens, last(scripter_mode ORDER BY id) FILTER (scripter_mode IS NOT NULL) AS model FROM narration_versions GROUP BY paper_id HAVING count(*) = 1", "narration_versions")
+@query("A21_cost_accumulator", "SELECT paper_id, narration_tier, CAST(sum(CAST(llm_cost AS DECIMAL(28, 12))) AS DOUBLE) AS cost, CAST(sum(script_latency_ms) AS BIGINT) AS tokens, last(scripter_mode ORDER BY id) FILTER (scripter_mode IS NOT NULL) AS model FROM narration_versions GROUP BY paper_id, narration_tier", "narration_versions")
 def a21(t: Tables):
-    agg = t["narration_versions"].groupBy("paper_id").agg(F.sum("llm_cost").alias("cost"), F.sum("script_latency_ms").alias("tokens"), F.max_by("scripter_mode", F.when(F.col("scripter_mode").isNotNull(), F.col("id"))).alias("model"), F.count("*").alias("n"))
-    return agg.where("n = 1").drop("n")
+    return K.accumulated(t["narration_versions"], ["paper_id", "narration_tier"])
 
 
-# A21_cost_accumulator is held to papers of one version by its SQL; this is the accumulator over all of them.
 @query("A21_cost_totals", "SELECT paper_id, CAST(sum(CAST(llm_cost AS DECIMAL(28, 12))) AS DOUBLE) AS cost, CAST(sum(script_latency_ms) AS BIGINT) AS tokens, last(scripter_mode ORDER BY id) FILTER (scripter_mode IS NOT NULL) AS model FROM narration_versions GROUP BY paper_id", "narration_versions")
 def a21_totals(t: Tables):
     return K.accumulated(t["narration_versions"])
