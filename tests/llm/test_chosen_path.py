@@ -119,3 +119,14 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in parent if find(x) != x}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shared_boilerplate_makes_no_class(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = {}
+    for i in range(80):  # half of each text is the same passage: they meet in many buckets, but are not similar
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+        docs[i] = f"{passage} {own}"
+    docs |= {100 + i: docs[i] + " end" for i in range(5)}
+    check(spark, docs)

@@ -76,3 +76,11 @@ def test_three_limits_at_once(spark):
 
 def test_crc32_is_sparks(spark):
     assert spark.sql("select crc32(X'0102FF') c").first()["c"] == zlib.crc32(b"\x01\x02\xff") == packing.crc32(b"\x01\x02\xff")
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "one two"), (None, None), (7, "three"), (7, "three"), (7, "")]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), FILE).collect()
+    want = sorted((r[0] or 0, len(whole_text_ids(r[1]))) for r in rows)
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in out if r["start"] == 0) == want
+    assert sum(r["length"] for r in out) == sum(n for _, n in want)
