@@ -57,6 +57,11 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def shuffles_removed(spark: SparkSession):
+    """A block whose actions leave no shuffle files: Spark removes those of an action when it ends."""
+    return _setting(spark, _SHUFFLE_CLEANUP, "true")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
 
@@ -64,7 +69,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, label)
-    with _setting(spark, _SHUFFLE_CLEANUP, "true"):
+    with shuffles_removed(spark):
         df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._written_at = path

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, release, small_batches
+from folio.llm.common import materialize, release, shuffles_removed, small_batches
 
 #: Seed terms, words of address, reporting words, negations.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard", "scumbag", "vermin")
@@ -245,6 +245,7 @@ def learn_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -
     sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = sizes.get(1.0, 0), sizes.get(0.0, 0)
     if n_toxic < 20 or n_other < 20:
+        release(own)
         return [], []
     stems = lambda w: F.transform(F.sequence(F.lit(STEM_LETTERS[0]), F.least(F.char_length(w), F.lit(STEM_LETTERS[1]))), lambda n: F.struct(F.concat(F.substring(w, F.lit(1), n), F.lit("*")).alias("term"), w.alias("word")))
     both = F.transform("words", lambda w: F.concat(F.array(F.struct(w.alias("term"), w.alias("word"))), stems(w)))
@@ -277,6 +278,7 @@ def learn_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -
 
     common = other.where(~F.col("term").endswith("*") & (F.col("other") >= max(1.0, OWN_WORD_SHARE * n_other)))
     own_words = common.where(resembles("term")).orderBy(F.col("other").desc(), "term").collect()
+    release(own)
     return terms, [r["term"] for r in own_words]
 
 
@@ -304,7 +306,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Empty labels, or fewer than 20 of a class, leave the seed terms and DEFAULT_WEIGHTS. Columns not named are not read.
     """
     train = training_labels(labels, id_col, label_col, label_id_col)
-    learned, own_words = learn_terms(docs, train, id_col, text_col)
+    with shuffles_removed(docs.sparkSession):
+        learned, own_words = learn_terms(docs, train, id_col, text_col)
     found = materialize(find_hits(docs, [*SEED_TERMS, *learned], own_words, id_col, text_col), "hits")
     known = found.select(F.col(id_col).alias("id"), "features").join(train, "id")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("features", "toxic").toPandas()
