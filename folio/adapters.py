@@ -77,9 +77,10 @@ TABLES: dict[str, str] = {
                CASE WHEN l_linestatus = 'O' THEN concat('c', CAST(year(l_shipdate) AS STRING)) END AS parser_commit, l_shipdate AS scored_at
         FROM {lineitem}""",
     "parser_versions": """
-        SELECT p_brand AS commit_hash, CASE WHEN p_size % 2 = 0 THEN 'regex' ELSE 'llm' END AS tier,
-               TIMESTAMP '2001-10-01 00:00:00' + (min(p_partkey) % 40) * INTERVAL '1' DAY AS registered_at
-        FROM {part} GROUP BY p_brand, CASE WHEN p_size % 2 = 0 THEN 'regex' ELSE 'llm' END""",
+        SELECT commit_hash, tier, TIMESTAMP '2001-10-01 00:00:00' + (min(p_partkey) % 40) * INTERVAL '1' DAY AS registered_at
+        FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN concat('c', CAST(1992 + p_size % 11 AS STRING)) ELSE p_brand END AS commit_hash,
+                     CASE WHEN p_partkey % 2 = 0 THEN 'base' ELSE 'plus1' END AS tier FROM {part}) p
+        GROUP BY commit_hash, tier""",
     "training_rows": """
         SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS id, p_brand AS provider_model,
                l_extendedprice AS latex_char_count, l_linenumber AS figure_count, p_retailprice AS tar_bytes, l_quantity * 100 AS script_char_count,

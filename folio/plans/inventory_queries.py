@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.adapters import AS_OF, SCORES_AS_OF
-from folio.functions import latex, rules
+from folio.functions import latex, pdf, rules
 from folio.functions import text as T
 from folio.operators import catalog as C
 from folio.operators import cost as K
@@ -71,7 +71,12 @@ def j7(t: Tables):
     return b.join(Q.current(b).select("mode", "period"), ["mode", "period"]).select("id")
 
 
-@query("J8_unscored_parsers", f"SELECT commit_hash, tier FROM parser_versions p WHERE registered_at >= {_D} - INTERVAL '90' DAY AND NOT EXISTS (SELECT 1 FROM narration_scores s WHERE s.parser_commit = p.commit_hash)", "parser_versions", "narration_scores")
+@query(
+    "J8_unscored_parsers",
+    f"""SELECT commit_hash, tier FROM (SELECT *, CASE WHEN tier = 'base' THEN 'regex' ELSE 'llm' END AS m FROM parser_versions) p WHERE registered_at >= {_D} - INTERVAL '90' DAY
+        AND NOT EXISTS (SELECT 1 FROM ({_BASE}) b WHERE b.period = p.commit_hash AND b.mode = p.m AND b.scored_at >= {_D} - INTERVAL '90' DAY)""",
+    *_SCORED, "parser_versions",
+)
 def j8(t: Tables):
     return Q.unscored(base(t), t["parser_versions"], SCORES_AS_OF).select("commit_hash", "tier")
 
@@ -141,9 +146,18 @@ def a22(t: Tables):
     return t["documents"].select("doc_id", F.size(F.filter(F.split("text", " "), lambda w: w.rlike("^[0-9.,±]+%?$"))).alias("numbers"))
 
 
-@query("A23_running_title", "SELECT doc_id, CAST(len(regexp_extract_all(substr(lower(text), 501), 'the')) AS INTEGER) AS n FROM documents")
+_HEAD = "array_to_string(string_split_regex(trim(title), '\\s+')[1:4], ' ')"
+_TAIL_OF = "substr(abstract, 501)"
+
+
+@query(
+    "A23_running_title",
+    f"""SELECT id, CASE WHEN len(string_split_regex(trim(title), '\\s+')) >= 3 AND len(regexp_extract_all({_TAIL_OF}, '(?i)' || regexp_escape({_HEAD}))) >= 2
+          THEN substr(abstract, 1, 500) || regexp_replace({_TAIL_OF}, '(?i)' || regexp_escape({_HEAD}), '', 'g') ELSE abstract END AS text FROM papers""",
+    "papers",
+)
 def a23(t: Tables):
-    return t["documents"].select("doc_id", F.regexp_count(F.substring(F.lower("text"), 501, 1 << 30), F.lit("the")).alias("n"))
+    return t["papers"].select("id", pdf.without_running_title(F.col("abstract"), F.col("title")).alias("text"))
 
 
 @query("W3_newest_script", "SELECT paper_id, first(id ORDER BY created_at DESC, id DESC) AS id FROM narration_versions WHERE scripter_mode IS NOT NULL GROUP BY paper_id", "narration_versions")
@@ -213,7 +227,7 @@ def m16(t: Tables):
     return t["papers"].where("status = 'narrated'").join(best, "id", "left").select("id", "best")
 
 
-@query("M18_register_once", "SELECT DISTINCT p_brand AS commit_hash, CASE WHEN p_size % 2 = 0 THEN 'regex' ELSE 'llm' END AS tier FROM part")
+@query("M18_register_once", "SELECT commit_hash, tier FROM parser_versions", "parser_versions")
 def m18(t: Tables):
     old = t["parser_versions"].select("commit_hash", "tier")
     return S.insert_absent(old, old.where("commit_hash like '%1'"), ["commit_hash", "tier"])
@@ -236,10 +250,10 @@ def m23(t: Tables):
     return t["papers"].select("id", F.when(F.col("id") == "7", F.lit(123)).otherwise(F.col("script_char_count")).alias("script_char_count"))
 
 
-@query("M24_playlist_append", "SELECT list_id, paper_id, position FROM list_items WHERE list_id IN (3, 5) UNION ALL SELECT l.id, 'extra', coalesce(max(i.position), -1) + 1 FROM lists l LEFT JOIN list_items i ON i.list_id = l.id WHERE l.id IN (3, 5) GROUP BY l.id", "lists", "list_items")
+@query("M24_playlist_append", "SELECT list_id, paper_id, position FROM list_items UNION ALL SELECT l.id, 'extra', coalesce(max(i.position), -1) + 1 FROM lists l LEFT JOIN list_items i ON i.list_id = l.id WHERE l.id IN (3, 5) GROUP BY l.id", "lists", "list_items")
 def m24(t: Tables):
-    items = t["list_items"].where("list_id in (3, 5)")
-    return S.append_items(items, t["lists"].where("id in (3, 5)").select(F.col("id").alias("list_id"), F.lit(0).alias("seq"), F.lit("extra").alias("paper_id")))
+    chosen = t["lists"].where("id in (3, 5)").select(F.col("id").alias("list_id"), F.lit(0).alias("seq"), F.lit("extra").alias("paper_id"))
+    return S.append_items(t["list_items"], chosen)
 
 
 @query("X19_complexity", "SELECT id, CAST(2 * (seq % 3) + seq % 4 + greatest(0, seq % 3 * 5 + seq % 4 * 2 - 50) // 20 AS BIGINT) AS score FROM papers", "papers")
