@@ -1,12 +1,12 @@
 """Toxicity scores from misspelling-tolerant lexicon hits in context (operator 5).
 
 The lexicon (seed terms, and terms and stems learned from labelled rows) is a trie; a stem, written `stem*`, stands for all
-words that begin with it, and the words it was learned from stand beside it, so that their misspellings count too. The Levenshtein automata of all its terms are run
-at once over the trie: a state is the set of (trie node, edits so far) that a token's letters can have reached, and the
-deterministic transitions between states are built when first needed and kept, so a token costs a few look-ups and most die
-after three letters. A hit is scored in its window of tokens: quotation marks around it or a reporting word before it speak
-for quotation, words of address for abuse. A logistic regression over these counts, fitted on a bounded sample of labelled
-rows, gives the score.
+words that begin with it, and the words it was learned from stand beside it, so that their misspellings count, too. The
+Levenshtein automata of all its terms are run at once over the trie: a state is the set of (trie node, edits so far) that a
+token's letters can have reached, and the deterministic transitions between states are built when first needed and kept, so
+a token costs a few look-ups and most die after three letters. A hit is scored in its window of tokens: quotation marks
+around it or a reporting word before it speak for quotation, words of address for abuse. A logistic regression over these
+counts, fitted on a bounded sample of labelled rows, gives the score.
 """
 
 from __future__ import annotations
