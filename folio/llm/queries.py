@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, chosen_path, collision, factors, fingerprint, packing, suffixes, toxicity, warc
+from folio.llm import bpe, chat, chosen_path, collision, factors, fingerprint, merkle, packing, suffixes, toxicity, warc
 from folio.llm.common import spread, table
 
 
@@ -192,6 +193,69 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(list_transform(kept, l
 """
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest of all, with the leaves of a fifth presented as tampered."""
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf([*columns[:4], lowered]))
+    rows = docs.select("doc_id", "source", merkle.leaf(columns).alias("leaf"), tampered.alias("presented"))
+    return merkle.manifest(rows, "source", "doc_id", "leaf", "presented").drop("source", "presented")
+
+
+#: crc32 as DuckDB SQL has none: the table-free form, folded over the decimal digits of an id.
+_CRC32 = """(
+  list_reduce(list_prepend(4294967295, list_transform(range(1, length({s}) + 1), lambda i: CAST(ascii(substr({s}, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [1, 2, 3, 4, 5, 6, 7, 8]), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+OP11_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text,
+         coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents
+), l AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered,
+         xor({crc}, 4294967295) % 5 = 0 AS tampered
+  FROM f
+), p AS (
+  SELECT *, 1 + dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS nodes FROM l
+), up(tree, lvl, pos, nodes, digest) AS (
+  SELECT tree, 0, pos, nodes, leaf FROM p
+  UNION ALL SELECT tree, lvl + 1, pos // 16, (nodes + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE nodes > 1 GROUP BY tree, lvl, pos // 16, nodes
+), s AS (
+  SELECT tree, lvl, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS nodes FROM up WHERE nodes = 1
+), above(lvl, pos, nodes, digest) AS (
+  SELECT 0, pos, nodes, digest FROM s
+  UNION ALL SELECT lvl + 1, pos // 16, (nodes + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM above WHERE nodes > 1 GROUP BY lvl, pos // 16, nodes
+), n AS (
+  SELECT tree, lvl, pos, nodes, digest FROM up UNION ALL SELECT 0, lvl, pos, nodes, digest FROM above
+), r AS (
+  SELECT tree, lvl, pos // 16 AS run, string_agg(digest, '' ORDER BY pos) AS digests FROM n WHERE nodes > 1 GROUP BY ALL
+), e AS (  -- a leaf's runs: those of its own tree, then those of the tree of sources
+  SELECT p.doc_id, p.tree, r.lvl AS step, CAST(p.pos // CAST(16 ** r.lvl AS BIGINT) % 16 AS BIGINT) AS place, digests
+  FROM p JOIN r ON r.tree = p.tree AND r.run = p.pos // CAST(16 ** (r.lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT p.doc_id, p.tree, s.lvl + r.lvl, CAST(s.pos // CAST(16 ** r.lvl AS BIGINT) % 16 AS BIGINT), digests
+  FROM p JOIN s ON s.tree = p.tree JOIN r ON r.tree = 0 AND r.run = s.pos // CAST(16 ** (r.lvl + 1) AS BIGINT)
+), w AS (
+  SELECT doc_id, step, substr(digests, 1, 64 * place) AS before, substr(digests, 64 * place + 65) AS after FROM e
+), proofs AS (
+  SELECT doc_id, string_agg(before || after, '' ORDER BY step) AS proof FROM w GROUP BY doc_id
+), folded(doc_id, step, digest) AS (
+  SELECT doc_id, 0, CASE WHEN tampered THEN lowered ELSE leaf END FROM p
+  UNION ALL SELECT f.doc_id, f.step + 1, sha256(before || digest || after) FROM folded f JOIN w ON w.doc_id = f.doc_id AND w.step = f.step
+), z AS (
+  SELECT doc_id, arg_max(digest, step) AS folded_root FROM folded GROUP BY doc_id
+), root AS (
+  SELECT digest AS root FROM above WHERE nodes = 1
+)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN s ON s.tree = p.tree JOIN z ON z.doc_id = p.doc_id LEFT JOIN proofs ON proofs.doc_id = p.doc_id, root
+""".replace("{crc}", _CRC32.format(s="CAST(doc_id AS VARCHAR)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
     return {
@@ -205,9 +269,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_suffixes": op9_suffixes,
         "op10_factors": op10_factors,
+        "op11_merkle": op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the numbered queries that SQL expresses."""
-    return {"op3_chosen_path": OP3_SQL, "op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op9_suffixes": OP9_SQL, "op10_factors": OP10_SQL}
+    return {"op3_chosen_path": OP3_SQL, "op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op9_suffixes": OP9_SQL, "op10_factors": OP10_SQL, "op11_merkle": OP11_SQL}
