@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, chosen_path, collision, factors, fingerprint, merkle, packing, suffixes, toxicity, warc
+from folio.llm import bpe, chat, chosen_path, collision, factors, fingerprint, merkle, packing, suffixes, toxicity, urlfilter, warc
 from folio.llm.common import spread, table
 
 
@@ -256,6 +256,35 @@ FROM p JOIN s ON s.tree = p.tree JOIN z ON z.doc_id = p.doc_id LEFT JOIN proofs
 """.replace("{crc}", _CRC32.format(s="CAST(doc_id AS VARCHAR)"))
 
 
+#: The rules of op12: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host and path, the rule that fits its URL, and the verdict; URLs under no listed key are allowed."""
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"))
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(pages, rules).drop("url")
+
+
+OP12_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM u
+), p AS (
+  SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h
+), r(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), f AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+  FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN f ON f.page_id = p.page_id AND f.k = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
     return {
@@ -270,9 +299,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffixes": op9_suffixes,
         "op10_factors": op10_factors,
         "op11_merkle": op11_merkle,
+        "op12_url_filter": op12_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the numbered queries that SQL expresses."""
-    return {"op3_chosen_path": OP3_SQL, "op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op9_suffixes": OP9_SQL, "op10_factors": OP10_SQL, "op11_merkle": OP11_SQL}
+    return {"op3_chosen_path": OP3_SQL, "op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op9_suffixes": OP9_SQL, "op10_factors": OP10_SQL, "op11_merkle": OP11_SQL, "op12_url_filter": OP12_SQL}
