@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, chosen_path, collision, factors, fingerprint, merkle, packing, suffixes, toxicity, urlfilter, warc
+from folio.llm import bpe, chat, chosen_path, collision, factors, fingerprint, merkle, packing, suffixes, toxicity, urlfilter, variants, warc
 from folio.llm.common import spread, table
 
 
@@ -285,6 +285,41 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 """
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents with its near words, the form it is a variant of, and that chain's root."""
+    return variants.variants(variants.words_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (  -- the table of the polynomial, by its rule
+  SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t
+), r AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), d AS (
+  SELECT id, run, count(*) AS k, list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM r WHERE length(run) >= 7 GROUP BY id, run
+), h AS (
+  SELECT run, k, coalesce(xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295), 1) AS h FROM d, crc
+), w AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), x AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), p AS (
+  SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, w.word FROM x JOIN w ON w.word = x.cut
+  UNION SELECT w.word, x.word FROM x JOIN w ON w.word = x.cut
+), g AS (
+  SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS near, max(n) AS near_n FROM p JOIN w ON w.word = p.b GROUP BY a
+), f AS (
+  SELECT word, CASE WHEN near_n >= 10 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM w LEFT JOIN g ON a = word
+), c(word, leads_to, depth) AS (
+  SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON f.word = c.leads_to WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, arg_max(leads_to, depth) AS root, n, n_near, form_n FROM f JOIN c ON c.word = f.word GROUP BY ALL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries by name."""
     return {
@@ -300,9 +335,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_factors": op10_factors,
         "op11_merkle": op11_merkle,
         "op12_url_filter": op12_url_filter,
+        "op13_variants": op13_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the numbered queries that SQL expresses."""
-    return {"op3_chosen_path": OP3_SQL, "op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op9_suffixes": OP9_SQL, "op10_factors": OP10_SQL, "op11_merkle": OP11_SQL, "op12_url_filter": OP12_SQL}
+    return {"op3_chosen_path": OP3_SQL, "op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op9_suffixes": OP9_SQL, "op10_factors": OP10_SQL, "op11_merkle": OP11_SQL, "op12_url_filter": OP12_SQL, "op13_variants": OP13_SQL}
