@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.adapters import AS_OF, SCORES_AS_OF
-from folio.functions import latex, pdf, rules
+from folio.functions import latex, pdf
 from folio.functions import text as T
 from folio.operators import catalog as C
 from folio.operators import cost as K
@@ -358,4 +358,4 @@ def x3(t: Tables):
 
 @query("X51_bracket_specs", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('[ht] ' || text || ' [1, 2; 3] [lc|r] [see note]', '\[[htbpH!]+\]', '', 'g'), '\[\d+([,; \t\n\x0B\f\r]*\d+)*\]', '', 'g'), '\[[lcr|p]+\]', '', 'g') AS text FROM documents")
 def x51(t: Tables):
-    return t["documents"].select("doc_id", rules.column(F.concat(F.lit("[ht] "), "text", F.lit(" [1, 2; 3] [lc|r] [see note]")), latex.BRACKETS).alias("text"))
+    return t["documents"].select("doc_id", latex.without_specifications_column(F.concat(F.lit("[ht] "), "text", F.lit(" [1, 2; 3] [lc|r] [see note]"))).alias("text"))

@@ -1,14 +1,15 @@
-"""Boolean full-text search: query language, match predicate, BM25 rank, index upkeep.
+"""Boolean full-text search: query language, match predicate, BM25 rank.
 
-A query is parsed once on the driver into groups of terms. Matching and ranking count each term in the folded text, natively
-and without arrays of tokens; a table of postings is kept up by deltas. Precedence: a negated part binds to the last
-alternative only; words side by side bind tighter than OR.
+A query is parsed once on the driver into groups of terms. Tables with an index are searched by search_index.py; search() counts
+each term in the folded texts, natively and without arrays of tokens. Precedence: a negated part binds to the last alternative
+only; words side by side bind tighter than OR.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -124,43 +125,56 @@ def occurrences(text: Column, term: Term) -> Column:
     return F.regexp_count(text, F.lit(f"(?U){_BEGIN}(?={run})"))
 
 
-def _groups(terms: list[Term]) -> list[list[int]]:
+def groups(terms: list[Term]) -> list[list[int]]:
     """Positions of positive terms: alternatives, each a list of terms that must all match."""
-    groups: list[list[int]] = [[]]
+    out: list[list[int]] = [[]]
     for i, t in enumerate(terms):
         if t.alternative:
-            groups.append([])
+            out.append([])
         elif not t.negated:
-            groups[-1].append(i)
-    return [g for g in groups if g]
+            out[-1].append(i)
+    return [g for g in out if g]
+
+
+def matching(terms: list[Term], alternatives: list[list[int]], count: Callable[[int], Column]) -> Column:
+    """Whether a document matches, by the counts of its terms: negated ones bind to the last alternative."""
+    every = lambda g: reduce(Column.__and__, [count(i) > 0 for i in g])
+    parts = [every(g) for g in alternatives]
+    refused = [count(i) > 0 for i, t in enumerate(terms) if t.negated]
+    if refused:
+        parts[-1] = parts[-1] & ~reduce(Column.__or__, refused)
+    return reduce(Column.__or__, parts)
+
+
+def bm25(alternatives: list[list[int]], count: Callable[[int], Column], holders: Callable[[int], Column], docs: Column, mean: Column) -> Column:
+    """The negated relevance (smaller is better) by counts of the positive terms, documents that hold them, and column len."""
+
+    def part(i: int) -> Column:
+        n, tf = holders(i), count(i)
+        weight = F.log((docs - n + 0.5) / (n + 0.5))
+        weight = F.when(weight <= 0, LEAST_WEIGHT).otherwise(weight)
+        return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean))
+
+    return -reduce(Column.__add__, [part(i) for i in sorted({i for g in alternatives for i in g})])
 
 
 def search(documents: DataFrame, query: str, id_col: str, fields: list[str], limit: int | None = None) -> DataFrame:
-    """id_col, rank of the documents that match, best first (smaller is better); no rows for a query without positive terms."""
+    """id_col, rank of the documents that match, best first (smaller is better); no rows for a query without positive terms.
+
+    This reads all documents, for tables without an index (SearchIndex has the same rows).
+    """
     terms = [t for t in parse(query) if t.alternative or fold(t.value)]
-    groups = _groups(terms)
-    if not groups:
+    found = groups(terms)
+    if not found:
         return documents.select(id_col, F.lit(0.0).alias("rank")).limit(0)
     counted = documents.select(id_col, folded(*[F.col(f) for f in fields]).alias("folded"))
     columns = {f"c{i}": occurrences(F.col("folded"), t) for i, t in enumerate(terms) if not t.alternative}
     counted = counted.select(id_col, F.regexp_count("folded", F.lit(_TOKEN)).alias("len"), *[c.alias(n) for n, c in columns.items()])
     # Corpus figures: one row, so it is broadcast; the documents are read once more, but nothing of them is shuffled.
-    positive = sorted({i for g in groups for i in g})
-    facts = counted.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"n{i}") for i in positive])
-    match = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(f"c{i}") > 0 for i in g]) for g in groups])
-    refused = [F.col(f"c{i}") > 0 for i, t in enumerate(terms) if t.negated]
-    if refused:
-        last = reduce(lambda a, b: a & b, [F.col(f"c{i}") > 0 for i in groups[-1]]) & ~reduce(lambda a, b: a | b, refused)
-        rest = [reduce(lambda a, b: a & b, [F.col(f"c{i}") > 0 for i in g]) for g in groups[:-1]]
-        match = reduce(lambda a, b: a | b, [*rest, last])
-
-    def part(i: int) -> Column:
-        n, tf = F.col(f"n{i}"), F.col(f"c{i}")
-        weight = F.log((F.col("n_docs") - n + 0.5) / (n + 0.5))
-        weight = F.when(weight <= 0, LEAST_WEIGHT).otherwise(weight)
-        return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-
-    ranked = counted.where(match).join(F.broadcast(facts)).select(id_col, (-reduce(lambda a, b: a + b, [part(i) for i in positive])).alias("rank"))
+    facts = counted.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.sum((F.col(c) > 0).cast("long")).alias(f"n{c[1:]}") for c in columns])
+    count = lambda i: F.col(f"c{i}")
+    rank = bm25(found, count, lambda i: F.col(f"n{i}"), F.col("n_docs"), F.col("avg_len"))
+    ranked = counted.where(matching(terms, found, count)).join(F.broadcast(facts)).select(id_col, rank.alias("rank"))
     ordered = ranked.orderBy("rank", id_col)
     return ordered if limit is None else ordered.limit(limit)
 
@@ -170,18 +184,3 @@ def find(documents: DataFrame, query: str, id_col: str, fields: list[str], limit
     if named := _PAPER_ID.search(query):
         return documents.where(F.col(id_col) == F.lit(named[1] or named[2])).withColumn("rank", F.lit(0.0))
     return documents.join(search(documents, query, id_col, fields, limit), id_col)
-
-
-def postings(documents: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """The inverted index: id_col, field, pos, term."""
-    out = None
-    for f in fields:
-        one = documents.select(id_col, F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("pos", "term"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def updated_postings(index: DataFrame, changed: DataFrame, deleted: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """The index after changes: entries of changed and deleted documents go, those of the changed come anew."""
-    stale = changed.select(id_col).unionByName(deleted.select(id_col)).distinct()
-    return index.join(stale, id_col, "left_anti").unionByName(postings(changed, id_col, fields))

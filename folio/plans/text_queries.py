@@ -93,7 +93,7 @@ _on_documents("X53_legacy_braces", lambda s: latex.Scanner(s).first("author"), "
 @query("X35_model_artifacts", f"SELECT doc_id, trim('x Bold see  ours. ' || {_PROSE_SQL}) || chr(10) || chr(10) || 'end' AS text FROM documents")
 def x35(t: Tables):
     raw = _around("\\(x\\) **Bold** see \\ref{a} \\ours. ", _prose(), "\nI'm sorry, I cannot.\nThis concludes it.\nend")
-    return t.spread("documents").select("doc_id", F.regexp_replace(scripts.without_model_artifacts_column(raw), " +\n", "\n").alias("text"))
+    return t.spread("documents").select("doc_id", F.regexp_replace(latex.passed(raw, scripts.without_model_artifacts), " +\n", "\n").alias("text"))
 
 
 @query("X34_pdf_to_speech", f"SELECT doc_id, CASE WHEN length({_PROSE_SQL}) + 66 >= 200 THEN 'Abstract Words ' || {_PROSE_SQL} || CASE WHEN {_PROSE_SQL} = '' THEN 'end.' ELSE ' end.' END END AS text FROM documents")
@@ -310,12 +310,6 @@ def f8(t: Tables):
     return search.find(numbered, "see https://example.org/abs/2401.10042v2", "number", ["title", "abstract"]).select("id", "title")
 
 
-@query("O7_by_relevance", "SELECT id, row_number() OVER (ORDER BY n DESC, id) AS place FROM (SELECT id, len(list_filter(string_split_regex(lower(strip_accents(abstract)), '[^\\p{L}\\p{N}]+'), lambda t: starts_with(t, 'the'))) AS n FROM papers) x WHERE n > 0 AND id IS NULL", "papers")
-def o7(t: Tables):
-    ranked = search.search(t["papers"], "-the", "id", ["abstract"])  # only negative: no rows
-    return ranked.select("id", F.lit(1).cast("long").alias("place"))
-
-
 # --- catalog, state and numbers ---------------------------------------------------------------------------------------
 
 

@@ -90,8 +90,16 @@ def test_descriptions_are_split_by_id():
 
 def test_model_artifacts():
     raw = "\\(x\\) **b** *i* see \\ref{a} reference sec:model \\ours\nI'm sorry, I cannot.\nThis concludes the section.\nreference designs"
-    assert scripts.without_model_artifacts(raw, strict=True) == "x b i see   ours\n\nreference designs"
-    assert "designs" not in scripts.without_model_artifacts(raw)
+    assert scripts.without_model_artifacts(raw) == "x b i see  \u0020ours\n\nreference designs"
+    assert "designs" not in scripts.without_model_artifacts(raw, strict=False)
+    said = scripts.without_model_artifacts
+    assert said("in Table cref, the ~ref~fig:x end; see reference fig:a_b. A ***c*** 2 * 3 * 4 **open") == "in Table , the  end; see . A c 2 * 3 * 4 **open"
+    assert said("the reference work\\begin{align*}a\\end{align*}\\begin{itemize}") == "the reference worka" + "begin{itemize}"
+    assert said("a\nThat wraps up our talk.\nThis ends here. But this goes on.\nI am sorry, no.\nThis concludes.") == "a\n\nThis ends here. But this goes on.\n\nThis concludes."
+    assert scripts.caption_of("\\caption[s]{A \\textbf{b \\emph{c}} \\label{x}\\alpha}") == "A b c \\alpha"
+    assert scripts.formula_of("\\begin{align*}\\label{q}a &= b \\\\ c\\nonumber\\end{align*}") == "a  = b   c" and scripts.formula_of("$$ x $$") == "x" and scripts.formula_of("\\begin{x}") == "\\begin{x}"
+    assert scripts.macro_table("\\newcommand{\\x}{\\ensuremath{\\textsc{Y}}\\xspace}\\newcommand*{\\y}[1][a]{b}\\newcommand\\z{c}\\providecommand{\\q}{\\alpha}\\newcommand{\\q}{r}") == [("x", "Y"), ("y", "b")]
+    assert latex.without_specifications("a[ht][lc|r] [1, 2;3] [x] [] [1,] [[2]") == "a  [x] [] [1,] ["
     assert scripts.macro_table(r"\newcommand{\a}{\textbf{X}}\renewcommand{\a}{Y}\newcommand{\b}[1]{\foo #1}") == [("a", "X")]
 
 
