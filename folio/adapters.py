@@ -81,6 +81,14 @@ TABLES: dict[str, str] = {
         FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN concat('c', CAST(1992 + p_size % 11 AS STRING)) ELSE p_brand END AS commit_hash,
                      CASE WHEN p_partkey % 2 = 0 THEN 'base' ELSE 'plus1' END AS tier FROM {part}) p
         GROUP BY commit_hash, tier""",
+    "job_events": """
+        SELECT user_id AS paper, ts, event_id,
+               CASE event_type WHEN 'signup' THEN 'narrating' WHEN 'error' THEN 'failed' WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'narrated' ELSE 'narrating' END END AS status,
+               CASE WHEN event_type = 'click' THEN value END AS eta,
+               CASE WHEN event_type = 'error' THEN concat('error ', CAST(event_id % 5 AS STRING)) END AS error,
+               event_type = 'purchase' AS side,
+               CASE WHEN event_type = 'purchase' AND event_id % 4 <> 0 THEN concat('transcripts/', CAST(event_id AS STRING)) END AS transcript_key
+        FROM {events}""",
     "training_rows": """
         SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS id, p_brand AS provider_model,
                l_extendedprice AS latex_char_count, l_linenumber AS figure_count, p_retailprice AS tar_bytes, l_quantity * 100 AS script_char_count,

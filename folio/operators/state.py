@@ -55,6 +55,47 @@ def fold_status(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return out.select(key, "status", F.when(F.col("status") == "narrated", F.lit(0).cast("double")).otherwise(F.col("eta")).alias("eta"), F.when(live, F.col("error")).alias("error"), "completed_at", "updated_at")
 
 
+def job_history(events: DataFrame, as_of: str, stale_minutes: int = STALE_MINUTES, most_retries: int = MAX_RETRIES) -> DataFrame:
+    """Job state per paper after all events and scheduled recoveries up to as_of.
+
+    events: paper, ts, event_id, status, eta, error, side, transcript_key, applied in order of (ts, event_id). A status replaces
+    the last one; narrating and narrated clear the error, narrated also sets eta to 0. A job that narrates and isn't heard of for
+    more than stale_minutes goes back for a retry, or fails when it has had most_retries. Side events leave all that alone: each
+    adds a version, or is invalid if it has no transcript key.
+    """
+    by = W.partitionBy("paper").orderBy("ts", "event_id")
+    main = events.where("not side")
+    segment = F.count("status").over(by)
+    silent = F.coalesce(F.lead("ts").over(by), F.lit(as_of).cast("timestamp")) > F.col("ts") + F.expr(f"INTERVAL {stale_minutes} MINUTES")
+    at = F.struct("ts", "event_id")
+    rows = main.select("*", segment.alias("segment"), (F.last("status", True).over(by) == "narrating").alias("narrating"), silent.alias("silent"))
+    # A recovery ends its segment: however often it falls silent after, it counts once.
+    stale = F.col("narrating") & F.col("silent")
+    segments = rows.groupBy("paper", "segment").agg(
+        F.coalesce(F.max(stale), F.lit(False)).alias("stale"), F.max("status").alias("status"),
+        F.max_by(F.when(F.col("status") == "narrated", 0.0).otherwise(F.col("eta")), F.when((F.col("status") == "narrated") | F.col("eta").isNotNull(), at)).alias("eta"),
+        F.max(F.when((F.col("status") == "narrated") | F.col("eta").isNotNull(), at)).alias("eta_at"),
+        F.max_by("error", F.when(F.col("error").isNotNull() & ~F.coalesce(F.col("status").isin("narrating", "narrated"), F.lit(False)), at)).alias("error"),
+        F.max(F.when(F.col("status") == "narrated", F.col("ts"))).alias("completed_at"),
+    )
+    cleared = F.max(F.when(F.col("status").isin("narrating", "narrated"), F.col("segment")))
+    jobs = segments.groupBy("paper").agg(
+        F.max_by("status", "segment").alias("last"), F.max_by("stale", "segment").alias("ended"), F.sum(F.col("stale").cast("int")).cast("int").alias("recoveries"),
+        F.max_by("eta", "eta_at").alias("eta"), cleared.alias("cleared"), F.max_by(F.struct("segment", "error"), F.when(F.col("error").isNotNull(), F.col("segment"))).alias("error"),
+        F.max("completed_at").alias("completed_at"),
+    )
+    side = events.where("side").groupBy("paper").agg(
+        F.sum(F.when(F.coalesce("transcript_key", F.lit("")) != "", 1).otherwise(0)).cast("int").alias("versions"), F.sum(F.when(F.coalesce("transcript_key", F.lit("")) != "", 0).otherwise(1)).cast("int").alias("invalid")
+    )
+    failed = F.col("ended") & (F.col("recoveries") > most_retries)
+    return jobs.join(side, "paper", "full").select(
+        "paper", F.when(failed, "failed").when(F.col("ended"), "unnarrated").otherwise(F.col("last")).alias("status"), "eta",
+        F.when(F.col("cleared").isNull() | (F.col("error.segment") >= F.col("cleared")), F.col("error.error")).alias("error"),
+        F.when(failed, "timeout").alias("category"), "completed_at", F.least(F.coalesce("recoveries", F.lit(0)), F.lit(most_retries)).alias("retries"),
+        F.coalesce("versions", F.lit(0)).alias("versions"), F.coalesce("invalid", F.lit(0)).alias("invalid"),
+    )
+
+
 def first_claims(requests: DataFrame, papers: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Papers after claims: the first request of each paper in an allowed state wins; a failed paper gains a retry."""
     won = requests.groupBy(F.col("paper_id").alias("id")).agg(F.min_by("requester", F.struct("at", "request_id")).alias("claimed_by"))

@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from folio.operators.state import MAX_RETRIES, STALE_MINUTES
 
 #: How late an event may come.
 LATENESS = "1 day"
@@ -38,35 +40,116 @@ def first_milestones(events: DataFrame, key: str, share: str, marks: tuple[int,
     return events.withWatermark(ts, LATENESS).select(ts, key, F.explode(reached).alias("mark")).dropDuplicatesWithinWatermark([key, "mark"])
 
 
-_STATE = "status string, at timestamp, event_id long, eta double, error string, completed_at timestamp"
-_OUT = "paper long, status string, eta double, error string, completed_at timestamp"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_WAITING = "at long, event_id long, status string, eta double, error string, side boolean, transcript_key string"
+_JOB = "status string, at long, eta double, error string, category string, completed_at long, retries int, versions int, invalid int, applied long"
+JOB_COLUMNS = ("status", "eta", "error", "category", "completed_at", "retries", "versions", "invalid")
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """Job state per paper after each batch, folded in order of (ts, event_id) within it; later batches patch earlier ones.
+class JobFold(StatefulProcessor):
+    """The state of one paper's job, folded in event time whatever the order of arrival.
 
-    events: paper long, ts timestamp, event_id long, status string, eta double, error string (nulls are not in the patch).
+    Events wait in a list state until the watermark has passed them and are then applied by (ts, event_id); a timer wakes the
+    paper for the first that waits, and another one for a job that narrates and isn't heard of for `stale` microseconds. The
+    rules are those of folio.operators.state.job_history, its batch twin.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, at, event_id, eta, error, completed = state.get if state.exists else (None, None, None, None, None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for r in rows.itertuples(index=False):
-            at, event_id = r.ts.to_pydatetime(), int(r.event_id)
-            if isinstance(r.error, str):
-                error = r.error
-            if pd.notna(r.eta):
-                eta = float(r.eta)
-            if isinstance(r.status, str):
-                status = r.status
-                if status in ("narrating", "narrated"):
-                    error = None
-                if status == "narrated":
-                    eta, completed = 0.0, at
-        state.update((status, at, event_id, eta, error, completed))
-        yield pd.DataFrame({"paper": [key[0]], "status": [status], "eta": [eta], "error": [error], "completed_at": pd.to_datetime(pd.Series([completed]))})
-
-    return events.groupBy("paper").applyInPandasWithState(fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    def __init__(self, stale: int, most_retries: int):
+        self.stale, self.most_retries = stale, most_retries
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", _JOB)
+        self.waiting = handle.getListState("waiting", _WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        got = [self._row(r) for batch in rows for r in batch[["at", "event_id", "status", "eta", "error", "side", "transcript_key"]].itertuples(index=False, name=None)]
+        self.waiting.appendList(got)
+        self._wake(min(r[0] for r in got))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        due = [r for r in waiting if r[0] <= now]
+        later = waiting[len(due) :]
+        job = dict(zip(_names(_JOB), self.job.get())) if self.job.exists() else dict.fromkeys(_names(_JOB)) | {"retries": 0, "versions": 0, "invalid": 0, "applied": 0}
+        before = dict(job)
+        for r in due:
+            self._apply(job, dict(zip(_names(_WAITING), r)))
+        self._recover(job, now)
+        if due:
+            self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self._wake(later[0][0])
+        if job == before:
+            return
+        job["applied"] += 1
+        self.job.update(tuple(job.values()))
+        if job["status"] == "narrating":
+            self._wake(job["at"] + self.stale)
+        yield pd.DataFrame([{"paper": key[0], **{c: job[c] for c in JOB_COLUMNS}, "applied": job["applied"]}]).astype({"eta": "float64", "completed_at": "Int64"})
+
+    def _wake(self, at: int) -> None:
+        # A timer of the millisecond after: the watermark has then passed the whole of this one.
+        self.handle.registerTimer(at // 1000 + 1)
+
+    @staticmethod
+    def _row(r: tuple) -> tuple:
+        at, event_id, status, eta, error, side, transcript = (None if pd.isna(x) else x for x in r)
+        return int(at), int(event_id), status, None if eta is None else float(eta), error, bool(side), transcript
+
+    def _recover(self, job: dict, now: int) -> None:
+        if job["status"] == "narrating" and now > job["at"] + self.stale:
+            spent = job["retries"] >= self.most_retries
+            job.update(status="failed", category="timeout") if spent else job.update(status="unnarrated", retries=job["retries"] + 1)
+
+    def _apply(self, job: dict, event: dict) -> None:
+        if event["side"]:
+            job["versions" if event["transcript_key"] else "invalid"] += 1
+            return
+        self._recover(job, event["at"])
+        job["at"] = event["at"]
+        if event["error"] is not None:
+            job["error"] = event["error"]
+        if event["eta"] is not None:
+            job["eta"] = event["eta"]
+        if event["status"] is not None:
+            job.update(status=event["status"], category=None)
+        if event["status"] in ("narrating", "narrated"):
+            job["error"] = None
+        if event["status"] == "narrated":
+            job.update(eta=0.0, completed_at=event["at"])
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def job_states(events: DataFrame, stale_minutes: int = STALE_MINUTES, most_retries: int = MAX_RETRIES, lateness: str = LATENESS) -> DataFrame:
+    """Job state per paper, a row whenever it changed; of a paper's rows the one of largest `applied` holds.
+
+    events: paper long, ts timestamp, event_id long, status string, eta double, error string (nulls are not in the patch), side
+    boolean (a side event that a script is ready) and transcript_key string. Needs the RocksDB state store (run_jobs sets it).
+    """
+    rows = events.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
+    out = "paper long, status string, eta double, error string, category string, completed_at long, retries int, versions int, invalid int, applied long"
+    return rows.groupBy("paper").transformWithStateInPandas(JobFold(stale_minutes * 60_000_000, most_retries), out, "Append", "EventTime")
+
+
+def run_jobs(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run job_states() over all that is there now into Parquet files and return each paper's last state."""
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, _ROCKS)
+    try:
+        run_to_parquet(stream, path, checkpoint)
+    finally:
+        spark.conf.set(key, before)
+    states = spark.read.schema(stream.schema).parquet(path)
+    last = states.groupBy("paper").agg(F.max_by(F.struct(*JOB_COLUMNS), "applied").alias("job")).select("paper", "job.*")
+    return last.withColumn("completed_at", F.timestamp_micros("completed_at"))
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -1,4 +1,8 @@
+import random
+from datetime import UTC, datetime, timedelta
+
 import pytest
+from pyspark.sql import functions as F
 
 from folio.operators import cost, state
 from folio.plans import search
@@ -26,22 +30,70 @@ def test_search(spark):
     assert ids("nothing") == []
 
 
-SCHEMA = "paper long, ts timestamp, event_id long, status string, eta double, error string"
+SCHEMA = "paper long, ts timestamp, event_id long, status string, eta double, error string, side boolean, transcript_key string"
+START = datetime(2024, 1, 1, tzinfo=UTC)
+
+
+def job_events(seed, count):
+    rng = random.Random(seed)
+    out = []
+    for i in range(count):
+        side = rng.random() < 0.2
+        status = None if side else rng.choice([None, None, "narrating", "narrating", "narrated", "failed"])
+        at = START + timedelta(minutes=rng.randrange(3000), microseconds=rng.randrange(3))
+        out.append((rng.randrange(6), at, i, status, None if side else rng.choice([None, 5.0, 9.0]), f"e{i}" if status == "failed" else None, side, rng.choice([None, "", "t.txt"]) if side else None))
+    return out
+
+
+def folded(rows, end, stale=20, most=3):
+    """The jobs, event by event."""
+    jobs = {}
+    for paper in {r[0] for r in rows}:
+        job = {"status": None, "eta": None, "error": None, "category": None, "completed_at": None, "retries": 0, "versions": 0, "invalid": 0}
+        heard = None
+
+        def recover(now):
+            if job["status"] == "narrating" and now > heard + timedelta(minutes=stale):
+                job.update({"status": "failed", "category": "timeout"} if job["retries"] >= most else {"status": "unnarrated", "retries": job["retries"] + 1})
+
+        for _, ts, _, status, eta, error, side, transcript in sorted((r for r in rows if r[0] == paper), key=lambda r: (r[1], r[2])):
+            if side:
+                job["versions" if transcript else "invalid"] += 1
+                continue
+            recover(ts)
+            heard = ts
+            job["error"] = None if status in ("narrating", "narrated") else error or job["error"]
+            job["eta"] = 0.0 if status == "narrated" else eta if eta is not None else job["eta"]
+            job["completed_at"] = ts if status == "narrated" else job["completed_at"]
+            job.update({"status": status, "category": None} if status else {})
+        recover(end)
+        jobs[paper] = tuple(job.values())
+    return jobs
+
+
+def test_history_equals_event_by_event(spark):
+    for seed in range(4):
+        rows = job_events(seed, 250)
+        df = spark.createDataFrame(rows, SCHEMA)
+        got = {r["paper"]: tuple(r)[1:] for r in state.job_history(df, "2024-01-05 00:00:00").withColumn("completed_at", F.unix_micros("completed_at")).collect()}
+        want = folded(rows, START + timedelta(days=4))
+        assert got == {p: (*j[:4], j[4] and int((j[4] - datetime(1970, 1, 1, tzinfo=UTC)) / timedelta(microseconds=1)), *j[5:]) for p, j in want.items()}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.sql("select id % 7 as paper, timestamp'2024-01-01' + make_interval(0,0,0,0,0,id) as ts, id as event_id, case id % 5 when 0 then 'narrating' when 1 then 'narrated' when 2 then 'failed' end as status, case when id % 3 = 0 then double(id) end as eta, case when id % 5 = 2 then concat('e', id) end as error from range(200)")
-    for i, lo in enumerate((0, 90, 150)):
-        rows.where(f"event_id >= {lo} and event_id < {(90, 150, 200)[i]}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = jobs.event_stream(spark, str(tmp_path / "in"), SCHEMA, 1)
-    updates = jobs.run_to_end(jobs.job_states(stream), "job_states", str(tmp_path / "c1"), "update")
-    got = {}
-    for r in updates.collect():
-        old = got.get(r["paper"])
-        if old is None or (r["completed_at"] or 0, r["eta"] or 0) != (old["completed_at"] or 0, old["eta"] or 0) or True:
-            got[r["paper"]] = r
-    want = {r["paper"]: r for r in state.fold_status(rows, "paper", ["ts", "event_id"]).collect()}
-    assert {p: (r["status"], r["error"], r["completed_at"]) for p, r in got.items()} == {p: (r["status"], r["error"], r["completed_at"]) for p, r in want.items()}
+def test_stream_of_shuffled_events_equals_history(spark, tmp_path):
+    rows = job_events(7, 300)
+    mixed = random.Random(1).sample(rows, len(rows))
+    for part in (mixed[:100], mixed[100:101], mixed[101:], [(-1, START + timedelta(days=6), -1, None, None, None, False, None)]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.job_states(jobs.event_stream(spark, str(tmp_path / "in"), SCHEMA, 1), lateness="2 days")
+    got = jobs.run_jobs(stream, str(tmp_path / "out"), str(tmp_path / "c")).where("paper >= 0")
+    want = state.job_history(spark.createDataFrame(rows, SCHEMA), "2024-01-05 00:00:00")
+    shown = lambda df: sorted(map(str, df.select("paper", *jobs.JOB_COLUMNS).collect()))
+    assert shown(got) == shown(want)
+    # Another run finds nothing new, and each paper's changes are numbered without gaps.
+    jobs.run_jobs(stream, str(tmp_path / "out"), str(tmp_path / "c"))
+    again = spark.read.parquet(str(tmp_path / "out")).groupBy("paper").agg(F.count("*").alias("n"), F.max("applied").alias("m"), F.count_distinct("applied").alias("d"))
+    assert all(r["n"] == r["m"] == r["d"] for r in again.collect())
 
 
 def test_unique_visits_and_windows(spark, tmp_path):
