@@ -136,3 +136,16 @@ def clamped_page(df: DataFrame, order: Sequence[Column], page: int, per_page: in
     """Page `page` (from 0) of `per_page` rows, the last page if there are fewer."""
     pages = max(1, -(-df.count() // per_page))
     return df.orderBy(*order).offset(min(max(page, 0), pages - 1) * per_page).limit(per_page)
+
+
+def pending(stems: DataFrame, outputs: DataFrame, stem_col: str = "stem", name_col: str = "name", ending: str = ".mp3") -> DataFrame:
+    """stems without an output: no name that ends with ` - `, the stem and the ending, in any case.
+
+    A name can only end so behind one of its ` - `, so these few endings are what stems are looked up among: one shuffle by
+    ending, repeated ones combined before it, and no comparison of every stem with every name.
+    """
+    places = F.split(F.lower(F.col(name_col)), "(?<= - )")
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.size(places), F.lit(2))), lambda i: F.array_join(F.slice(places, i, F.size(places)), ""))
+    made = outputs.select(F.explode(tails).alias("tail")).where("tail <> ''").distinct()
+    wanted = stems.withColumn("tail", F.concat(F.lower(F.col(stem_col)), F.lit(ending.lower())))
+    return wanted.join(made, "tail", "left_anti").drop("tail")

@@ -132,10 +132,17 @@ def s19(t: Tables):
     return t["papers"].select("id", output_name(F.date_format("created_at", "yyyy-MM-dd"), dur, F.col("submitted_by_city"), F.col("title"), F.concat(F.lit("paper"), "id")).alias("name"))
 
 
-@query("S20_pending", "SELECT id FROM papers p WHERE NOT EXISTS (SELECT 1 FROM narration_versions v WHERE v.paper_id = p.id AND v.audio_key IS NOT NULL)", "papers", "narration_versions")
+_OUTPUTS = """SELECT concat_ws(' - ', CASE WHEN v.id % 3 > 0 THEN '2024-01-05' END, CASE WHEN v.id % 4 > 0 THEN '12m' END, CASE WHEN v.id % 5 > 0 THEN 'Some - Title' END,
+        CASE WHEN v.id % 2 = 0 THEN upper(concat('Paper', v.paper_id)) ELSE concat('paper', v.paper_id) END) || CASE WHEN v.id % 11 = 0 THEN '.wav' ELSE '.mp3' END AS name FROM {} v WHERE audio_key IS NOT NULL"""
+
+
+@query(
+    "S20_pending",
+    f"SELECT id FROM papers p WHERE NOT EXISTS (SELECT 1 FROM ({_OUTPUTS.format('narration_versions')}) o WHERE ends_with(lower(name), concat(' - paper', p.id, '.mp3')))", "papers", "narration_versions",
+)
 def s20(t: Tables):
-    done = t["narration_versions"].where("audio_key is not null").select(F.col("paper_id").alias("id"))
-    return t["papers"].join(done, "id", "left_anti").select("id")
+    outputs = t.spark.sql(_OUTPUTS.format("{v}"), v=t["narration_versions"])
+    return C.pending(t["papers"].select("id", F.concat(F.lit("paper"), "id").alias("stem")), outputs).select("id")
 
 
 @query("S22_seed_first_wins", "SELECT paper_id, visitor_ip, min(id) AS id FROM page_visits GROUP BY paper_id, visitor_ip", "page_visits")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.adapters import AS_OF, SCORES_AS_OF
-from folio.functions import latex, pdf
+from folio.functions import latex, pdf, scripts
 from folio.functions import text as T
 from folio.operators import catalog as C
 from folio.operators import cost as K
@@ -15,7 +15,7 @@ from folio.operators import state as S
 from folio.plans import search
 from folio.plans.analytics_queries import _BASE, _D, _OPTIONS, _SCORED, base
 from folio.plans.registry import Tables, query
-from folio.sources import feeds
+from folio.sources import feeds, images
 
 _T = f"TIMESTAMP '{AS_OF}'"
 
@@ -96,11 +96,63 @@ def j21(t: Tables):
     return found.withColumn("rn", F.row_number().over(W.partitionBy("list_id").orderBy("position", "paper_id"))).where("rn <= 5").select("list_id", "paper_id", "position")
 
 
-@query("J22_reinsert", "SELECT id, replace('a ' || abstract || ' b ', '  ', ' ') AS text FROM papers", "papers")
+@query("J22_reinsert", "SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: '<' || CASE WHEN i % 5 = 0 THEN '' ELSE x END || '>'), '; ') AS body FROM documents")
 def j22(t: Tables):
-    told = F.array(F.struct(F.lit("[1]").alias("mark"), F.col("abstract").alias("text")), F.struct(F.lit("[2]").alias("mark"), F.lit("").alias("text")))
-    body = F.aggregate(told, F.lit("a [1] b [2]"), lambda acc, d: F.replace(acc, d["mark"], d["text"]))
-    return t["papers"].select("id", F.replace(body, F.lit("  "), F.lit(" ")).alias("text"))
+    # Each line of a document is an element's description, every fifth is missing; the body has only placeholders.
+    lines = t["documents"].select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    name = lambda i: F.concat(F.lit("TABLE_"), F.format_string("%03d", i))
+    bodies = lines.select("doc_id", F.array_join(F.transform("lines", lambda x, i: F.concat(F.lit("<" + scripts.PLACEHOLDER), name(i + 1), F.lit(">"))), "; ").alias("body"))
+    told = lines.select("doc_id", F.posexplode("lines").alias("i", "told")).where("(i + 1) % 5 <> 0").select("doc_id", name(F.col("i") + 1).alias("element_id"), "told")
+    return scripts.reinserted(bodies, told, "doc_id")
+
+
+_SIZES = "1 + doc_id * 37 % 3000", "1 + doc_id * 53 % 2500"
+
+
+@query(
+    "D8_chosen_images",
+    f"""SELECT element, CAST(doc_id AS VARCHAR) AS path, CASE WHEN big > 1568 THEN 'image/png' ELSE media END AS media, CAST(CASE WHEN big > 1568 THEN floor(w * (1568.0e0 / big)) ELSE w END AS INTEGER) AS width,
+           CAST(CASE WHEN big > 1568 THEN floor(h * (1568.0e0 / big)) ELSE h END AS INTEGER) AS height, big > 1568 AS downscaled
+    FROM (SELECT *, greatest(w, h) AS big, row_number() OVER (PARTITION BY element ORDER BY doc_id DESC) AS n
+          FROM (SELECT doc_id, source AS element, {_SIZES[0]} AS w, {_SIZES[1]} AS h, ['image/png', 'image/jpeg', 'image/gif'][doc_id % 4 + 1] AS media,
+                       CASE doc_id % 4 WHEN 0 THEN 24 WHEN 1 THEN 34 WHEN 2 THEN 10 ELSE 4 END + octet_length(encode(coalesce(text, ''))) AS size FROM documents) f
+          WHERE media IS NOT NULL AND size <= 4000) c WHERE n <= 5""",
+)
+def d8(t: Tables):
+    # A file for each document: a header of one of three kinds (or none), a size in pixels told by its id, and its text as data.
+    number = lambda sql, size: F.unhex(F.lpad(F.hex(F.expr(sql)), 2 * size, "0"))
+    low_first = lambda sql: F.concat(number(f"({sql}) % 256", 1), number(f"({sql}) div 256", 1))
+    (w, h), data, fixed = _SIZES, F.coalesce("text", F.lit("")).cast("binary"), lambda digits: F.unhex(F.lit(digits))
+    png = F.concat(fixed(images.PNG + "0000000D49484452"), number(w, 4), number(h, 4), data)
+    jpeg = F.concat(fixed(images.JPEG + "FFE000104A46494600010100000100010000FFFFFE0002FFC0001108"), number(h, 2), number(w, 2), data)
+    gif = F.concat(fixed(images.GIF + "3961"), low_first(w), low_first(h), data)
+    k = F.col("doc_id") % 4
+    files = t["documents"].select(F.col("source").alias("element"), "doc_id", F.col("doc_id").cast("string").alias("path"), F.when(k == 0, png).when(k == 1, jpeg).when(k == 2, gif).otherwise(F.concat(fixed("25504446"), data)).alias("content"))
+    return images.chosen(files.withColumn("newest", -F.col("doc_id")), "element", ["newest"], most_bytes=4000)
+
+
+def _refusing(prompt: str, granted: int) -> str:
+    if "@" in prompt:
+        raise ValueError("a model that takes no addresses")
+    return prompt
+
+
+def _describing(elements: list) -> dict[str, str]:
+    if any(int(e.caption) % 7 == 0 for e in elements):
+        raise ValueError("a describer that fails on some figures")
+    return {e.element_id: f"figure {e.caption}" for e in elements}
+
+
+@query(
+    "D6_routed_scripts",
+    """SELECT doc_id, wanted, CASE WHEN wanted = 'llm' AND NOT contains(text, '@') THEN 'llm' WHEN wanted <> 'regex' AND doc_id % 7 <> 0 THEN 'hybrid' ELSE 'regex' END AS used
+    FROM (SELECT doc_id, coalesce(text, '') AS text, ['llm', 'hybrid', 'regex'][doc_id % 3 + 1] AS wanted FROM documents) d""",
+)
+def d6(t: Tables):
+    source = F.concat(F.lit("\\begin{document}\\section{One}" + "Prose of its own. " * 20), F.regexp_replace(F.coalesce("text", F.lit("")), "([%$&#])", r"\\$1"), F.lit("\\begin{figure}\\caption{"), F.col("doc_id").cast("string"), F.lit("}\\end{figure}\\end{document}"))
+    wanted = F.element_at(F.array(F.lit("llm"), F.lit("hybrid"), F.lit("regex")), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = t.spread("documents").select("doc_id", source.alias("source"), wanted.alias("variant"))
+    return scripts.routed_scripts(rows, "doc_id", "source", "variant", _refusing, _describing).select("doc_id", "wanted", "used")
 
 
 @query("A2_visits_per_paper", f"SELECT paper_id, count(*) AS n FROM page_visits WHERE visited_at > {_T} - INTERVAL '7' DAY GROUP BY paper_id", "page_visits")
