@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.adapters import AS_OF
 from folio.operators import catalog as C
 from folio.plans.registry import Tables, query
+from folio.sources import archives
 
 _T = f"TIMESTAMP '{AS_OF}'"
 
@@ -67,26 +68,30 @@ def s15(t: Tables):
        GROUP BY o_custkey""",
 )
 def s13(t: Tables):
-    from folio.sources.archives import source_stats
-
     k = F.col("o_orderkey") % 5
     files = t["orders"].select(F.col("o_custkey").alias("paper_id"), F.concat(F.lit("f."), F.when(k == 0, "tex").when(k == 1, "png").when(k == 2, "pdf").when(k == 3, "jpg").otherwise("bib")).alias("name"), (F.col("o_orderkey") % 5000).alias("size"))
-    return source_stats(files, "paper_id")
+    return archives.source_stats(files, "paper_id")
 
 
 _FILES = """SELECT o_custkey AS paper_id, concat(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'src/' END, CASE WHEN o_orderkey % 4 = 0 THEN 'main' ELSE concat('f', CAST(o_orderkey AS STRING)) END, '.tex') AS name,
     o_orderkey % 2 = 0 AS is_root, o_orderkey % 700 AS body_length FROM {}"""
 
 
+def _described(t: Tables):
+    """The files with contents that have (or lack) a class and a body, comments that don't count, and text of the length."""
+    files = t.spark.sql(_FILES.format("{orders}"), orders=t["orders"])
+    begun = F.when(F.col("is_root"), "\\documentclass{a}\n\\begin{document}\n").otherwise("")
+    content = F.concat(begun, F.lit("50\\% % a comment "), F.repeat(F.lit("c"), (F.col("body_length") * 7 % 300).cast("int")), F.lit("\n"), F.repeat(F.lit("x"), F.col("body_length").cast("int")))
+    return archives.described(files.select(F.col("paper_id").alias("path"), "name", content.cast("binary").alias("content")))
+
+
 @query(
     "S7_root_file_by_body",
     f"""SELECT paper_id, name FROM (SELECT paper_id, name, row_number() OVER (PARTITION BY paper_id ORDER BY is_root DESC, CASE WHEN is_root THEN body_length ELSE 0 END DESC,
         length(name) - length(replace(name, '/', '')), name) AS rn FROM ({_FILES.format("orders")}) f) r WHERE rn = 1""",
 )
 def s7(t: Tables):
-    from folio.sources.archives import root_by_body
-
-    return root_by_body(t.spark.sql(_FILES.format("{orders}"), orders=t["orders"]), "paper_id")
+    return archives.root_by_body(_described(t), "path").withColumnRenamed("path", "paper_id")
 
 
 @query(
@@ -95,9 +100,7 @@ def s7(t: Tables):
         length(name) - length(replace(name, '/', '')), name) AS rn FROM ({_FILES.format("orders")}) f) r WHERE rn = 1""",
 )
 def s8(t: Tables):
-    from folio.sources.archives import root_by_name
-
-    return root_by_name(t.spark.sql(_FILES.format("{orders}"), orders=t["orders"]), "paper_id")
+    return archives.root_by_name(_described(t), "path").withColumnRenamed("path", "paper_id")
 
 
 @query(
@@ -106,17 +109,13 @@ def s8(t: Tables):
         FROM ({_FILES.format("orders")}) f) r WHERE rn = 1""",
 )
 def s9(t: Tables):
-    from folio.sources.archives import root_by_depth
-
-    return root_by_depth(t.spark.sql(_FILES.format("{orders}"), orders=t["orders"]), "paper_id")
+    return archives.root_by_depth(_described(t), "path").withColumnRenamed("path", "paper_id")
 
 
 @query("S12_pdf_sniff", "SELECT page_id, starts_with(html, '%PDF-') OR page_id % 10 = 0 AS is_pdf FROM pages")
 def s12(t: Tables):
-    from folio.sources.archives import is_pdf
-
     content = F.concat(F.when(F.col("page_id") % 10 == 0, "%PDF-1.4 ").otherwise(""), "html").cast("binary")
-    return t["pages"].select("page_id", is_pdf(content).alias("is_pdf"))
+    return t["pages"].select("page_id", archives.is_pdf(content).alias("is_pdf"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,22 +16,45 @@ from folio.operators import state as S
 from folio.plans import search
 from folio.plans.analytics_queries import _BASE, _D, _OPTIONS, _SCORED, base
 from folio.plans.registry import Tables, query
-from folio.sources import feeds, images
+from folio.sources import feeds, images, storage
+from folio.streaming import jobs
 
 _T = f"TIMESTAMP '{AS_OF}'"
 
 
-@query("S14_atom_feed", "SELECT id, concat('2401.', CAST(10000 + seq AS STRING)) AS paper, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, strftime(created_at, '%Y-%m-%d') AS published, 2 AS n_authors, CAST(1 AS BIGINT) AS total FROM papers", "papers")
-def s14(t: Tables):
-    p = t["papers"].withColumn("title", F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
-    xml = F.concat(
-        F.lit("<feed><opensearch:totalResults x='y'>1</opensearch:totalResults><entry><id>http://arxiv.org/abs/2401."), (F.col("seq") + 10000).cast("string"), F.lit("v1</id><title>"), "title",
-        F.lit("</title><published>"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</published><author><name>A</name></author><author><name>B &amp; C</name></author><summary>s</summary></entry></feed>"),
+def _entry() -> Column:
+    """A paper as an entry of an Atom feed."""
+    title = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.concat(
+        F.lit("<entry><id>http://arxiv.org/abs/2401."), (F.col("seq") + 10000).cast("string"), F.lit("v1</id><title>"), title, F.lit("</title><published>"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit("</published><author><name>A</name></author><author><name>B &amp; C</name></author><summary>s</summary></entry>"),
     )
-    e = p.select("id", F.explode(feeds.feed_entries(xml)).alias("e"), feeds.feed_total(xml).alias("total"))
+
+
+_ENTRIES = "SELECT concat('2401.', CAST(10000 + seq AS STRING)) AS paper, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, strftime(created_at, '%Y-%m-%d') AS published, 2 AS n_authors"
+
+
+@query("S14_atom_feed", f"{_ENTRIES}, CAST(1 AS BIGINT) AS total, id FROM papers", "papers")
+def s14(t: Tables):
+    xml = F.concat(F.lit("<feed><opensearch:totalResults x='y'>1</opensearch:totalResults>"), _entry(), F.lit("</feed>"))
+    e = t["papers"].select("id", F.explode(feeds.feed_entries(xml)).alias("e"), feeds.feed_total(xml).alias("total"))
     return e.select("id", F.col("e.id").alias("paper"), "e.title", "e.published", F.size("e.authors").alias("n_authors"), "total")
 
 
+@query("S14_feed_stream", f"{_ENTRIES}, CAST(20 AS BIGINT) AS total FROM papers", "papers")
+def s14_stream(t: Tables):
+    # Pages of 20 entries and more, put into a folder at two times; the stream takes what is there and then the rest.
+    folder, out, checkpoint = (storage.new_path(t.spark, f"feed-{x}") for x in ("pages", "entries", "checkpoint"))
+    pages = t["papers"].withColumn("entry", _entry()).groupBy(F.floor(F.col("seq") / 20).alias("page")).agg(F.array_join(F.array_sort(F.collect_list("entry")), "\n").alias("entries"))
+    pages = pages.select("page", F.concat(F.lit("<feed>\n<opensearch:totalResults>20</opensearch:totalResults>\n"), "entries", F.lit("</feed>")).alias("value"))
+    for half in range(2):
+        some = pages.where(F.col("page") % 2 == half)
+        some.repartition(8, "page").select("value").write.mode("append").text(folder)
+        jobs.run_to_parquet(feeds.entry_stream(t.spark, folder), out, checkpoint)
+    entries = t.spark.read.schema(feeds.entry_stream(t.spark, folder).schema).parquet(out)
+    return entries.select(F.col("id").alias("paper"), "title", "published", F.size("authors").alias("n_authors"), "total")
+
+
 @query("S18_blob_keys", "SELECT id, concat('audio/', paper_id, '/', CAST(id AS STRING), '.mp3') AS audio, concat('transcripts/', paper_id, '/', CAST(id AS STRING), '.txt') AS transcript FROM narration_versions", "narration_versions")
 def s18(t: Tables):
     return t["narration_versions"].select("id", feeds.audio_key(F.col("paper_id"), F.col("id")).alias("audio"), feeds.transcript_key(F.col("paper_id"), F.col("id")).alias("transcript"))

@@ -1,16 +1,14 @@
 """Queries over the text passes, sources, search language and job events: each pass on every whole document, with its SQL.
 
-Where a pass rewrites prose itself, the documents' letters and blanks are the prose (`_PROSE`); where it only acts on markup,
-the whole text without the characters that are markup is (`_PLAIN`). The markup around them is what the pass is to handle.
+A pass over LaTeX gets the document as LaTeX writes it, with its marks escaped (`_latex`); others get the text as it is. Around it
+stands markup for the pass to handle. The SQL says what the pass makes of both. The documents hold no backslashes.
 """
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,21 +21,20 @@ from folio.operators import quality as Q
 from folio.operators import state as S
 from folio.plans import search
 from folio.plans.registry import Tables, query
-from folio.sources import archives
+from folio.sources import archive_source, archives, storage
 
 _T = f"TIMESTAMP '{AS_OF}'"
 _NL = "chr(10)"
-_MARKUP = "\\{}$%~`[]\"'_^&#\r\x0b\x0c"
-_PLAIN_SQL = "translate(coalesce(text, ''), '" + _MARKUP.replace("'", "''") + "', '')"
-_PROSE_SQL = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'))"
+_TEXT_SQL = "coalesce(text, '')"
+_LATEX_SQL = r"regexp_replace(coalesce(text, ''), '([{}$%&#_])', '\\\1', 'g')"
 
 
-def _plain() -> Column:
-    return F.translate(F.coalesce("text", F.lit("")), _MARKUP, "")
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
 
 
-def _prose() -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), " +", " "))
+def _latex() -> Column:
+    return F.regexp_replace(_text(), "([{}$%&#_])", r"\\$1")
 
 
 def _around(before: str, body: Column, after: str = "") -> Column:
@@ -49,82 +46,157 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-def _on_documents(name: str, step, body: str, before: str, after: str, want_before: str, want_after: str, native: bool = False) -> None:
-    """Register `step` over before + body + after; the SQL is what should stand there then."""
-    sql = f"SELECT doc_id, {_quoted(want_before)} || {_PROSE_SQL if body == 'prose' else _PLAIN_SQL} || {_quoted(want_after)} AS text FROM documents"
+# --- what passes make of a text, in SQL -------------------------------------------------------------------------------
+
+
+def _re(x: str, *rules: tuple[str, str]) -> str:
+    for pattern, replacement in rules:
+        x = f"regexp_replace({x}, {_quoted(pattern)}, '{replacement}', 'g')"
+    return x
+
+
+def _replaced(x: str, *pairs: tuple[str, str]) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, {_quoted(old)}, {_quoted(new)})"
+    return x
+
+
+def _flat(x: str) -> str:
+    """On one line."""
+    return f"replace({x}, {_NL}, ' ')"
+
+
+def _symbols(x: str) -> str:
+    """Escaped marks of LaTeX as words."""
+    return _replaced(x, ("\\&", " and "), ("\\%", " percent"), ("\\#", ""), ("\\$", "dollar "), ("\\_", " "))
+
+
+def _mended(x: str) -> str:
+    """Blanks and punctuation closed up."""
+    closed = _re(x, (r"[(\[][\s,;]*[)\]]", ""), (r"[ \t]+", " "), (r" ([.,;:!?)])", r"\1"), (r",(\s*,)+", ","), (r"([^.]|^)\.\s*\.([^.]|$)", r"\1.\2"))
+    return _re(closed, (r"([!?;:])\s*[.,]", r"\1"), (r"\(\s*,\s*", "("), (r",\s*([.)])", r"\1"))
+
+
+def _unstarred(x: str) -> str:
+    """Without pairs of three stars around words."""
+    return _re(x, (r"\*\*\*([^*\n]+)\*\*\*", r"\1"))
+
+
+def _unmarked(x: str) -> str:
+    """Without numbers of citations and notes, and addresses."""
+    return _re(x, (r"\[\d[\d,;\s]*\]", ""), (r"([.!?,;])\d{1,2}(\s)", r"\1\2"), (r"https?://\S+", ""), (r"\(\s*\)|\[\s*\]", ""))
+
+
+def _joined(x: str) -> str:
+    """Lines that go on in lower case joined."""
+    return _re(x, (r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", r"\1\2"), (r"([^.!?:;\s])[ \t]*\n[ \t]*(\p{Ll})", r"\1 \2"))
+
+
+def _spaced(x: str) -> str:
+    """Single blanks, none before punctuation."""
+    return _re(x, (r"[ \t]+", " "), (r" +([.,;:!?])", r"\1"))
+
+
+def _on_documents(name: str, step, body: str, before: str, after: str, want_before: str, want_after: str, native: bool = False, said: Callable[[str], str] = str, whole: Callable[[str], str] = str) -> None:
+    """Register `step` over before + body + after; the SQL is what should stand there then: `said` of the body, `whole` of all."""
+    b = _LATEX_SQL if body == "latex" else _TEXT_SQL
+    sql = "SELECT doc_id, " + whole(f"({_quoted(want_before)} || {said(b)} || {_quoted(want_after)})") + " AS text FROM documents"
 
     @query(name, sql)
     def run(t: Tables):
-        source = _around(before, _prose() if body == "prose" else _plain(), after)
+        source = _around(before, _latex() if body == "latex" else _text(), after)
         return t.spread("documents").select("doc_id", (step(source) if native else latex.passed(source, step)).alias("text"))
 
 
-_on_documents("X1_expand_macros", latex.expand_macros, "plain", "\\newcommand{\\ours}{\\textbf{Name}\\xspace}\\newcommand{\\long}{\\frac{1}{2}}", " \\ours{} \\oursx \\long", "\\newcommand{Name}{\\textbf{Name}\\xspace}\\newcommand{\\long}{\\frac{1}{2}}", " Name{} \\oursx \\long")
-_on_documents("X2_body", latex.body_of, "plain", "\\documentclass{a}\\abstract{Short {one}}\\begin{document}", "\\end{document} after", "\\begin{abstract}Short {one}\\end{abstract}\n", "")
+_on_documents("X1_expand_macros", latex.expand_macros, "latex", "\\newcommand{\\ours}{\\textbf{Name}\\xspace}\\newcommand{\\long}{\\frac{1}{2}}", " \\ours{} \\oursx \\long", "\\newcommand{Name}{\\textbf{Name}\\xspace}\\newcommand{\\long}{\\frac{1}{2}}", " Name{} \\oursx \\long")
+_on_documents("X2_body", latex.body_of, "latex", "\\documentclass{a}\\abstract{Short {one}}\\begin{document}", "\\end{document} after", "\\begin{abstract}Short {one}\\end{abstract}\n", "")
 _on_documents(
-    "X4_non_prose", latex.without_non_prose, "plain", "\\title[s]{A {B}}\\def\\a#1{x}% note\n",
+    "X4_non_prose", latex.without_non_prose, "latex", "\\title[s]{A {B}}\\def\\a#1{x}% note\n",
     " \\textcolor{red}{kept}\\begin{figure*}\\caption{c}\\end{figure*}\\label{l}\\vfill rest of line\nend\\footnote{f {g}}.\\section{Acknowledgments} thanks\\section{Next}x\\appendix hidden",
     "\n", " keptend.\\section{Next}x",
 )
-_on_documents("X5_structure", latex.spoken_structure, "plain", "\\begin{abstract}", "\\end{abstract}\\section{One {two}}\\paragraph*{P}\\begin{example}e\\end{example}\\begin{center}c\\end{center}", "\n\nAbstract.\n\n", "\n\n\n\nOne {two}.\n\n\n\nP.\n\n\n\nFor example:\ne\n\nc")
-_on_documents("X6_lists", latex.spoken_lists, "plain", "\\begin{enumerate}[a]\n\\item x", "\n\\item[b] two\n\\begin{itemize}\n\\item dot\n\\end{itemize}\n\\end{enumerate}\ninline \\item", "First, x", "\nSecond, two\ndot\n\n\ninline \\item")
-_on_documents("X8_citations", latex.without_citations, "prose", "As ", " in Section~\\ref{a}, see Section \\ref{b} and so (see \\cite[p.]{k}). \\href{u}{Link} by \\citet{x}, ok \\url{v}", "As ", " in a later section, see below and so. Link, ok ")
-_on_documents("X10_math", latex.spoken_math, "prose", "", " costs \\$5 with $x^2$ and $$d$$ or \\[e\\] done", "", " costs dollar 5 with  x squared  and  or  done")
-_on_documents("X11_formatting", latex.without_formatting, "plain", "\\textbf{\\emph{\\textit{", "}}} \\mbox{b} \\unknown{c}", "", " b \\unknown{c}")
-_on_documents("X12_normalized", latex.normalized, "prose", "Begin ", " e.g., caf\\'{e} \\foo{bar} 3\\% -- b~c [ht] \\ref{a}.", "Begin ", " for example, café bar 3 percent to b c.")
-_on_documents("X20_accents", speech.accents, "plain", "Erd\\H{o}s G\\\"odel \\aa{} Stra\\ss{}e ", " \\v{c}", "Erdős Gödel å Straße ", " č")
-_on_documents("X21_finalized", latex.finalized, "prose", "Text ", "\n\n\n.,\n 3pt \nHead.\n\nHead.\nend", "Text ", "\n\nHead.\nend")
-_on_documents("X24_brace_groups", lambda s: latex.Scanner(s).first("title"), "plain", "\\titles{no}\\title*[x]{A {B} ", "}z", "A {B} ", "")
-_on_documents("X25_definitions_and_columns", lambda s: latex.Scanner(s, {**latex._DEFINING, "twocolumn": latex.NON_PROSE["twocolumn"], "thanks": latex.NON_PROSE["thanks"]}).run(), "plain", "\\def\\a#1{b}\\newcommand{\\c}[1]{d {e}}\\twocolumn[x]\\let\\q=\\r\n", "\\thanks{t}\\thanksgiving{u}", "\n", "\\thanksgiving{u}")
-_on_documents("X31_pdf_markers", pdf.without_markers, "prose", "A ", " end.12 [1, 2;3] ( ) https://x.y/z ok", "A ", " end.    ok", native=True)
-_on_documents("X32_rejoined_lines", pdf.rejoined, "prose", "A ", "-\nnew line\ngoes on\nHere. not\n\nx", "A ", "new line goes on\nHere. not\n\nx", native=True)
-_on_documents("X33_pdf_spoken_marks", pdf.spoken_marks, "prose", "i.e. ", "  e.g. w.r.t. x , y", "that is, ", " for example, with respect to x, y", native=True)
-_on_documents("X28_page_artifacts", pdf.without_artifacts, "prose", "arXiv:2103.1 x\nProse ", "\n12\n3.2\nSmith et al.\n∗ note\nFigure 1: cap\n1.5 2% 3\nAuthors' addresses: a\nb, c\nEnd", "Prose ", "\nEnd", native=True)
-_on_documents("X27_title_block", lambda c: pdf.without_title_block(c, F.lit("The Good Old Title.")), "prose", "x\nThe Good Old Title\nAnn\nAbstract\n", "\nend", "Abstract\n", "\nend", native=True)
-_on_documents("X42_clean_abstracts", T.plain_abstract, "prose", "\\textit{A} $b$ \\alpha ", " \\cite{k}~ {x}", "A b α ", " ~ x", native=True)
-_on_documents("X44_placeholders", lambda s: scripts.extract_elements(s)[0], "plain", "", "\\begin{figure}\\caption{C}\\end{figure}a$$x$$b\\begin{table*}t\\end{table*}", "", "\n\nHYBRID_ELEMENT_FIGURE_001\n\na\n\nHYBRID_ELEMENT_DISPLAY_MATH_001\n\nb\n\nHYBRID_ELEMENT_TABLE_001\n\n")
-_on_documents("X26_legacy_clean", latex.clean, "prose", "\\title{T}\\begin{document}\\section{One}Prose ", " \\textbf{b} \\cite{k}.\\end{document}", "One.\n\nProse ", " b.")
-_on_documents("X46_described_batch", lambda s: scripts.parse_descriptions(s, ["FIGURE_001"])["FIGURE_001"], "prose", "TABLE_001: no\nFIGURE_001: one ", "\ntwo\nDISPLAY_MATH_002: **three**", "one ", "\ntwo")
-_on_documents("X37_sections", lambda c: F.array_join(scripts.sections(c), "|"), "prose", "\\title{no}\\section{One}a ", "\n\\subsection{Two} b\\end{document} gone", "\\section{One}a ", "|\\subsection{Two} b", native=True)
-_on_documents("X38_macro_table", lambda s: "|".join(f"{n}={p}" for n, p in scripts.macro_table(s)), "prose", "\\newcommand{\\ours}{\\textbf{W ", "}}\\renewcommand{\\ours}{Y}\\newcommand{\\b}[1]{\\foo #1}", "ours=W ", "")
-_on_documents("X53_legacy_braces", lambda s: latex.Scanner(s).first("author"), "plain", "\\author{{A} ", "} \\author{B}", "{A} ", "")
-
-
-@query("X35_model_artifacts", f"SELECT doc_id, trim('x Bold see  ours. ' || {_PROSE_SQL}) || chr(10) || chr(10) || 'end' AS text FROM documents")
+_on_documents("X5_structure", latex.spoken_structure, "latex", "\\begin{abstract}", "\\end{abstract}\\section{One {two}}\\paragraph*{P}\\begin{example}e\\end{example}\\begin{center}c\\end{center}", "\n\nAbstract.\n\n", "\n\n\n\nOne {two}.\n\n\n\nP.\n\n\n\nFor example:\ne\n\nc")
+_on_documents("X6_lists", latex.spoken_lists, "latex", "\\begin{enumerate}[a]\n\\item x", "\n\\item[b] two\n\\begin{itemize}\n\\item dot\n\\end{itemize}\n\\end{enumerate}\ninline \\item", "First, x", "\nSecond, two\ndot\n\n\ninline \\item")
+_on_documents("X8_citations", latex.without_citations, "latex", "As ", " in Section~\\ref{a}, see Section \\ref{b} and so (see \\cite[p.]{k}). \\href{u}{Link} by \\citet{x}, ok \\url{v}", "As ", " in a later section, see below and so. Link, ok ", whole=_mended)
+_on_documents("X10_math", latex.spoken_math, "latex", "", " costs \\$5 with $x^2$ and $$d$$ or \\[e\\] done", "", " costs dollar 5 with  x squared  and  or  done", said=lambda b: _replaced(b, ("\\$", "dollar ")))
+_on_documents("X11_formatting", latex.without_formatting, "latex", "\\textbf{\\emph{\\textit{", "}}} \\mbox{b} \\unknown{c}", "", " b \\unknown{c}")
+_on_documents("X12_normalized", latex.normalized, "latex", "Begin ", " e.g., caf\\'{e} \\foo{bar} 3\\% -- b~c [ht] \\ref{a}.", "Begin ", " for example, café bar 3 percent to b c.", said=_symbols, whole=_mended)
+_on_documents("X20_accents", speech.accents, "latex", "Erd\\H{o}s G\\\"odel \\aa{} Stra\\ss{}e ", " \\v{c}", "Erdős Gödel å Straße ", " č")
+_on_documents("X21_finalized", latex.finalized, "text", "Text ", "\n\n\n.,\n 3pt \nHead.\n\nHead.\nend", "Text ", "\n\nHead.\nend", said=lambda b: f"array_to_string(list_filter(string_split({_re(b, (chr(91) + " " + chr(92) + "t]+", " "))}, chr(10)), lambda l: NOT regexp_full_match(l, '\\s*[.,;:–-]+\\s*')), chr(10))")
+_on_documents("X24_brace_groups", lambda s: latex.Scanner(s).first("title"), "latex", "\\titles{no}\\title*[x]{A {B} ", "}z", "A {B} ", "")
+_on_documents("X25_definitions_and_columns", lambda s: latex.Scanner(s, {**latex._DEFINING, "twocolumn": latex.NON_PROSE["twocolumn"], "thanks": latex.NON_PROSE["thanks"]}).run(), "latex", "\\def\\a#1{b}\\newcommand{\\c}[1]{d {e}}\\twocolumn[x]\\let\\q=\\r\n", "\\thanks{t}\\thanksgiving{u}", "\n", "\\thanksgiving{u}")
+_on_documents("X31_pdf_markers", pdf.without_markers, "text", "A ", " end.12 [1, 2;3] ( ) https://x.y/z ok", "A ", " end.    ok", native=True, said=_unmarked)
+_on_documents("X32_rejoined_lines", pdf.rejoined, "text", "A ", "-\nnew line\ngoes on\nHere. not\n\nx", "A ", "-\nnew line\ngoes on\nHere. not\n\nx", native=True, whole=_joined)
+_on_documents("X33_pdf_spoken_marks", pdf.spoken_marks, "text", "i.e. ", "  e.g. w.r.t. x , y", "that is, ", " for example, with respect to x, y", native=True, whole=_spaced)
+_on_documents("X28_page_artifacts", pdf.without_artifacts, "text", "arXiv:2103.1 x\nProse ", "\n12\n3.2\nSmith et al.\n∗ note\nFigure 1: cap\n1.5 2% 3\nAuthors' addresses: a\nb, c\nEnd", "Prose ", "\nEnd", native=True)
+_on_documents("X27_title_block", lambda c: pdf.without_title_block(c, F.lit("The Good Old Title.")), "text", "x\nThe Good Old Title\nAnn\nAbstract\n", "\nend", "Abstract\n", "\nend", native=True)
+_on_documents("X42_clean_abstracts", T.plain_abstract, "text", "\\textit{A} $b$ \\alpha ", " \\cite{k}~ {x}", "A $b$ α ", " ~ x", native=True, whole=lambda x: f"trim({_re(x, (chr(92) + '$([^$]*)' + chr(92) + '$', chr(92) + '1'), (chr(92) + 's+', ' '))})")
+_on_documents("X44_placeholders", lambda s: scripts.extract_elements(s)[0], "latex", "", "\\begin{figure}\\caption{C}\\end{figure}a$$x$$b\\begin{table*}t\\end{table*}", "", "\n\nHYBRID_ELEMENT_FIGURE_001\n\na\n\nHYBRID_ELEMENT_DISPLAY_MATH_001\n\nb\n\nHYBRID_ELEMENT_TABLE_001\n\n")
+_on_documents("X26_legacy_clean", latex.clean, "latex", "\\title{T}\\begin{document}\\section{One}Prose ", " \\textbf{b} \\cite{k}.\\end{document}", "One.\n\nProse ", " b .", said=lambda b: _symbols(_flat(b)), whole=_mended)
+_on_documents("X46_described_batch", lambda s: scripts.parse_descriptions(s, ["FIGURE_001"])["FIGURE_001"], "text", "TABLE_001: no\nFIGURE_001: one ", "\ntwo\nDISPLAY_MATH_002: **three**", "one ", "\ntwo", said=_unstarred)
+_on_documents("X37_sections", lambda c: F.array_join(scripts.sections(c), "|"), "latex", "\\title{no}\\section{One}a ", "\n\\subsection{Two} b\\end{document} gone", "\\section{One}a ", "|\\subsection{Two} b", native=True)
+_on_documents("X38_macro_table", lambda s: "|".join(f"{n}={p}" for n, p in scripts.macro_table(s)), "latex", "\\newcommand{\\ours}{\\textbf{W ", "}}\\renewcommand{\\ours}{Y}\\newcommand{\\b}[1]{\\foo #1}", "ours=W ", "", whole=lambda x: f"trim({x})")
+_on_documents("X53_legacy_braces", lambda s: latex.Scanner(s).first("author"), "latex", "\\author{{A} ", "} \\author{B}", "{A} ", "")
+
+
+@query("X35_model_artifacts", f"SELECT doc_id, 'x Bold see  ours. ' || {_unstarred(_TEXT_SQL)} || chr(10) || chr(10) || 'end' AS text FROM documents")
 def x35(t: Tables):
-    raw = _around("\\(x\\) **Bold** see \\ref{a} \\ours. ", _prose(), "\nI'm sorry, I cannot.\nThis concludes it.\nend")
-    return t.spread("documents").select("doc_id", F.regexp_replace(latex.passed(raw, scripts.without_model_artifacts), " +\n", "\n").alias("text"))
+    raw = _around("\\(x\\) **Bold** see \\ref{a} \\ours. ", _text(), "\nI'm sorry, I cannot.\nThis concludes it.\nend")
+    return t.spread("documents").select("doc_id", latex.passed(raw, scripts.without_model_artifacts).alias("text"))
 
 
-@query("X34_pdf_to_speech", f"SELECT doc_id, CASE WHEN length({_PROSE_SQL}) + 66 >= 200 THEN 'Abstract Words ' || {_PROSE_SQL} || CASE WHEN {_PROSE_SQL} = '' THEN 'end.' ELSE ' end.' END END AS text FROM documents")
+_PAPER = f"'Abstract' || chr(10) || 'Words ' || {_TEXT_SQL} || ' end.'"
+
+
+@query("X34_pdf_to_speech", f"SELECT doc_id, CASE WHEN length({_TEXT_SQL}) + 69 >= 200 THEN {_spaced(_flat(_joined(_unmarked(_PAPER))))} END AS text FROM documents")
 def x34(t: Tables):
-    source = _around("Some Good Title Here\nAuthors\nAbstract\nWords ", _prose(), " end.\nReferences\n[1] x\n2\n")
+    source = _around("Some Good Title Here\nAuthors\nAbstract\nWords ", _text(), " end.\nReferences\n[1] x\n2\n")
     return t.spread("documents").select("doc_id", pdf.spoken(source, F.lit("Some Good Title Here")).alias("text"))
 
 
-@query("A22_line_classes", "SELECT doc_id, 'data,prose,data,page number' AS kinds FROM documents")
+_CLASS = """CASE WHEN trim(l) = '' THEN 'blank' WHEN starts_with(l, 'arXiv:') THEN 'stamp' WHEN regexp_full_match(trim(translate(trim(l), '-–—', '')), '[0-9]{1,3}') THEN 'page number'
+    WHEN regexp_full_match(trim(l), '[0-9.]*\\.[0-9.]*[0-9]') THEN 'section number' WHEN regexp_matches(l, '^(Figure|Fig\\.|Table) \\s*[0-9]+[.:]') THEN 'caption'
+    WHEN regexp_full_match(trim(l), 'https?://\\S*') THEN 'data'
+    WHEN len(regexp_extract_all(trim(l), '\\S+')) >= 3 AND len(list_filter(regexp_extract_all(trim(l), '\\S+'), lambda w: regexp_full_match(w, '[0-9.,±]+%?'))) > 0.5 * len(regexp_extract_all(trim(l), '\\S+')) THEN 'data' ELSE 'prose' END"""
+
+
+@query(
+    "A22_line_classes",
+    f"SELECT doc_id, array_to_string(list_transform(string_split({_TEXT_SQL} || chr(10) || doc_id || ' 2% x 3' || chr(10) || 'https://x.y/' || doc_id || chr(10) || '- ' || doc_id || ' -' || chr(10) || repeat('9.', CAST(doc_id % 3 AS INTEGER)) || '1', chr(10)), lambda l: {_CLASS}), ',') AS kinds FROM documents",
+)
 def a22(t: Tables):
-    lines = F.split(_around("1.5 2% x 3\nProse ", _prose(), "\nhttps://x.y\n- 7 -"), "\n")
-    return t.spread("documents").select("doc_id", F.array_join(F.transform(lines, pdf.line_class), ",").alias("kinds"))
+    n = F.col("doc_id").cast("string")
+    source = F.concat(_text(), F.lit("\n"), n, F.lit(" 2% x 3\nhttps://x.y/"), n, F.lit("\n- "), n, F.lit(" -\n"), F.repeat(F.lit("9."), (F.col("doc_id") % 3).cast("int")), F.lit("1"))
+    return t.spread("documents").select("doc_id", F.array_join(F.transform(F.split(source, "\n"), pdf.line_class), ",").alias("kinds"))
 
 
-@query("A23_running_title_removed", f"SELECT doc_id, repeat('x', 500) || ' A ' || {_PROSE_SQL} || '  b  c' AS text FROM documents")
+_NAME = f"lower(array_to_string(regexp_extract_all({_TEXT_SQL}, '\\S+')[1:4], ' '))"
+_AGAIN = f"' A ' || replace({_TEXT_SQL}, chr(10), ' ') || ' ' || upper({_NAME}) || ' b'"
+
+
+@query("A23_running_title_removed", f"SELECT doc_id, repeat('x', 500) || CASE WHEN len(regexp_extract_all({_TEXT_SQL}, '\\S+')) >= 4 THEN regexp_replace({_AGAIN}, regexp_escape({_NAME}), '', 'gi') ELSE {_AGAIN} END AS text FROM documents WHERE NOT contains({_TEXT_SQL}, 'ß')")
 def a23(t: Tables):
-    source = _around("x" * 500 + " A ", _prose(), " The Odd Zq Name b the odd zq name c")
-    return t.spread("documents").select("doc_id", pdf.without_running_title(source, F.lit("The Odd Zq Name Of It")).alias("text"))
+    # The title is the document's own first words, which stand in its text and, in capitals, once more behind it.
+    words = F.filter(F.split(_text(), r"\s+"), lambda w: w != "")
+    name = F.lower(F.array_join(F.slice(words, 1, 4), " "))
+    source = F.concat(F.lit("x" * 500 + " A "), F.replace(_text(), F.lit("\n"), F.lit(" ")), F.lit(" "), F.upper(name), F.lit(" b"))
+    title = F.when(F.size(words) >= 4, F.concat(name, F.lit(" more")))
+    return t.spread("documents").where(~F.contains(_text(), F.lit("ß"))).select("doc_id", pdf.without_running_title(source, title).alias("text"))
 
 
 @query("X13_metadata", "SELECT doc_id, 'Paper ' || CAST(doc_id AS STRING) || ': Sub' AS title, CASE WHEN doc_id % 2 = 0 THEN 'May 2020' ELSE 'March 2024' END AS date, 'Ann, Bob' AS authors FROM documents")
 def x13(t: Tables):
     date = F.when(F.col("doc_id") % 2 == 0, "May 2020").otherwise("\\today")
-    source = F.concat(F.lit("\\title{Paper \\emph{"), F.col("doc_id").cast("string"), F.lit("}}\\subtitle{Sub}\\author{Ann\\thanks{x}\\and Bob\\and a@b.c\\and Ann}\\date{"), date, F.lit("}\\begin{document}"), _plain())
+    source = F.concat(F.lit("\\title{Paper \\emph{"), F.col("doc_id").cast("string"), F.lit("}}\\subtitle{Sub}\\author{Ann\\thanks{x}\\and Bob\\and a@b.c\\and Ann}\\date{"), date, F.lit("}\\begin{document}"), _latex())
     s = latex.spoken(t.spread("documents").select("doc_id", source.alias("source"), F.lit("2403.12345v1").alias("stem")), "source", "stem")
     return s.select("doc_id", "spoken.title", "spoken.date", F.array_join("spoken.authors", ", ").alias("authors"))
 
 
-@query("X52_legacy_metadata", "SELECT doc_id, 'Untitled' AS title, 'Unknown Author' AS author FROM documents")
+@query("X52_legacy_metadata", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'Untitled' ELSE 'On ' || lang || ' é ' || doc_id END AS title, CASE WHEN doc_id % 3 = 0 THEN 'Ann ' || coalesce(source, '') ELSE 'Unknown Author' END AS author FROM documents")
 def x52(t: Tables):
-    both = latex.passed(_plain(), lambda s: json.dumps([(m := latex.metadata(s, no_author="Unknown Author"))["title"], m["authors"][0]]))
+    title = F.when(F.col("doc_id") % 3 < 2, F.concat(F.lit("\\title[short]{On \\textbf{"), "lang", F.lit("} \\'{e}~"), F.col("doc_id").cast("string"), F.lit("}"))).otherwise("")
+    author = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\\author{Ann \\emph{"), F.coalesce("source", F.lit("")), F.lit("}\\inst{1}}"))).otherwise("\\author{}")
+    both = latex.passed(F.concat(title, author, F.lit("\\begin{document}"), _latex()), lambda s: json.dumps([(m := latex.metadata(s, no_author="Unknown Author"))["title"], m["authors"][0]]))
     return t.spread("documents").select("doc_id", F.get_json_object(both, "$[0]").alias("title"), F.get_json_object(both, "$[1]").alias("author"))
 
 
@@ -156,34 +228,42 @@ def x9(t: Tables):
 
 @query("X45_captions_and_figures", "SELECT doc_id, 'figure' AS kind, 'Cap ' || CAST(doc_id AS STRING) AS caption, 'f.png' AS figures, 'FIGURE_001' AS element_id FROM documents UNION ALL SELECT doc_id, 'table', 'T', '', 'TABLE_001' FROM documents")
 def x45(t: Tables):
-    source = F.concat(_plain(), F.lit("\\begin{table}\\caption{T}\\label{x}\\end{table}\\begin{figure}\\includegraphics[w]{f.png}\\caption[s]{Cap \\textbf{"), F.col("doc_id").cast("string"), F.lit("}}\\end{figure}"))
+    source = F.concat(_latex(), F.lit("\\begin{table}\\caption{T}\\label{x}\\end{table}\\begin{figure}\\includegraphics[w]{f.png}\\caption[s]{Cap \\textbf{"), F.col("doc_id").cast("string"), F.lit("}}\\end{figure}"))
     e = t.spread("documents").select("doc_id", F.explode(scripts.elements_column(source)).alias("e"))
     return e.select("doc_id", "e.kind", "e.caption", F.array_join("e.figures", ",").alias("figures"), "e.element_id")
 
 
 @query("X58_descriptions", "SELECT doc_id, 'FIGURE_001=Cap|TABLE_001=A table is shown here.|DISPLAY_MATH_001=a equals b' AS told FROM documents")
 def x58(t: Tables):
-    source = _around("", _plain(), "\\begin{figure}\\caption{Cap}\\end{figure}\\begin{table}x\\end{table}$$a=b$$")
+    source = _around("", _latex(), "\\begin{figure}\\caption{Cap}\\end{figure}\\begin{table}x\\end{table}$$a=b$$")
     tell = lambda s: "|".join(f"{k}={v}" for k, v in sorted(scripts.describe(scripts.extract_elements(s)[1]).items(), key=lambda x: ("FTD".index(x[0][0]), x[0])))
     return t.spread("documents").select("doc_id", latex.passed(source, tell).alias("told"))
 
 
-@query("D4_elements_of_a_document", "SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest([1, 2, 3]) FROM documents) x")
+@query(
+    "D4_elements_of_a_document",
+    """SELECT doc_id, kind || CASE WHEN kind = 'DISPLAY_MATH_' THEN '001' ELSE '00' || n END AS element_id, CASE WHEN kind = 'FIGURE_' THEN 'Cap ' || doc_id || ' ' || n ELSE '' END AS caption, len(string_split(coalesce(text, ''), chr(10))) AS lines
+    FROM (SELECT *, unnest(range(1, doc_id % 4 + 1)) AS n, 'FIGURE_' AS kind FROM documents UNION ALL SELECT *, 1, 'DISPLAY_MATH_' FROM documents) d""",
+)
 def d4(t: Tables):
-    source = _around("$$a$$", _plain(), "\\begin{figure}x\\end{figure}\\[b\\]")
-    return t.spread("documents").select("doc_id", F.explode(scripts.elements_column(source))).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    figures = F.array_join(F.transform(F.slice(F.array(*[F.lit(n) for n in (1, 2, 3)]), F.lit(1), (F.col("doc_id") % 4).cast("int")), lambda n: F.concat(F.lit("\\begin{figure}\\caption{Cap "), F.col("doc_id").cast("string"), F.lit(" "), n.cast("string"), F.lit("}\\end{figure}"))), "\n")
+    rows = t.spread("documents").select("doc_id", F.size(F.split(_text(), "\n")).cast("long").alias("lines"), F.concat(F.lit("$$a$$"), _latex(), figures).alias("source"))
+    return scripts.element_rows(rows, "source").select("doc_id", "element_id", "caption", "lines")
+
+
+_SAID = f"trim({_mended(_symbols(_flat(_LATEX_SQL)))})"
 
 
-@query("D7_hybrid_guard", "SELECT doc_id, 'Too little.' AS text FROM documents")
+@query("D7_hybrid_guard", f"SELECT doc_id, {_SAID} || CASE WHEN length({_SAID}) < 200 THEN '' ELSE chr(10) || chr(10) || 'Cap ' || doc_id END AS text FROM documents")
 def d7(t: Tables):
-    # Nothing but an element and two words is left of the source, so the plain cleaning is given.
-    source = F.concat(F.lit("\\begin{document}Too little.\\begin{figure}\\caption{"), _prose(), F.lit("}\\end{figure}\\end{document}"))
+    # Where little prose is left beside the element, the plain cleaning is given, which drops it.
+    source = F.concat(F.lit("\\begin{document}"), _latex(), F.lit("\\begin{figure}\\caption{Cap "), F.col("doc_id").cast("string"), F.lit("}\\end{figure}\\end{document}"))
     return t.spread("documents").select("doc_id", scripts.hybrid_column(source).alias("text"))
 
 
-@query("D1_model_callable", f"SELECT doc_id, upper({_PROSE_SQL}) AS script, CAST(CASE WHEN {_PROSE_SQL} = '' THEN NULL ELSE 1 END AS BIGINT) AS chunks FROM documents WHERE {_PROSE_SQL} <> ''")
+@query("D1_model_callable", f"SELECT doc_id, {_unstarred(f'lower({_TEXT_SQL})')} AS script, CAST(1 AS BIGINT) AS chunks FROM documents WHERE trim({_TEXT_SQL}) <> ''")
 def d1(t: Tables):
-    return scripts.full_script(t.spread("documents").select("doc_id", _prose().alias("source")), "doc_id", "source", lambda prompt, granted: prompt.upper()).select("doc_id", "script", "chunks")
+    return scripts.full_script(t.spread("documents").select("doc_id", _text().alias("source")), "doc_id", "source", lambda prompt, granted: prompt.lower()).select("doc_id", "script", "chunks")
 
 
 @query("D2_voices", "SELECT id, provider, CAST(ceil(script_char_count / chunk) AS BIGINT) AS chunks, round(script_char_count * rate, 6) AS cost FROM papers CROSS JOIN (VALUES " + ", ".join(f"('{p}', {c}.0, {r})" for p, c, r, _ in K.SPEECH) + ") v(provider, chunk, rate)", "papers")
@@ -201,9 +281,12 @@ def x23(t: Tables):
     return t["papers"].select("id", T.legacy_header(F.concat(F.lit("Paper "), "id"), F.array(F.lit("A"), F.lit("B"))).alias("header"))
 
 
-@query("X54_legacy_speech", f"SELECT doc_id, 'Given.' || chr(10) || chr(10) || 'One.' || chr(10) || chr(10) || 'Prose ' || {_PROSE_SQL} || CASE WHEN {_PROSE_SQL} = '' THEN 'end.' ELSE ' end.' END AS text FROM documents")
+_PROSE = "'Prose ' || " + _symbols(_flat(_LATEX_SQL)) + " || ' end.'"
+
+
+@query("X54_legacy_speech", f"SELECT doc_id, 'Given.' || chr(10) || chr(10) || 'One.' || chr(10) || chr(10) || {_mended(f'({_PROSE})')} AS text FROM documents")
 def x54(t: Tables):
-    source = _around("\\begin{document}\\section{One}Prose ", _prose(), " end.\\end{document}")
+    source = _around("\\begin{document}\\section{One}Prose ", _latex(), " end.\\end{document}")
     s = latex.spoken(t.spread("documents").select("doc_id", source.alias("source")), "source")
     title = F.when(F.col("spoken.title") != "Untitled", F.col("spoken.title")).otherwise(F.lit("Given"))
     return s.select("doc_id", F.concat(T.with_period(title), F.lit("\n\n"), F.col("spoken.body")).alias("text"))
@@ -220,57 +303,60 @@ def x59(t: Tables):
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
-def _archive(rows: pd.Series, numbers: pd.Series) -> pd.Series:
-    """A tar archive for each text: a root file that includes it by a name in other case, and an image."""
+def _source_files(t: Tables):
+    """The files of a source for each document: a root that includes it by a name in other case, the text, and an image."""
+    text = F.concat(_latex(), F.lit("\\input{sec/one}"))
+    one = lambda name, content: F.struct(F.lit(name).alias("name"), content.cast("binary").alias("content"))
+    root = F.lit("\\documentclass{a}\\begin{document}\\input{Sec/One}\\input{gone}\\end{document}")
+    files = F.array(one("main.tex", root), one("sec/one.tex", text), one("f.png", F.repeat(F.lit("x"), (F.col("doc_id") % 7).cast("int"))))
+    return t.spread("documents").select(F.col("doc_id").cast("string").alias("path"), F.explode(files).alias("f")).select("path", "f.*")
 
-    def one(text: str, number: int) -> bytes:
-        out = io.BytesIO()
-        files = {"main.tex": "\\documentclass{a}\\begin{document}\\input{Sec/One}\\input{gone}\\end{document}", "sec/one.tex": f"{text}\\input{{sec/one}}", "f.png": "x" * (number % 7)}
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for name, body in files.items():
-                info = tarfile.TarInfo(name)
-                info.size = len(body.encode())
-                tar.addfile(info, io.BytesIO(body.encode()))
-        return out.getvalue()
 
-    return pd.Series([one(x, n) for x, n in zip(rows, numbers, strict=True)])
+def _folder_of_archives(t: Tables) -> str:
+    folder = storage.new_path(t.spark, "archives")
+    archive_source.write_members(_source_files(t).withColumn("path", F.concat("path", F.lit(".tar"))), folder)
+    return folder
 
 
-def _archives(t: Tables):
-    made = F.pandas_udf("binary")(_archive)
-    return t.spread("documents").select(F.col("doc_id").cast("string").alias("path"), made(_plain(), F.col("doc_id")).alias("content"))
+_EXPANDED = f"'\\documentclass{{a}}\\begin{{document}}' || {_LATEX_SQL} || '\\end{{document}}'"
 
 
-_EXPANDED = f"'\\documentclass{{a}}\\begin{{document}}' || {_PLAIN_SQL} || '\\end{{document}}'"
+@query("S5_archive_sources", f"SELECT CAST(doc_id AS STRING) || '.tar' AS path, {_EXPANDED} AS text FROM documents")
+def s5(t: Tables):
+    return archives.latex_texts(archive_source.read_members(t.spark, _folder_of_archives(t), "path string, name string, content binary", ".tex"))
 
 
-@query("S5_archive_sources", f"SELECT CAST(doc_id AS STRING) AS path, {_EXPANDED} AS text FROM documents")
-def s5(t: Tables):
-    return archives.latex_texts(archives.members(_archives(t)))
+@query("S5_archive_members", "SELECT CAST(doc_id AS STRING) || '.tar' AS path, unnest(['main.tex', 'sec/one.tex', 'f.png']) AS name, unnest([74, octet_length(encode(" + _LATEX_SQL + ")) + 15, doc_id % 7]) AS size FROM documents")
+def s5_members(t: Tables):
+    # Without contents in the schema, only the members' headers are read.
+    return archive_source.read_members(t.spark, _folder_of_archives(t), "path string, name string, size long")
 
 
-@query("S10_includes_once", f"SELECT CAST(doc_id AS STRING) AS path, {_EXPANDED} AS text FROM documents")
+@query("S10_includes_once", f"SELECT CAST(doc_id AS STRING) || '.tar' AS path, {_EXPANDED} AS text FROM documents")
 def s10(t: Tables):
-    return archives.latex_texts(archives.members(_archives(t)), once=True)
+    # The archives' bytes by Spark's own reader, for file systems that only Hadoop reaches.
+    found = archives.read_archives(t.spark, _folder_of_archives(t)).withColumn("path", F.substring_index("path", "/", -1))
+    return archives.latex_texts(archives.members(found), once=True)
 
 
-@query("S6_folder_sources", f"SELECT CAST(doc_id AS STRING) AS path, '\\documentclass{{a}}\\begin{{document}}' || {_PLAIN_SQL} || '[missing: gone]\\end{{document}}' AS text FROM documents")
+@query("S6_folder_sources", f"SELECT CAST(doc_id AS STRING) AS path, '\\documentclass{{a}}\\begin{{document}}' || {_LATEX_SQL} || '[missing: gone]\\end{{document}}' AS text FROM documents")
 def s6(t: Tables):
-    # A missing include leaves a note, as a folder's reader has it.
-    return archives.latex_texts(archives.members(_archives(t)), missing="[missing: {}]")
+    # A folder of plain files for each source; a missing include leaves a note.
+    folder = storage.new_path(t.spark, "sources")
+    archive_source.write_members(_source_files(t), folder, layout="folder")
+    return archives.latex_texts(archives.folder_files(t.spark, folder), missing="[missing: {}]")
 
 
-@query("S16_first_parser", f"SELECT CAST(doc_id AS STRING) AS path, CASE WHEN doc_id % 2 = 0 THEN {_EXPANDED} ELSE {_PLAIN_SQL} END AS text FROM documents")
+@query("S16_first_parser", f"SELECT CAST(doc_id AS STRING) AS path, CASE WHEN doc_id % 2 = 0 THEN {_EXPANDED} ELSE coalesce(text, '') END AS text FROM documents")
 def s16(t: Tables):
-    a = _archives(t).withColumn("content", F.when(F.col("path").cast("long") % 2 == 0, F.col("content")))
-    tex = archives.latex_texts(archives.members(a)).withColumnRenamed("text", "tex")
-    other = t.spread("documents").select(F.col("doc_id").cast("string").alias("path"), _plain().alias("other"))
-    return tex.join(other, "path").select("path", archives.first_parsed(F.col("tex"), F.col("other")).alias("text"))
+    tex = archives.latex_texts(_source_files(t).where("cast(path as long) % 2 = 0")).withColumnRenamed("text", "tex")
+    other = t["documents"].select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("other"))
+    return other.join(tex, "path", "left").select("path", archives.first_parsed(F.col("tex"), F.col("other")).alias("text"))
 
 
-@query("S11_page_texts", f"SELECT doc_id, 'one' || chr(10) || chr(10) || {_PLAIN_SQL} AS text FROM documents")
+@query("S11_page_texts", "SELECT doc_id, 'one' || chr(10) || chr(10) || coalesce(text, '') AS text FROM documents")
 def s11(t: Tables):
-    return t.spread("documents").select("doc_id", archives.join_pages(F.array(F.lit("one"), _plain())).alias("text"))
+    return t.spread("documents").select("doc_id", archives.join_pages(F.array(F.lit("one"), F.coalesce("text", F.lit("")))).alias("text"))
 
 
 @query("S17_appended_rows", "SELECT count(*) + (SELECT count(*) FROM ratings) AS n, count(DISTINCT id) AS ids FROM ratings", "ratings")

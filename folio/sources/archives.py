@@ -26,21 +26,61 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+#: Bytes of members that are handed on together.
+BATCH_BYTES = 8 << 20
+_MEMBER = "path string, name string, size long, content binary"
+
+
 def members(archives: DataFrame) -> DataFrame:
-    """path, files array<struct<name, content>> of tar archives (plain or gzip); a file that is no tar gives null."""
+    """path, name, size, content of the files in tar archives (path, content; plain or compressed), a row each; a file that is no
+    tar gives one row of its path. For archives that pyarrow reaches, archive_source reads them without a cell for the whole."""
+
+    def listed(path: str, content: bytes | None) -> Iterator[tuple]:
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                for m in tar:
+                    if m.isfile():
+                        yield path, m.name, m.size, tar.extractfile(m).read()
+        except (tarfile.TarError, EOFError, OSError, TypeError):
+            yield path, None, None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "name", "size", "content"]
         for pdf in batches:
-            files = []
-            for content in pdf["content"]:
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        files.append([{"name": m.name, "content": tar.extractfile(m).read()} for m in tar.getmembers() if m.isfile()])
-                except (tarfile.TarError, EOFError, OSError, TypeError):
-                    files.append(None)
-            yield pd.DataFrame({"path": pdf["path"], "files": files})
-
-    return archives.select("path", "content").mapInPandas(run, "path string, files array<struct<name: string, content: binary>>")
+            held, size = [], 0
+            for row in (m for path, content in zip(pdf["path"], pdf["content"], strict=True) for m in listed(path, content)):
+                held.append(row)
+                size += row[2] or 0
+                if size > BATCH_BYTES:
+                    yield pd.DataFrame(held, columns=columns).astype({"size": "Int64"})
+                    held, size = [], 0
+            yield pd.DataFrame(held, columns=columns).astype({"size": "Int64"})
+
+    return archives.select("path", "content").mapInPandas(run, _MEMBER)
+
+
+def folder_files(spark: SparkSession, base: str, endings: str = "*.tex") -> DataFrame:
+    """path (the first folder below base), name, size, content of plain files, by Spark's binary source: sources that are no archives."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", endings).load(base)
+    bare = base.rstrip("/").removeprefix("file:").rstrip("/")
+    inner = F.substr("path", F.instr("path", bare) + len(bare) + 1)
+    cut = F.instr(inner, "/")
+    return found.select(F.substr(inner, F.lit(1), cut - 1).alias("path"), F.substr(inner, cut + 1).alias("name"), F.col("length").alias("size"), "content")
+
+
+#: Characters of a file in which its document class is looked for.
+CLASS_CHARS = 4096
+
+
+def described(files: DataFrame) -> DataFrame:
+    """path, name, is_root (it has a document class and body), has_class (near its start), has_title, body_length (without
+    comments) of .tex files (path, name, content), natively."""
+    text = F.decode("content", "UTF-8")
+    bare = F.regexp_replace(text, r"(?<!\\)%[^\n]*", "")
+    return files.where(F.lower("name").endswith(".tex")).select(
+        "path", "name", (text.contains("\\documentclass") & text.contains("\\begin{document}")).alias("is_root"), F.left(text, F.lit(CLASS_CHARS)).contains("\\documentclass").alias("has_class"),
+        text.contains("\\title").alias("has_title"), F.char_length(bare).alias("body_length"),
+    )
 
 
 def is_pdf(content: Column) -> Column:
@@ -123,28 +163,30 @@ def expand(root: str, files: dict[str, str], once: bool = False, missing: Callab
     return out if budget is None else out[:budget]
 
 
-def latex_texts(archive_members: DataFrame, once: bool = False, budget: int | None = None, missing: str = "") -> DataFrame:
-    """path, text: each archive's root file (the longest with a document body, else the least deep) with its includes.
+def latex_texts(files: DataFrame, once: bool = False, budget: int | None = None, missing: str = "") -> DataFrame:
+    """path, text: each source's root file (the longest with a document body, else the least deep) with its includes.
 
-    missing: what stands for an include that is not there, with its name for {}."""
+    files: path, name, content. Only .tex files are brought together, one shuffle by path; a source without any has null.
+    missing: what stands for an include that is not there, with its name for {}.
+    """
 
     def choose(files: dict[str, str]) -> str | None:
-        tex = [n for n in files if n.lower().endswith(".tex")]
-        roots = [n for n in tex if "\\documentclass" in files[n] and "\\begin{document}" in files[n]]
+        roots = [n for n in files if "\\documentclass" in files[n] and "\\begin{document}" in files[n]]
         if roots:
             return min(roots, key=lambda n: (-len(_COMMENT.sub("", files[n])), n.count("/"), n))
-        return min(tex, key=lambda n: (n.count("/"), not n.lower().endswith("main.tex"), n), default=None)
+        return min(files, key=lambda n: (n.count("/"), not n.lower().endswith("main.tex"), n), default=None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = []
             for found in pdf["files"]:
-                files = {f["name"].removeprefix("./"): bytes(f["content"]).decode("utf-8", "replace") for f in found} if found is not None else {}
-                root = choose(files)
-                texts.append(expand(root, files, once, lambda name: missing.replace("{}", name), budget) if root else None)
+                named = {f["name"].removeprefix("./"): bytes(f["content"]).decode("utf-8", "replace") for f in found}
+                root = choose(named)
+                texts.append(expand(root, named, once, lambda name: missing.replace("{}", name), budget) if root else None)
             yield pd.DataFrame({"path": pdf["path"], "text": texts})
 
-    return archive_members.select("path", "files").mapInPandas(run, "path string, text string")
+    tex = F.when(F.lower("name").endswith(".tex"), F.struct("name", "content"))
+    return files.groupBy("path").agg(F.collect_list(tex).alias("files")).mapInPandas(run, "path string, text string")
 
 
 def first_parsed(*candidates: Column) -> Column:

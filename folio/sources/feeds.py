@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import decode_entities, paper_id
@@ -22,6 +22,13 @@ def feed_total(xml: Column) -> Column:
     return F.coalesce(F.try_to_number(F.regexp_extract(xml, r"<opensearch:totalResults[^>]*>(\d+)<", 1), F.lit("999999999")).cast("long"), F.lit(0).cast("long"))
 
 
+def entry_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
+    """A stream of the entries of Atom pages that are put into a folder, each page read whole when it comes: id, title, published,
+    authors, abstract, total (of the page)."""
+    pages = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
+    return pages.select(F.explode(feed_entries(F.col("value"))).alias("e"), feed_total(F.col("value")).alias("total")).select("e.*", "total")
+
+
 def audio_key(paper: Column, version: Column) -> Column:
     """The blob key of a version's audio."""
     return F.concat_ws("/", F.lit("audio"), paper, F.concat(version.cast("string"), F.lit(".mp3")))
