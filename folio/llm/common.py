@@ -36,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
-    return _local_dirs.setdefault(spark.conf.get("spark.app.id", ""), tempfile.mkdtemp(prefix="folio-shared-"))
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="folio-shared-")
+    return _local_dirs[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -47,7 +50,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A session setting for the time of a block."""
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
@@ -59,7 +62,7 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 def shuffles_removed(spark: SparkSession):
     """A block whose actions leave no shuffle files: Spark removes those of an action when it ends."""
-    return _setting(spark, _SHUFFLE_CLEANUP, "true")
+    return setting(spark, _SHUFFLE_CLEANUP, "true")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Every example is a vector: tokens, segments (one) and loss-bearing tokens. A bin (sequence) limits all three at once. The
 open bin takes, of a window of waiting examples, the one that fits and has the largest dot product with what the bin has
-left, each dimension weighted by how scarce it is; when nothing fits, the bin is topped up by cutting an example. Windows
-are bounded, so memory does not grow with a partition; partitions are packed independently, without a shuffle.
+left, each dimension weighted by how scarce it is; when nothing fits, the bin is topped up by cutting an example. A bin that its
+other limits close before it is full can give back what is beyond a power of two, which needs no padding. Windows are bounded,
+so memory does not grow with a partition; partitions are packed independently, without a shuffle.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ CHUNK_CHARS = 2_000_000
 
 @dataclass(frozen=True)
 class Limits:
-    """What a sequence may hold; the loss limit counts loss-bearing tokens."""
+    """What a sequence may hold; the loss limit counts loss-bearing tokens. One that its other limits close before it is full is
+    padded, or (padded=False) cut back to a power of two: no padding, but more sequences."""
 
     tokens: int = MAX_TOKENS
     segments: int = MAX_SEGMENTS
     loss: int = MAX_TOKENS
+    padded: bool = True
 
 
 class VectorPacker:
@@ -62,7 +65,8 @@ class VectorPacker:
         out, start = [], 0
         while start < tokens:
             size = self._cut(tokens - start, loss_start - start, self.limits.tokens, self.limits.loss)
-            if size == self.limits.tokens:  # a whole sequence needs no choice
+            # A whole sequence needs no choice, unless its share of a scarce dimension is what others lack.
+            if size == self.limits.tokens and self.limits.loss >= size:
                 out.append((key, start, size, self._take(), 0))
             else:
                 self.waiting.append((key, start, size, loss_start))
@@ -85,43 +89,68 @@ class VectorPacker:
         """The longest prefix within `room` tokens and `loss_room` loss-bearing tokens."""
         return min(tokens, room, max(0, before_loss) + loss_room)
 
+    def score(self, size: np.ndarray, loss: np.ndarray, room: int, slots: int, loss_room: int, asked: tuple[int, int, int]) -> np.ndarray:
+        """The dot product of each example with what the bin has left, by share of the limits; a dimension weighs by its scarcity:
+        what the waiting examples ask of it against what the bin has left. (Segments add the same to all: one each.)"""
+        full = self.limits
+        scarce = (asked[0] / room, asked[1] / slots, asked[2] / max(1, loss_room))
+        whole = sum(scarce)
+        a, c = (weight / whole * left / limit / limit for weight, left, limit in ((scarce[0], room, full.tokens), (scarce[2], loss_room, full.loss)))
+        return a * size + c * loss
+
     def _pack(self, keep: int) -> list[tuple]:
         """Fill sequences until at most `keep` tokens wait."""
         keys = [w[0] for w in self.waiting]
         start, size, loss_from = (np.array([w[i] for w in self.waiting], np.int64) for i in (1, 2, 3))
-        alive = np.ones(len(keys), bool)
-        left, out = int(size.sum()), []
+        loss = size - np.clip(loss_from - start, 0, size)
+        left, left_loss, alive, out = int(size.sum()), int(loss.sum()), len(keys), []
         full = self.limits
+
+        def change(i: int, by: int) -> int:
+            """Take (or, below 0, give back) the next tokens of an example; returns the loss-bearing ones among them."""
+            nonlocal left, left_loss, alive
+            had, bore = int(size[i]), int(loss[i])
+            start[i] += by
+            size[i] -= by
+            loss[i] = had - by - min(max(int(loss_from[i] - start[i]), 0), had - by)
+            left, left_loss, alive = left - by, left_loss - bore + int(loss[i]), alive + (size[i] > 0) - (had > 0)
+            return bore - int(loss[i])
+
         while left > keep:
             room, slots, loss_room = full.tokens, full.segments, full.loss
-            sequence, offset = self._take(), 0
+            sequence, placed = self._take(), []
             # The last sequence is cut down to a power of two, which needs no padding.
             if left < room:
                 room = 1 << (left.bit_length() - 1)
+            filled, offset = room, 0
             while room and slots and left:
-                loss = size - np.clip(loss_from - start, 0, size)
-                fits = alive & (size <= room) & (loss <= loss_room)
+                fits = (size <= room) & (loss <= loss_room) & (size > 0)
                 if slots > 1 and fits.any():
-                    # Scarcity: the share of a dimension that the waiting examples ask for against what the bin has left.
-                    weight = np.array([left / room, alive.sum() / slots, max(1, int(loss[alive].sum())) / max(1, loss_room)])
-                    weight /= weight.sum()
-                    score = weight[0] * room / full.tokens * size / full.tokens + weight[1] * slots / full.segments / full.segments + weight[2] * loss_room / full.loss * loss / full.loss
-                    i = int(np.argmax(np.where(fits, score, -1.0)))
+                    i = int(np.argmax(np.where(fits, self.score(size, loss, room, slots, loss_room, (left, alive, left_loss)), -1.0)))
                     cut = int(size[i])
                 else:
                     # Nothing fits whole (or one slot is left): cut the example that gives the longest piece.
-                    pieces = np.where(alive, np.minimum(np.minimum(size, room), np.maximum(loss_from - start, 0) + loss_room), 0)
+                    pieces = np.minimum(np.minimum(size, room), size - loss + loss_room)
                     i = int(np.argmax(pieces))
                     cut = int(pieces[i])
                     if not cut:
                         break
-                out.append((keys[i], int(start[i]), cut, sequence, offset))
-                bears = cut - min(max(int(loss_from[i] - start[i]), 0), cut)
-                offset, room, slots, loss_room, left = offset + cut, room - cut, slots - 1, loss_room - bears, left - cut
-                start[i] += cut
-                size[i] -= cut
-                alive[i] = size[i] > 0
-        self.waiting = [(keys[i], int(start[i]), int(size[i]), int(loss_from[i])) for i in np.flatnonzero(alive)]
+                placed.append((i, int(start[i]), cut))
+                loss_room -= change(i, cut)
+                room, slots = room - cut, slots - 1
+            size_now = filled - room
+            fit = size_now if not room or full.padded else 1 << (size_now.bit_length() - 1)
+            while size_now > fit:
+                i, at, cut = placed.pop()
+                back = min(cut, size_now - fit)
+                change(i, -back)
+                size_now -= back
+                if back < cut:
+                    placed.append((i, at, cut - back))
+            for i, at, cut in placed:
+                out.append((keys[i], at, cut, sequence, offset))
+                offset += cut
+        self.waiting = [(keys[i], int(start[i]), int(size[i]), int(loss_from[i])) for i in np.flatnonzero(size > 0)]
         self.waiting_tokens = left
         return out
 
@@ -218,14 +247,14 @@ def _tokenizer(data: str, end_id: int) -> WordTokenizer:
     return _tokenizers[key]
 
 
-def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_tokens_col: str | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_tokens_col: str | None = None, prompt_share: float = 0.0) -> DataFrame:
     """Tokenize and pack whole texts: id_col, start, length, ids binary (packed), doc_tokens, loss_tokens, sequence_id, offset.
 
     One row per piece; every id of a document, its end id included, lies in exactly one piece, and the pieces of a sequence
-    are gapless from offset 0. prompt_tokens_col (instruction data) gives the number of leading tokens that bear no loss;
-    without it all tokens bear loss. A sequence may be padded to limits.tokens; one whose length is a power of two need not.
+    are gapless from offset 0. prompt_tokens_col (instruction data) gives the number of leading tokens that bear no loss; without
+    it that is prompt_share of a document's tokens, rounded down. A sequence may be padded to limits.tokens; one whose length is a power of two need not.
 
-    Null text is empty (just the end id). Null ids, ties and repeated rows are packed as rows of their own; empty tables
+    Null and very long texts are documents like others (null: just the end id; long ones are cut). Null ids, ties and repeated rows are packed as rows of their own; empty tables
     give empty results; other columns are not read. Sequence ids are unique: the partition's number times 2**33 plus a
     count. The tokenizer file (under 2 MB, fixed) is read on the driver and broadcast.
     """
@@ -233,15 +262,15 @@ def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, limits:
     small_batches(df.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
-    prompt = F.col(prompt_tokens_col).cast("long") if prompt_tokens_col else F.lit(0).cast("long")
-    plain = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.coalesce(prompt, F.lit(0)).alias("prompt"))
-    return plain.mapInArrow(_packing_task(lambda: _tokenizer(data.value, end_id).encode_many, limits), _SCHEMA).withColumnRenamed("doc", id_col)
+    prompt = F.coalesce(F.col(prompt_tokens_col).cast("long"), F.lit(0)) if prompt_tokens_col else F.lit(None).cast("long")
+    plain = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), prompt.alias("prompt"))
+    return plain.mapInArrow(_packing_task(lambda: _tokenizer(data.value, end_id).encode_many, limits, prompt_share), _SCHEMA).withColumnRenamed("doc", id_col)
 
 
 _SCHEMA = "doc long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
-def _packing_task(make: Callable[[], Callable[[list[str]], list[bytes]]], limits: Limits) -> Callable:
+def _packing_task(make: Callable[[], Callable[[list[str]], list[bytes]]], limits: Limits, prompt_share: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
         packer = VectorPacker(limits, TaskContext.get().partitionId() << 33)
@@ -270,8 +299,9 @@ def _packing_task(make: Callable[[], Callable[[list[str]], list[bytes]]], limits
                     continue
                 placed = []
                 for n, ids in enumerate(encode([t or "" for t in texts[begin : i + 1]]), begin):
-                    held[row] = [docs[n], ids, prompts[n], len(ids) // 4]
-                    placed += packer.push(row, len(ids) // 4, prompts[n])
+                    prompt = prompts[n] if prompts[n] is not None else int(len(ids) // 4 * prompt_share)
+                    held[row] = [docs[n], ids, prompt, len(ids) // 4]
+                    placed += packer.push(row, len(ids) // 4, prompt)
                     row += 1
                 begin, size = i + 1, 0
                 if placed:

@@ -49,8 +49,10 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_equal, 0) +
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of at most 4096 tokens."""
-    pieces = packing.pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
+    """All documents packed into sequences of at most 4096 tokens, as instructions whose first half bears no loss: a sequence has at
+    most 64 segments and 3072 tokens that bear loss."""
+    limits = packing.Limits(segments=64, loss=3072, padded=False)
+    pieces = packing.pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), limits=limits, prompt_share=0.5)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, new_path, release
+from folio.llm.common import materialize, new_path, release, setting
 
 #: Payloads shorter than this are never replaced by a reference.
 MIN_REVISIT_BYTES = 100
 #: Bytes of one archive file, which is read back as a whole, and bytes that a record has at most beside its payload and URL.
-FILE_BYTES, HEADER_BYTES = 64 << 20, 4096
+FILE_BYTES, OPEN_FILES = 64 << 20, 16
 _END = b"\r\n\r\n"
 #: The field lists of the two ARC versions.
 ARC_FIELDS = {
@@ -152,8 +152,9 @@ def to_warc(record: dict, key: str, refers_to: str | None) -> bytes:
 
 
 def convert(archives: DataFrame, key_col: str, content_col: str, refers_col: str) -> DataFrame:
-    """WARC records of one-key ARC archives: key string, record binary (without closing line ends).
+    """WARC records of one-key ARC archives: key string, record binary (without closing line ends), file int.
 
+    file numbers a task's files: a record goes into the next one where it would take a file above FILE_BYTES.
     An archive's first content record has the archive's key, further ones key#n. A version block is a warcinfo record, the
     first of its kind in a task; equal ones that follow add nothing to a file and are left out. Null archives give nothing.
     refers_col names the key that a revisit points to, null for all others.
@@ -161,6 +162,7 @@ def convert(archives: DataFrame, key_col: str, content_col: str, refers_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         described: set[tuple] = set()
+        file, held = 0, 0
         for batch in batches:
             keys, records = [], []
             for key, content, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -176,20 +178,26 @@ def convert(archives: DataFrame, key_col: str, content_col: str, refers_col: str
                     keys.append(key if n == 0 else f"{key}#{n}")
                     records.append(to_warc(record, keys[-1], refers))
                     n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(records, pa.large_binary())], names=["key", "record"])
+            files = []
+            for record in records:
+                if held and held + len(record) > FILE_BYTES:
+                    file, held = file + 1, 0
+                held += len(record) + len(_END)
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(records, pa.large_binary()), pa.array(files, pa.int32())], names=["key", "record", "file"])
 
     plain = archives.select(F.coalesce(F.col(key_col).cast("string"), F.lit("")).alias("key"), F.col(content_col).cast("binary").alias("content"), F.col(refers_col).cast("string").alias("refers"))
-    return plain.mapInArrow(run, "key string, record binary")
+    return plain.mapInArrow(run, "key string, record binary, file int")
 
 
-def write_archives(records: DataFrame, path: str, largest: int) -> None:
-    """Write records (column `record`) as WARC files below `path` on any Hadoop file system; idempotent under task retries.
+def write_archives(records: DataFrame, path: str) -> None:
+    """Write records (record, file) as WARC files below `path` on any Hadoop file system; idempotent under task retries.
 
-    largest: bytes of the largest record. A file takes as many records as FILE_BYTES holds of that size, one at least, so no
-    file exceeds FILE_BYTES or its one record.
+    A file holds the records of one number of one task, so it has at most FILE_BYTES, or one larger record. Tasks keep their few
+    files open together, which spares a sort of the records by file.
     """
-    each = max(1, FILE_BYTES // max(1, largest))
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", each).text(path)
+    with setting(records.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+        records.select(F.col("record").cast("string").alias("value"), "file").write.partitionBy("file").option("lineSep", _END.decode()).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -254,15 +262,13 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    url_bytes = F.coalesce(F.octet_length("url"), F.lit(0)) * 3
-    digests = materialize(base.select("page", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("bytes"), url_bytes.alias("url_bytes")), "digests")
+    digests = materialize(base.select("page", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("bytes")), "digests")
     known = materialize(revisits(digests, min_bytes), "revisits")
-    largest = digests.agg(F.max(F.col("bytes") + F.col("url_bytes"))).first()[0] or 0
     release(digests)
     marked = base.join(known, "page", "left")
     archives = marked.select(F.col("page").alias("key"), arc_archive(F.col("url"), F.col("payload"), F.pmod(F.coalesce("page", F.lit(0)), F.lit(2)) + 1).alias("content"), "refers_to")
     path = new_path(spark, "warc")
-    write_archives(convert(archives, "key", "content", "refers_to"), path, largest + HEADER_BYTES)
+    write_archives(convert(archives, "key", "content", "refers_to"), path)
     back = read_archives(spark, path).where("record_type <> 'warcinfo'")
     # A page whose URL is not http(s) is archived as a resource; for the pages table that is its own payload, a response.
     kind = F.when(F.col("record_type") == "revisit", "revisit").otherwise("response")

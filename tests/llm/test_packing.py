@@ -1,4 +1,5 @@
 import collections
+import random
 import zlib
 
 import public_tokenizers
@@ -84,3 +85,60 @@ def test_null_and_repeated_ids(spark):
     want = sorted((r[0] or 0, len(whole_text_ids(r[1]))) for r in rows)
     assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in out if r["start"] == 0) == want
     assert sum(r["length"] for r in out) == sum(n for _, n in want)
+
+
+class BySize(packing.VectorPacker):
+    """Takes the largest example that fits."""
+
+    def score(self, size, *rest):
+        return size.astype(float)
+
+
+def packed(packer, examples):
+    out = [p for k, (tokens, loss_from) in enumerate(examples) for p in packer.push(k, tokens, loss_from)] + packer.finish()
+    pieces, bins = collections.defaultdict(list), collections.defaultdict(list)
+    for key, start, length, sequence, offset in out:
+        pieces[key].append((start, length))
+        bins[sequence].append((offset, length, max(0, length - max(0, examples[key][1] - start))))
+    for key, (tokens, _) in enumerate(examples):
+        at = 0
+        for start, length in sorted(pieces[key]):
+            assert start == at
+            at += length
+        assert at == tokens
+    limits = packer.limits
+    for parts in bins.values():
+        total = sum(p[1] for p in parts)
+        assert len(parts) <= limits.segments and sum(p[2] for p in parts) <= limits.loss
+        assert total == limits.tokens or total & (total - 1) == 0  # nothing is padded
+    return len(bins)
+
+
+def test_the_dot_product_beats_ordering_by_size_under_limits_that_bind():
+    def big_prompts(rng):
+        tokens = rng.randrange(800, 2500) if rng.random() < 0.5 else rng.randrange(50, 600)
+        return tokens, int(tokens * (0.9 if tokens >= 800 else 0.05))
+
+    def all_or_none(rng):
+        tokens = int(rng.lognormvariate(6, 1)) + 1
+        return tokens, tokens * (rng.random() < 0.5)
+
+    limits = packing.Limits(segments=32, loss=2300, padded=False)
+    for make in (big_prompts, all_or_none):
+        rng = random.Random(3)
+        examples = [make(rng) for _ in range(6000)]
+        least = max(sum(t for t, _ in examples) / limits.tokens, sum(t - f for t, f in examples) / limits.loss)
+        by_product, by_size = packed(packing.VectorPacker(limits), examples), packed(BySize(limits), examples)
+        assert by_product < 0.95 * by_size and by_product < 1.05 * least
+
+
+def test_prompt_share_and_the_query_s_limits_bind(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    limits = packing.Limits(segments=64, loss=3072, padded=False)
+    rows = packing.pack_documents(df, FILE, limits=limits, prompt_share=0.5).collect()
+    assert check(rows, {r["doc_id"]: r["text"] for r in df.collect()}, limits) == 0
+    assert all(r["loss_tokens"] == r["length"] - min(r["length"], max(0, r["doc_tokens"] // 2 - r["start"])) for r in rows)
+    loss = collections.Counter()
+    for r in packing.pack_documents(df, FILE).collect():
+        loss[r["sequence_id"]] += r["length"] - min(r["length"], max(0, r["doc_tokens"] // 2 - r["start"]))
+    assert max(loss.values()) > limits.loss  # without the limit there are sequences beyond it

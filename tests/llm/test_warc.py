@@ -62,7 +62,7 @@ def test_http_responses_keep_one_header(spark, tmp_path, version):
     assert f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}".encode() in record
     assert b"WARC-Type: warcinfo" in by_key[f"filedesc://t.arc#{version}"] and f"ARC version {version}".encode() in by_key[f"filedesc://t.arc#{version}"]
     assert by_key["again"].endswith(b"Server: x\r\n\r\n")
-    warc.write_archives(records, str(tmp_path / "w"), 4096)
+    warc.write_archives(records, str(tmp_path / "w"))
     back = {r["key"]: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
     assert (back["k"]["payload_bytes"], back["k"]["record_type"], back["again"]["refers_to"]) == (len(payload), "response", "k")
     assert (back["k#1"]["payload_bytes"], back["k#1"]["payload_digest"]) == (0, hashlib.sha256(b"").hexdigest())
@@ -73,5 +73,17 @@ def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     df = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), F.concat(F.col("id").cast("string"), F.repeat(F.lit("y"), 9000)).alias("html")).coalesce(1)
     monkeypatch.setattr(warc, "new_path", lambda spark, label: str(tmp_path / label))
     assert warc.archive_pages(df).count() == 40
-    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("part*")]
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("file=*/part*")]
     assert len(sizes) > 9 and max(sizes) <= 50_000
+
+
+def test_one_large_page_does_not_scatter_the_archive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1_000_000)
+    html = F.when(F.col("id") == 150, F.repeat(F.lit("long "), 600_000)).otherwise(F.concat(F.lit("page "), F.col("id").cast("string")))
+    df = spark.range(300).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), html.alias("html")).repartition(3)
+    monkeypatch.setattr(warc, "new_path", lambda spark, label: str(tmp_path / label))
+    out = {r["page_id"]: r["payload_bytes"] for r in warc.archive_pages(df).collect()}
+    assert len(out) == 300 and out[150] == 3_000_000
+    files = list((tmp_path / "warc").glob("file=*/part*"))
+    # Those of the three tasks; the large record has one of its own, and what comes behind it another.
+    assert 3 <= len(files) <= 5
