@@ -149,3 +149,23 @@ def pending(stems: DataFrame, outputs: DataFrame, stem_col: str = "stem", name_c
     made = outputs.select(F.explode(tails).alias("tail")).where("tail <> ''").distinct()
     wanted = stems.withColumn("tail", F.concat(F.lower(F.col(stem_col)), F.lit(ending.lower())))
     return wanted.join(made, "tail", "left_anti").drop("tail")
+
+
+def trailing_counts(events: DataFrame, id_col: str, key: str, ts: str, seconds: int, bucket: int = 21600) -> DataFrame:
+    """id_col, key, n: how many events of the same key came in the `seconds` before each (whole seconds; those of its own second
+    don't count). Ids must be distinct; events without a time have 0.
+
+    That is a difference of two ranks: the key's events before the event, and before the span's begin. A rank is what lies in
+    earlier buckets of time, from a table of counts by key and bucket, and what lies earlier in the same bucket, from a window
+    over (key, bucket). So a key that most events bear is dealt over its buckets, and only counts meet by key.
+    """
+    at = F.unix_timestamp(ts)
+    asks = F.array(*[F.struct(F.lit(sign).alias("sign"), (at - back).alias("moment")) for sign, back in ((1, 0), (-1, seconds))])
+    dealt = events.select(id_col, key, F.explode(asks).alias("ask")).select(id_col, key, "ask.*").withColumn("place", F.floor(F.col("moment") / bucket))
+    event = F.col("sign") == 1
+    held = dealt.groupBy(key, "place").agg(F.sum(F.when(event, 1).otherwise(0)).alias("k"))
+    held = held.select(F.col(key).alias("_key"), F.col("place").alias("_place"), (F.sum("k").over(W.partitionBy(key).orderBy("place")) - F.col("k")).alias("earlier"))
+    inside = F.sum(F.when(event, 1).otherwise(0)).over(W.partitionBy(key, "place").orderBy("moment").rangeBetween(W.unboundedPreceding, -1))
+    ranked = dealt.withColumn("inside", F.coalesce(inside, F.lit(0))).join(held, F.col(key).eqNullSafe(F.col("_key")) & (F.col("place") == F.col("_place")), "left")
+    n = F.sum(F.col("sign") * (F.col("inside") + F.col("earlier")))
+    return ranked.groupBy(id_col, key).agg(F.coalesce(n, F.lit(0)).alias("n"))

@@ -117,36 +117,54 @@ def option_matrix(papers: DataFrame, coefficients: DataFrame | None = None) -> D
     return out.withColumn("total_cost", F.col("llm_cost") + F.col("tts_cost")).select("id", "llm_provider", "llm_model", "tts_provider", "tts_model", "quality_rank", "llm_cost", "tts_cost", "total_cost", "estimate_source")
 
 
-def fit_by_moments(rows: DataFrame, target: str, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Least squares per provider_model: coeffs array, intercept, n.
+def moments(rows: DataFrame, keys: Sequence[str], targets: Sequence[str], features: Sequence[str] = FEATURES) -> DataFrame:
+    """Moment table per keys: n, means m<i> and centred sums of products c<i>_<j> of features and targets, in that order.
 
-    One aggregation gathers each model's moment matrix (a bounded number of sums, combined map-side); the small systems are
-    then solved with the least norm, so rank-deficient groups have one answer. Null features are 0, null targets drop out.
+    One pass with a map-side combine: Spark's covariance merges centred sums, so nothing is squared before its mean is off. Null
+    features are 0, rows without all targets drop out. Such tables add up (merged_moments), whatever the rows were split by.
     """
-    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
-    columns = [F.lit(1.0), *x]
-    own = rows.where(F.col(target).isNotNull())
-    means = own.groupBy("provider_model").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)])
-    # Centring first keeps the sums of squares well conditioned; the means are one row per model.
-    centred = own.join(means, "provider_model").select("provider_model", F.col(target).cast("double").alias("y"), *[(c - F.col(f"m{i}")).alias(f"c{i}") for i, c in enumerate(x)], *[f"m{i}" for i in range(len(x))])
-    k = len(columns)
-    z = [F.lit(1.0), *[F.col(f"c{i}") for i in range(k - 1)]]
-    sums = [F.sum(z[i] * z[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(z[i] * F.col("y")).alias(f"b{i}") for i in range(k)]
-    moments = centred.groupBy("provider_model").agg(F.count("*").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(k - 1)], *sums)
+    z = [*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features], *[F.col(t).cast("double") for t in targets]]
+    known = rows.dropna(subset=list(targets))
+    pairs = [(F.covar_pop(z[i], z[j]) * F.count("*")).alias(f"c{i}_{j}") for i in range(len(z)) for j in range(i, len(z))]
+    return known.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(z)], *pairs)
+
+
+def merged_moments(tables: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Moment tables of parts (weeks, say) as one row for keys: centred sums plus what the parts' means are off the whole's."""
+    k = sum(c[0] == "m" and c[1:].isdigit() for c in tables.columns)
+    whole = tables.groupBy(*keys).agg(F.sum("n").alias("w"), *[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"w{i}") for i in range(k)])
+    off = lambda i: F.col(f"m{i}") - F.col(f"w{i}")
+    sums = [F.sum(F.col(f"c{i}_{j}") + F.col("n") * off(i) * off(j)).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+    return tables.join(whole, list(keys)).groupBy(*keys).agg(F.first("w").alias("n"), *[F.first(f"w{i}").alias(f"m{i}") for i in range(k)], *sums)
+
+
+def solved(table: DataFrame, key: str, targets: Sequence[str], features: Sequence[str] = FEATURES) -> DataFrame:
+    """key, n and for each target <target>_coeffs and <target>_intercept: least squares of a moment table, a row per model.
+
+    The small systems are solved with the least norm, so rank-deficient groups have one answer.
+    """
+    k = len(features)
 
     def solve(batches):
         for pdf in batches:
-            coeffs, intercepts = [], []
+            out = {key: pdf[key], "n": pdf["n"]} | {f"{t}_{x}": [] for t in targets for x in ("coeffs", "intercept")}
             for r in pdf.to_dict("records"):
-                a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                b = np.array([r[f"b{i}"] for i in range(k)])
-                scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
-                w = np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=1e-10)[0] / scale
-                coeffs.append(w[1:].tolist())
-                intercepts.append(float(w[0] - w[1:] @ np.array([r[f"m{i}"] for i in range(k - 1)])))
-            yield pd.DataFrame({"provider_model": pdf["provider_model"], "coeffs": coeffs, "intercept": intercepts, "n": pdf["n"]})
+                c = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + len(targets))] for i in range(k)])
+                scale = np.sqrt(np.maximum(np.diag(c[:, :k]), 1e-300))
+                for i, t in enumerate(targets, k):
+                    w = np.linalg.lstsq(c[:, :k] / np.outer(scale, scale), c[:, i] / scale, rcond=1e-10)[0] / scale
+                    out[f"{t}_coeffs"].append(w.tolist())
+                    out[f"{t}_intercept"].append(float(r[f"m{i}"] - w @ np.array([r[f"m{j}"] for j in range(k)])))
+            yield pd.DataFrame(out)
+
+    schema = f"{key} string, n long, " + ", ".join(f"{t}_coeffs array<double>, {t}_intercept double" for t in targets)
+    return table.mapInPandas(solve, schema)
 
-    return moments.mapInPandas(solve, "provider_model string, coeffs array<double>, intercept double, n long")
+
+def fit_by_moments(rows: DataFrame, target: str, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Least squares per provider_model: coeffs array, intercept, n, in one pass over the rows."""
+    fit = solved(moments(rows, ["provider_model"], [target], features), "provider_model", [target], features)
+    return fit.select("provider_model", F.col(f"{target}_coeffs").alias("coeffs"), F.col(f"{target}_intercept").alias("intercept"), "n")
 
 
 def rmse(predicted: Column, actual: Column) -> Column:
@@ -169,10 +187,9 @@ def train(rows: DataFrame, held_out: Column | None = None) -> DataFrame:
     sized = rows.where("actual_input_tokens is not null and actual_output_tokens is not null")
     counts = sized.groupBy("provider_model").agg(F.count("*").alias("sample_count")).where(F.col("sample_count") >= LEAST_ROWS)
     sized = sized.join(counts, "provider_model").withColumn("test", out & (F.col("sample_count") >= 10))
-    fit = lambda t: fit_by_moments(sized.where("not test"), t)
-    coeffs = fit("actual_input_tokens").select("provider_model", F.col("coeffs").alias("input_coeffs"), F.col("intercept").alias("input_intercept")).join(
-        fit("actual_output_tokens").select("provider_model", F.col("coeffs").alias("output_coeffs"), F.col("intercept").alias("output_intercept")), "provider_model"
-    )
+    targets = {"actual_input_tokens": "input", "actual_output_tokens": "output"}
+    fit = solved(moments(sized.where("not test"), ["provider_model"], list(targets)), "provider_model", list(targets))
+    coeffs = fit.select("provider_model", *[F.col(f"{t}_{x}").alias(f"{name}_{x}") for t, name in targets.items() for x in ("coeffs", "intercept")])
     judged = sized.where("test or sample_count < 10").join(coeffs, "provider_model")
     x = [F.col(f) for f in FEATURES]
     proxy_in, proxy_out = proxy_tokens(F.col("script_char_count"), F.col("latex_char_count"), F.col("figure_count"), F.split_part("provider_model", F.lit(":"), F.lit(1)))

@@ -173,9 +173,56 @@ def a15(t: Tables):
     return fit.select("provider_model", "n", F.round(F.get("coeffs", F.lit(0)), 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@query("A15_train_models", None)
+_ROW_FEATURES = [f"coalesce(CAST({f} AS DOUBLE), 0)" for f in K.FEATURES]
+_TARGETS = ("actual_input_tokens", "actual_output_tokens")
+
+
+def _determinant(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(f"{'-+'[i % 2 == 0]} {x} * {_determinant([row[:i] + row[i + 1 :] for row in m[1:]])}" for i, x in enumerate(m[0])) + ")"
+
+
+def _fitted(rows: str) -> str:
+    """SQL of the normal equations by Cramer's rule, over correlations: provider_model, n, w<t>_<i> and b<t> of both targets."""
+    k = len(_ROW_FEATURES)
+    stats = [f"avg({x}) AS m{i}, stddev_pop({x}) AS s{i}" for i, x in enumerate(_ROW_FEATURES)] + [f"avg({y}) AS my{t}, stddev_pop({y}) AS sy{t}" for t, y in enumerate(_TARGETS)]
+    stats += [f"corr({_ROW_FEATURES[i]}, {_ROW_FEATURES[j]}) AS r{i}{j}" for i in range(k) for j in range(i + 1, k)] + [f"corr({x}, {y}) AS q{t}{i}" for t, y in enumerate(_TARGETS) for i, x in enumerate(_ROW_FEATURES)]
+    r = [["1e0" if i == j else f"r{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)]
+    weights = {f"w{t}_{i}": f"{_determinant([[f'q{t}{a}' if b == i else r[a][b] for b in range(k)] for a in range(k)])} / {_determinant(r)} * sy{t} / s{i}" for t in range(2) for i in range(k)}
+    shifts = [f"my{t} - " + " - ".join(f"w{t}_{i} * m{i}" for i in range(k)) + f" AS b{t}" for t in range(2)]
+    inner = f"SELECT *, {', '.join(f'{w} AS {name}' for name, w in weights.items())} FROM (SELECT provider_model, count(*) AS n, {', '.join(stats)} FROM {rows} GROUP BY provider_model) s"
+    return f"SELECT provider_model, n, {', '.join(weights)}, {', '.join(shifts)} FROM ({inner}) w"
+
+
+_SIZED = "(SELECT *, CAST('0x' || substr(md5(CAST(id AS STRING)), 1, 8) AS BIGINT) % 5 = 0 AS test, count(*) OVER (PARTITION BY provider_model) AS sample_count FROM training_rows WHERE actual_input_tokens IS NOT NULL AND actual_output_tokens IS NOT NULL)"
+_PREDICTED = [f"greatest({' + '.join(f'w{t}_{i} * {x}' for i, x in enumerate(_ROW_FEATURES))} + b{t}, 0)" for t in range(2)]
+_PROXIES = "CASE WHEN latex_char_count > 0 THEN latex_char_count / 4 + figure_count * 300 ELSE script_char_count / 4 * 3 END", "script_char_count / 4"
+_MODELS = f"""SELECT provider_model, CAST(max(sample_count) AS BIGINT) AS sample_count, {", ".join(f"round(any_value({c}), 3) + 0 AS {c}" for t in range(2) for c in (*(f"w{t}_{i}" for i in range(4)), f"b{t}"))},
+    {", ".join(f"round(sqrt(avg(({p} - {y}) ** 2)), 3) + 0 AS {n}" for p, y, n in zip((*_PREDICTED, *_PROXIES), _TARGETS * 2, ("input_rmse", "output_rmse", "proxy_input_rmse", "proxy_output_rmse")))}
+    FROM {_SIZED} z JOIN ({_fitted(f"{_SIZED} z WHERE NOT test")}) f USING (provider_model) WHERE test GROUP BY provider_model"""
+
+
+def _shown_models(models):
+    """Models with a column for each rounded coefficient."""
+    weights = [F.get(f"{x}_coeffs", F.lit(i)).alias(f"w{t}_{i}") for t, x in enumerate(("input", "output")) for i in range(4)]
+    wide = models.select("*", *weights, F.col("input_intercept").alias("b0"), F.col("output_intercept").alias("b1"))
+    rounded = [*(f"w{t}_{i}" for t in range(2) for i in range(4)), "b0", "b1", "input_rmse", "output_rmse", "proxy_input_rmse", "proxy_output_rmse"]
+    return wide.select("provider_model", "sample_count", *[(F.round(c, 3) + 0).alias(c) for c in rounded])
+
+
+@query("A15_train_models", _MODELS, "training_rows")
 def a15b(t: Tables):
-    return K.train(t["training_rows"])
+    return _shown_models(K.train(t["training_rows"]))
+
+
+@query("A15_weekly_increments", f"SELECT provider_model, n, {', '.join(f'round({c}, 3) + 0 AS {c}' for t in range(2) for c in (*(f'w{t}_{i}' for i in range(4)), f'b{t}'))} FROM ({_fitted(_SIZED + ' z')}) f", "training_rows")
+def a15d(t: Tables):
+    # Each week's rows are read once, for that week's moments; the models are solved from all weeks' tables.
+    weekly = K.moments(t["training_rows"].withColumn("week", F.pmod(F.xxhash64("id"), F.lit(9))), ["provider_model", "week"], _TARGETS)
+    fit = K.solved(K.merged_moments(weekly, ["provider_model"]), "provider_model", _TARGETS)
+    columns = {f"w{n}_{i}": F.get(f"{y}_coeffs", F.lit(i)) for n, y in enumerate(_TARGETS) for i in range(4)} | {f"b{n}": F.col(f"{y}_intercept") for n, y in enumerate(_TARGETS)}
+    return fit.select("provider_model", "n", *[(F.round(c, 3) + 0).alias(name) for name, c in columns.items()])
 
 
 @query("A15_exact_models", "SELECT provider_model, count(*) AS n, TRUE AS exact_in, TRUE AS exact_out FROM training_rows WHERE actual_input_tokens IS NOT NULL AND actual_output_tokens IS NOT NULL GROUP BY provider_model HAVING count(*) >= 5", "training_rows")
@@ -185,10 +232,25 @@ def a15c(t: Tables):
     return m.select("provider_model", F.col("sample_count").alias("n"), (F.col("input_rmse") < 1e-3).alias("exact_in"), (F.col("output_rmse") < 1e-3).alias("exact_out"))
 
 
-@query("J18_estimate_with_models", None)
+_ONE_MODEL = _fitted(f"(SELECT * REPLACE ('openai:gpt-4o' AS provider_model) FROM {_SIZED} z WHERE NOT test) m")
+_ESTIMATES = [f"greatest(w{t}_0 * coalesce(latex_char_count, 0) + w{t}_1 * coalesce(figure_count, 0) + w{t}_2 * coalesce(tar_bytes, 0) + w{t}_3 * chars + b{t}, 0)" for t in range(2)]
+
+
+@query(
+    "J18_estimate_with_models",
+    f"""SELECT id, llm_provider, llm_model, tts_provider, tts_model, round((tin * i + tout * o) / 1e6 + 1e-9, 6) AS llm_cost, round(chars * rate / 1e6 + 1e-9, 6) AS tts_cost, source AS estimate_source FROM (
+      SELECT *, CASE WHEN llm_model = 'gpt-4o' THEN 'ml' ELSE 'proxy' END AS source,
+        CASE WHEN llm_model = 'gpt-4o' THEN {_ESTIMATES[0]} WHEN coalesce(latex_char_count, 0) > 0 THEN latex_char_count / 4e0 + figure_count * CASE llm_provider WHEN 'openai' THEN 85 ELSE 700 END ELSE chars / 4e0 * 3e0 END AS tin,
+        CASE WHEN llm_model = 'gpt-4o' THEN {_ESTIMATES[1]} ELSE chars / 4e0 END AS tout
+      FROM (SELECT id, latex_char_count, figure_count, tar_bytes, ceil(script_char_count * 1.33e0) AS chars FROM papers WHERE script_char_count > 0) p CROSS JOIN ({_LLM}) l CROSS JOIN ({_TTS}) v CROSS JOIN ({_ONE_MODEL}) f) x""",
+    "papers", "training_rows",
+)
 def j18(t: Tables):
     models = K.train(t["training_rows"].withColumn("provider_model", F.lit("openai:gpt-4o")))
-    return K.option_matrix(t["papers"], models)
+    o = K.option_matrix(t["papers"], models)
+    # Costs of whole tokens lie on halves of the last place, so they are moved off them by far less.
+    cost = lambda c: F.round(F.col(c) + 1e-9, 6).alias(c)
+    return o.select("id", "llm_provider", "llm_model", "tts_provider", "tts_model", cost("llm_cost"), cost("tts_cost"), "estimate_source")
 
 
 @query(

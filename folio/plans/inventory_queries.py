@@ -392,8 +392,13 @@ def z3(t: Tables):
 
 @query("Z5_trailing_day_counts", "SELECT id, ip_address, count(*) OVER (PARTITION BY ip_address ORDER BY epoch(submitted_at) RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS n FROM (SELECT id, ip_address, date_trunc('second', submitted_at) AS submitted_at FROM submissions) x", "submissions")
 def z5(t: Tables):
-    w = W.partitionBy("ip_address").orderBy(F.unix_timestamp("submitted_at")).rangeBetween(-86400, -1)
-    return t["submissions"].select("id", "ip_address", F.count("*").over(w).alias("n"))
+    return C.trailing_counts(t["submissions"], "id", "ip_address", "submitted_at", 86400).select("id", "ip_address", "n")
+
+
+@query("Z5_hot_address", "SELECT id, count(*) OVER (ORDER BY epoch(ts) RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS n FROM (SELECT event_id AS id, date_trunc('second', ts) AS ts FROM events) x")
+def z5_hot(t: Tables):
+    # All events of one address: they are dealt over tasks by hour.
+    return C.trailing_counts(t["events"].select(F.col("event_id").alias("id"), F.lit("one").alias("address"), "ts"), "id", "address", "ts", 86400, 3600).select("id", "n")
 
 
 @query("E1_status_collapse", "SELECT id, CASE status WHEN 'narrated' THEN 'narrated' WHEN 'failed' THEN 'failed' WHEN 'narrating' THEN 'narrating' END AS status FROM papers", "papers")

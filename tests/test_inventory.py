@@ -1,11 +1,14 @@
 """Inventory queries over whole tables, against results worked out by hand or in plain Python."""
 
+import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folio import adapters
+from folio.operators import catalog
 from folio.plans import inventory_queries
 from folio.plans.registry import Tables
 
@@ -47,3 +50,12 @@ def test_parsers_scored_in_another_mode_or_long_ago_are_unscored(spark):
         "narration_versions": spark.createDataFrame(versions, "id long, narration_tier string, scripter_mode string, llm_cost double, script_latency_ms long"),
     }
     assert sorted(r["commit_hash"] for r in inventory_queries.j8(Given(tables)).collect()) == ["mode", "never", "old"]
+
+
+def test_trailing_counts_of_a_hot_key(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(0, 400_000)) for i in range(1500)] + [(-1, "b", None)]
+    df = spark.createDataFrame(rows, "id long, who string, s long").withColumn("at", F.timestamp_seconds("s"))
+    for bucket in (500, 86_400, 10_000_000):
+        got = {r["id"]: r["n"] for r in catalog.trailing_counts(df, "id", "who", "at", 86_400, bucket).collect()}
+        assert got == {i: sum(w == who and s is not None and t is not None and s - 86_400 <= t < s for _, w, t in rows) for i, who, s in rows}

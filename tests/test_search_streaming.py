@@ -115,6 +115,21 @@ def test_least_squares_with_a_rank_deficient_group(spark):
     assert fit["n"]["coeffs"] == [0, 0, 0, 0] and abs(fit["n"]["intercept"] - 5) < 1e-9
 
 
+def test_moments_of_parts_are_those_of_the_whole(spark):
+    rng = random.Random(4)
+    rows = [(f"m{i % 3}", rng.randrange(5) if i % 3 else 0, 1e3 * rng.random(), rng.random() * 1e-3, None if i % 7 == 0 else rng.random(), 5.0, rng.gauss(0, 1) * 1e3, rng.random() if i % 11 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "provider_model string, week int, latex_char_count double, figure_count double, tar_bytes double, script_char_count double, y double, z double")
+    whole = cost.moments(df, ["provider_model"], ["y", "z"])
+    parts = cost.merged_moments(cost.moments(df, ["provider_model", "week"], ["y", "z"]), ["provider_model"])
+    got, want = ({r["provider_model"]: r.asDict() for r in x.collect()} for x in (parts, whole))
+    assert got.keys() == want.keys()
+    for m, w in want.items():
+        scale = {c: abs(w[c]) if c[0] != "c" else (w[f"c{c[1]}_{c[1]}"] * w[f"c{c[3]}_{c[3]}"]) ** 0.5 for c in whole.columns[1:]}
+        assert all(abs(got[m][c] - w[c]) <= 1e-9 * scale[c] for c in scale)
+    fits = [{r["provider_model"]: r.asDict() for r in cost.solved(x, "provider_model", ["y", "z"]).collect()} for x in (parts, whole)]
+    assert all(fits[0][m][c] == pytest.approx(fits[1][m][c], rel=1e-6, abs=1e-6) for m in fits[1] for c in ("n", "y_coeffs", "y_intercept", "z_coeffs", "z_intercept"))
+
+
 def test_visits_are_unique_by_ip_and_by_token(spark):
     rows = [(1, "p", "i1", "t1"), (2, "p", "i1", "t2"), (3, "p", "i2", "t1"), (4, "p", "i3", "t2"), (5, "p", "i4", None), (6, "p", "i4", None)]
     df = spark.createDataFrame(rows, "id long, paper_id string, visitor_ip string, visitor_token string")
