@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.adapters import AS_OF, SCORES_AS_OF
-from folio.functions import pdf, scripts
+from folio.functions import pdf
 from folio.functions import text as T
 from folio.operators import catalog as C
 from folio.operators import cost as K
@@ -452,7 +452,11 @@ def x42b(t: Tables):
     return t["pages"].select("page_id", F.char_length(F.regexp_replace("html", "<[^>]+>", "")).cast("long").alias("n"))
 
 
-@query("X42_clean_pages", None)
+_PLAIN_PAGE = "replace(" * (len(T.ENTITIES) + 1) + "regexp_replace(html, '<[^>]+>', '', 'g')" + "".join(f", '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in (*T.ENTITIES, ("&nbsp;", " ")))
+
+
+# The pages hold no backslashes: of a page's TeX markup only dollar signs, quotes and braces are left to handle.
+@query("X42_clean_pages", f"SELECT page_id, trim(regexp_replace(regexp_replace(replace(regexp_replace({_PLAIN_PAGE}, '\\$([^$]*)\\$', '\\1', 'g'), chr(39) || chr(39), '”'), '[{{}}]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 def x42c(t: Tables):
     return t["pages"].select("page_id", T.strip_html(F.col("html")).alias("text"))
 
@@ -545,34 +549,3 @@ def x29(t: Tables):
 def x30(t: Tables):
     marked = F.concat(F.lit("1.5 2.5 x 3%\n"), "text", F.lit("\n12"))
     return t["documents"].select("doc_id", pdf.numeric_rows_dropped(marked).alias("text"))
-
-
-def _latex_source():
-    """A LaTeX document around a plain text, whose own dollar signs are escaped."""
-    plain = F.replace("text", F.lit("$"), F.lit("\\$"))
-    return F.concat(
-        F.lit("\\documentclass{article}\\title{Paper}\\author{Ann B\\and Bob C}\n\\begin{document}\n\\begin{abstract}What this is about.\\end{abstract}\n\\section{One}\n"),
-        plain, F.lit(" \\cite{key} with $x^2$. % note\n\\begin{figure}\\caption{Cap}\\end{figure}\n\\end{document}"),
-    )
-
-
-@query("X55_latex_to_speech", None)
-def x55(t: Tables):
-    from folio.functions import latex
-
-    return latex.spoken(t.spread("documents").select("doc_id", _latex_source().alias("source")), "source").select("doc_id", F.sha2("spoken.body", 256).alias("body_sha"), F.col("spoken.title").alias("title"), F.size("spoken.authors").alias("n_authors"))
-
-
-@query("X56_hybrid_scripts", None)
-def x56(t: Tables):
-    return t.spread("documents").select("doc_id", F.char_length(scripts.hybrid_column(_latex_source())).alias("n"))
-
-
-@query("X57_model_scripts", None)
-def x57(t: Tables):
-    return scripts.full_script(t.spread("documents").select("doc_id", _latex_source().alias("source")), "doc_id", "source").select("doc_id", F.char_length("script").alias("n"), "chunks", "input_chars")
-
-
-@query("A20_element_counts", "SELECT 'figure' AS kind, count(*) AS n FROM documents")
-def a20(t: Tables):
-    return t.spread("documents").select(F.explode(scripts.elements_column(_latex_source())).alias("e")).groupBy("e.kind").agg(F.count("*").alias("n"))

@@ -411,6 +411,13 @@ def e3(t: Tables):
     return t["narration_versions"].select("id", S.remap(F.col("narration_tier"), {"base": "free"}, F.col("narration_tier")).alias("tier"))
 
 
+@query("E5_column_drop", "SELECT * EXCLUDE (llm_cost, script_latency_ms), CASE WHEN scripter_mode IS NULL THEN CASE narration_tier WHEN 'base' THEN 'regex' ELSE 'llm' END ELSE scripter_mode END AS mode FROM narration_versions", "narration_versions")
+def e5(t: Tables):
+    # A migration that drops columns takes all others along, and what is derived from one before it goes.
+    v = t["narration_versions"]
+    return v.withColumn("mode", F.coalesce("scripter_mode", F.when(F.col("narration_tier") == "base", "regex").otherwise("llm"))).drop("llm_cost", "script_latency_ms")
+
+
 @query("E6_array_to_map", "SELECT user_token, count(*) AS n FROM listens GROUP BY user_token", "listens")
 def e6(t: Tables):
     as_map = t["listens"].groupBy("user_token").agg(F.map_from_entries(F.collect_list(F.struct("paper_id", F.lit(True)))).alias("m"))

@@ -300,6 +300,40 @@ def x59(t: Tables):
     return p.join(made, "id").orderBy("script_char_count", "id").select("id", "transcript", "script_char_count")
 
 
+# --- whole pipelines --------------------------------------------------------------------------------------------------
+
+
+def _latex_source() -> Column:
+    """A LaTeX document around a text: metadata, an abstract, a section, a citation, a formula, a note and a figure."""
+    begin = "\\documentclass{article}\\title{Paper}\\author{Ann B\\and Bob C}\n\\begin{document}\n\\begin{abstract}What this is about.\\end{abstract}\n\\section{One}\n"
+    return _around(begin, _latex(), " \\cite{key} with $x^2$. % note\n\\begin{figure}\\caption{Cap}\\end{figure}\n\\end{document}")
+
+
+_SECTION = f"'One.' || {_NL} || {_NL} || trim({_mended(f'({_symbols(_flat(_LATEX_SQL))} || ' + chr(39) + '  with  x squared .' + chr(39) + ')')})"
+_BODY = f"'Abstract.' || {_NL} || {_NL} || 'What this is about.' || {_NL} || {_NL} || {_SECTION}"
+
+
+@query("X55_latex_to_speech", f"SELECT doc_id, {_BODY} AS body, 'Paper' AS title, 2 AS n_authors FROM documents")
+def x55(t: Tables):
+    spoken = latex.spoken(t.spread("documents").select("doc_id", _latex_source().alias("source")), "source")
+    return spoken.select("doc_id", "spoken.body", "spoken.title", F.size("spoken.authors").alias("n_authors"))
+
+
+@query("X56_hybrid_scripts", f"SELECT doc_id, body || CASE WHEN length(body) < 200 THEN '' ELSE {_NL} || {_NL} || 'Cap' END AS script FROM (SELECT doc_id, {_BODY} AS body FROM documents) b")
+def x56(t: Tables):
+    return t.spread("documents").select("doc_id", scripts.hybrid_column(_latex_source()).alias("script"))
+
+
+@query("X57_model_scripts", f"SELECT doc_id, 'Abstract.' || {_NL} || {_NL} || 'What this is about.' || {_NL} || {_NL} || {_unstarred(_SECTION)} AS script, CAST(2 AS BIGINT) AS chunks, length({_LATEX_SQL}) + 133 AS input_chars FROM documents")
+def x57(t: Tables):
+    return scripts.full_script(t.spread("documents").select("doc_id", _latex_source().alias("source")), "doc_id", "source").select("doc_id", "script", "chunks", "input_chars")
+
+
+@query("A20_element_counts", "SELECT 'figure' AS kind, count(*) AS n FROM documents")
+def a20(t: Tables):
+    return t.spread("documents").select(F.explode(scripts.elements_column(_latex_source())).alias("e")).groupBy("e.kind").agg(F.count("*").alias("n"))
+
+
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
