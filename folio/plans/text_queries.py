@@ -309,7 +309,9 @@ def _latex_source() -> Column:
     return _around(begin, _latex(), " \\cite{key} with $x^2$. % note\n\\begin{figure}\\caption{Cap}\\end{figure}\n\\end{document}")
 
 
-_SECTION = f"'One.' || {_NL} || {_NL} || trim({_mended(f'({_symbols(_flat(_LATEX_SQL))} || ' + chr(39) + '  with  x squared .' + chr(39) + ')')})"
+# A citation takes the word along that leads to it.
+_UNCITED = _re(_symbols(_flat(_LATEX_SQL)), (r"(?i)\b(in|see|from|at|by|of)$", ""))
+_SECTION = f"'One.' || {_NL} || {_NL} || trim({_mended(f'({_UNCITED} || ' + chr(39) + '  with  x squared .' + chr(39) + ')')})"
 _BODY = f"'Abstract.' || {_NL} || {_NL} || 'What this is about.' || {_NL} || {_NL} || {_SECTION}"
 
 
