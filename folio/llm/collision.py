@@ -6,6 +6,9 @@ random projection: the vectors of a block sorted by it. Around a query's own pro
 collides with the query in a projection if it lies in the window, which in a sorted array is an interval of places; once it
 has collided in enough of them, its inner product is computed exactly. A query is done when a vector at the distance of its
 k-th best would have been found with probability FOUND: no cap on candidates or partners.
+
+The lift makes short vectors look alike when a much longer one sets its bound. So a block is indexed in ranges of norm, each with a
+bound of its own, from the longest down; a range that can't hold a better product than those found is not entered.
 """
 
 from __future__ import annotations
@@ -73,16 +76,18 @@ class CollisionIndex:
         inside = (self.place - low[:, None]) < (high - low)[:, None]
         return np.flatnonzero(inside.sum(axis=0, dtype=np.uint8 if PROJECTIONS < 256 else np.uint16) >= COLLISIONS)
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (ids of its nearest, their inner products), the query's own id left out."""
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids of its nearest, their inner products), the query's own id left out. floors: inner products that k
+        vectors elsewhere have already; what is below them need not be found."""
         n, reach, out = len(self.ids), _reach(), []
         shadows = queries @ self.axes[:-1]
         norms = np.einsum("ij,ij->i", queries, queries)
         # Among every k-th vector the nearest is about as far as the k-th of all: where the windows begin.
         sample = self.vectors[:: max(1, k)]
-        for own, query, shadow, norm in zip(ids.tolist(), queries, shadows, norms.tolist(), strict=True):
+        floors = np.full(len(ids), -math.inf) if floors is None else floors
+        for own, query, shadow, norm, floor in zip(ids.tolist(), queries, shadows, norms.tolist(), floors.tolist(), strict=True):
             apart = lambda score: math.sqrt(max(norm + self.bound**2 - 2 * score, 0.0))  # noqa: E731, B023
-            half = reach * max(apart(float((sample @ query).max())) if n else 0.0, 1e-9 * self.bound)
+            half = reach * max(apart(max(float((sample @ query).max()), floor)) if n else 0.0, 1e-9 * self.bound)
             widest = float(max(np.abs(self.sorted[:, 0] - shadow).max(), np.abs(self.sorted[:, -1] - shadow).max())) if n else 0.0
             known = np.zeros(0, np.int64)
             while n:
@@ -94,7 +99,7 @@ class CollisionIndex:
                     kth = float(np.partition(score, len(score) - k)[len(score) - k])
                     # What rounding could put among the k best is scored in one fixed order below.
                     known = reached[score >= kth - 1e-9 * (abs(kth) + self.bound * math.sqrt(norm))]
-                need = reach * apart(kth) if len(reached) >= k else math.inf
+                need = reach * apart(max(kth, floor)) if max(kth, floor) > -math.inf else math.inf
                 if half >= need or half >= widest:
                     break
                 half = need if need < math.inf else half * GROWTH
@@ -105,6 +110,57 @@ class CollisionIndex:
         return out
 
 
+class RangedIndex:
+    """A block of vectors in ranges of norm, of which each is at most half as long as the one before. Vectors whose squared norm
+    overflows are always compared exactly, and so is every vector with a query of that kind."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        with np.errstate(over="ignore"):
+            norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        self.all, finite = (ids, vectors), np.isfinite(norms)
+        self.endless = (ids[~finite], vectors[~finite])
+        self.ranges: list[tuple[float, CollisionIndex]] = []
+        longest = norms[finite].max() if finite.any() else 0.0
+        # A norm may underflow to 0, though no vector is zero; such vectors are one range.
+        number = np.full(len(ids), -1)
+        number[finite] = np.minimum(np.floor(np.log2(longest / np.maximum(norms[finite], 1e-160))), 2000) if longest else 0
+        for n in np.unique(number[finite]):
+            own = number == n
+            bound = max(float(norms[own].max()) * (1 + 1e-12), 1e-160)
+            self.ranges.append((bound, CollisionIndex(ids[own], vectors[own], bound)))
+
+    @property
+    def verified(self) -> int:
+        return sum(index.verified for _, index in self.ranges)
+
+    @property
+    def asked(self) -> int:
+        return sum(index.asked for _, index in self.ranges)
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids of its nearest, their inner products), the query's own id left out."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        found = [self._exact(self.endless if np.isfinite(norm) else self.all, own, query, k) for own, query, norm in zip(ids.tolist(), queries, norms.tolist(), strict=True)]
+        for bound, index in self.ranges:
+            kth = np.array([f[1][k - 1] if len(f[1]) >= k else -np.inf for f in found])
+            # Ties of the k-th are still of use, and so is what rounding may lift to it.
+            asked = np.flatnonzero(np.isfinite(norms) & (norms * bound * (1 + 1e-9) >= kth))
+            for i, (more, scores) in zip(asked.tolist(), index.search(ids[asked], queries[asked], k, kth[asked]) if len(asked) else [], strict=True):
+                both, score = np.concatenate([found[i][0], more]), np.concatenate([found[i][1], scores])
+                best = np.lexsort((both, -score))[:k]
+                found[i] = both[best], score[best]
+        return found
+
+    @staticmethod
+    def _exact(held: tuple[np.ndarray, np.ndarray], own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, vectors = (x[held[0] != own] for x in held)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = _plain_products(vectors, query)
+        best = np.lexsort((ids, -score))[:k]
+        return ids[best], score[best]
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
 
@@ -112,10 +168,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _lookup_task(width: int, bound: float, k: int):
+def _lookup_task(width: int, k: int):
     """Rows (block, kind, id, v), sorted: a block's vectors (kind 0), then the queries (kind 1) -> the k best of each query in it."""
 
-    def results(index: CollisionIndex, ids: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def results(index: RangedIndex, ids: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(ids), QUERIES):
             own = ids[i : i + QUERIES]
             found = index.search(own, matrix[i : i + QUERIES], k)
@@ -135,7 +191,7 @@ def _lookup_task(width: int, bound: float, k: int):
                     parts.append((ids, matrix))
                     continue
                 if index is None and parts:
-                    index, parts = CollisionIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), bound), []
+                    index, parts = RangedIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), []
                 if index is not None:
                     yield from results(index, ids, matrix)
 
@@ -149,7 +205,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col:
     Null, empty or zero vectors and those with null or non-finite components, and null ids, take no part; all others must be
     of one length (vectors of another length than the most common take no part either). Of rows that share an id the one
     with the least vector (in the order of arrays) counts, on either side, so the neighbours of a query are different ids.
-    Empty tables give an empty result.
+    Vectors of any finite length count, also where a squared norm overflows. Empty tables give an empty result.
 
     Every row is indexed, once: blocks of BLOCK vectors, dealt by id, each in one task, which builds its index and then reads
     the queries as a stream. Queries are copied to every block; only the k best of a query and a block are shuffled on.
@@ -162,16 +218,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col:
         return plain.where(F.coalesce(sound, F.lit(False)))
 
     base = usable(vectors)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    shape = base.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(norm).alias("bound")).orderBy(F.col("n").desc(), "width").first()
+    shape = base.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "width").first()
     if shape is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, bound, n_blocks = shape["width"], shape["bound"] * (1 + 1e-12), max(1, -(-shape["n"] // BLOCK))
+    width, n_blocks = shape["width"], max(1, -(-shape["n"] // BLOCK))
     one_each = lambda df: df.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"))
     left = one_each(base).select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
     right = one_each(usable(queries)).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
     tasks = max(n_blocks, shuffle_width(vectors.sparkSession))
     dealt = left.unionByName(right).repartition(tasks, "block").sortWithinPartitions("block", "kind", "id")
-    best = dealt.mapInArrow(_lookup_task(width, bound, k), _FOUND)
+    best = dealt.mapInArrow(_lookup_task(width, k), _FOUND)
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

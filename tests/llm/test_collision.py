@@ -81,3 +81,32 @@ def test_few_vectors_are_verified():
     assert index.verified < 0.2 * index.asked
     exact = [set(np.argsort(-np.where(np.arange(4096) == q, -1e9, vectors @ vectors[q]))[:20].tolist()) for q in range(0, 4096, 64)]
     assert sum(len(e & set(f[0].tolist())) for e, f in zip(exact, found, strict=True)) >= 0.95 * 20 * 64
+
+
+def test_one_long_vector_changes_nothing():
+    rng = np.random.default_rng(6)
+    vectors = np.repeat(rng.standard_normal((32, 64)), 64, axis=0) + 0.4 * rng.standard_normal((2048, 64))
+    ids, asked = np.arange(2048), slice(None, None, 64)
+    plain = collision.RangedIndex(ids, vectors)
+    want = plain.search(ids[asked], vectors[asked], 20)
+    longer = vectors.copy()
+    longer[5] *= 100
+    ranged = collision.RangedIndex(ids, longer)
+    got = ranged.search(ids[asked], vectors[asked], 20)
+    assert ranged.verified <= 1.1 * plain.verified + len(want)
+    exact = [np.argsort(-np.where(ids == q, -np.inf, longer @ v))[:20] for q, v in zip(ids[asked], vectors[asked], strict=True)]
+    assert sum(len(set(e.tolist()) & set(f[0].tolist())) for e, f in zip(exact, got, strict=True)) >= 0.95 * 20 * len(got)
+
+
+def test_norms_that_overflow_or_underflow(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(200)]
+    rows += [(200, [1e200] + [0.0] * 7), (220, [-1e200, 1e200] + [0.0] * 6), (240, [1e-200] * 8), (201, [5e-324] + [0.0] * 7), (202, [-1e300] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with np.errstate(over="ignore", invalid="ignore"):
+        want = brute(rows)
+    got = run(spark, df)
+    assert set(got) == set(want)
+    for q in (0, 200, 220):
+        assert [i for _, i in got[q]][:3] == [i for _, i in want[q]][:3]
+    assert sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want) >= 0.9 * 20 * len(want)
