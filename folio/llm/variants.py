@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, release
+from folio.llm.common import materialize, release, shuffle_width
 
 #: Least length of a word, in code points.
 MIN_LENGTH = 7
@@ -28,8 +28,8 @@ MIN_LENGTH = 7
 MIN_COUNT = 2
 #: A form is at least so many times as frequent as its variant.
 RATIO = 10
-#: Words of a bucket that are not split further, and about as many in a task.
-BUCKET_WORDS = 20_000
+#: Words of a bucket that are not split further; about as many words are matched at once; and such groups in a partition.
+BUCKET_WORDS, GROUP_WORDS, GROUPS = 20_000, 4_000, 4
 #: Splits of large buckets; each makes the part that must agree longer by half of the rest.
 SPLITS = 3
 #: A word is a longest run of these.
@@ -184,7 +184,7 @@ def first_path(a: str, b: str, least: int, depth: int) -> str:
 
 
 def _matched(group: pd.DataFrame) -> pd.DataFrame:
-    """The near words of a task's words: one row for each record that has any."""
+    """The near words of a group of buckets: one row for each record that has any."""
     out = []
     for path, rows in group.groupby("path", sort=False):
         entries = rows[rows["entry"]].drop_duplicates("view").sort_values("view")
@@ -224,9 +224,11 @@ def near_words(words: DataFrame, bucket_words: int = BUCKET_WORDS, splits: int =
         rows = rows.unionByName(part)
     asked = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = asked.withColumn("entry", F.pmod(F.xxhash64("word"), "blocks") == F.col("block"))
-    tasks = 1 + rows.count() // bucket_words
-    dealt = asked.select("word", "n", "least", "exact", "path", "view", "entry", F.pmod(F.xxhash64(*key, "block"), F.lit(tasks)).alias("task"))
-    found = dealt.groupBy("task").applyInPandas(lambda g: _matched(g), _FOUND)
+    groups = 1 + rows.count() // min(bucket_words, GROUP_WORDS)
+    dealt = asked.select("word", "n", "least", "exact", "path", "view", "entry", F.pmod(F.xxhash64(*key, "block"), F.lit(groups)).alias("group"))
+    # By number, so that small partitions are not put together again: a task's work is the same at every size.
+    dealt = dealt.repartition(max(shuffle_width(words.sparkSession), groups // GROUPS), "group")
+    found = dealt.groupBy("group").applyInPandas(lambda g: _matched(g), _FOUND)
     best = F.min(F.struct((-F.col("near_n")).alias("order"), F.col("near")))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", (-F.col("best.order")).alias("near_n"), F.col("best.near").alias("near"))
 
