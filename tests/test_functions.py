@@ -171,3 +171,61 @@ def test_archives(spark, tmp_path):
     assert sorted(r[0] for r in found.select(archives.is_pdf(F.col("content"))).collect()) == [False, True]
     texts = [r["text"] for r in archives.latex_texts(archives.members(found)).collect()]
     assert None in texts and any(t and "ONE " in t and "% \\input{no}" in t and "gone" not in t for t in texts)
+
+
+GOLDEN = r"""\begin{abstract}
+A new way to sort stones.
+\end{abstract}
+
+\section{Start}
+Stones vary. Figure~\ref{fig:heap} shows a heap.
+
+\begin{figure}[ht]
+\centering
+\includegraphics[width=3cm]{pics/heap.v2}
+\caption[short]{A heap of \emph{many \textbf{stones}}.}
+\label{fig:heap}
+\end{figure}
+
+\section{How}
+A stone weighs
+\begin{align}
+w &= \rho v \label{eq:w} \\
+v &= a^3 \nonumber
+\end{align}
+and its sum is $$s = 1$$ while \[ t_{0} = 2 \] holds.
+
+\begin{algorithm}
+\caption{Sort}
+\begin{algorithmic}
+\STATE $x \leftarrow 1$
+\end{algorithmic}
+\end{algorithm}
+
+\begin{table*}
+\caption{Weights.}
+\begin{tabular}{lc}
+Stone & Weight \\
+\end{tabular}
+\end{table*}
+
+\section{End}
+Stones are sorted."""
+
+
+def test_a_golden_document():
+    body, elements = scripts.extract_elements(GOLDEN)
+    assert [(e.element_id, e.caption, e.figures) for e in elements] == [
+        ("FIGURE_001", "A heap of many stones.", ("pics/heap.v2",)), ("TABLE_001", "Weights.", ()), ("ALGORITHM_001", "Sort", ()),
+        ("DISPLAY_MATH_001", "", ()), ("DISPLAY_MATH_002", "", ()), ("DISPLAY_MATH_003", "", ()),
+    ]
+    assert [" ".join(scripts.formula_of(e.source).split()) for e in elements[3:]] == [r"w = \rho v v = a^3", "t_{0} = 2", "s = 1"]
+    assert elements[0].context == "" and elements[3].context.endswith("A stone weighs")
+    assert not any(x in body for x in ("includegraphics", "align", "algorithmic", "tabular", "rho", "$$"))
+    said = latex.clean_body(body)
+    assert said.split("\n\n") == [
+        "Abstract.", "A new way to sort stones.", "Start.", "Stones vary. shows a heap.", "HYBRID_ELEMENT_FIGURE_001", "How.", "A stone weighs", "HYBRID_ELEMENT_DISPLAY_MATH_001", "and its sum is",
+        "HYBRID_ELEMENT_DISPLAY_MATH_003", "while", "HYBRID_ELEMENT_DISPLAY_MATH_002", "holds.", "HYBRID_ELEMENT_ALGORITHM_001", "HYBRID_ELEMENT_TABLE_001", "End.", "Stones are sorted.",
+    ]
+    plain = latex.clean(GOLDEN)
+    assert plain.split("\n\n")[-2:] == ["End.", "Stones are sorted."] and "holds." in plain and "w &" not in plain and "Weights" not in plain
