@@ -146,7 +146,7 @@ def manifest(rows: DataFrame, group_col: str, order_col: str, leaf_col: str, pre
     Leaves of a group ascend by order_col, groups by their UTF-8 bytes, nulls first in both; rows of one group and order value
     ascend by leaf. proof_sha256 is over the siblings from the leaf to the root. folded_root is what presented_col (null or not
     given: the leaf) gives with the path of the original; verified tells whether it is the root. Repeated rows are leaves each,
-    and so are rows whose columns are all null. An empty table gives no rows. Column names beginning `merkle_` are taken.
+    and so are rows whose columns are all null; leaf_col itself must not be null. An empty table gives no rows. Columns of any name pass.
     """
     spark = rows.sparkSession
     width = shuffle_width(spark)

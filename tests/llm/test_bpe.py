@@ -52,3 +52,14 @@ def test_documents_of_the_test_data(spark, reference):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_and_decode(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_very_long_texts(spark, reference):
+    import random
+
+    rng = random.Random(13)
+    texts = {1: "".join(rng.choice("abc é漢\n'1 ") for _ in range(300_000)), 2: "z" * 100_000, 3: "ab" * 60_000 + " " * 50_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in bpe.encode_and_decode(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect():
+        assert bytes(r["decoded"]).decode() == texts[r["doc_id"]]
+        assert list(memoryview(bytes(r["ids"])).cast("I")) == reference.encode_ordinary(texts[r["doc_id"]])

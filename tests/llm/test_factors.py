@@ -71,3 +71,11 @@ def test_nulls_and_shared_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check(df, rows)
     assert factors.repeated_words(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_a_copy_of_5000_words(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage, long = [word() for _ in range(5000)], [word() for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["a", *passage, "b"])), (3, " ".join(long[:20_000] + ["x"] + passage)), (4, "same " * 30_000), (5, "c\n" * 40_000 + "unique end")]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)

@@ -86,3 +86,11 @@ def test_nulls_and_shared_ids(spark):
     assert sorted(r["n_removed"] for r in out if r["n_bytes"]) == [0, 150, 150]
     assert [r["n_removed"] for r in out if r["doc_id"] is None and r["n_bytes"]] == [150]
     assert suffixes.repeated_bytes(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdeé \n") for _ in range(n))
+    long = text(120_000)
+    rows = [(1, long), (2, "y" * 50_000), (3, text(500) + long[40_000:90_000] + text(500)), (4, "yz" * 20_000)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), {i: t.encode() for i, t in rows})
