@@ -132,17 +132,24 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
+#: Where the rules of commands stand in ABSTRACT_MARKUP: all of them begin with a backslash.
+_COMMANDS = slice(1, 1 + sum(p.startswith(r"\\") for p, _ in ABSTRACT_MARKUP))
+
+
 def plain_abstract(text: Column) -> Column:
-    """TeX markup of an abstract to readable text."""
-    return F.trim(rules.column(text, ABSTRACT_MARKUP))
+    """TeX markup of an abstract to readable text. Texts without a backslash are spared the rules of commands."""
+    text = rules.column(text, ABSTRACT_MARKUP[: _COMMANDS.start])
+    text = F.when(text.contains("\\"), rules.column(text, ABSTRACT_MARKUP[_COMMANDS])).otherwise(text)
+    return F.trim(rules.column(text, ABSTRACT_MARKUP[_COMMANDS.stop :]))
 
 
 def strip_html(html: Column) -> Column:
     """Tags removed, entities decoded (numeric ones of printable ASCII too), TeX markup cleaned."""
-    text = F.regexp_replace(html, "<[^>]+>", "")
+    text = numbered = F.regexp_replace(html, "<[^>]+>", "")
     for code in range(32, 127):
         if code not in (38,):
-            text = F.replace(text, F.lit(f"&#{code};"), F.lit(chr(code)))
+            numbered = F.replace(numbered, F.lit(f"&#{code};"), F.lit(chr(code)))
+    text = F.when(text.contains("&#"), numbered).otherwise(text)
     return plain_abstract(F.replace(decode_entities(F.replace(text, F.lit("&#38;"), F.lit("&"))), F.lit("&nbsp;"), F.lit(" ")))
 
 
