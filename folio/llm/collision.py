@@ -141,12 +141,17 @@ class RangedIndex:
         """For each query (ids of its nearest, their inner products), the query's own id left out."""
         with np.errstate(over="ignore", invalid="ignore"):
             norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        found = [self._exact(self.endless if np.isfinite(norm) else self.all, own, query, k) for own, query, norm in zip(ids.tolist(), queries, norms.tolist(), strict=True)]
+        none = (ids[:0], np.zeros(0))
+        plain = np.isfinite(norms) & (not len(self.endless[0]))
+        found = [none if easy else self._exact(self.endless if np.isfinite(norm) else self.all, own, query, k) for own, query, norm, easy in zip(ids.tolist(), queries, norms.tolist(), plain.tolist(), strict=True)]
         for bound, index in self.ranges:
             kth = np.array([f[1][k - 1] if len(f[1]) >= k else -np.inf for f in found])
             # Ties of the k-th are still of use, and so is what rounding may lift to it.
             asked = np.flatnonzero(np.isfinite(norms) & (norms * bound * (1 + 1e-9) >= kth))
             for i, (more, scores) in zip(asked.tolist(), index.search(ids[asked], queries[asked], k, kth[asked]) if len(asked) else [], strict=True):
+                if not len(found[i][0]):
+                    found[i] = more, scores
+                    continue
                 both, score = np.concatenate([found[i][0], more]), np.concatenate([found[i][1], scores])
                 best = np.lexsort((both, -score))[:k]
                 found[i] = both[best], score[best]
