@@ -3,7 +3,9 @@
 An index is a folder of numbered segments, each with
 
 * `postings`: term, id, field, tf, len (tokens of the document) and positions, partitioned by a hash of the term's first LEAD
-  characters and sorted by term within, so a term or prefix is found by partition and by the files' statistics;
+  characters and sorted by term within, so a term or prefix is found by partition and by the files' statistics. A document's
+  postings are made in its own row and written by the task that reads it, so building shuffles nothing. A last partition has a
+  row for each document, without a term;
 * `gone`: ids whose entries in earlier segments no longer hold;
 * `totals`: documents and tokens of the index with this segment, one row, written last: a segment without it doesn't count.
 
@@ -13,6 +15,7 @@ added up by document before. Updates write a segment of the changed documents; c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +26,6 @@ from folio.sources import storage
 
 #: Characters of a term by which it is dealt to a partition, and the number of partitions.
 LEAD, BUCKETS = 2, 64
-#: Parts in which a partition's postings are written, so that frequent terms are no single task.
-SALTS = 8
 #: Rows of `gone` that are broadcast; more are joined by a shuffle.
 BROADCAST_GONE = 1_000_000
 
@@ -33,6 +34,33 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.left(term, F.lit(LEAD))), F.lit(BUCKETS)).cast("int")
 
 
+def _documents() -> Column:
+    """The rows of documents themselves, a partition of their own."""
+    return F.col("bucket") == BUCKETS
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _grouped(tokens: Column, field: int) -> Column:
+    """The postings of one document's field: term, field, tf, positions of each of its terms. The tokens are sorted with their places,
+    and a term's places are the run between where it begins and where the next one does."""
+    pairs = F.sort_array(F.transform(tokens, lambda t, at: F.struct(t.alias("term"), at.alias("at"))))
+
+    def runs(ordered: Column) -> Column:
+        first = F.transform(ordered, lambda p, i: (i == 0) | (p["term"] != F.get(ordered, i - 1)["term"]))
+        begins = lambda new: F.filter(F.transform(new, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+        return _let(F.struct(F.transform(ordered, lambda p: p["at"]).alias("at"), begins(first).alias("b")), lambda k: F.transform(k["b"], lambda i, j: posting(ordered, k, i, j)))
+
+    def posting(ordered: Column, k: Column, i: Column, j: Column) -> Column:
+        tf = F.coalesce(F.get(k["b"], j + 1), F.size(k["at"])) - i
+        return F.struct(F.get(ordered, i)["term"].alias("term"), F.lit(field).alias("field"), tf.alias("tf"), F.slice(k["at"], i + 1, tf).alias("positions"))
+
+    return _let(pairs, runs)
+
+
 class SearchIndex:
     """An index below `path` over the fields of documents, in their order."""
 
@@ -64,25 +92,27 @@ class SearchIndex:
         return self.spark.read.schema(f"term string, id {kind}, field int, tf int, len int, positions array<int>, bucket int").parquet(self._at(segment, table))
 
     def _write(self, documents: DataFrame, gone: DataFrame | None, segment: int) -> None:
-        listed = F.concat(*[self._tokens(i) for i in range(len(self.fields))])
-        rows = documents.select(F.col(self.id_col).alias("id"), listed.alias("tokens")).select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("t"))
-        rows = rows.select("id", "len", "t.term", "t.field", "t.at").withColumns({"bucket": _bucket(F.col("term")), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")})
-        # One shuffle: by partition and salt, which the grouping's keys contain.
-        dealt = rows.repartition("bucket", "salt").groupBy("bucket", "salt", "term", "id", "field")
-        postings = dealt.agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("at")).alias("positions")).drop("salt")
+        fields = documents.select(F.col(self.id_col).alias("id"), *[language.tokens(F.col(f)).alias(f"f{i}") for i, f in enumerate(self.fields)])
+        n = reduce(lambda x, y: x + y, [F.size(f"f{i}") for i in range(len(self.fields))])
+        own = F.array(F.struct(F.lit("").alias("term"), F.lit(-1).alias("field"), F.lit(0).alias("tf"), F.lit(None).cast("array<int>").alias("positions")))
+        held = fields.select("id", n.alias("len"), F.explode(F.concat(own, *[_grouped(F.col(f"f{i}"), i) for i in range(len(self.fields))])).alias("p"))
+        postings = held.select("p.term", "id", "p.field", "p.tf", "len", "p.positions", F.when(F.col("p.field") < 0, BUCKETS).otherwise(_bucket(F.col("p.term"))).alias("bucket"))
         postings.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(self._at(segment, "postings"))
         before, removed = {"docs": 0, "tokens": 0}, {"docs": 0, "tokens": 0}
         empty = self.spark.createDataFrame([], documents.select(F.col(self.id_col).alias("id")).schema)
         (gone if gone is not None else empty).select("id").distinct().write.mode("overwrite").parquet(self._at(segment, "gone"))
+        counted = F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")
         if segment:
             before = self._read(segment - 1, "totals").first().asDict()
-            removed = self._live(segment).join(self._read(segment, "gone"), "id", "left_semi").agg(F.count_distinct("id").alias("docs"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first().asDict()
-        added = documents.select(F.size(listed).cast("long").alias("n")).agg(F.sum(F.when(F.col("n") >= 0, 1).otherwise(0)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-        totals = [(before["docs"] - removed["docs"] + (added["docs"] or 0), before["tokens"] - removed["tokens"] + added["tokens"])]
+            removed = self._live(segment, _documents()).join(self._gone(segment), "id", "left_semi").agg(*counted).first().asDict()
+        added = self._read(segment, "postings").where(_documents()).agg(*counted).first().asDict()
+        totals = [tuple(before[k] - removed[k] + added[k] for k in ("docs", "tokens"))]
         self.spark.createDataFrame(totals, "docs long, tokens long").coalesce(1).write.mode("overwrite").parquet(self._at(segment, "totals"))
 
-    def _tokens(self, i: int) -> Column:
-        return F.transform(language.tokens(F.col(self.fields[i])), lambda t, at: F.struct(t.alias("term"), F.lit(i).alias("field"), at.alias("at")))
+    def _gone(self, segment: int) -> DataFrame:
+        """The ids that a segment takes out, to be broadcast where they are few."""
+        gone = self._read(segment, "gone")
+        return F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
 
     def _live(self, segments: int, postings: Column | None = None) -> DataFrame:
         """Postings of the first so many segments that later ones have not replaced."""
@@ -91,14 +121,13 @@ class SearchIndex:
             one = self._read(n, "postings")
             one = one if postings is None else one.where(postings)
             for later in range(n + 1, segments):
-                gone = self._read(later, "gone")
-                one = one.join(F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone, "id", "left_anti")
+                one = one.join(self._gone(later), "id", "left_anti")
             out = one if out is None else out.unionByName(one)
         return out
 
     def postings(self) -> DataFrame:
         """All postings that hold."""
-        return self._live(self.segments())
+        return self._live(self.segments(), ~_documents())
 
     def update(self, changed: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
         """Write a segment: documents that came or changed, and (column of the id) those that went."""
@@ -116,9 +145,9 @@ class SearchIndex:
     def compact(self, path: str) -> SearchIndex:
         """The index as one segment at another path."""
         n = self.segments()
-        live = self._live(n).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
         out = SearchIndex(self.spark, path, self.id_col, self.fields)
-        live.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(out._at(0, "postings"))
+        # A task's files are sorted together; what is read of a partition is written to it, so nothing is shuffled.
+        self._live(n).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(out._at(0, "postings"))
         self._read(0, "gone").limit(0).write.parquet(out._at(0, "gone"))
         self._read(n - 1, "totals").coalesce(1).write.parquet(out._at(0, "totals"))
         return out
@@ -141,20 +170,15 @@ class SearchIndex:
                 continue
             places = [self._matches(x, not terms[i].phrase and k == len(w) - 1) for k, x in enumerate(w)]
             live = self._live(segments, reduce(lambda a, b: a | b, places))
-            # Where a run would begin, for each of its words that a posting is; a run has all of them.
-            starts = self._starts(places)
-            runs = live.select("id", "len", "field", F.explode(starts).alias("s")).groupBy("id", "len", "field", "s.start").agg(F.count_distinct("s.k").alias("n")).where(F.col("n") == len(w))
-            parts.append(runs.select("id", "len", *[(F.lit(1) if j == i else F.lit(None).cast("int")).alias(f"c{j}") for j in range(len(terms))]))
+            # Where a run would begin, by each of its words: a posting travels as it is, and a run begins where all words say so.
+            begun = lambda k: F.transform("positions", lambda at: at - F.lit(k))
+            starts = [F.flatten(F.collect_list(F.when(p, begun(k)))).alias(f"s{k}") for k, p in enumerate(places)]
+            dealt = live.select("id", "len", "field", "term", "bucket", "positions").repartition("id", "field").groupBy("id", "field").agg(F.first("len").alias("len"), *starts)
+            runs = dealt.select("id", "len", F.size(reduce(F.array_intersect, [F.col(f"s{k}") for k in range(len(w))])).alias("n")).where("n > 0")
+            parts.append(runs.select("id", "len", *[(F.col("n") if j == i else F.lit(None).cast("int")).alias(f"c{j}") for j in range(len(terms))]))
         both = reduce(DataFrame.unionByName, parts)
         return both.groupBy("id").agg(F.first("len").alias("len"), *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(terms))])
 
-    @staticmethod
-    def _starts(places: list[Column]) -> Column:
-        """(start, k) of the runs that a posting is word k of."""
-        none = F.expr("cast(array() as array<struct<start: int, k: int>>)")
-        shifted = lambda k: F.transform("positions", lambda at: F.struct((at - k).cast("int").alias("start"), F.lit(k).alias("k")))
-        return F.flatten(F.array(*[F.when(p, shifted(k)).otherwise(none) for k, p in enumerate(places)]))
-
     def search(self, query: str, limit: int | None = None) -> DataFrame:
         """id, rank of the documents that match a query of the search language, best first (smaller is better), as search() has them."""
         terms = [t for t in language.parse(query) if t.alternative or language.fold(t.value)]

@@ -62,3 +62,21 @@ def test_empty_index(spark, docs, tmp_path):
     assert index.search("a").collect() == [] and index.search("-a").collect() == []
     with pytest.raises(ValueError, match="no index"):
         SearchIndex(spark, str(tmp_path / "none"), "id", FIELDS).update(docs)
+
+
+def test_building_and_compacting_shuffle_no_postings(spark, docs, tmp_path, monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("postings are dealt out")
+
+    monkeypatch.setattr(type(docs), "repartition", refused)
+    index = SearchIndex.build(docs, str(tmp_path / "i"), "id", FIELDS).compact(str(tmp_path / "c"))
+    monkeypatch.undo()
+    rows = {(r["term"], r["id"], r["field"]): (r["tf"], r["len"], r["positions"]) for r in index.postings().collect()}
+    assert rows["the", 6, 1] == (3, 3005, [0, 1, 2]) and rows["a", 6, 0] == (3000, 3005, list(range(3000))) and rows["b", 6, 0][2] == [3000]
+    assert len(rows) == index.postings().count() and all(term for term, _, _ in rows)
+
+
+def test_empty_documents_that_go_are_counted(spark, docs, tmp_path):
+    index = SearchIndex.build(docs, str(tmp_path / "i"), "id", FIELDS)
+    index.update(deleted=docs.where("id = 5"))
+    same(index, docs.where("id <> 5"), ["cafe", '"of the"'])
