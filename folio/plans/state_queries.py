@@ -14,6 +14,8 @@ from folio.streaming import jobs
 UNTIL, SILENT_MINUTES = "2024-02-10 00:00:00", 600
 #: Batches in which the stream's events come, and days by which they are mixed.
 BATCHES, MIXED_DAYS = 5, 3
+#: Events that a state of the stream holds over the whole run, on average.
+SHARD_EVENTS = 8192
 
 _FOLD = f"""
 main AS (
@@ -48,16 +50,17 @@ def _with_fold(select: str) -> str:
 
 def arriving(t: Tables, lateness_days: int) -> DataFrame:
     """The job events as a stream of files: dealt over BATCHES by time, mixed by up to MIXED_DAYS, and a last one that moves the
-    watermark to UNTIL."""
+    watermark to UNTIL. A batch has a file for each partition of the events; where some have none, a batch begins with files of the
+    next one, whose events are less than the lateness apart."""
     events = t["job_events"].withColumn("ts", F.col("ts").cast("timestamp"))
     path = storage.new_path(t.spark, "job-events")
     days = F.datediff("ts", F.lit("2024-01-01")) + F.pmod(F.xxhash64("event_id"), F.lit(MIXED_DAYS + 1))
     dealt = events.withColumn("batch", F.floor(days * BATCHES / (31 + MIXED_DAYS)))
     for n in range(BATCHES):
-        dealt.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(path)
+        dealt.where(F.col("batch") == n).drop("batch").write.mode("append").parquet(path)
     end = F.lit(UNTIL).cast(events.schema["ts"].dataType) + F.expr(f"INTERVAL {lateness_days} DAYS")
     events.limit(1).select(*[{"ts": end, "paper": F.lit(-1).cast("long")}.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema]).withColumns({"event_id": F.lit(-1).cast("long"), "side": F.lit(False)}).coalesce(1).write.mode("append").parquet(path)
-    return jobs.event_stream(t.spark, path, events.schema, 1)
+    return jobs.event_stream(t.spark, path, events.schema, dealt.rdd.getNumPartitions())
 
 
 @query("Z1_job_history", _with_fold(_STATES))
@@ -67,5 +70,6 @@ def z1_history(t: Tables):
 
 @query("Z1_stream_of_events", _with_fold(_STATES))
 def z1_stream(t: Tables):
-    stream = jobs.job_states(arriving(t, MIXED_DAYS + 8), SILENT_MINUTES, lateness=f"{MIXED_DAYS + 8} days")
+    shards = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t["job_events"].count() // SHARD_EVENTS))
+    stream = jobs.job_states(arriving(t, MIXED_DAYS + 8), SILENT_MINUTES, lateness=f"{MIXED_DAYS + 8} days", shards=shards)
     return jobs.run_jobs(stream, storage.new_path(t.spark, "job-states"), storage.new_path(t.spark, "job-checkpoint")).where("paper >= 0").withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz"))
