@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,11 @@ from folio.llm.common import shuffle_width
 NEIGHBOURS, PROJECTIONS, COLLISIONS, GROWTH, FOUND = 20, 96, 59, 1.5, 0.92
 #: Vectors of a block, on average; queries that a task looks up at once.
 BLOCK, QUERIES = 4096, 1024
+#: Vectors whose exact inner products are held at once.
+SCORED = 1 << 14
 
 
+@cache
 def _reach() -> float:
     """Half window over distance from which a vector at that distance is a candidate with probability FOUND."""
 
@@ -45,10 +49,11 @@ def _reach() -> float:
 
 
 def _plain_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products summed from the first component to the last, so that equal vectors score alike wherever they stand."""
+    """Inner products summed from the first component to the last, so that equal vectors score alike wherever they stand.
+    query: one for all vectors, or one for each."""
     out = np.zeros(len(vectors))
-    for j, value in enumerate(query.tolist()):
-        out += vectors[:, j] * value
+    for column, value in zip(vectors.T, query.T, strict=True):
+        out += column * value
     return out
 
 
@@ -60,7 +65,8 @@ class CollisionIndex:
         self.square = np.einsum("ij,ij->i", vectors, vectors)
         lift = np.sqrt(np.maximum(bound * bound - self.square, 0))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        shadow = (vectors @ self.axes[:-1] + lift[:, None] * self.axes[-1]).T
+        # A projection's values stand side by side, or each look at them would copy them first.
+        shadow = np.ascontiguousarray((vectors @ self.axes[:-1] + lift[:, None] * self.axes[-1]).T)
         order = np.argsort(shadow, axis=1, kind="stable")
         self.sorted = np.take_along_axis(shadow, order, 1)
         #: Place of each vector in each sorted projection.
@@ -68,46 +74,76 @@ class CollisionIndex:
         np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], 1)
         self.verified = self.asked = 0
 
-    def _candidates(self, shadow: np.ndarray, half: float) -> np.ndarray:
-        """The vectors that lie within `half` of the query's projections in COLLISIONS of them."""
-        low = np.array([np.searchsorted(s, x - half, side="left") for s, x in zip(self.sorted, shadow, strict=True)], self.place.dtype)
-        high = np.array([np.searchsorted(s, x + half, side="right") for s, x in zip(self.sorted, shadow, strict=True)], self.place.dtype)
+    def _windows(self, shadows: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query and projection the places where the window of `half` around the query's own projection begins and ends."""
+        low, high = (np.empty(shadows.shape[::-1], self.place.dtype) for _ in range(2))
+        for j, (s, x) in enumerate(zip(self.sorted, shadows.T, strict=True)):
+            low[j], high[j] = s.searchsorted(x - halves, "left"), s.searchsorted(x + halves, "right")
+        return np.ascontiguousarray(low.T), np.ascontiguousarray(high.T)
+
+    def _candidates(self, low: np.ndarray, high: np.ndarray, places: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The vectors that lie in the windows of COLLISIONS projections. places, inside: room for what is compared."""
         # Unsigned differences: places before `low` wrap round to large ones.
-        inside = (self.place - low[:, None]) < (high - low)[:, None]
-        return np.flatnonzero(inside.sum(axis=0, dtype=np.uint8 if PROJECTIONS < 256 else np.uint16) >= COLLISIONS)
+        np.subtract(self.place, low[:, None], out=places)
+        np.less(places, (high - low)[:, None], out=inside)
+        return np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if PROJECTIONS < 256 else np.uint16) >= COLLISIONS)
+
+    def _best(self, queries: np.ndarray, known: list[np.ndarray], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The k best of each query's known vectors, by exact inner products; these are summed for many queries at once."""
+        ends = np.cumsum([len(x) for x in known])
+        first = 0
+        while first < len(known):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SCORED, side="right")))
+            rows = np.concatenate(known[first:last])
+            exact = _plain_products(self.vectors[rows], np.repeat(queries[first:last], [len(x) for x in known[first:last]], axis=0))
+            at = 0
+            for some in known[first:last]:
+                score = exact[at : at + len(some)]
+                at += len(some)
+                best = np.lexsort((self.ids[some], -score))[:k]
+                yield self.ids[some[best]], score[best]
+            first = last
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (ids of its nearest, their inner products), the query's own id left out. floors: inner products that k
         vectors elsewhere have already; what is below them need not be found."""
-        n, reach, out = len(self.ids), _reach(), []
+        n, reach = len(self.ids), _reach()
+        if not n or not len(ids):
+            return [(self.ids[:0], np.zeros(0)) for _ in ids]
         shadows = queries @ self.axes[:-1]
         norms = np.einsum("ij,ij->i", queries, queries)
-        # Among every k-th vector the nearest is about as far as the k-th of all: where the windows begin.
-        sample = self.vectors[:: max(1, k)]
         floors = np.full(len(ids), -math.inf) if floors is None else floors
-        for own, query, shadow, norm, floor in zip(ids.tolist(), queries, shadows, norms.tolist(), floors.tolist(), strict=True):
-            apart = lambda score: math.sqrt(max(norm + self.bound**2 - 2 * score, 0.0))  # noqa: E731, B023
-            half = reach * max(apart(max(float((sample @ query).max()), floor)) if n else 0.0, 1e-9 * self.bound)
-            widest = float(max(np.abs(self.sorted[:, 0] - shadow).max(), np.abs(self.sorted[:, -1] - shadow).max())) if n else 0.0
-            known = np.zeros(0, np.int64)
-            while n:
-                reached = self._candidates(shadow, half)
-                reached = reached[self.ids[reached] != own]
-                score = self.vectors[reached] @ query
-                known, kth = reached, -math.inf
+        # Among every k-th vector the nearest is about as far as the k-th of all: where the windows begin.
+        near = queries @ self.vectors[:: max(1, k)].T
+        near[ids[:, None] == self.ids[:: max(1, k)]] = -math.inf
+        near = np.maximum(near.max(axis=1), floors)
+        halves = reach * np.maximum(np.sqrt(np.maximum(norms + self.bound**2 - 2 * near, 0.0)), 1e-9 * self.bound)
+        widest = np.maximum(np.abs(self.sorted[:, 0] - shadows).max(axis=1), np.abs(self.sorted[:, -1] - shadows).max(axis=1))
+        room = np.empty(self.place.shape, self.place.dtype), np.empty(self.place.shape, bool)
+        found, pending = [self.ids[:0]] * len(ids), np.arange(len(ids))
+        while len(pending):
+            again = []
+            # The windows of all queries that look once more, at once.
+            for i, low, high in zip(pending.tolist(), *self._windows(shadows[pending], halves[pending]), strict=True):
+                norm, half = float(norms[i]), float(halves[i])
+                reached = self._candidates(low, high, *room)
+                known = reached = reached[self.ids[reached] != ids[i]]
+                kth = -math.inf
                 if len(reached) >= k:
+                    score = self.vectors[reached] @ queries[i]
                     kth = float(np.partition(score, len(score) - k)[len(score) - k])
                     # What rounding could put among the k best is scored in one fixed order below.
                     known = reached[score >= kth - 1e-9 * (abs(kth) + self.bound * math.sqrt(norm))]
-                need = reach * apart(max(kth, floor)) if max(kth, floor) > -math.inf else math.inf
-                if half >= need or half >= widest:
-                    break
-                half = need if need < math.inf else half * GROWTH
-            self.verified, self.asked = self.verified + (len(reached) if n else 0), self.asked + n
-            exact = _plain_products(self.vectors[known], query)
-            best = np.lexsort((self.ids[known], -exact))[:k]
-            out.append((self.ids[known][best], exact[best]))
-        return out
+                best = max(kth, float(floors[i]))
+                need = reach * math.sqrt(max(norm + self.bound**2 - 2 * best, 0.0)) if best > -math.inf else math.inf
+                if half >= need or half >= widest[i]:
+                    found[i] = known
+                    self.verified, self.asked = self.verified + len(reached), self.asked + n
+                else:
+                    halves[i] = need if need < math.inf else half * GROWTH
+                    again.append(i)
+            pending = np.array(again, np.int64)
+        return list(self._best(queries, found, k))
 
 
 class RangedIndex:
