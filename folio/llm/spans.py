@@ -4,7 +4,9 @@ A window is a fixed number of consecutive symbols (bytes or words) of one docume
 the k-gram in it with the least hash (a minimizer). Equal windows have equal anchors at equal places, so:
 
 1. Each document's anchors are found in numpy. An anchor hash that occurs once in the corpus cannot lie in a repeated
-   window; only the others go on. (Arrays of anchors are shuffled, never windows: one anchor in about 35 bytes.)
+   window; only the others go on. (Arrays of anchors are shuffled, never windows: one anchor in about 35 bytes.) Operator 9
+   sends a hash of all that is charged to the anchor along: of equal segments only the first in the corpus goes on, and only
+   where the anchor has others that differ; so what travels as text does not grow with the number of copies.
 2. Documents with repeated anchors cut out one segment per anchor: the windows charged to it. Segments are routed to
    shards by anchor hash, so all equal windows meet in one shard. Equal segments of a task are combined before the shuffle.
 3. A shard judges its windows (by suffix array or by parsing, see the operators) and returns runs of window starts.
@@ -22,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +110,20 @@ def anchor_runs(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int) ->
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def segment_hashes(symbols: np.ndarray, at: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of each segment (the symbols of `count` windows from `at` on, ascending), from its first and last window, which
+    cover it, and its length."""
+    out, i = np.empty(len(at), np.uint64), 0
+    while i < len(at):  # long texts in blocks
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK)))
+        low = int(at[i])
+        whole = _gram_hashes(symbols[low : int((at[i:j] + count[i:j]).max()) + window - 1], window)
+        first, last = whole[at[i:j] - low], whole[at[i:j] + count[i:j] - 1 - low]
+        out[i:j] = first * _MUL + (last ^ (last >> np.uint64(31))) * np.uint64(_BASE) + count[i:j].astype(np.uint64)
+        i = j
+    return out
+
+
 def pack_run(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """A run's first start (48 bits) and number of starts (15 bits) in one long."""
     return (start.astype(np.int64) << 15) | count
@@ -122,6 +139,37 @@ _BLOB = "bucket int, hash binary, doc binary, run binary, kind binary"
 _KNOWN, _ONCE, _SUMMARY = 0, 1, 2
 
 
+def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray | None]) -> pa.RecordBatch:
+    """A row for each bucket with its entries as bytes, documents as differences."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(order) else []
+    rows = [order[a:b] for a, b in zip(edges, [*edges[1:], len(order)], strict=True)]
+    held = {"bucket": pa.array([int(bucket[own[0]]) for own in rows], pa.int32())}
+    for name, values in columns.items():
+        held[name] = pa.array([None if values is None else (np.diff(values[own], prepend=0) if name == "doc" else values[own]).tobytes() for own in rows], pa.binary())
+    return pa.RecordBatch.from_arrays(list(held.values()), names=list(held))
+
+
+def _sampler(symbols_of: Callable, window: int, k: int, flush: Callable, whole: bool = False) -> Callable:
+    """The anchors of a task's documents, handed to flush(hash, doc, packed run, with `whole` the segment's hash) some at a time."""
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for doc_ids, texts in text_chunks(batches):
+            symbols, bounds = symbols_of(texts)
+            h, doc, start, count = anchor_runs(symbols, bounds, window, k)
+            if len(h):
+                held.append((h, doc_ids[doc], pack_run(start, count), *([segment_hashes(symbols, bounds[doc] + start, count, window)] if whole else [])))
+                size += len(h)
+            if size >= FLUSH_ENTRIES:
+                yield from flush(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield from flush(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return sample
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -134,8 +182,7 @@ def repeated_anchors(docs: DataFrame, size: int, symbols_of: Callable, window: i
     """
     buckets = max(BUCKETS_PER_PARTITION * shuffle_width(docs.sparkSession), -(-size // BUCKET_TEXT))
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        h, doc, run = (np.concatenate(c) for c in zip(*held, strict=True))
+    def flush(h: np.ndarray, doc: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(h, kind="stable")
         ordered = h[order]
         new = np.append(True, ordered[1:] != ordered[:-1])
@@ -150,29 +197,7 @@ def repeated_anchors(docs: DataFrame, size: int, symbols_of: Callable, window: i
         run_all = np.concatenate([run[once], run[heads], run[many]])
         kind = np.concatenate([np.full(once.sum(), _ONCE, np.uint8), np.full(len(heads), _SUMMARY, np.uint8), np.full(many.sum(), _KNOWN, np.uint8)])
         spread = np.where(kind == _KNOWN, (doc_all.view(np.uint64) * _MUL) >> np.uint64(40), h_all >> np.uint64(40))
-        bucket = (spread % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
-        columns = [[], [], [], [], []]
-        for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
-            own = order[a:b]
-            for column, value in zip(columns, (int(bucket[own[0]]), h_all[own].tobytes(), np.diff(doc_all[own], prepend=0).tobytes(), run_all[own].tobytes(), kind[own].tobytes()), strict=True):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "hash", "doc", "run", "kind"])
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for doc_ids, texts in text_chunks(batches):
-            symbols, bounds = symbols_of(texts)
-            h, doc, start, count = anchor_runs(symbols, bounds, window, k)
-            if len(h):
-                held.append((h, doc_ids[doc], pack_run(start, count)))
-                size += len(h)
-            if size >= FLUSH_ENTRIES:
-                yield flush(held)
-                held, size = [], 0
-        if held:
-            yield flush(held)
+        return _dealt(spread % np.uint64(buckets), {"hash": h_all, "doc": doc_all, "run": run_all, "kind": kind})
 
     def again(blobs: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(blobs.column(name).to_pylist()), kind)
@@ -186,10 +211,58 @@ def repeated_anchors(docs: DataFrame, size: int, symbols_of: Callable, window: i
         hit = np.repeat(size > 1, size) & (ak == _ONCE)
         return by_doc(np.concatenate([doc[known], ad[hit]]), np.concatenate([run[known], ar[hit]]), "runs")
 
-    blobs = docs.mapInArrow(sample, _BLOB)
+    blobs = docs.mapInArrow(_sampler(symbols_of, window, k, lambda *held: [flush(*held)]), _BLOB)
     return blobs.groupBy("bucket").applyInArrow(again, "doc long, runs binary").groupBy("doc").agg(F.collect_list("runs").alias("runs"))
 
 
+_EQUAL = "bucket int, hash binary, whole binary, doc binary, run binary"
+
+
+def equal_segments(docs: DataFrame, size: int, symbols_of: Callable, window: int, k: int) -> DataFrame:
+    """doc long, runs binary, copied binary (one of both is null), as packed runs, several rows for a document.
+
+    copied: runs of anchors whose segment equals one that starts earlier in the corpus (by document, start), so that all their
+    windows repeat. runs: of each other segment the one that starts first, if its anchor occurs in segments that differ; only in
+    these can windows be equal. An anchor that has but one segment, however often, needs no more than that.
+
+    Segments of an anchor are told apart by 64-bit hashes of all their symbols (with the anchor's, 128 bits). docs, size and
+    symbols_of as in repeated_anchors().
+    """
+    buckets = max(BUCKETS_PER_PARTITION * shuffle_width(docs.sparkSession), -(-size // BUCKET_TEXT))
+
+    def flush(h: np.ndarray, doc: np.ndarray, run: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # The first of a task's equal segments goes on; the others are known to be copies and go by document.
+        if np.any(doc[1:] < doc[:-1]):
+            order = np.lexsort((run, doc))
+            h, doc, run, whole = h[order], doc[order], run[order], whole[order]
+        order = np.argsort(h * _MUL + whole, kind="stable")
+        copied = np.zeros(len(h), bool)
+        copied[order[1:]] = (h[order][1:] == h[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+        first = ~copied
+        yield _dealt((h[first] >> np.uint64(40)) % np.uint64(buckets), {"hash": h[first], "whole": whole[first], "doc": doc[first], "run": run[first]})
+        if copied.any():
+            yield _dealt(((doc[copied].view(np.uint64) * _MUL) >> np.uint64(40)) % np.uint64(buckets), {"hash": None, "whole": None, "doc": doc[copied], "run": run[copied]})
+
+    def judge(blobs: pa.Table) -> pa.Table:
+        known = blobs.filter(pc.is_null(blobs.column("hash")))
+        asked = blobs.filter(pc.is_valid(blobs.column("hash")))
+        join = lambda t, name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
+        docs_of = lambda t: np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(b, np.int64)) for b in t.column("doc").to_pylist())])
+        h, whole, run, doc = join(asked, "hash", np.uint64), join(asked, "whole", np.uint64), join(asked, "run", np.int64), docs_of(asked)
+        order = np.lexsort((run, doc, whole, h))
+        h, whole, run, doc = h[order], whole[order], run[order], doc[order]
+        anchor = np.append(True, h[1:] != h[:-1])[: len(h)]
+        first = anchor | np.append(True, whole[1:] != whole[:-1])[: len(h)]
+        of = np.cumsum(anchor) - 1
+        asked_on = first & (np.bincount(of, weights=first)[of] > 1) if len(h) else first
+        runs = by_doc(doc[asked_on], run[asked_on], "runs")
+        copied = by_doc(np.concatenate([doc[~first], docs_of(known)]), np.concatenate([run[~first], join(known, "run", np.int64)]), "copied")
+        return pa.concat_tables([runs.append_column("copied", pa.nulls(runs.num_rows, pa.binary())), copied.add_column(1, "runs", pa.nulls(copied.num_rows, pa.binary()))])
+
+    blobs = docs.mapInArrow(_sampler(symbols_of, window, k, flush, whole=True), _EQUAL)
+    return blobs.groupBy("bucket").applyInArrow(judge, "doc long, runs binary, copied binary")
+
+
 def by_doc(doc: np.ndarray, run: np.ndarray, name: str) -> pa.Table:
     """One row per document with its packed runs as bytes."""
     order = np.argsort(doc, kind="stable")

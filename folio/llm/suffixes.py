@@ -3,8 +3,8 @@
 A shard's segments get one suffix array (Larsson-Sadakane: groups that are still tied are refined by the ranks at double
 the depth, all in numpy) and its common prefixes (Kasai's walk in text order, in lockstep over the segments). Suffixes
 that share `length` bytes stand together; of each such group the start that comes first in the corpus stays, all others
-are repeats. Equal segments are combined before that, in the task that cuts them and in the shard: the first one goes into
-the suffix array, the others repeat as a whole. Shards that were split are merged by binary search in their sorted windows,
+are repeats. Equal segments are combined before that, over the whole corpus, by their hashes: the first one goes into
+the suffix array (if its anchor has other segments), the others repeat as a whole. Shards that were split are merged by binary search in their sorted windows,
 dealt to tasks by content. See folio.llm.spans for how segments come to shards and results to texts.
 """
 
@@ -267,12 +267,14 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     docs = spans.keyed(df, id_col, text_col)
     texts = docs.select("doc", "text")
     size = spans.text_bytes(texts)
-    found = spans.repeated_anchors(texts, size, _symbols_of, length, gram)
+    # Each step is written before the next, so that its shuffle files are gone by then.
+    anchors = materialize(spans.equal_segments(texts, size, _symbols_of, length, gram), "anchors")
+    found = spans.gather_runs(anchors.where("runs is not null").select("doc", "runs"))
     found = materialize(spans.segments(texts, size, found, _cutter(length, gram)), "segments")
     # Written before the texts are shuffled again, so the segments' shuffle files are gone by then.
     judged = materialize(spans.split_shards(found).groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged")
     merged = judged.where("windows is not null").groupBy("shard", "part").applyInArrow(_merge_task(length), "doc long, runs binary")
-    runs = judged.where("runs is not null").select("doc", "runs").unionByName(found.where("runs is not null").select("doc", "runs")).unionByName(merged)
+    runs = judged.where("runs is not null").select("doc", "runs").unionByName(found.where("runs is not null").select("doc", "runs")).unionByName(merged).unionByName(anchors.where("copied is not null").select("doc", F.col("copied").alias("runs")))
     joined = docs.join(spans.gather_runs(runs), "doc", "left").select("id", "text", "runs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
