@@ -337,7 +337,7 @@ def segments(docs: DataFrame, size: int, repeated: DataFrame, cut: Callable) ->
     """The segments of all repeated anchors: SEGMENTS. A row with `runs` (and no shard) has a document's runs that equal runs,
     starting earlier, represent.
 
-    size: text_bytes() of docs. cut(text bytes, starts, counts, shards) -> (segments, their shards). Equal segments of a task
+    size: bytes from which the shards are counted. cut(text bytes, starts, counts, shards) -> (segments, their shards). Equal segments of a task
     are combined.
     """
     shards = max(SHARDS_PER_PARTITION * shuffle_width(docs.sparkSession), -(-size // SHARD_TEXT))
@@ -429,6 +429,11 @@ def resplit(parts: DataFrame, symbols_of: Callable, slice_of: Callable, window:
 # --- step 4: runs back to texts -------------------------------------------------------------------------------------
 
 
+def segment_bytes(anchors: DataFrame, window: int, k: int) -> int:
+    """Bytes at most of the segments of all `runs` (rows of equal_segments())."""
+    return int((anchors.agg(F.sum(F.octet_length("runs"))).first()[0] or 0) // 8 * (2 * window - k))
+
+
 def gather_runs(runs: DataFrame) -> DataFrame:
     """doc, runs array<binary> from rows (doc, runs binary)."""
     return runs.groupBy("doc").agg(F.collect_list("runs").alias("runs"))

@@ -270,6 +270,8 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     # Each step is written before the next, so that its shuffle files are gone by then.
     anchors = materialize(spans.equal_segments(texts, size, _symbols_of, length, gram), "anchors")
     found = spans.gather_runs(anchors.where("runs is not null").select("doc", "runs"))
+    # Shards are counted by what comes to them, so that none is split but those of hot anchors: split ones hand on their windows.
+    size = spans.TIMES_MEAN * spans.segment_bytes(anchors, length, gram)
     found = materialize(spans.segments(texts, size, found, _cutter(length, gram)), "segments")
     # Written before the texts are shuffled again, so the segments' shuffle files are gone by then.
     judged = materialize(spans.split_shards(found).groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged")

@@ -48,6 +48,25 @@ def test_bytes_of_segments_do_not_grow_with_copies(spark, monkeypatch):
     assert 0 < sizes[1] <= sizes[0]
 
 
+def test_shards_are_counted_by_what_comes_to_them(spark, monkeypatch):
+    """Most of a corpus in near copies: once the mean shard was large, nearly all were split and handed on 100 bytes a window."""
+    for name, value in (("SHARD_TEXT", 40_000), ("SHARD_BYTES", 40_000), ("LEAST_SHARD", 40_000), ("SHARDS_PER_PARTITION", 1)):
+        monkeypatch.setattr(spans, name, value)
+    salts, split = [], spans.split_shards
+
+    def measured(parts):
+        out = split(parts)
+        salts.append(out.agg(F.max("salts")).first()[0])
+        return out
+
+    monkeypatch.setattr(spans, "split_shards", measured)
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcdefghij klm.") for _ in range(3000))
+    rows = {i: "".join("#" if rng.random() < 0.008 else c for c in base) for i in range(60)}
+    check(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), {i: t.encode() for i, t in rows.items()}, 100, 24)
+    assert salts == [1]
+
+
 def test_segments_of_other_content_or_length_have_other_hashes():
     text = np.frombuffer(b"abab" * 100 + bytes(range(200)), np.uint8)
     at, count = np.repeat(np.arange(0, 420), 60), np.tile(np.arange(1, 61), 420)
