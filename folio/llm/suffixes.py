@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import spans
-from folio.llm.common import materialize
+from folio.llm.common import materialize, release
 
 #: Bytes of a repeated string, and of the grams that anchor it.
 LENGTH, GRAM = 100, 24
@@ -277,7 +277,10 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     judged = materialize(spans.split_shards(found).groupBy("shard", "salt").applyInArrow(_shard_task(length), _OUT), "judged")
     merged = judged.where("windows is not null").groupBy("shard", "part").applyInArrow(_merge_task(length), "doc long, runs binary")
     runs = judged.where("runs is not null").select("doc", "runs").unionByName(found.where("runs is not null").select("doc", "runs")).unionByName(merged).unionByName(anchors.where("copied is not null").select("doc", F.col("copied").alias("runs")))
-    joined = docs.join(spans.gather_runs(runs), "doc", "left").select("id", "text", "runs")
+    runs = materialize(spans.gather_runs(runs), "runs")
+    # What the runs were made from is gone by the time the texts are shuffled again.
+    release(anchors, found, judged)
+    joined = docs.join(runs, "doc", "left").select("id", "text", "runs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

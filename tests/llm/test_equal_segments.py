@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import spans, suffixes
+from folio.llm import common, spans, suffixes
 from tests.llm.test_suffixes import check
 
 
@@ -67,6 +67,14 @@ def test_shards_are_counted_by_what_comes_to_them(spark, monkeypatch):
     assert salts == [1]
 
 
+def test_tables_of_the_steps_are_gone_before_texts_are_shuffled_again(spark):
+    before = {path for _, path in common._written}
+    rows = corpus(12, random.Random(4))
+    found = suffixes.repeated_bytes(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    assert {path.rpartition("/")[2].partition("-")[0] for _, path in common._written if path not in before} == {"sizes", "runs"}
+    assert found.agg(F.sum("n_removed")).first()[0] > 0
+
+
 def test_segments_of_other_content_or_length_have_other_hashes():
     text = np.frombuffer(b"abab" * 100 + bytes(range(200)), np.uint8)
     at, count = np.repeat(np.arange(0, 420), 60), np.tile(np.arange(1, 61), 420)
